@@ -37,7 +37,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, *keys: str) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """Larger intermediate tables: written as Parquet to the shared folder and read back."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.parquet(path)

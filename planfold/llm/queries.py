@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from planfold.llm import near_dedup
+from planfold.llm import decontaminate, near_dedup, token_files
 
 QUERIES = {
+    "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
+    "op10_token_files": token_files.op10_token_files,
 }
 
 ORACLE: dict[str, str] = {}
