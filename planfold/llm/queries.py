@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from planfold.llm import decontaminate, near_dedup, token_files
+from planfold.llm import decontaminate, line_dedup, mixing, near_dedup, token_files
 
 QUERIES = {
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
+    "op8_source_mixing": mixing.op8_source_mixing,
     "op10_token_files": token_files.op10_token_files,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_line_dedup": line_dedup.ORACLE_SQL,
+}
