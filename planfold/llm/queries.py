@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from planfold.llm import decontaminate, line_dedup, mixing, near_dedup, token_files
+from planfold.llm import decontaminate, line_dedup, mixing, near_dedup, quality, token_files
 
 QUERIES = {
+    "op2_quality_divergence": quality.op2_quality_divergence,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
@@ -13,5 +14,6 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_quality_divergence": quality.op2_quality_divergence,
     "op3_line_dedup": line_dedup.ORACLE_SQL,
 }
