@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from planfold.llm import decontaminate, line_dedup, mixing, near_dedup, quality, token_files
+from planfold.llm import decontaminate, line_dedup, mixing, near_dedup, pii, quality, token_files
 
 QUERIES = {
+    "op1_personal_data": pii.op1_personal_data,
     "op2_quality_divergence": quality.op2_quality_divergence,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
