@@ -15,6 +15,5 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
-    "op2_quality_divergence": quality.op2_quality_divergence,
     "op3_line_dedup": line_dedup.ORACLE_SQL,
 }
