@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Separators of words in most of the contracts: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
+#: Ids (16 bytes each) that are broadcast at most.
+BROADCAST_IDS = 1_000_000
 #: For bytes.translate: A-Z lower-cased, all else kept.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,6 +46,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs without the rows whose key is in gone; rows without a key stay. The ids are counted and, up to BROADCAST_IDS of them,
+    sent to the scan, so that no text moves; beyond, both sides are shuffled."""
+    ids = cut(gone.where(F.col(key).isNotNull()).select(key).distinct())
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+    return docs.join(ids, key, "left_anti").select(*docs.columns)
+
+
 def map_texts(df: DataFrame, columns: list[str], schema: str, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], rows: int = 1000) -> DataFrame:
     """mapInArrow over the named columns alone, in batches small enough for very long texts."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planfold.llm.common import map_texts, raw_texts, table
+from planfold.llm.common import map_texts, raw_texts, table, without
 
 WINDOW = 10
 #: Characters of items in one automaton (about 100 bytes of memory each).
@@ -124,8 +124,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOC
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold a window of the benchmark."""
-    gone = contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, contamination(docs, benchmark).where("contaminated"))
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

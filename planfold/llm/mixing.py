@@ -9,11 +9,12 @@ where their running total passes the budget, so each source stops within a docum
 Totals run over ranges (order.running_totals), never over one source in one task, whatever share a source has.
 
 Defined results: null text has size 0; documents of size 0 take nothing, and mixed() keeps one of each; a source of size 0 has target
-0; rows that repeat are documents of their own. Extra columns are ignored by mix() and kept by mixed()."""
+0; rows that repeat are documents of their own, and in mixed() rows equal in doc_id, source and text share their copies evenly,
+rounded down. Extra columns are ignored by mix() and kept by mixed()."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planfold.llm.common import cut, size_word_rule, table
@@ -41,7 +42,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """docs(doc_id, text, source) -> doc_id, size, source_size, target, taken, copies, h, again (h and again tell rows apart)."""
+    """docs(doc_id, text, source) -> doc_id, size, source_size, target, taken, copies, h (the hash that shuffles)."""
     sized = docs.select("doc_id", "source", size_word_rule(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "source", "text").alias("h"))
     sized = cut(sized)
     targets, budget = source_targets(sized, weights, most)
@@ -58,17 +59,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
         for e in range(most):
             served = served + F.when(F.struct(F.element_at("finish", e + 1), "row", F.lit(e).cast("int")) <= edge, 1).otherwise(0)
     n = F.when(F.col("size") == 0, 1).when(F.col("target") > 0, served).otherwise(0)
-    out = timed.withColumn("copies", n.cast("int")).withColumn("again", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("row")))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "h", "again")
+    out = timed.withColumn("copies", n.cast("int"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "h")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """docs as the mix takes them: each row as many times as it has copies."""
-    plan = mix(docs, weights, most, seed).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("again").alias("_n"), F.col("copies").alias("_copies")).where("_copies > 0")
-    rows = docs.withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id", "source", "text"))
-    rows = rows.withColumn("_again", F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy("doc_id")))
-    joined = rows.join(plan, rows.doc_id.eqNullSafe(plan._d) & (rows._hash == plan._h) & (rows._again == plan._n))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    plan = mix(docs, weights, most, seed).groupBy("h").agg(F.floor(F.sum("copies") / F.count(F.lit(1))).cast("int").alias("_copies")).where("_copies > 0")
+    plan = plan.withColumnRenamed("h", "_mix_h")
+    rows = docs.select("*", F.xxhash64(F.lit(seed), "doc_id", "source", "text").alias("_mix_h")).join(plan, "_mix_h")
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).select(*docs.columns)
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planfold.llm.common import cut, fold, map_texts, table
+from planfold.llm.common import cut, fold, map_texts, table, without
 
 TRAIN_ROWS, LEXICON_ROWS, MIN_CLASS = 20_000, 2_000, 5
 THRESHOLD, TREES, DEPTH = 0.3, 20, 3
@@ -139,8 +139,7 @@ def scored(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the documents predicted toxic."""
-    gone = scored(docs, labels).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, scored(docs, labels).where("predicted = 1"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
