@@ -6,5 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from planfold.sources.fixtures import Views, twin
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of the derived views as a query, with the body of its SQL twin."""
+
+    def add(build: Callable[[Views], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: build(Views(spark, sf_dir))
+        if sql is not None:
+            ORACLE[name] = twin(sql)
+        return build
+
+    return add
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from planfold.plans import floors, layers, layout, mix, projects  # noqa: F401
