@@ -9,7 +9,7 @@ from planfold.llm.common import cut
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """edges(a, b) of longs -> (node, component): the smallest id reachable, for each node that has an edge.
+    """edges(a, b) of longs -> (node, component): the smallest id reachable, for each node that has one smaller than itself.
 
     Each step keeps at most as many edges as before and points nodes at smaller ones; it ends when the edge set no longer
     changes. Nothing is gathered on the driver but two numbers a round; each round is cut by a checkpoint."""
