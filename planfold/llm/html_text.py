@@ -239,7 +239,7 @@ def extracted(pages: DataFrame) -> DataFrame:
         urls, htmls = batch.column("url").to_pylist(), batch.column("html").to_pylist()
         for url, html, key in zip(urls, htmls, batch.column("key").to_pylist(), strict=True):
             found = sorted({f[0] for f in style_features(html)})
-            yield pa.RecordBatch.from_arrays([pa.array([key] * len(found)), pa.array([host_of(url)] * len(found)), pa.array(found, pa.int64())], names=["key", "host", "path"])
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.int64()), pa.array([host_of(url)] * len(found), pa.string()), pa.array(found, pa.int64())], names=["key", "host", "path"])
 
     keyed = pages.withColumn("key", F.xxhash64("page_id", "url", "html"))
     of = map_texts(keyed, ["key", "url", "html"], "key long, host string, path long", paths).join(low, ["host", "path"]).groupBy("key").agg(F.collect_set("path").alias("low"))

@@ -55,7 +55,7 @@ def trained(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndar
             sums[lang] = sums.get(lang, 0) + np.bincount(trigrams(text), minlength=BUCKETS)
         for lang, seen in sums.items():
             at = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], names=["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], names=["lang", "bucket", "n"])
 
     sums = map_texts(chosen, ["lang", "text"], "lang string, bucket long, n long", count).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table_ = np.full((len(langs), BUCKETS), SMOOTH, np.float64)
@@ -115,7 +115,7 @@ def identified(docs: DataFrame) -> DataFrame:
             best, score = mixtures([trigrams(texts[j]) for j in at], model)
             for j, b, s in zip(at, best.tolist(), score.tolist(), strict=True):
                 names[j], scores[j] = langs[b], min(1.0, max(0.0, s))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     found = map_texts(docs, ["doc_id", "text"], "doc_id long, lang_pred string, score double", each)
     return found.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

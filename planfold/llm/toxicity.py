@@ -88,7 +88,7 @@ def learned_lexicons(train: DataFrame) -> list[dict[str, float]]:
         for text, toxic, half in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "half")), strict=True):
             for s in stems(_tokens(text or "")):
                 found.setdefault(s, [0, 0, 0, 0])[2 * half + (toxic == 1)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(found)), *(pa.array([c[i] for c in found.values()], pa.int64()) for i in range(4))], names=["stem", "c0", "p0", "c1", "p1"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array([c[i] for c in found.values()], pa.int64()) for i in range(4))], names=["stem", "c0", "p0", "c1", "p1"])
 
     sums = map_texts(train, ["text", "toxic", "half"], "stem string, c0 long, p0 long, c1 long, p1 long", count).groupBy("stem").agg(*(F.sum(c).alias(c) for c in ("c0", "p0", "c1", "p1")))
     sums = cut(sums.where(f"p0 + p1 >= {MIN_TEXTS}"))
