@@ -32,10 +32,13 @@ def s2_rejects(v):
     return mix.read_lines(v.mix_lines).where("error is not null").select("plan_id", (F.col("line_no") + 1).alias("line_no"), "error")
 
 
-@query("S2_mix_totals", _LINES + "select plan_id, count(*) as n_types, round(sum(target), 2) as target, round(sum(allowed), 2) as allowed, round(sum(target) - sum(allowed), 2) as min_area, round(sum(target) + sum(allowed), 2) as max_area from o where error is null group by plan_id")
+@query("S2_mix_totals", _LINES + """, u as (select plan_id, count(*) as n, sum(cast(floor(target * 10000 + 0.5) as bigint)) as t, sum(cast(floor(allowed * 10000 + 0.5) as bigint)) as a from o where error is null group by plan_id)
+  select plan_id, n as n_types, t / 10000.0 as target, a / 10000.0 as allowed, (t - a) / 10000.0 as min_area, (t + a) / 10000.0 as max_area from u""")
 def s2_totals(v):
-    good = mix.read_lines(v.mix_lines).where("error is null").groupBy("plan_id").agg(F.count(F.lit(1)).alias("n_types"), F.sum("target").alias("t"), F.sum("allowed").alias("a"))
-    return good.select("plan_id", "n_types", F.round("t", 2).alias("target"), F.round("a", 2).alias("allowed"), F.round(F.col("t") - F.col("a"), 2).alias("min_area"), F.round(F.col("t") + F.col("a"), 2).alias("max_area"))
+    """Sums in whole square centimetres, so the order of rows doesn't show."""
+    units = lambda c: F.sum(F.floor(F.col(c) * 10000 + 0.5))
+    good = mix.read_lines(v.mix_lines).where("error is null").groupBy("plan_id").agg(F.count(F.lit(1)).alias("n_types"), units("target").alias("t"), units("allowed").alias("a"))
+    return good.selectExpr("plan_id", "n_types", "cast(t / 10000D as double) as target", "a / 10000D as allowed", "(t - a) / 10000D as min_area", "(t + a) / 10000D as max_area")
 
 
 @query("S3_mix_errors", f"""with r as (select plan_id, line_no, coalesce(typologie, '') as type, case when line_no % 2 = 0 then surface_cible end as area, case when plan_id % 3 = 0 then surface_cible end as count from mix_lines),

@@ -69,6 +69,8 @@ def twin(body: str) -> str:
     names = [n for n in VIEWS if re.search(rf"\b(?:from|join|,)\s+{n}\b", body)]
     ctes = [f"{n} as ({VIEWS[n].format(**{t: t for t in TABLES})})" for n in names]
     own = body.strip()
+    if own.lower().startswith("with recursive "):
+        return f"with recursive {', '.join(ctes)}{', ' if ctes else ''}{own[15:]}"
     if own.lower().startswith("with "):
         return f"with {', '.join(ctes)}{', ' if ctes else ''}{own[5:]}"
     return f"with {', '.join(ctes)} {own}" if ctes else own
