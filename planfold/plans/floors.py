@@ -1 +1,172 @@
-"""Registered queries."""
+"""Queries on floors and circulation: vertical connectors, building summaries, components, reachability, paths."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from planfold.catalog import query
+from planfold.functions import geometry
+from planfold.operators import graph, spatial
+from planfold.plans.layout import _GAP2, _LINKS, _NEAR, _links
+
+_PAIRS = "(select a.plan_id, a.connector_id as a_id, b.connector_id as b_id, pow(a.x - b.x, 2) + pow(a.y - b.y, 2) as d2, a.floor_level as level_a from connectors a join connectors b on a.plan_id = b.plan_id and a.type = b.type and b.floor_level = a.floor_level + 1 and pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 15625)"
+
+
+def _vertical(v, limit=125):
+    """Connectors of adjacent levels and one type, at most limit apart."""
+    up = v.connectors.select("plan_id", "type", F.col("connector_id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"), (F.col("floor_level") - 1).alias("floor_level"))
+    pairs = v.connectors.withColumnRenamed("connector_id", "a_id").join(up, ["plan_id", "type", "floor_level"])
+    d2 = F.pow(F.col("x") - F.col("bx"), 2) + F.pow(F.col("y") - F.col("by"), 2)
+    return pairs.withColumn("d2", d2).where(F.col("d2") <= limit * limit)
+
+
+@query("J14_connector_candidates", f"select plan_id, a_id, b_id, round(sqrt(d2), 4) as distance from {_PAIRS} p")
+def j14_candidates(v):
+    return _vertical(v).select("plan_id", "a_id", "b_id", F.round(F.sqrt("d2"), 4).alias("distance"))
+
+
+@query("J14_connector_matches")
+def j14(v):
+    """One-to-one pairs, the nearest first."""
+    found = graph.mutual_nearest(_vertical(v).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.sqrt("d2").alias("distance")))
+    return found.select(F.col("a").alias("a_id"), F.col("b").alias("b_id"), F.round("distance", 4).alias("distance"))
+
+
+@query("A15_floor_stacking", f"""with f as (select plan_id, floor_level, count(*) as n, count(*) filter (type = 'elevator') as elevator, count(*) filter (type = 'stair') as stair, count(*) filter (type = 'escalator') as escalator, count(*) filter (type = 'shaft') as shaft from connectors group by all),
+  l as (select plan_id, level_a as floor_level, count(*) as links from {_PAIRS} p group by all) select f.*, floor_level * 300 as z, coalesce(links, 0) as links_up from f left join l using (plan_id, floor_level)""")
+def a15(v):
+    counts = v.connectors.groupBy("plan_id", "floor_level").pivot("type", ["elevator", "stair", "escalator", "shaft"]).count().fillna(0)
+    links = _vertical(v).groupBy("plan_id", "floor_level").agg(F.count(F.lit(1)).alias("links_up"))
+    out = counts.join(links, ["plan_id", "floor_level"], "left").fillna(0, ["links_up"])
+    return out.select("*", (F.col("elevator") + F.col("stair") + F.col("escalator") + F.col("shaft")).alias("n"), (F.col("floor_level") * 300).alias("z"))
+
+
+@query("A17_accessibility", "select plan_id, floor_level, bool_or(type = 'elevator') as elevator, count(*) filter (type = 'stair') as stairs, concat_ws(', ', case when not bool_or(type = 'elevator') then 'no elevator' end, case when count(*) filter (type = 'stair') = 0 then 'no stair' end) as notes from connectors group by plan_id, floor_level")
+def a17(v):
+    lift, stairs = F.bool_or(F.col("type") == "elevator"), F.count(F.when(F.col("type") == "stair", 1))
+    return v.connectors.groupBy("plan_id", "floor_level").agg(lift.alias("elevator"), stairs.alias("stairs"), F.concat_ws(", ", F.when(~lift, "no elevator"), F.when(stairs == 0, "no stair")).alias("notes"))
+
+
+@query("A14_building_summary", "with f as (select plan_id, floor_level, sum(cast(w as bigint) * h) as area, count(*) as n from boxes group by all) select building_id, count(distinct plan_id) as plans, count(*) as floors, cast(sum(n) as bigint) as boxes, cast(sum(area) as bigint) as area, round(sum(area) * 100.0 / (count(*) * 108000000.0), 4) as utilisation from f join plans using (plan_id) group by building_id")
+def a14(v):
+    f = v.boxes.groupBy("plan_id", "floor_level").agg(F.sum(F.col("w").cast("long") * F.col("h")).alias("area"), F.count(F.lit(1)).alias("n"))
+    g = f.join(v.plans, "plan_id").groupBy("building_id")
+    return g.agg(F.countDistinct("plan_id").alias("plans"), F.count(F.lit(1)).alias("floors"), F.sum("n").alias("boxes"), F.sum("area").alias("area"), F.round(F.sum("area") * 100 / (F.count(F.lit(1)) * 108000000), 4).alias("utilisation"))
+
+
+@query("A16_egress", f"with e as (select plan_id, floor_level, count(*) as rooms, max(distance) as far, avg(distance) as mean from {_NEAR} t group by all) select plan_id, floor_level, rooms, round(far, 4) as max_distance, round(mean, 4) as mean_distance, coalesce(far <= 4500, false) as passes, case when far is null then 'no exits' when far > 4500 then 'too far' else 'ok' end as reason from e")
+def a16(v):
+    e = spatial.nearest_exit(v.boxes, v.exits).groupBy("plan_id", "floor_level").agg(F.count(F.lit(1)).alias("rooms"), F.max("distance").alias("far"), F.avg("distance").alias("mean"))
+    reason = F.when(F.col("far").isNull(), "no exits").when(F.col("far") > 4500, "too far").otherwise("ok")
+    return e.select("plan_id", "floor_level", "rooms", F.round("far", 4).alias("max_distance"), F.round("mean", 4).alias("mean_distance"), F.coalesce(F.col("far") <= 4500, F.lit(False)).alias("passes"), reason.alias("reason"))
+
+
+@query("J22_floor_bounds", "with f as (select plan_id, floor_level, min(x) as x1, max(x + w) as x2 from boxes group by all) select plan_id, floor_level, x1 - first_value(x1) over (partition by plan_id order by floor_level) as shift_min, x2 - first_value(x2) over (partition by plan_id order by floor_level) as shift_max, abs(x1 - first_value(x1) over (partition by plan_id order by floor_level)) > 2 or abs(x2 - first_value(x2) over (partition by plan_id order by floor_level)) > 2 as warn from f")
+def j22(v):
+    f = v.boxes.groupBy("plan_id", "floor_level").agg(F.min("x").alias("x1"), F.max(F.col("x") + F.col("w")).alias("x2"))
+    base = f.groupBy("plan_id").agg(F.min_by("x1", "floor_level").alias("b1"), F.min_by("x2", "floor_level").alias("b2"))
+    f = f.join(base, "plan_id").withColumn("shift_min", F.col("x1") - F.col("b1")).withColumn("shift_max", F.col("x2") - F.col("b2"))
+    return f.select("plan_id", "floor_level", "shift_min", "shift_max", ((F.abs("shift_min") > 2) | (F.abs("shift_max") > 2)).alias("warn"))
+
+
+_COMPONENTS = f"with recursive e as (select a_id, b_id from {_LINKS} l), x as (select distinct a.corridor_id as id from corridors a join (select *, 0 as w, 0 as h from exits) b on a.plan_id = b.plan_id and {_GAP2} < 250000), r(id, root) as (select corridor_id, corridor_id from corridors union select e.b_id, r.root from r join e on e.a_id = r.id where r.root < e.b_id), c as (select id, min(root) as component from r group by id)"
+
+
+def _corridor_components(v):
+    nodes = v.corridors.select(F.col("corridor_id").alias("id"))
+    return graph.components(nodes, _links(v).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+
+
+@query("R1_corridor_components", _COMPONENTS + " select id as corridor_id, component from c")
+def r1(v):
+    return _corridor_components(v).select(F.col("id").alias("corridor_id"), "component")
+
+
+def _with_exit(v):
+    """Corridors less than 5 m from an exit of their plan."""
+    pairs = spatial.within(v.corridors, spatial.points(v.exits), ["plan_id"], 500)
+    return pairs.select(F.col("a.corridor_id").alias("id")).distinct()
+
+
+@query("R2_unreachable_corridors", _COMPONENTS + " select k.plan_id, k.corridor_id from corridors k join c on c.id = k.corridor_id where c.component not in (select c.component from c join x using (id))")
+def r2(v):
+    """Corridors whose component has no exit near; plans without exits have none reachable."""
+    found = _corridor_components(v)
+    reached = found.join(_with_exit(v), "id").select("component").distinct()
+    return found.join(reached, "component", "left_anti").join(v.corridors.select(F.col("corridor_id").alias("id"), "plan_id"), "id").select("plan_id", F.col("id").alias("corridor_id"))
+
+
+@query("R3_connectivity_report", _COMPONENTS + ", g as (select distinct c.component from c join x using (id)) select k.plan_id, count(distinct c.component) as components, count(*) as corridors, count(*) filter (g.component is null) as unreachable, count(distinct c.component) = 1 as connected from corridors k join c on c.id = k.corridor_id left join g using (component) group by k.plan_id")
+def r3(v):
+    found = _corridor_components(v).join(v.corridors.select(F.col("corridor_id").alias("id"), "plan_id"), "id")
+    reached = found.join(_with_exit(v), "id").select("component").distinct().withColumn("ok", F.lit(1))
+    j = found.join(reached, "component", "left")
+    return j.groupBy("plan_id").agg(F.countDistinct("component").alias("components"), F.count(F.lit(1)).alias("corridors"), F.count(F.when(F.col("ok").isNull(), 1)).alias("unreachable")).withColumn("connected", F.col("components") == 1)
+
+
+@query("R8_kept_components", _COMPONENTS + " select k.plan_id, c.component, cast(sum(greatest(k.w, k.h)) as bigint) as length, count(*) as corridors, max(case when x.id is null then 0 else 1 end) as has_exit from corridors k join c on c.id = k.corridor_id left join x on x.id = c.id group by k.plan_id, c.component having max(case when x.id is null then 0 else 1 end) = 1 or sum(greatest(k.w, k.h)) >= 2000")
+def r8(v):
+    """Components with an exit near, or 20 m of corridor."""
+    found = _corridor_components(v).join(v.corridors.select(F.col("corridor_id").alias("id"), "plan_id", F.greatest("w", "h").alias("length")), "id")
+    exits = _with_exit(v).withColumn("has_exit", F.lit(1))
+    by = found.join(exits, "id", "left").groupBy("plan_id", "component").agg(F.sum("length").alias("length"), F.count(F.lit(1)).alias("corridors"), F.max(F.coalesce("has_exit", F.lit(0))).alias("has_exit"))
+    return by.where("has_exit = 1 or length >= 2000")
+
+
+@query("R5_path_costs")
+def r5(v):
+    """Least cost from the corridors near an exit, over links that cost the mean of both lengths."""
+    length = v.corridors.select(F.col("corridor_id").alias("id"), F.greatest("w", "h").alias("length"))
+    e = _links(v).join(length.withColumnRenamed("id", "a_id").withColumnRenamed("length", "la"), "a_id").join(length.withColumnRenamed("id", "b_id").withColumnRenamed("length", "lb"), "b_id")
+    found = graph.distances(_with_exit(v), e.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), ((F.col("la") + F.col("lb")) / 2).alias("cost")))
+    return found.select(F.col("id").alias("corridor_id"), F.round("cost", 4).alias("cost"))
+
+
+@query("R7_level_hops", f"""with recursive e as (select distinct plan_id, level_a as a, level_a + 1 as b from {_PAIRS} p), n as (select distinct plan_id, floor_level as l from connectors),
+  r(plan_id, src, l, hops) as (select plan_id, l, l, 0 from n union select r.plan_id, r.src, case when e.a = r.l then e.b else e.a end, r.hops + 1 from r join e on e.plan_id = r.plan_id and (e.a = r.l or e.b = r.l) where r.hops < 4)
+  select plan_id, src as from_level, l as to_level, min(hops) as hops from r where src < l group by all""")
+def r7(v):
+    """Levels reachable from each level over vertical links: levels are few, so links form a chain and hops are differences in runs."""
+    up = _vertical(v).select("plan_id", F.col("floor_level").alias("a"), (F.col("floor_level") + 1).alias("b")).distinct()
+    out = reach = up.select("plan_id", F.col("a").alias("from_level"), F.col("b").alias("to_level"), F.lit(1).alias("hops"))
+    for _ in range(2):
+        reach = reach.join(up.select("plan_id", F.col("a").alias("to_level"), "b"), ["plan_id", "to_level"]).select("plan_id", "from_level", F.col("b").alias("to_level"), (F.col("hops") + 1).alias("hops"))
+        out = out.union(reach)
+    return out.groupBy("plan_id", "from_level", "to_level").agg(F.min("hops").alias("hops"))
+
+
+@query("W14_conflict_free_boxes")
+def w14(v):
+    """Boxes kept by a scan in id order that drops overlaps."""
+    pairs = spatial.overlapping(v.boxes, ["plan_id", "floor_level"]).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    return graph.kept_in_order(v.boxes.select(F.col("box_id").alias("id"), F.col("box_id").alias("place")), pairs).select(F.col("id").alias("box_id"))
+
+
+_ENDS = "(select plan_id, wall_id, 0 as e, x1 as x, y1 as y from walls union all select plan_id, wall_id, 1, x2, y2 from walls)"
+
+
+@query("J12_wall_ends", f"""with p as (select a.wall_id, a.e, min(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) as d2 from {_ENDS} a join {_ENDS} b on a.plan_id = b.plan_id and a.wall_id <> b.wall_id and pow(a.x - b.x, 2) + pow(a.y - b.y, 2) < 62500 group by all)
+  select a.plan_id, a.wall_id, a.e, case when d2 <= 225 then 'connected' when d2 is not null then 'gap' else 'open' end as state, round(sqrt(d2), 4) as distance from {_ENDS} a left join p using (wall_id, e)""")
+def j12(v):
+    """Each wall end: connected to another wall's end (15 cm), across a gap (2.5 m), or open."""
+    ends = spatial.points(v.walls.select("plan_id", "wall_id", F.explode(F.array(F.struct(F.lit(0).alias("e"), F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.lit(1).alias("e"), F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("s")).select("plan_id", "wall_id", "s.*"))
+    pairs = spatial.within(ends, ends, ["plan_id"], 250, F.col("a.wall_id") != F.col("b.wall_id"))
+    near = pairs.groupBy(F.col("a.wall_id").alias("wall_id"), F.col("a.e").alias("e")).agg(F.min(geometry.gap_squared("a", "b")).alias("d2"))
+    state = F.when(F.col("d2") <= 225, "connected").when(F.col("d2").isNotNull(), "gap").otherwise("open")
+    return ends.join(near, ["wall_id", "e"], "left").select("plan_id", "wall_id", "e", state.alias("state"), F.round(F.sqrt("d2"), 4).alias("distance"))
+
+
+@query("P25_exit_widths", "select plan_id, exit_id, width, width >= 90 as accessible from (select plan_id, exit_id, case exit_id when 0 then 70 when 1 then 90 + x % 40 else 85 + y % 20 end as width from exits) t")
+def p25(v):
+    width = F.when(F.col("exit_id") == 0, 70).when(F.col("exit_id") == 1, 90 + F.col("x") % 40).otherwise(85 + F.col("y") % 20)
+    return v.exits.select("plan_id", "exit_id", width.alias("width"), (width >= 90).alias("accessible"))
+
+
+@query("C11_corridor_class", f"""with x as (select distinct a.corridor_id from corridors a join (select *, 0 as w, 0 as h from exits) b on a.plan_id = b.plan_id and {_GAP2} < 250000), n as (select distinct a.corridor_id from corridors a join boxes b on a.plan_id = b.plan_id and {_GAP2} < 40000)
+  select c.plan_id, c.corridor_id, case when x.corridor_id is not null then 'main' when n.corridor_id is not null then 'access' else 'connecting' end as class from corridors c left join x using (corridor_id) left join n using (corridor_id)""")
+def c11(v):
+    one = lambda df, name: df.select(F.col("a.corridor_id").alias("corridor_id")).distinct().withColumn(name, F.lit(1))
+    x = one(spatial.within(v.corridors, spatial.points(v.exits), ["plan_id"], 500), "at_exit")
+    n = one(spatial.within(v.corridors, v.boxes, ["plan_id"], 200), "at_box")
+    j = v.corridors.join(x, "corridor_id", "left").join(n, "corridor_id", "left")
+    return j.select("plan_id", "corridor_id", F.when(F.col("at_exit") == 1, "main").when(F.col("at_box") == 1, "access").otherwise("connecting").alias("class"))

@@ -44,9 +44,9 @@ def j3(v):
 _NEAR = "(select b.*, n.exit_id, n.d as distance from boxes b left join (select box_id, arg_min(exit_id, d * 1000000000 + exit_id) as exit_id, min(sqrt(d)) as d from (select b.box_id, e.exit_id, pow(e.x - (b.x + b.w / 2.0), 2) + pow(e.y - (b.y + b.h / 2.0), 2) as d from boxes b join exits e using (plan_id)) t group by box_id) n using (box_id))"
 
 
-@query("J5_nearest_exit", f"select plan_id, box_id, exit_id, round(distance, 4) as distance from {_NEAR} t")
+@query("J5_nearest_exit", f"select plan_id, box_id, coalesce(exit_id, -1) as exit_id, round(distance, 4) as distance from {_NEAR} t")
 def j5(v):
-    return spatial.nearest_exit(v.boxes, v.exits).select("plan_id", "box_id", "exit_id", F.round("distance", 4).alias("distance"))
+    return spatial.nearest_exit(v.boxes, v.exits).select("plan_id", "box_id", F.coalesce("exit_id", F.lit(-1)).alias("exit_id"), F.round("distance", 4).alias("distance"))
 
 
 @query("J6_box_exit_close", f"select a.plan_id, a.box_id, b.exit_id, round(sqrt({_GAP2}), 4) as distance from boxes a join (select *, 0 as w, 0 as h from exits) b on a.plan_id = b.plan_id and {_GAP2} < 10000")

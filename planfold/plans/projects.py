@@ -1 +1,75 @@
-"""Registered queries."""
+"""Queries on project versions, upserts, webhook events and jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from planfold.catalog import query
+from planfold.streaming import events as streams
+
+
+@query("W11_latest_versions", "select project_id, version_key, status, n from (select *, row_number() over (partition by project_id order by updated_at desc, version_key desc) as rn, count(*) over (partition by project_id) as n from versions) t where rn = 1")
+def w11(v):
+    latest = F.max(F.struct("updated_at", "version_key", "status")).alias("m")
+    return v.versions.groupBy("project_id").agg(latest, F.count(F.lit(1)).alias("n")).select("project_id", "m.version_key", "m.status", "n")
+
+
+@query("S5_version_numbers", "select project_id, version_key, round(1.0 + 0.1 * (row_number() over (partition by project_id order by updated_at, version_key) - 1), 1)::double as version, min(updated_at) over (partition by project_id) as created_at from versions")
+def s5(v):
+    """Each save adds 0.1 and keeps the time of creation."""
+    w = Window.partitionBy("project_id")
+    n = F.row_number().over(w.orderBy("updated_at", "version_key"))
+    return v.versions.select("project_id", "version_key", F.round(1 + 0.1 * (n - 1), 1).alias("version"), F.min("updated_at").over(w).alias("created_at"))
+
+
+@query("S6_upserted_metadata", "select project_id, arg_max(version_key, (epoch_us(updated_at), version_key)) as version_key, count(distinct status) as statuses, string_agg(distinct status, ',' order by status) as seen from versions group by project_id")
+def s6(v):
+    """The last write of a key wins; metadata of all writes is merged."""
+    g = v.versions.groupBy("project_id")
+    return g.agg(F.max(F.struct("updated_at", "version_key"))["version_key"].alias("version_key"), F.countDistinct("status").alias("statuses"), F.array_join(F.array_sort(F.collect_set("status")), ",").alias("seen"))
+
+
+@query("T1_projects_by_update", "select project_id, updated_at, row_number() over (order by updated_at desc, project_id) as place from (select project_id, max(updated_at) as updated_at from versions group by project_id) t order by place limit 100")
+def t1(v):
+    top = v.versions.groupBy("project_id").agg(F.max("updated_at").alias("updated_at")).orderBy(F.desc("updated_at"), "project_id").limit(100)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("updated_at"), "project_id")).cast("long"))  # of 100 rows
+
+
+@query("T4_oldest_pending", "select event_id, ts, user_id from (select distinct event_id, ts, user_id, event_type from webhook_events) t where event_type = 'view' order by ts, event_id limit 50")
+def t4(v):
+    return v.webhook_events.where("event_type = 'view'").select("event_id", "ts", "user_id").distinct().orderBy("ts", "event_id").limit(50)
+
+
+@query("X1_deduplicated_events", "select event_id, user_id, event_type from (select *, row_number() over (partition by event_id order by ts) as rn from webhook_events where event_type <> 'view' and user_id is not null) t where rn = 1")
+def x1(v):
+    """Batch twin of the stream: ready events of a plan, each id once."""
+    e = v.webhook_events.select("event_id", "ts", "user_id", "event_type", F.when(F.col("event_type") != "view", "success").alias("status"), F.col("user_id").alias("plan_id"))
+    return streams.deduplicated(e).select("event_id", "user_id", "event_type")
+
+
+@query("X3_job_states", "select user_id as job_id, arg_max(event_type, (epoch_us(ts), event_id)) as state, count(*) as attempts, count(*) filter (event_type = 'purchase') as failures from events group by user_id")
+def x3(v):
+    e = v.raw("events").select(F.col("user_id").alias("job_id"), "event_type", F.struct("ts", "event_id").alias("at"))
+    return e.groupBy("job_id").agg(F.max_by("event_type", "at").alias("state"), F.count(F.lit(1)).alias("attempts"), F.count(F.when(F.col("event_type") == "purchase", 1)).alias("failures"))
+
+
+@query("A25_run_summary", "select event_type, round(avg(value), 4) as mean, min(value) as low, max(value) as high, count(*) as n from events group by event_type")
+def a25(v):
+    return v.raw("events").groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), F.count(F.lit(1)).alias("n"))
+
+
+@query("A23_best_version", "select project_id, version_key, score from (select *, (version_key * 7919) % 1000 as score, row_number() over (partition by project_id order by (version_key * 7919) % 1000 desc, version_key) as rn from versions) t where rn = 1")
+def a23(v):
+    """The best-scored layout version of each project; ties go to the smaller key."""
+    score = (F.col("version_key") * 7919) % 1000
+    best = v.versions.groupBy("project_id").agg(F.max(F.struct(score.alias("score"), (-F.col("version_key")).alias("k"))).alias("m"))
+    return best.select("project_id", (-F.col("m.k")).alias("version_key"), "m.score")
+
+
+@query("S9_building_documents", "select building_id, count(*) as plans, string_agg(plan_id, ',' order by plan_id) as plan_ids from plans group by building_id")
+def s9(v):
+    """One nested JSON document for each building, read back."""
+    docs = v.plans.groupBy("building_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("plan_id", "max_x", "max_y"))).alias("plans"))).alias("document"))
+    parsed = docs.select("building_id", F.from_json("document", "plans array<struct<plan_id: long, max_x: int, max_y: int>>").alias("d"))
+    return parsed.select("building_id", F.size("d.plans").cast("long").alias("plans"), F.array_join(F.col("d.plans.plan_id").cast("array<string>"), ",").alias("plan_ids"))
