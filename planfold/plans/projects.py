@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from planfold.catalog import query
+from planfold.operators.graph import shared_folder as _folder
+from planfold.sources import files
 from planfold.streaming import events as streams
 
 
@@ -73,3 +75,33 @@ def s9(v):
     docs = v.plans.groupBy("building_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("plan_id", "max_x", "max_y"))).alias("plans"))).alias("document"))
     parsed = docs.select("building_id", F.from_json("document", "plans array<struct<plan_id: long, max_x: int, max_y: int>>").alias("d"))
     return parsed.select("building_id", F.size("d.plans").cast("long").alias("plans"), F.array_join(F.col("d.plans.plan_id").cast("array<string>"), ",").alias("plan_ids"))
+
+
+@query("S7_box_list", "select plan_id, count(*) as n, cast(sum(cast(w as bigint) * h) as bigint) as area, min(box_id) as first_id from boxes where floor_level = 0 group by plan_id")
+def s7(v):
+    """Box lists of the ground floors written as CSV, a folder for each plan, and read back."""
+    path = _folder(v.spark)
+    files.write_box_list(v.boxes.where("floor_level = 0").withColumn("area", F.col("w").cast("long") * F.col("h")), path)
+    return files.read_box_list(v.spark, path).groupBy("plan_id").agg(F.count(F.lit(1)).alias("n"), F.sum("area").alias("area"), F.min("box_id").alias("first_id"))
+
+
+@query("S1_mix_csv", "select type as typologie, cast(target_area_cm2 // 10000 as bigint)::varchar as surface_cible, tolerance, priority as priorite, count(*) as n from unit_mix group by all")
+def s1(v):
+    """Unit mixes written as CSV files under other headers, and read back by header aliases."""
+    path = _folder(v.spark)
+    v.unit_mix.select(F.col("type").alias("Type"), F.floor(F.col("target_area_cm2") / 10000).alias("AREA"), F.col("tolerance").alias("Tolerance"), F.col("priority").alias("PRIORITY")).write.option("header", True).csv(path)
+    return files.read_mix_csv(v.spark, path).groupBy("typologie", "surface_cible", "tolerance", "priorite").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("S4_plan_documents", "select cast(plan_id as varchar) as plan_id, wall_id::varchar as wall_id, x1::double as x1, y1::double as y1, x2::double as x2, y2::double as y2 from walls")
+def s4(v):
+    """Walls written as JSON documents of plans, in three spellings, and normalised again."""
+    path = _folder(v.spark)
+    d = lambda c: F.col(c).cast("double")
+    start, end = F.struct(d("x1").alias("x"), d("y1").alias("y")), F.struct(d("x2").alias("x"), d("y2").alias("y"))
+    ring = F.array(F.array(d("x1"), d("y1")), F.array(d("x2"), d("y2")))
+    kind = F.col("wall_id") % 3
+    wall = F.struct(F.col("wall_id").cast("string").alias("id"), F.when(kind == 0, start).alias("start"), F.when(kind == 0, end).alias("end"), F.when(kind == 1, ring).alias("polygon"), *(F.when(kind == 2, d(c)).alias(c) for c in ("x1", "y1", "x2", "y2")))
+    docs = v.walls.groupBy(F.col("plan_id").cast("string").alias("urn")).agg(F.collect_list(wall).alias("walls"))
+    docs.write.json(path)
+    return files.read_plan_documents(v.spark, path)[1]
