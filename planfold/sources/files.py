@@ -93,8 +93,7 @@ def save_version(versions: DataFrame, changes: DataFrame) -> DataFrame:
 
 def upserted(table: DataFrame, changes: DataFrame) -> DataFrame:
     """table and changes(key, updated_at, metadata map): the later write wins, metadata is merged with later values on top."""
-    merged = table.unionByName(changes)
-    entries = F.sort_array(F.collect_list(F.struct("updated_at", "metadata")))
-    fold = lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: ~F.map_contains_key(e["metadata"], k)), e["metadata"])
-    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    return merged.where("metadata is not null").groupBy("key").agg(F.max("updated_at").alias("updated_at"), F.aggregate(entries, none, fold).alias("metadata"))
+    entries = table.unionByName(changes).select("key", "updated_at", F.explode_outer("metadata").alias("name", "value"))
+    last = entries.groupBy("key", "name").agg(F.max_by("value", "updated_at").alias("value"), F.max("updated_at").alias("updated_at"))
+    pairs = F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "value")))
+    return last.groupBy("key").agg(F.max("updated_at").alias("updated_at"), F.map_from_entries(pairs).alias("metadata"))
