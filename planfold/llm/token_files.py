@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Ids in a block, about; a document is never split.
 BLOCK_IDS = 1 << 18
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers, twice: the words since the last turn and those of the turn before.
+REMEMBERED = 300_000
 #: Data bytes of the four ids that a control byte describes.
 LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
 _NO_ID = -(2**63)
@@ -48,6 +49,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.before: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -55,6 +57,10 @@ class WordIds(dict):
         self.byte_names = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.before.get(word) or self._new(word)
+        return found
+
+    def _new(self, word: str) -> bytes:
         head = word[:-1]
         if word.isalpha() and max(word) < "ɐ":
             low = word.lower()
@@ -62,21 +68,21 @@ class WordIds(dict):
                 found = self[low]
             elif low == word:
                 name = low.encode().decode("latin-1").translate(self.byte_names)
-                found = np.array([t.id for t in self.tokenizer.model.tokenize(name)], "<u4").tobytes()
+                found = array("I", [t.id for t in self.tokenizer.model.tokenize(name)]).tobytes()
             else:
                 found = self._whole(word)
         elif word[-1:] in (".", ",") and head.isalpha() and max(head) < "ɐ":
             found = self[head] + self[word[-1]]
         else:
             found = self._whole(word)
-        self[word] = found
         return found
 
     def _whole(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> bytes:
         if len(self) > REMEMBERED:
+            self.before = dict(self)
             self.clear()
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         return b"".join(map(self.__getitem__, filter(None, words)))
