@@ -4,10 +4,10 @@ and the survivors are confirmed on their full shingle sets.
 Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z; a document's set holds its distinct five-word shingles (fewer words: the whole
 sequence as one). Documents are linked when 100 * |A n B| >= 75 * |A u B|.
 
-Copies never meet in pairs: documents with equal sets form a class, whose smallest doc_id stands for it. Between classes, every
-bucket links its members to its smallest and its largest member only; buckets that still hold several components afterwards
-compare, in full, the members outside the component of the smallest one with all the others. A pair that shares no band is
-missed with probability (1 - s**ROWS)**BANDS, 5e-6 at s = 0.75.
+Copies never meet in pairs: documents with equal sets form a class, whose smallest doc_id stands for it. Between classes, a document
+is compared with the most central one of its buckets (that shares the most buckets with others); then, in buckets that still hold
+several components, with their smallest and largest member; then the members outside the component of the smallest one with all members of other components. A pair that shares no band is
+missed with probability (1 - s**BAND_ROWS)**BANDS, 5e-6 at s = 0.75.
 
 Defined results: null or empty text, or one without words: n_shingles 0, alone, kept. Rows that repeat a doc_id are one document
 whose links are the union of theirs. Extra columns are ignored by near_duplicates() and kept by drop_near_duplicates()."""
@@ -22,16 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planfold.llm.common import LOWER, map_texts, raw_texts, table, written
+from planfold.llm.common import BROADCAST_IDS, LOWER, cut, map_texts, raw_texts, table, without, written
 from planfold.llm.graph import components
 
 SHINGLE, PERCENT = 5, 75
-BANDS, ROWS = 32, 4
-HASHES = BANDS * ROWS
+BANDS, BAND_ROWS = 32, 4
+HASHES = BANDS * BAND_ROWS
 #: Signature bits kept of each hash for the Bayesian comparison, and hashes compared in a batch.
 BITS, BATCH = 4, 32
 #: Chance at which a candidate may be given up though it is similar enough.
 MISS = 1e-6
+#: Rounds of comparisons with the ends of buckets, and pairs a document from which a round takes one for each.
+ROUNDS, MANY = 8, 8
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -89,7 +91,7 @@ def signature(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         np.minimum(low, (a[:, None] * h[None, i : i + 1024] + b[:, None]).min(axis=1), out=low)
     low = _mixed(low)
     bucket = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in low.reshape(BANDS, ROWS).T:
+    for column in low.reshape(BANDS, BAND_ROWS).T:
         bucket = _mixed(bucket * np.uint64(0x9E3779B97F4A7C15) + column)
     per = 64 // BITS
     nibbles = (low & np.uint64(2**BITS - 1)).reshape(-1, per) << (np.arange(per, dtype=np.uint64) * np.uint64(BITS))
@@ -140,26 +142,44 @@ def least_matches() -> list[int]:
     return found
 
 
-def _may_link(a: str, b: str) -> str:
-    """SQL condition on two rows with n_shingles and codes: sizes allow the threshold, and no batch of the signature rules it out."""
+def _may_link(a: str, b: str, last_only: bool = False) -> str:
+    """SQL condition on two rows with n_shingles and the codes as columns c0, c1, ...: sizes allow the threshold, and no batch of the signature rules it out (last_only: the whole signature doesn't)."""
     per, said = 64 // BITS, [f"100 * least({a}.n_shingles, {b}.n_shingles) >= {PERCENT} * greatest({a}.n_shingles, {b}.n_shingles)"]
     differ = []
     for i in range(HASHES // per):
-        x = f"({a}.codes[{i}] ^ {b}.codes[{i}])"
+        x = f"({a}.c{i} ^ {b}.c{i})"
         pairs = f"({x} | shiftrightunsigned({x}, 1))"
         differ.append(f"bit_count(({pairs} | shiftrightunsigned({pairs}, 2)) & 1229782938247303441L)")
-    for k, least in enumerate(least_matches(), 1):
+    for k, least in list(enumerate(least_matches(), 1))[-1 if last_only else 0 :]:
         said.append(f"{k * BATCH} - ({' + '.join(differ[: k * BATCH // per])}) >= {least}")
     return " and ".join(said)
 
 
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, shingles) of the documents in ids(doc_id). The ids are counted and, up to BROADCAST_IDS of them, sent to the scan;
+    beyond, the texts are joined by a shuffle."""
+    needed = cut(ids.distinct())
+    needed = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed.hint("merge")
+    return map_texts(docs.join(needed, "doc_id", "left_semi"), ["doc_id", "text"], "node long, shingles array<long>", _sets)
+
+
+#: SQL: are the sets of rows x and y similar enough? 100 * c >= PERCENT * (|x| + |y| - c), with c common shingles.
+_SIMILAR = f"{100 + PERCENT} * size(array_intersect(x.shingles, y.shingles)) >= {PERCENT} * (size(x.shingles) + size(y.shingles))"
+
+
 def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs(a, b) whose full sets are similar enough. Only documents in a pair are shingled again."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = map_texts(docs.join(needed, "doc_id", "left_semi"), ["doc_id", "text"], "node long, shingles array<long>", _sets)
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb") - common).alias("u")).where(f"100 * c >= {PERCENT} * u").select("a", "b").distinct()
+    sets = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.struct("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.struct("shingles").alias("y")), "b")
+    return both.where(_SIMILAR).select("a", "b").distinct()
+
+
+def _open_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members, with their components, of the buckets that still hold several; first and last: the components of low and high."""
+    placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ends = [F.max(F.when(F.col("node") == F.col(x), F.col("component"))).alias(y) for x, y in (("low", "first"), ("high", "last"))]
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), *ends).where("least < most").drop("least", "most")
+    return placed.join(mixed, "bucket")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -170,38 +190,71 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
     nodes = written(full.join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "codes", "buckets"))
     dealt = nodes.select("node", F.explode("buckets").alias("bucket"))
-    shared = dealt.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    shared = dealt.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
     members = written(dealt.join(shared, "bucket"))
-    stars = members.select(F.explode(F.expr("array(struct(low as a, node as b), struct(node as a, high as b))")).alias("p")).select("p.*").where("a < b").distinct()
-    codes = nodes.select("node", "n_shingles", "codes")
-
-    def kept_by_signature(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(codes.select(F.col("node").alias("a"), F.struct("n_shingles", "codes").alias("x")), "a")
-        return left.join(codes.select(F.col("node").alias("b"), F.struct("n_shingles", "codes").alias("y")), "b").where(F.expr(_may_link("x", "y"))).select("a", "b")
-
-    links = written(_confirmed(docs, written(kept_by_signature(stars))))
-    found = components(links)
-    # Buckets of three or more documents that hold several components: what the stars didn't compare is compared now.
-    placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("n")).where("n > 2 and least < most").select("bucket")
-    open_ = written(placed.join(mixed, "bucket").join(codes, "node"))
-    first = open_.where("node = low").select("bucket", F.col("component").alias("first"))
-    apart = open_.join(first, "bucket").where("component <> first and node <> low")
-    rest = written(apart.alias("x").join(open_.alias("y"), F.expr(f"x.bucket = y.bucket and x.component <> y.component and y.node <> y.low and x.node <> x.high and y.node <> y.high and (y.component = x.first or x.node < y.node) and {_may_link('x', 'y')}")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
-    if not rest.isEmpty():
-        more = written(_confirmed(docs, rest))
-        if not more.isEmpty():
-            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    # longs of their own, as tests read them often
+    code_columns = [F.col("codes")[i].alias(f"c{i}") for i in range(HASHES * BITS // 64)]
+    codes = nodes.select("node", F.struct("n_shingles", *code_columns).alias("code"))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Links among pairs(a, b): first by signature batches, then on full sets."""
+        left = pairs.join(codes.select(F.col("node").alias("a"), F.col("code").alias("x")), "a")
+        likely = left.join(codes.select(F.col("node").alias("b"), F.col("code").alias("y")), "b").where(F.expr(_may_link("x", "y"))).select("a", "b")
+        return written(_confirmed(docs, written(likely)))
+
+    # 1. Each document with the most central one of its buckets: one pair a document gathers groups of any size.
+    central = members.groupBy("node").agg(F.sum("n").alias("degree"))
+    hubs = members.join(central, "node").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("k"))).alias("hub"))
+    nearest = members.join(hubs, "bucket").where("node <> -hub.k").groupBy("node").agg((-F.max("hub")["k"]).alias("hub"))
+    tried = cut(nearest.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
+    found = components(compared(tried))
+    # 2. In buckets that still hold several components, their smallest and their largest member with all outside its component: one
+    #    pair a document and round while there are many, so that what a round joins needs no more pairs; then all of them.
+    ends = "filter(array(struct(least(low, node) as a, greatest(low, node) as b, first as c), struct(least(high, node) as a, greatest(high, node) as b, last as c)), p -> p.a < p.b and p.c <> component)"
+    for round_ in range(ROUNDS):
+        stars = _open_buckets(members, found).select("node", F.inline(F.expr(ends))).select("node", "a", "b").distinct()
+        stars = cut(stars.join(tried, ["a", "b"], "left_anti"))
+        n, nodes_left = stars.agg(F.count(F.lit(1)), F.approx_count_distinct("node")).first()
+        if not n:
+            break
+        many = n > MANY * nodes_left and round_ < ROUNDS - 1
+        batch = stars.groupBy("node").agg(F.min(F.struct(F.xxhash64("a", "b"), "a", "b")).alias("p")).select("p.a", "p.b") if many else stars.select("a", "b")
+        batch = cut(batch.distinct())
+        found, tried = _joined(found, compared(batch)), tried.union(batch)
+        if not many:
+            break
+    # 3. What the ends left: members outside the first component with members of all other components. Such pairs can be many and
+    #    links few, so pairs are never rows: first each member looks whether its bucket has a partner that the signature allows, then
+    #    only those members get their sets, and the join itself tests these. A pair is tested in the first bucket it shares.
+    open_ = _open_buckets(members, found).where("n > 2 and node <> low and node <> high").select("bucket", "node", "component", "first")
+    open_ = written(open_.join(nodes, "node").select("bucket", "node", "component", "first", "n_shingles", "buckets", F.array_position("buckets", F.col("bucket")).alias("band"), *code_columns))
+    alone = open_.where("component <> first")
+    apart = "x.bucket = y.bucket and x.component <> y.component and (y.component = x.first or x.node < y.node)"
+    test = F.expr(f"{apart} and {_may_link('x', 'y')}")
+    near = alone.alias("x").join(open_.alias("y"), test, "left_semi").union(open_.alias("y").join(alone.alias("x"), test, "left_semi"))
+    near = cut(near.select("bucket", "node").distinct())
+    if not near.isEmpty():
+        sets = written(_sets_of(docs, near.select(F.col("node").alias("doc_id"))))
+        full = open_.join(near, ["bucket", "node"]).join(sets, "node")
+        # short, as the JVM compiles no long methods: the whole signature at once, the first shared band, the sets
+        once = "array_position(zip_with(x.buckets, y.buckets, (p, q) -> p = q), true) = x.band"
+        full_test = F.expr(f"{apart} and {_may_link('x', 'y', last_only=True)} and {once} and {_SIMILAR}")
+        links = full.where("component <> first").alias("x").join(full.alias("y"), full_test).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        found = _joined(found, written(links.distinct()))
     places = classes.join(found, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "k1", "k2").join(places, ["k1", "k2"], "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links."""
+    return found if links.isEmpty() else components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one document of each group: the one with the smallest doc_id. Rows without doc_id stay."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, near_duplicates(docs).where("not kept"))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
