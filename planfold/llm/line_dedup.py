@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from planfold.llm.common import LOWER_AZ, UPPER_AZ, table, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
-_KEY = f"translate(trim(both ' \\t\\n\\u000b\\f\\r' from l), '{UPPER_AZ}', '{LOWER_AZ}')"
+_KEY = f"translate(trim(both ' \\t\\n\\u000b\\u000c\\r' from l), '{UPPER_AZ}', '{LOWER_AZ}')"
 
 
 def deduplicated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -117,6 +117,17 @@ def test_line_dedup(documents):
     assert line_dedup.deduplicated_lines(documents([])).count() == 0
 
 
+def test_line_dedup_of_form_feeds_and_the_letter_f(documents):
+    first, last = "from the river to the sea and back home,", "the sea and the house that it is made of"
+    assert len(first) == len(last) == 40
+    bare = "the words alone are long enough to be counted"
+    rows = [(i, f"{first}\n{last}\n\f{bare} \f" if i % 2 else f"{first}\n{last}\n{bare}") for i in range(6)]
+    rows += [(10 + i, f"f{bare}f" if i < 3 else f"ff{bare}") for i in range(6)]
+    got = [tuple(r) for r in line_dedup.deduplicated_lines(documents(rows)).collect()]
+    assert sorted(got) == sorted(plain_lines(rows))
+    assert {d: n for d, _, n, _ in got} == {**dict.fromkeys(range(5), 3), 5: 0, **dict.fromkeys(range(10, 16), 0)}
+
+
 def plain_contamination(text, items):
     words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower_az(t or ""))
     w, hit, found = words(text), set(), set()
