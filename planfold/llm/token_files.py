@@ -36,6 +36,10 @@ REMEMBERED = 300_000
 #: Data bytes of the four ids that a control byte describes.
 LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
 _NO_ID = -(2**63)
+BLOCKS = "part int, block long, doc_ids array<long>, counts array<long>, ids binary"
+#: Rows of the table of ids hold about 1 MB: pages and row groups are measured after each, and few rows go to a Python worker at once.
+SMALL_GROUPS = {"parquet.block.size": str(32 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
+BLOCKS_AT_ONCE = 8
 
 
 class WordIds(dict):
@@ -98,18 +102,36 @@ def _tokenizer_path(name: str) -> str:
 
 
 def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, part, ids): ids as u32 bytes with the end id, in ascending doc_id order, range-partitioned by it."""
+    """(part, block, doc_ids, counts, ids): a row for each block of documents in ascending doc_id order, range-partitioned by it; ids
+    as u32 bytes with the end ids, counts of them by document. Blocks are numbered by the task that makes the whole part, and a row
+    is never split, so later reads may deal out the rows in any way."""
     end = struct.pack("<I", end_id)
 
-    def each(batch: pa.RecordBatch):
+    def each(batches):
         encode = _workers.get(tokenizer)
         if encode is None:
             encode = _workers[tokenizer] = WordIds(_tokenizer_path(tokenizer))
-        ids = [encode.ids(t or "") + end for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), pa.array(ids, pa.large_binary() if sum(map(len, ids)) > 2**30 else pa.binary())], names=["doc_id", "part", "ids"])
+        doc_ids, ids, part, number, size = [], [], None, 0, 0
+
+        def out():
+            columns = [pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([[len(x) // 4 for x in ids]], pa.list_(pa.int64())), pa.array([b"".join(ids)], pa.large_binary() if size > 2**30 else pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "block", "doc_ids", "counts", "ids"])
+
+        for batch in batches:
+            for doc_id, p, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "text")), strict=True):
+                if ids and (p != part or size >= 4 * BLOCK_IDS):
+                    yield out()
+                    doc_ids, ids, size, number = [], [], 0, number + 1 if p == part else 0
+                part = p
+                doc_ids.append(doc_id)
+                ids.append(encode.ids(text or "") + end)
+                size += len(ids[-1])
+        if ids:
+            yield out()
 
     ordered = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
-    return map_texts(ordered.withColumn("part", F.spark_partition_id()), ["doc_id", "part", "text"], "doc_id long, part int, ids binary", each, 500)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    return ordered.withColumn("part", F.spark_partition_id()).select("doc_id", "part", "text").mapInArrow(each, BLOCKS)
 
 
 def id_ranks(ids: DataFrame) -> DataFrame:
@@ -120,7 +142,7 @@ def id_ranks(ids: DataFrame) -> DataFrame:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], names=["id", "n"])
 
-    counts = map_texts(ids, ["ids"], "id long, n long", count, 2000).groupBy("id").agg(F.sum("n").alias("n"))
+    counts = map_texts(ids, ["ids"], "id long, n long", count, BLOCKS_AT_ONCE).groupBy("id").agg(F.sum("n").alias("n"))
     ranked = sorted(counts.collect(), key=lambda r: (-r.n, r.id))
     return ids.sparkSession.createDataFrame([(k, r.id, r.n) for k, r in enumerate(ranked)], "rank long, id long, n long")
 
@@ -147,11 +169,11 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def block_of(doc_ids: list[int | None], ids: list[bytes], rank_of: np.ndarray) -> bytes:
-    flat = np.frombuffer(b"".join(ids), "<u4")
+def block_of(doc_ids: list[int | None], counts: list[int], ids: bytes, rank_of: np.ndarray) -> bytes:
+    flat = np.frombuffer(ids, "<u4")
     control, data = pack(rank_of[flat])
     numbers = np.array([_NO_ID if d is None else d for d in doc_ids], "<i8")
-    return b"".join([MAGIC, struct.pack("<IQ", len(ids), len(flat)), numbers.tobytes(), (np.array([len(x) for x in ids], np.int64) // 4).astype("<u4").tobytes(), control, data])
+    return b"".join([MAGIC, struct.pack("<IQ", len(counts), len(flat)), numbers.tobytes(), np.array(counts, "<u4").tobytes(), control, data])
 
 
 def read_block(block: bytes, id_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,35 +196,20 @@ def _array(ranks: DataFrame, key: str, value: str) -> np.ndarray:
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> None:
-    """Tokenises once into a compressed table that is already in order, counts ids, then writes blocks and ranks under path."""
+    """Tokenises once into a compressed table of blocks that is already in order, counts ids, then writes blocks and ranks under path."""
     spark = docs.sparkSession
     ids_path = f"{path}/ids"
-    tokenised(docs, tokenizer, end_id).write.option("compression", "zstd").parquet(ids_path)
-    ids = spark.read.schema("doc_id long, part int, ids binary").parquet(ids_path)
+    tokenised(docs, tokenizer, end_id).write.options(**SMALL_GROUPS).option("compression", "zstd").parquet(ids_path)
+    ids = spark.read.schema(BLOCKS).parquet(ids_path)
     ranks = id_ranks(ids)
     ranks.coalesce(1).write.parquet(f"{path}/ranks")
     rank_of = _array(ranks, "id", "rank")
 
-    def blocks(batches):
-        held: tuple[list, list] = ([], [])
-        part, number, size = None, 0, 0
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([held[0][0]], pa.int64()), pa.array([size // 4], pa.int64()), pa.array([block_of(*held, rank_of)], pa.binary())], names=["part", "block", "first_doc_id", "n_ids", "data"])
-
-        for batch in batches:
-            for doc_id, p, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "ids")), strict=True):
-                if held[1] and (p != part or size >= 4 * BLOCK_IDS):
-                    yield out()
-                    held, size, number = ([], []), 0, number + 1 if p == part else 0
-                part = p
-                held[0].append(doc_id)
-                held[1].append(b)
-                size += len(b)
-        if held[1]:
-            yield out()
+    def blocks(batch: pa.RecordBatch):
+        for part, number, doc_ids, counts, b in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "doc_ids", "counts", "ids")), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([doc_ids[0]], pa.int64()), pa.array([len(b) // 4], pa.int64()), pa.array([block_of(doc_ids, counts, b, rank_of)], pa.binary())], names=["part", "block", "first_doc_id", "n_ids", "data"])
 
-    ids.mapInArrow(blocks, "part int, block long, first_doc_id long, n_ids long, data binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
+    map_texts(ids, ids.columns, "part int, block long, first_doc_id long, n_ids long, data binary", blocks, BLOCKS_AT_ONCE).write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

@@ -178,6 +178,32 @@ def test_token_files(documents):
     assert token_files.encoded(documents([])).count() == 0
 
 
+def test_token_files_of_many_row_groups(documents, spark):
+    rng = np.random.RandomState(4)
+    rows = [(i, " ".join(f"w{x}" for x in rng.randint(0, 10**6, 400))) for i in range(300)]
+    small = {"parquet.block.size": "20000", "parquet.block.size.row.check.min": "1", "spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "1", "spark.sql.shuffle.partitions": "1"}
+    before, held, groups = {k: spark.conf.get(k, None) for k in small}, token_files.BLOCK_IDS, getattr(token_files, "SMALL_GROUPS", {}).copy()
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    token_files.BLOCK_IDS = 5000
+    getattr(token_files, "SMALL_GROUPS", {}).update({"parquet.block.size": "20000"})
+    try:
+        path = token_files.shared_folder(spark)
+        token_files.write_token_files(documents(rows), path)
+        assert spark.read.parquet(f"{path}/ids").rdd.getNumPartitions() > 3
+        got = token_files.read_token_files(spark, path).orderBy("start", "doc_id").collect()
+    finally:
+        token_files.BLOCK_IDS = held
+        getattr(token_files, "SMALL_GROUPS", {}).update(groups)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert [r.doc_id for r in got] == list(range(300))
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+
+
 def test_byte_code_round_trip():
     rng = np.random.RandomState(1)
     for n in (0, 1, 3, 4, 5, 1000):
