@@ -32,7 +32,9 @@ from planfold.llm.common import cut, map_texts, table
 MIN_IMPORTANCE, MIN_PAGES = 0.2, 8
 BROADCAST_PATHS = 200_000
 _TAG = re.compile(r"<!--|<!\[CDATA\[|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>")
-_ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Any attribute with its value, so that the names are read whole and nothing is looked for inside values.
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_KNOWN = frozenset("class id role itemprop hidden".split())
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp")}
 #: Fixed values of HTML: elements without an end tag, inline elements, elements that a new block closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -102,7 +104,7 @@ def parsed(html: str) -> Node:
                 if stack[i].tag in ("ul", "ol", "dl", "table", "select") or tag in ("td", "th") and stack[i].tag == "tr":
                     break
         rest = m[3] if m[2] else m[6]
-        attributes = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(rest)} if rest and not rest.isspace() else {}
+        attributes = {name: a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(rest) if (name := k.lower()) in _KNOWN} if rest and not rest.isspace() else {}
         sign = f"{tag}.{attributes.get('class', '')}#{attributes.get('id', '')}"
         node = Node(tag, attributes, crc32(sign.encode("utf-8", "replace"), stack[-1].path))
         stack[-1].parts.append(node)

@@ -15,6 +15,14 @@ def test_main_text():
     assert html_text.main_text("<body><header>logo</header><div>text</div><aside>s</aside></body>") == "text"
 
 
+def test_attributes_by_whole_names():
+    for a in ("style='overflow:hidden'", 'aria-hidden="false"', "data-class=share", "data-id='menu'", "data-role=navigation", 'title="class=ad hidden"', "style=visibility:hidden"):
+        assert html_text.main_text(f"<body><article {a}><p {a}>Story</p></article></body>") == "Story", a
+    for a in ("hidden", "HIDDEN=''", "data-x=1 hidden", "data-id=x id=menu", "class = 'share x'", "ROLE=navigation", "title='x'class=ad"):
+        assert html_text.main_text(f"<body><article><p>Story</p><p {a}>more</p></article></body>") == "Story", a
+    assert html_text.main_text("<body><p>other</p><div data-itemprop=articleBody>x</div></body>") == "other x"
+
+
 def test_style_tree_finds_repeated_branches(spark):
     page = "<body><div class='top'>Welcome to our site</div><div class='story'>Story {i} {i}</div><div class='line'>Same for all</div></body>"
     rows = [(i, f"http://h.example/{i}", page.format(i=i)) for i in range(30)] + [(100, None, None), (101, "http://[bad", "<p>x"), (102, "", ""), (5, "http://h.example/5", page.format(i=5))]
