@@ -4,8 +4,8 @@ Pages of a host are merged by element path (tags with their class and id from th
 composed of presentation (entropy of the child layouts its pages show there, base the number of pages) and content (one less the
 mean entropy of its texts over the pages). Branches of low importance, the same on page after page, are boilerplate.
 
-From each page the article is taken: the <article>, <main> or articleBody with the most text, or the body where there is none. Out of
-it go elements that are never article text (menus, footers, asides, forms, scripts, ...), those whose class or id says so, and
+From each page the article is taken: the <article>, <main> or articleBody with the most text, or the body where there is none; an <article>
+in <main> is one of them, and what <main> says beside its articles is measured against theirs. Out of it go elements that are never article text (menus, footers, asides, forms, scripts, ...), those whose class or id says so, and
 branches of low importance. Inside the article, plain elements without class or id are kept whatever their importance: copies of an
 article on one host make its paragraphs as frequent as a footer, and they are still its text.
 
@@ -151,16 +151,26 @@ def _named_noise(node: Node) -> bool:
     return not NOISE.isdisjoint(words)
 
 
+def _holds_articles(node: Node) -> bool:
+    """A <main> or role=main that isn't itself the article: articles in it are no readers' comments."""
+    return (node.tag == "main" or node.attributes.get("role", "") == "main") and node.tag != "article" and node.attributes.get("itemprop", "") != "articleBody"
+
+
 def _anchor(root: Node) -> Node | None:
-    """The article: <article>, <main> or articleBody with the most text, noise left out."""
+    """The article: <article>, <main> or articleBody with the most text, noise left out. What a <main> has in articles counts for those."""
     found, work = [], [root]
     while work:
         x = work.pop()
-        if x.tag in ("article", "main") or x.attributes.get("itemprop", "") == "articleBody" or x.attributes.get("role", "") == "main":
+        anchor = x.tag in ("article", "main") or x.attributes.get("itemprop", "") == "articleBody" or x.attributes.get("role", "") == "main"
+        if anchor:
             found.append(x)
-        else:  # an article within another (a reader's comment) belongs to that one
+        if not anchor or _holds_articles(x):  # an article within another (a reader's comment) belongs to that one
             work += [k for k in reversed(x.kids) if not _named_noise(k)]
-    return max(found, key=lambda x: len(_text(x, _named_noise))) if found else None
+
+    def size(x: Node) -> int:
+        return len(_text(x, (lambda k: k.tag == "article" or _named_noise(k)) if _holds_articles(x) else _named_noise))
+
+    return max(found, key=size) if found else None
 
 
 def main_text(html: str | None, low: frozenset[int] | set[int] = frozenset()) -> str:
@@ -169,9 +179,25 @@ def main_text(html: str | None, low: frozenset[int] | set[int] = frozenset()) ->
         return ""
     root = parsed(html)
     anchor = _anchor(root)
+    comments = anchor.kids[:] if anchor is not None and not _holds_articles(anchor) else []
+    if anchor is not None and not comments:  # a <main> that says more than its articles keeps them, without the articles in those
+        work = [anchor]
+        while work:
+            for k in work.pop().kids:
+                if k.tag == "article" or k.attributes.get("itemprop", "") == "articleBody":
+                    comments += k.kids
+                else:
+                    work.append(k)
+    nested = set()
+    while comments:
+        k = comments.pop()
+        if k.tag == "article":
+            nested.add(id(k))
+        else:
+            comments += k.kids
 
     def gone(node: Node) -> bool:
-        if _named_noise(node) or node.tag == "header" and anchor is None or anchor is not None and node.tag == "article":
+        if _named_noise(node) or node.tag == "header" and anchor is None or id(node) in nested:
             return True
         return node.path in low and (anchor is None or bool(node.attributes))
 

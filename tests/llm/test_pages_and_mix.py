@@ -15,6 +15,14 @@ def test_main_text():
     assert html_text.main_text("<body><header>logo</header><div>text</div><aside>s</aside></body>") == "text"
 
 
+def test_article_in_main():
+    story = "<article><h1>Head</h1><p>The story</p><article>a comment</article></article>"
+    for page in (f"<main>{story}</main>", f"<div role=main><div>{story}</div></div>", f"<main><div role='main'>{story}</div><p>note</p></main>"):
+        assert html_text.main_text(f"<body><nav>menu</nav>{page}<footer>f</footer></body>") == "Head The story"
+    assert html_text.main_text("<main><p>A story without an article around it</p><article>teaser <article>x</article></article></main>") == "A story without an article around it teaser"
+    assert html_text.main_text("<main itemprop=articleBody><p>Story</p><article>some longer comment</article></main>") == "Story"
+
+
 def test_attributes_by_whole_names():
     for a in ("style='overflow:hidden'", 'aria-hidden="false"', "data-class=share", "data-id='menu'", "data-role=navigation", 'title="class=ad hidden"', "style=visibility:hidden"):
         assert html_text.main_text(f"<body><article {a}><p {a}>Story</p></article></body>") == "Story", a
