@@ -28,8 +28,10 @@ COMMON_WORDS = {
 #: The classes a character is counted in; lower-case letters a-z are what is left.
 CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "stop": "[.,;:?'\"()-]", "mark": "[!#*$%&|<>=@^~_+{}\\\\[\\\\]/]", "wide": "[^\\x00-\\x7F]"}
 MIN_WORDS, MIN_CHARS = 30, 150
-#: Limits of the two distances.
-MAX_CLASSES, MAX_WORDS = 0.27, 0.6
+#: Limits of the two distances. Texts without any common word are about 0.34 from the references in words. Texts of less than
+#: STEADY_WORDS words scatter more: their limit rises evenly, by SHORT_WORDS at MIN_WORDS words.
+MAX_CLASSES, MAX_WORDS = 0.27, 0.3
+STEADY_WORDS, SHORT_WORDS = 60, 0.03
 BASE_WORDS, BASE_REPEATS, WINDOW = 10, 20, 5
 
 _BLANK = "[ \\t-\\r]"
@@ -91,7 +93,8 @@ def judged(docs: DataFrame) -> DataFrame:
     out = found.withColumn("class_distance", nearest["classes"]).withColumn("word_distance", nearest["words"])
     base = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEATS * F.col("n_words"))
     judged_ = (F.col("n_words") >= MIN_WORDS) & (F.col("chars") >= MIN_CHARS)
-    far = F.coalesce(F.col("class_distance") > MAX_CLASSES, F.lit(False)) | F.coalesce(F.col("word_distance") > MAX_WORDS, F.lit(False))
+    max_words = MAX_WORDS + SHORT_WORDS * F.greatest(F.lit(0), STEADY_WORDS - F.col("n_words")) / (STEADY_WORDS - MIN_WORDS)
+    far = F.coalesce(F.col("class_distance") > MAX_CLASSES, F.lit(False)) | F.coalesce(F.col("word_distance") > max_words, F.lit(False))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & ~(judged_ & far)).alias("kept"), "class_distance", "word_distance")
 
 

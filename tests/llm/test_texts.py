@@ -89,6 +89,21 @@ def test_quality_divergence_rejects_shouting(documents):
     assert not got[100].kept and not got[100].base_failed
 
 
+def test_quality_divergence_rejects_texts_without_common_words(documents):
+    rng = np.random.RandomState(5)
+    new = lambda n: ["".join(rng.choice([*"abcdefghijklmnoprstuw"], 5)) for _ in range(n)]
+
+    def text(n, common):
+        words = [*new(n - common), *rng.choice(quality.COMMON_WORDS["en"], common)]
+        return " ".join(words[i] for i in rng.permutation(n))
+
+    prose = [(i, text(200, 44), "en") for i in range(60)]
+    odd, short = (100, text(200, 0), "en"), [(200 + i, text(32, 7), "en") for i in range(20)]
+    got = {r.doc_id: r for r in quality.judged(documents([*prose, odd, *short])).collect()}
+    assert all(got[d].kept for d, *_ in [*prose, *short])
+    assert not got[100].kept and not got[100].base_failed and got[100].class_distance <= quality.MAX_CLASSES
+
+
 def test_quality_of_nothing(documents):
     assert quality.judged(documents([])).count() == 0
 
