@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from planfold.catalog import query
+from planfold.operators.graph import cut
 from planfold.operators.graph import shared_folder as _folder
 from planfold.sources import files
 from planfold.streaming import events as streams
@@ -38,6 +39,20 @@ def t1(v):
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("updated_at"), "project_id")).cast("long"))  # of 100 rows
 
 
+@query("T1_all_projects_by_update", "select project_id, updated_at, row_number() over (order by updated_at desc, project_id) as place from (select project_id, max(updated_at) as updated_at from versions group by project_id) t")
+def t1_all(v):
+    """All projects: sorted by ranges, placed within each range, after the rows of the ranges before (one count for each range)."""
+    order = [F.desc("updated_at"), F.asc("project_id")]
+    latest = v.versions.groupBy("project_id").agg(F.max("updated_at").alias("updated_at"))
+    laid = cut(latest.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    starts, at = [], 0
+    for r in laid.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():
+        starts.append((r.part, at))
+        at += r.n
+    before = v.spark.createDataFrame(starts, "part int, before long")
+    return laid.join(F.broadcast(before), "part").select("project_id", "updated_at", (F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(*order))).alias("place"))
+
+
 @query("T4_oldest_pending", "select event_id, ts, user_id from (select distinct event_id, ts, user_id, event_type from webhook_events) t where event_type = 'view' order by ts, event_id limit 50")
 def t4(v):
     return v.webhook_events.where("event_type = 'view'").select("event_id", "ts", "user_id").distinct().orderBy("ts", "event_id").limit(50)

@@ -144,3 +144,17 @@ def test_stream_of_events(spark, tmp_path):
 
 def test_twin_names_only_what_it_uses():
     assert twin("select 1 as x from exits").startswith("with exits as (")
+
+
+def test_all_projects_are_placed(spark, sf):
+    from planfold import catalog
+    from planfold.sources.fixtures import Views
+
+    catalog.load()
+    got = catalog.QUERIES["T1_all_projects_by_update"](spark, sf).orderBy("place").collect()
+    versions = Views(spark, sf).versions.select("project_id", "updated_at").collect()
+    latest = {}
+    for p, u in versions:
+        latest[p] = max(u, latest.get(p, u))
+    assert len(latest) > 100
+    assert [(r.project_id, r.place) for r in got] == [(p, k + 1) for k, p in enumerate(sorted(sorted(latest), key=latest.get, reverse=True))]
