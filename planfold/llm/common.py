@@ -26,10 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share: under spark.checkpoint.dir, which the cluster names.
 
-    Only where that is unset (tests in local mode) a temporary folder takes its place."""
+    Only in local mode (tests) a temporary folder takes its place where that is unset; elsewhere that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="planfold-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="planfold-"))
     return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
@@ -55,13 +58,13 @@ def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def map_texts(df: DataFrame, columns: list[str], schema: str, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], rows: int = 1000) -> DataFrame:
-    """mapInArrow over the named columns alone, in batches small enough for very long texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """mapInArrow over the named columns alone. Spark's batches, which its own limit of bytes bounds, are dealt out in slices of `rows`
+    rows at most; no setting of the session is touched."""
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                yield from each(batch)
+            for i in range(0, batch.num_rows, rows):
+                yield from each(batch.slice(i, rows))
 
     return df.select(*columns).mapInArrow(run, schema)
 

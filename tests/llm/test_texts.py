@@ -1,6 +1,7 @@
 """Operators that judge each text on its own, against plain versions."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -180,7 +181,6 @@ def test_contamination_without_items(documents, spark):
 def test_token_files(documents):
     rows = [*ODD, (20, "Hello, it's World's end...\tcafé ÉCOLE naïve 12345 <|endoftext|> x.y,z. ﬁ İstanbul é   a\x1cb")]
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     got = token_files.encoded(documents(rows)).orderBy("start").collect()
     ids = {}
     for d, t in rows:
@@ -193,6 +193,28 @@ def test_token_files(documents):
     assert token_files.encoded(documents([])).count() == 0
 
 
+#: Pieces whose tokens depend on what stands beside them: added tokens, apostrophes, composition, lower case of two characters, blanks
+#: of other kinds, signs among letters, digits of all sorts.
+PIECES = ["hello", "A\u0130", ",", ".", "\u0130", "'s", "'S", "don't", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>x", "<", "|", "\u00e9", "\u00c9", "e\u0301", "H\u0331", "t\u0308", "\u00df", "\u1e9e", "\u00d7", "\u00f7", "\u00ff", "\u0178", "12", "\uff13", "\u00bd",
+          "\u00aa", "\u00b5", "j\u030c", "\x1c", "\x85", "\xa0", "\u2028", "\u3000", "\u65e5\u672c", "\u03a9", "\u03a3\u0391\u03a3", "\ufb01", " ", "  ", "\n", "\t", "\r\n", "\x0b", "...", "%%%", "#a", "_", "\u0307", "\u0301", "\U0001f600", "\0", "\u0416", "\u0149", "\u01c4", "\u212a", "\u212b", "(a)", "O'NEIL", "'re", "'LL"]
+
+
+@pytest.mark.parametrize("piece", [4 << 20, 16])
+def test_ids_of_runs_are_the_ids_of_texts(piece, monkeypatch):
+    monkeypatch.setattr(token_files, "PIECE", piece)
+    monkeypatch.setattr(token_files, "REMEMBERED", 2000)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, runs, rng = Tokenizer.from_file(path), token_files.RunIds(path), random.Random(11)
+    anything = lambda: chr(rng.choice([rng.randrange(1, 128), rng.randrange(0x80, 0x250), rng.randrange(0x250, 0x3000)]))
+    texts = ["".join(rng.choice(PIECES) if rng.random() < 0.8 else anything() for _ in range(rng.randrange(14))) for _ in range(3000)]
+    for i in range(0, len(texts), 50):
+        part = texts[i : i + 50]
+        counts, ids = runs.texts([t.encode() for t in part], 2)
+        expected = [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in part]
+        assert counts.tolist() == list(map(len, expected))
+        assert ids.tolist() == [x for e in expected for x in e]
+
+
 def test_token_files_of_many_row_groups(documents, spark):
     rng = np.random.RandomState(4)
     rows = [(i, " ".join(f"w{x}" for x in rng.randint(0, 10**6, 400))) for i in range(300)]
