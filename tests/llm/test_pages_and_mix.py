@@ -1,3 +1,9 @@
+import math
+import random
+import re
+import time
+from collections import Counter, defaultdict
+
 from planfold.llm import html_text, mixing
 from planfold.llm.order import running_totals
 
@@ -45,8 +51,77 @@ def test_style_tree_finds_repeated_branches(spark):
     assert html_text.extracted(df.limit(0)).count() == 0
 
 
+def test_wrappers_of_the_article_are_not_judged_by_name():
+    assert html_text.main_text('<div class="layout-with-sidebar"><article>text</article></div>') == "text"
+    assert html_text.main_text('<body class="has-sidebar"><p>hello</p></body>') == "hello"
+    assert html_text.main_text('<div class="page-with-sidebar"><nav>m</nav><div>hello</div></div>') == "hello"
+    assert html_text.main_text('<div class="comments"><article>a longer comment</article></div><article>text</article>') == "text"
+
+
+def test_broken_markup_takes_linear_time():
+    n = 1_000_000
+    for part in ("<a ", "<", "<!-- ", '<a "', "<![CDATA[", "</ ", "<script>", "<svg>x", "<div></p>", '<p a="'):
+        for end in ("", ">"):
+            began = time.process_time()
+            html_text.main_text(part * (n // len(part)) + end)
+            assert time.process_time() - began < 8, part
+    assert html_text.main_text("<div>a</div><!-- never closed") == "a"
+
+
+def plain_importance(pages):
+    """{path: importance} of one host's pages, by the formulas of the docstring."""
+    shown, said, ups = defaultdict(Counter), defaultdict(Counter), {}
+    for html in pages:
+        for (path, kind, feature), (up, _named) in html_text.style_features(html).items():
+            (said if kind else shown)[path][feature] += 1
+            ups[path] = up
+    own = {}
+    for path, layouts in shown.items():
+        m = sum(layouts.values())
+        entropy = -sum(n / m * math.log(n / m, m) for n in layouts.values()) if m > 1 else 0
+        content = [1 - math.log(n, m) for n in said[path].values() for _ in range(n)] if m > 1 else []
+        own[path] = 1.0 if m < html_text.MIN_PAGES else (entropy + sum(content) / len(content)) / 2 if content else entropy
+    top, bottom = Counter(), Counter()
+    for path in own:
+        for level, branch in enumerate([path, *ups[path]]):
+            w = sum(shown[path].values()) * html_text.DECAY**level
+            top[branch] += w * own[path]
+            bottom[branch] += w
+    less = {p: html_text.VARIETY ** len(shown[p]) for p in own}
+    return {p: (1 - less[p]) * own[p] + less[p] * top[p] / bottom[p] for p in own}
+
+
+def test_importance(spark):
+    rng = random.Random(2)
+    html = [f"<body><div class=a>{'<p>same</p>' * rng.randrange(4)}<b>{i % 3}</b></div><p id=x>{'w ' * rng.randrange(50)}{i}</p><div><div><div><i><u><s><q>deep</q></s></u></i></div></div></div></body>" for i in range(25)]
+    df = spark.createDataFrame([("http://h/", x) for x in html] + [("http://other/", "<p>x")], "url string, html string")
+    got = {r.path: r.importance for r in html_text.importance(df).where("host = 'h'").collect()}
+    expected = plain_importance(html)
+    assert set(got) == set(expected)
+    assert all(abs(got[p] - expected[p]) < 1e-9 for p in got)
+
+
+def test_importance_decides(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choice(words) + str(rng.randrange(10**6)) for _ in range(n))
+    lengths = (1, 3, 9, 40)
+    rows, stories = [], {}
+    for i in range(60):
+        story, work = text(20 + rng.randrange(40)), "".join(f"<p>{text(rng.choice(lengths))}</p>" for _ in range(rng.randrange(1, 200)))
+        note = "<div class='pub'><p>This is the same offer on all pages</p></div>"
+        rows.append((i, "http://h/", f"<body><article><p>{story}</p><section class='related-work'>{work}</section>{note}<p>end</p></article><div class='share'>share {i % 2}</div></body>"))
+        stories[i] = " ".join(re.sub("<[^>]*>", " ", f"{story} {work} end").split())
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extracted(df).collect()}
+    # what is the same on all pages goes without a name, and a name of noise is overruled where the branch differs from page to page
+    assert got == stories
+    alone = {r.page_id: r.text for r in html_text.extracted(df.limit(3)).collect()}
+    assert all("same offer" in t and "share" not in t for t in alone.values())
+
+
 def test_copies_of_an_article_keep_their_text(spark):
-    page = "<body><article><h1>Head</h1><p>The same story</p></article><footer>f</footer></body>"
+    page = "<body><article><h1>Head</h1><p class='story'>The same story</p></article><footer>f</footer></body>"
     df = spark.createDataFrame([(i, "http://h.example/", page) for i in range(30)], "page_id long, url string, html string")
     assert {r.text for r in html_text.extracted(df).collect()} == {"Head The same story"}
 
