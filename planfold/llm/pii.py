@@ -10,10 +10,12 @@ Base spans (the contract's patterns, leftmost and non-overlapping for each kind)
 classifier accepts and that overlap no base span are added. Added kinds come after the base kinds: secret (credentials).
 
 The patterns are written with possessive groups and starts at run boundaries: equal matches, but linear in the text's length and free
-of deep recursion.
+of deep recursion. Matches become rows; places are running sums over the rows of one text, and what overlaps a base span is seen from
+the largest end before it and the least start after it, so a text with very many spans takes no more than sorting them.
 
-Defined results: null text counts as empty; no candidates at all: base spans only; rows are handled one by one, so repeated rows are
-reported each. Extra columns are ignored by found_spans()."""
+Defined results: null text counts as empty; no candidates at all: base spans only; rows are handled one by one (each gets a number of
+its own), so rows that repeat, or have no doc_id, are reported and redacted each. Extra columns are ignored by found_spans(), kept by
+redacted()."""
 
 from __future__ import annotations
 
@@ -21,7 +23,7 @@ import math
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planfold.llm.common import cut, table, written
@@ -29,6 +31,8 @@ from planfold.llm.common import cut, table, written
 KINDS = ["email", "ip", "card", "phone", "secret"]
 BASE = KINDS[:4]
 ROUNDS, ACCEPT = 12, 0.5
+#: Characters of the pieces in which texts are redacted.
+PIECE = 4096
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: kind -> (SQL condition under which a text can hold one, pattern).
 PATTERNS = {
@@ -67,12 +71,11 @@ VALID = {
 }
 
 
-def _matches(kind: str) -> str:
-    """SQL: array of (s, e, m, before, after) for the matches of a pattern; places are running sums over the pieces between."""
-    item = "struct<s: int, e: int, m: string, before: string, after: string>"
-    pairs = f"zip_with(zip_with(slice(g_{kind}, 1, size(m_{kind})), m_{kind}, (g, m) -> struct(g, m)), slice(g_{kind}, 2, size(m_{kind})), (x, n) -> struct(x.g as g, x.m as m, n as n))"
-    step = "struct(a.at + length(x.g) + length(x.m) as at, concat(a.found, array(struct(a.at + length(x.g) as s, a.at + length(x.g) + length(x.m) as e, x.m as m, right(x.g, 40) as before, left(x.n, 2) as after))) as found)"
-    return f"case when size(m_{kind}) = 0 then cast(array() as array<{item}>) else aggregate({pairs}, struct(0 as at, cast(array() as array<{item}>) as found), (a, x) -> {step}, a -> a.found) end"
+def _matches(name: str, number: int) -> str:
+    """SQL: array of the matches of a pattern, each with the text between it and the match before (its length and end) and the start of
+    what follows."""
+    one = f"struct({number} as p, i as i, length(get(g_{name}, i)) as gap, m as m, right(get(g_{name}, i), 40) as before, left(get(g_{name}, i + 1), 2) as after)"
+    return f"transform(m_{name}, (m, i) -> {one})"
 
 
 def _votes(kind: str) -> dict[str, str]:
@@ -107,30 +110,37 @@ def _votes(kind: str) -> dict[str, str]:
 VOTES = ["v_shape", "v_test", "v_known", "v_cue", "v_edge"]
 
 
-def candidates(docs: DataFrame, *more: str) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, spans: array of (s, kind, e, base, votes...)."""
-    t = docs.select("doc_id", *more, F.coalesce("text", F.lit("")).alias("t")).withColumn("digits", F.expr("t rlike '[0-9]'"))
+def _by_kind(sql: dict[str, str]) -> Column:
+    """A column of k from SQL for each kind."""
+    return F.expr(f"case {' '.join(f'when k = {KINDS.index(kind)} then ({said})' for kind, said in sql.items())} end")
+
+
+def matched(docs: DataFrame, *more: str) -> DataFrame:
+    """docs(text) -> row (a number of its own), found: array of all matches of all patterns."""
+    t = docs.select(*more, F.coalesce("text", F.lit("")).alias("t")).withColumn("digits", F.expr("t rlike '[0-9]'"))
     for name, (when, pattern) in PATTERNS.items():
         t = t.withColumn(f"m_{name}", F.expr(f"case when {when} then regexp_extract_all(t, r'{pattern}', 0) else array() end"))
         t = t.withColumn(f"g_{name}", F.expr(f"case when size(m_{name}) > 0 then split(t, r'{pattern}', -1) else array() end"))
-    spans = []
-    for name in PATTERNS:
-        kind = name.rstrip("2")
-        t = t.withColumn(f"a_{name}", F.expr(_matches(name)))
-        base = VALID[kind] if name in BASE else "false"
-        fields = {"base": base, **_votes(kind)}
-        inner = ", ".join(f"{_of_x(sql)} as {key}" for key, sql in fields.items())
-        spans.append(f"transform(a_{name}, x -> struct(x.s as s, {KINDS.index(kind)} as k, x.e as e, {inner}))")
-    t = t.select("doc_id", *more, F.expr(f"array_sort(concat({', '.join(spans)}))").alias("spans"))
+    found = ", ".join(_matches(name, i) for i, name in enumerate(PATTERNS))
+    return written(t.select(*more, F.expr(f"concat({found})").alias("found")).withColumn("row", F.monotonically_increasing_id()))
+
+
+def candidates(found: DataFrame) -> DataFrame:
+    """matched() -> a row for each candidate: row, s, e, k (place in KINDS), base, votes, alone (overlaps no base span)."""
+    kinds = F.array(*(F.lit(KINDS.index(name.rstrip("2"))) for name in PATTERNS))
+    m = found.where("size(found) > 0").select("row", F.inline("found")).repartition("row")
+    upto = F.sum(F.col("gap") + F.length("m")).over(Window.partitionBy("row", "p").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    m = m.withColumn("e", upto.cast("int")).withColumn("s", F.col("e") - F.length("m")).withColumn("k", kinds[F.col("p")])
+    votes = {kind: _votes(kind) for kind in KINDS}
+    base = F.col("p").isin([i for i, name in enumerate(PATTERNS) if name in BASE]) & _by_kind(VALID)
+    m = m.withColumn("base", base).select("row", "s", "e", "k", "base", *(_by_kind({kind: votes[kind][v] for kind in KINDS}).alias(v) for v in VOTES))
+    by_place = Window.partitionBy("row").orderBy("s", "k", "e")
+    before = F.max(F.when(F.col("base"), F.col("e"))).over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    # the least start behind: the same window, read backwards
+    behind = F.min(F.when(F.col("base"), F.col("s"))).over(Window.partitionBy("row").orderBy(F.desc("s"), F.desc("k"), F.desc("e")).rowsBetween(Window.unboundedPreceding, -1))
+    alone = (F.coalesce(before, F.lit(0)) <= F.col("s")) & F.coalesce(behind >= F.col("e"), F.lit(True))
     # what the base rules drop is no candidate for the same kind again, but for secrets and the wider patterns
-    return t.withColumn("spans", F.expr("filter(spans, x -> x.base or x.k = 4 or (x.v_test = 1 and not exists(spans, y -> y.base and y.s < x.e and x.s < y.e)))"))
-
-
-def _of_x(sql: str) -> str:
-    """The SQL over m, before and after, with these as fields of x."""
-    import re
-
-    return re.sub(r"(?<![A-Za-z_'\\.])(m|before|after)(?= rlike|\)|,)|(?<=length\()(m)(?=\))", lambda f: f"x.{f[0]}", sql)
+    return m.withColumn("alone", alone).where("base or k = 4 or (v_test = 1 and alone)")
 
 
 def _literal(x: float) -> str:
@@ -176,30 +186,45 @@ def classifier(patterns: DataFrame, posterior: str) -> str:
     return f"1 / (1 + exp(-({_literal(float(model.intercept))} + {terms})))"
 
 
-def found_spans(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, base and spans: arrays of (s, k, e), k the place in KINDS, by s then k."""
-    found = written(candidates(docs))
-    patterns = cut(found.select(F.inline("spans")).groupBy("k", *VOTES).agg(F.count(F.lit(1)).alias("n")).coalesce(1))
+def accepted_spans(found: DataFrame) -> DataFrame:
+    """matched() -> row, s, k, e, base: the base spans, and those that the classifier accepts and that overlap none of them."""
+    spans = written(candidates(found))
+    patterns = cut(spans.groupBy("k", *VOTES).agg(F.count(F.lit(1)).alias("n")).coalesce(1))
     accepted = "false"
     if not patterns.isEmpty():
         posterior = next(name for (k, name, _), _o in estimated(patterns).items() if k == -1)
         accepted = f"{classifier(patterns, posterior)} >= {ACCEPT}"
-        for name in ("k", *VOTES):
-            accepted = accepted.replace(f"({name} ", f"(x.{name} ").replace(f" {name} ", f" x.{name} ")
-    base = "transform(filter(spans, x -> x.base), x -> struct(x.s as s, x.k as k, x.e as e))"
-    out = found.withColumn("base", F.expr(base))
-    more = f"transform(filter(spans, x -> not x.base and {accepted} and not exists(base, y -> y.s < x.e and x.s < y.e)), x -> struct(x.s as s, x.k as k, x.e as e))"
-    return out.select("doc_id", "base", F.expr(f"array_sort(concat(base, {more}))").alias("spans"))
+    return spans.where(f"base or (alone and {accepted})").select("row", "s", "k", "e", "base")
+
+
+def found_spans(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, base and spans: arrays of (s, k, e), k the place in KINDS, by s then k."""
+    found = matched(docs, "doc_id")
+    span = F.struct("s", "k", "e")
+    by_row = accepted_spans(found).groupBy("row").agg(F.array_sort(F.collect_list(F.when(F.col("base"), span))).alias("base"), F.array_sort(F.collect_list(span)).alias("spans"))
+    none = F.array().cast("array<struct<s: int, k: int, e: int>>")
+    return found.select("row", "doc_id").join(by_row, "row", "left").select("doc_id", F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with each span's text replaced by <kind>; of overlapping spans the first, and then the longest kind, counts."""
-    names = F.array(*(F.lit(f"<{k}>") for k in KINDS))
-    spans = found_spans(docs).groupBy("doc_id").agg(F.first("spans").alias("_spans"))
-    step = "case when x.s < a.at then a else struct(concat(a.said, substring(text, a.at + 1, x.s - a.at), _names[x.k]) as said, x.e as at) end"
-    said = f"aggregate(_spans, struct('' as said, 0 as at), (a, x) -> {step}, a -> concat(a.said, substring(text, a.at + 1)))"
-    joined = docs.join(spans, "doc_id", "left").withColumn("_names", names)
-    return joined.withColumn("text", F.expr(f"case when size(_spans) > 0 then {said} else text end")).select(*docs.columns)
+    """docs with each span's text replaced by <kind>; spans that overlap are one, under the kind of the first.
+
+    Texts with spans are cut into pieces of PIECE characters, so that each replacement touches one piece or a few, and joined again."""
+    rows = matched(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "text"), "doc")  # numbered and written once; all else refers to them
+    spans = accepted_spans(rows)
+    by_place = Window.partitionBy("row").orderBy("s", "k", "e")
+    starts = F.col("s") >= F.coalesce(F.max("e").over(by_place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    region = spans.withColumn("starts", starts.cast("int")).withColumn("region", F.sum("starts").over(by_place)).groupBy("row", "region").agg(F.min(F.struct("s", "k")).alias("first"), F.max("e").alias("e"))
+    parts = region.select("row", F.col("first.s").alias("s"), "e", F.col("first.k").alias("k")).select("*", F.explode(F.sequence(F.expr(f"s div {PIECE}"), F.expr(f"(e - 1) div {PIECE}"))).alias("c"))
+    name = F.element_at(F.array(*(F.lit(f"<{k}>") for k in KINDS)), F.col("k") + 1)
+    parts = parts.select("row", F.col("c").cast("int").alias("c"), F.struct(F.expr(f"cast(greatest(s - c * {PIECE}, 0) as int) as a"), F.expr(f"cast(least(e - c * {PIECE}, {PIECE}) as int) as b"), F.when(F.expr(f"s div {PIECE} = c"), name).otherwise("").alias("name")).alias("part"))
+    parts = parts.groupBy("row", "c").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    pieces = rows.join(spans.select("row").distinct(), "row", "left_semi").select("row", F.posexplode(F.regexp_extract_all("doc.text", F.lit(f"(?s).{{1,{PIECE}}}+"), F.lit(0))).alias("c", "piece"))
+    said = "concat(array_join(transform(parts, (x, i) -> concat(substring(piece, coalesce(get(parts, i - 1).b, 0) + 1, x.a - coalesce(get(parts, i - 1).b, 0)), x.name)), ''), substring(piece, element_at(parts, -1).b + 1))"
+    pieces = pieces.join(parts, ["row", "c"], "left").select("row", F.struct("c", F.expr(f"case when parts is null then piece else {said} end").alias("said")).alias("x"))
+    new = pieces.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["said"]), "").alias("_new"))
+    out = rows.drop("found").join(new, "row", "left")
+    return out.select(*(F.coalesce("_new", "doc.text").alias("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
 
 
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,4 +232,4 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = f"array({', '.join(repr(k) for k in KINDS)})"
     said = lambda a: F.expr(f"array_join(transform({a}, x -> concat({kinds}[x.k], ':', x.s, ':', x.e)), ',')")
     counts = [F.expr(f"cast(size(filter(base, x -> x.k = {i})) as long)").alias(f"n_{k}") for i, k in enumerate(BASE)]
-    return found.select("doc_id", *counts, F.sha2(said("base"), 256).alias("base_sha256"), said("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(said("base"), 256).alias("base_sha256"), said("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"), (F.size("spans") > 0).alias("found"))

@@ -1,8 +1,10 @@
 """Operators that judge each text on its own, against plain versions."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -52,10 +54,66 @@ def test_personal_data(documents, tmp_path, spark):
     assert spans[1] == spans[2] == ""
 
 
-def test_redaction(documents):
-    df = documents([(1, "mail bob@x.org now"), (2, None), (3, "nothing")])
-    out = {r.doc_id: r.text for r in pii.redacted(df).collect()}
-    assert out == {1: "mail <email> now", 2: None, 3: "nothing"}
+@pytest.mark.parametrize("piece", [4096, 7])
+def test_redaction(documents, monkeypatch, piece):
+    monkeypatch.setattr(pii, "PIECE", piece)
+    rows = [(1, "mail bob@x.org now"), (2, None), (3, "nothing"), (1, "now bob@x.org, +49 30 1234567"), (None, "null\n\nan@y.com"), (None, "10.0.0.1"), (5, "😀 4539 1488 0343 6467 é"), (6, "a@b.c" * 30), (7, "")]
+    df = documents(rows)
+    out = pii.redacted(df)
+    assert out.columns == df.columns
+    expected = [(1, "mail <email> now"), (2, None), (3, "nothing"), (1, "now <email>, <phone>"), (None, "null\n\n<email>"), (None, "<ip>"), (5, "😀 <card> é"), (6, re.sub(BASE["email"], "<email>", "a@b.c" * 30)), (7, "")]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_very_many_spans_in_one_text(documents):
+    text = " ".join(f"a{i}@b.org x@{i % 250}.1.1.1" for i in range(40_000))
+    began = time.time()
+    (got,) = pii.found_spans(documents([(1, text)])).collect()
+    assert time.time() - began < 60
+    assert [(s.s, s.e) for s in got.base if s.k == 0] == [m.span() for m in re.finditer(BASE["email"], text)]
+
+
+def plain_odds(patterns, rounds):
+    """Expectation-maximisation over {(k, votes): n}, written out."""
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    p, odds = {key: sigmoid(1.5 * sum(key[1])) for key in patterns}, {}
+    for _ in range(rounds):
+        odds = {}
+        for k in {k for k, _ in patterns}:
+            mine = {v: (n * p[k, v], n * (1 - p[k, v])) for (kk, v), n in patterns.items() if kk == k}
+            yes, no = (sum(x[i] for x in mine.values()) for i in (0, 1))
+            odds[k, "", 0] = math.log((yes + 1) / (no + 1))
+            for j, name in enumerate(pii.VOTES):
+                for value in (-1, 0, 1):
+                    y, n = (sum(x[i] for v, x in mine.items() if v[j] == value) for i in (0, 1))
+                    said = math.log((y + 1) / (yes + 3)) - math.log((n + 1) / (no + 3))
+                    odds[k, name, value] = max(said, 0) if value > 0 else min(said, 0) if value < 0 else 0
+        p = {(k, v): sigmoid(max(-30, min(30, odds[k, "", 0] + sum(odds[k, name, x] for name, x in zip(pii.VOTES, v, strict=True))))) for k, v in patterns}
+    return odds, p
+
+
+def test_reliabilities_and_classifier(spark):
+    rng, patterns = np.random.RandomState(8), Counter()
+    for k in (0, 1, 3):
+        for _ in range(600):
+            true = rng.rand() < 0.6
+            votes = tuple(int(rng.choice([1, 0, -1], p=[0.7, 0.2, 0.1] if true else [0.1 + j / 10, 0.3, 0.6 - j / 10])) for j in range(5))
+            patterns[k, votes] += 1
+    df = spark.createDataFrame([(k, *v, n) for (k, v), n in patterns.items()], f"k int, {', '.join(f'{v} int' for v in pii.VOTES)}, n long")
+    got, (odds, p) = pii.estimated(df), plain_odds(patterns, pii.ROUNDS)
+    posterior = next(name for k, name, _ in got if k == -1)
+    assert all(abs(got[key] - odds[key]) < 1e-6 for key in odds)
+    assert all(abs(r.p - p[r.k, tuple(r[v] for v in pii.VOTES)]) < 1e-6 for r in df.selectExpr("k", *pii.VOTES, f"{posterior} as p").collect())
+    # the classifier against Newton's steps on the same loss
+    keys = list(patterns)
+    x = np.array([[1.0, *(k == i for i in range(len(pii.KINDS))), *(v[j] == s for j in range(5) for s in (1, -1))] for k, v in keys], float)
+    w, y, beta, keep = np.array([patterns[k] for k in keys], float), np.array([p[k] for k in keys]), np.zeros(16), np.diag([0.0] + [1e-3] * 15)
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-x @ beta))
+        beta -= np.linalg.solve(x.T * (w * q * (1 - q)) @ x / w.sum() + keep + 1e-12 * np.eye(16), x.T @ (w * (q - y)) / w.sum() + keep @ beta)
+    expected = dict(zip(keys, 1 / (1 + np.exp(-x @ beta)), strict=True))
+    found = {(r.k, tuple(r[v] for v in pii.VOTES)): r.q for r in df.selectExpr("k", *pii.VOTES, f"{pii.classifier(df, posterior)} as q").collect()}
+    assert max(abs(found[k] - expected[k]) for k in keys) < 0.02
 
 
 def test_personal_data_of_nothing(documents):
