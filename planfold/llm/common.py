@@ -49,12 +49,18 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, weight: Column | None = None) -> DataFrame:
+    """A written table as the small side of a join: for the tasks where its rows (and what they weigh together) are BROADCAST_IDS at
+    most, by a shuffle of both sides beyond."""
+    weight = F.lit(0) if weight is None else weight
+    rows, heavy = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(weight), F.lit(0))).first()
+    return F.broadcast(df) if max(rows, heavy) <= BROADCAST_IDS else df.hint("merge")
+
+
 def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs without the rows whose key is in gone; rows without a key stay. The ids are counted and, up to BROADCAST_IDS of them,
     sent to the scan, so that no text moves; beyond, both sides are shuffled."""
-    ids = cut(gone.where(F.col(key).isNotNull()).select(key).distinct())
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
-    return docs.join(ids, key, "left_anti").select(*docs.columns)
+    return docs.join(few(cut(gone.where(F.col(key).isNotNull()).select(key).distinct())), key, "left_anti").select(*docs.columns)
 
 
 def map_texts(df: DataFrame, columns: list[str], schema: str, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], rows: int = 1000) -> DataFrame:
