@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from planfold.plans import elements, floors, layers, layout, mix, models, projects  # noqa: F401
+    from planfold.plans import elements, floors, layers, layout, mix, models, projects, shapes  # noqa: F401

@@ -63,3 +63,59 @@ def point_segment_squared(px: Column, py: Column, x1: Column, y1: Column, x2: Co
     t = F.coalesce(((px - x1) * dx + (py - y1) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0)), F.lit(0.0))
     t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
     return F.pow(px - x1 - t * dx, 2) + F.pow(py - y1 - t * dy, 2)
+
+
+def _turns(a: tuple[Column, Column], b: tuple[Column, Column], c: tuple[Column, Column]) -> Column:
+    """Does a, b, c turn counter-clockwise?"""
+    return (c[1] - a[1]) * (b[0] - a[0]) > (b[1] - a[1]) * (c[0] - a[0])
+
+
+def segments_cross(p: tuple[Column, Column], q: tuple[Column, Column], r: tuple[Column, Column], s: tuple[Column, Column]) -> Column:
+    """Do the segments p-q and r-s cross? Each has the other's ends on different sides."""
+    return (_turns(p, r, s) != _turns(q, r, s)) & (_turns(p, q, r) != _turns(p, q, s))
+
+
+def crossing(p: tuple[Column, Column], q: tuple[Column, Column], r: tuple[Column, Column], s: tuple[Column, Column]) -> Column:
+    """struct(x, y, inner) of the point that two segments share, ends included; null for parallel ones and those that don't meet.
+    inner: the point is away from all four ends, between 1 % and 99 % of both segments."""
+    d = ((p[0] - q[0]) * (r[1] - s[1]) - (p[1] - q[1]) * (r[0] - s[0])).cast("double")
+    safe = F.when(F.abs(d) >= 1e-10, d)
+    t = ((p[0] - r[0]) * (r[1] - s[1]) - (p[1] - r[1]) * (r[0] - s[0])) / safe
+    u = -((p[0] - q[0]) * (p[1] - r[1]) - (p[1] - q[1]) * (p[0] - r[0])) / safe
+    inner = (t > 0.01) & (t < 0.99) & (u > 0.01) & (u < 0.99)
+    return F.when(t.between(0, 1) & u.between(0, 1), F.struct((p[0] + t * (q[0] - p[0])).alias("x"), (p[1] + t * (q[1] - p[1])).alias("y"), inner.alias("inner")))
+
+
+def rectangle_meets(x: Column, y: Column, w: Column, h: Column, polygon: Column) -> Column:
+    """Does a rectangle meet a polygon? A corner lies in the polygon, a vertex in the rectangle, or edges cross. False under three
+    points."""
+    corners = [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+    test = F.exists(polygon, lambda v: v["x"].between(x, x + w) & v["y"].between(y, y + h))
+    for i, corner in enumerate(corners):
+        after = corners[(i + 1) % 4]
+        side = lambda c, d: lambda e: segments_cross((e["p"]["x"], e["p"]["y"]), (e["q"]["x"], e["q"]["y"]), c, d)
+        test = test | inside(*corner, polygon) | F.exists(ring(polygon), side(corner, after))
+    return F.coalesce((F.size(polygon) >= 3) & test, F.lit(False))
+
+
+def cleaned(polygon: Column, tolerance: float) -> Column:
+    """A ring of doubles without null points, without points within tolerance of the last one kept (the end counts against the start),
+    and without points on a straight line, if three are left without those."""
+    far = lambda p, q: F.sqrt(F.pow(p["x"] - q["x"], 2) + F.pow(p["y"] - q["y"], 2)) > tolerance
+    known = F.filter(polygon, lambda p: p.isNotNull() & p["x"].isNotNull() & p["y"].isNotNull())
+    kept = F.aggregate(known, F.slice(known, 1, 0), lambda a, p: F.when((F.size(a) == 0) | far(F.element_at(a, -1), p), F.concat(a, F.array(p))).otherwise(a))
+    kept = F.when((F.size(kept) > 1) & ~far(F.get(kept, F.lit(0)), F.element_at(kept, -1)), F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
+    n = F.size(kept)
+    at = lambda i: F.get(kept, F.pmod(i, n))
+    bend = lambda p, q, r: (q["x"] - p["x"]) * (r["y"] - q["y"]) - (q["y"] - p["y"]) * (r["x"] - q["x"])
+    bent = F.filter(kept, lambda p, i: F.abs(bend(at(i - 1), p, at(i + 1))) > tolerance * tolerance)
+    return F.when((n >= 3) & (F.size(bent) >= 3), bent).otherwise(kept)
+
+
+def ring_key(polygon: Column, places: int = 4) -> Column:
+    """One text for all rotations and both directions of a ring: the least of them, coordinates rounded."""
+    near = F.transform(polygon, lambda p: F.struct(F.round(p["x"], places).alias("x"), F.round(p["y"], places).alias("y")))
+    n = F.size(near)
+    turned = lambda r: F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.concat(F.slice(r, k + 1, n - k), F.slice(r, 1, k)))
+    least = F.array_min(F.concat(turned(near), turned(F.reverse(near))))
+    return F.when(n > 0, F.array_join(F.transform(least, lambda p: F.concat(p["x"].cast("string"), F.lit(","), p["y"].cast("string"))), ";"))
