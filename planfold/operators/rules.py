@@ -53,3 +53,10 @@ def audit(plans: DataFrame, boxes: DataFrame, corridors: DataFrame, zones: DataF
     hits = boxes_in_zones(boxes, zones)
     out = narrow_corridors(corridors).unionByName(small_boxes(boxes)).unionByName(hits.select(*issue("forbidden_zone", "CRITICAL", "box_id", F.col("zone_id"))))
     return out.unionByName(far_from_exit(boxes, exits)).unionByName(exits_missing(plans, exits))
+
+
+def near_fire_doors(boxes: DataFrame, doors: DataFrame, least: int = 150) -> DataFrame:
+    """Boxes whose centre is less than `least` from a fire door: plan_id, box_id, exit_id, distance."""
+    centres = spatial.points(boxes.withColumns({"x": F.col("x") + F.col("w") / 2, "y": F.col("y") + F.col("h") / 2}))
+    pairs = spatial.within(centres, spatial.points(doors), ["plan_id"], least)
+    return pairs.select(F.col("a.plan_id").alias("plan_id"), F.col("a.box_id").alias("box_id"), F.col("b.exit_id").alias("exit_id"), F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")).alias("distance"))

@@ -10,23 +10,12 @@ from planfold.functions import geometry
 from planfold.operators import spatial
 from planfold.plans.layout import _GAP2, _STRICT, _TOUCH, FLOOR
 
-#: Metres in a drawing unit by unit code (inches, feet, millimetres, centimetres, metres, kilometres, decimetres).
-UNIT_METRES = {1: 0.0254, 2: 0.3048, 4: 0.001, 5: 0.01, 6: 1.0, 7: 1000.0, 14: 0.1}
 #: Clearance in centimetres around obstacles, by the first word found in the layer name.
 CLEARANCES = [("stair|escalier", 120), ("exit|sortie|entree", 150), ("wall|mur", 30), ("tole|gris", 20)]
 #: Box templates: name, least and greatest area in square metres.
 TEMPLATES = [("XS", 0.5, 1.0), ("S", 1.0, 2.0), ("M", 2.0, 5.0), ("L", 5.0, 10.0), ("XL", 10.0, 20.0)]
 #: Width-to-depth ratios tried in order for a box of an area.
 RATIOS = [1.0, 1.5, 0.67, 2.0, 0.5, 1.25, 0.8]
-_CODES = "case zone_id % 9 " + " ".join(f"when {k % 9} then {v}" for k, v in UNIT_METRES.items() if k < 9) + " end"
-
-
-@query("P8_rescaled_zones", f"select zone_id, coalesce({_CODES}, case when greatest(w, h) > 300 then 0.01 else 1.0 end)::double as scale, round(w * h * pow(coalesce({_CODES}, case when greatest(w, h) > 300 then 0.01 else 1.0 end), 2), 6) as area_m2 from zones")
-def p8(v):
-    """Unit code to metres, by extent where the code is unknown; areas scale by its square."""
-    code = F.col("zone_id") % 9
-    rule = F.coalesce(*(F.when(code == k, m) for k, m in UNIT_METRES.items() if k < 9), F.when(F.greatest("w", "h") > 300, 0.01).otherwise(1.0))
-    return v.zones.select("zone_id", rule.cast("double").alias("scale"), F.round(F.col("w") * F.col("h") * rule * rule, 6).alias("area_m2"))
 
 
 @query("P18_usable_area", "with t as (select plan_id, case when plan_id % 4 = 0 then null when plan_id % 4 = 1 then 0 else 100 + plan_id end as total, case when plan_id % 8 = 0 then null else 12000 end as width from plans), r as (select plan_id, sum(cast(w as bigint) * h) as rooms from zones group by plan_id) select t.plan_id, case when total > 0 then total when width > 0 then width * 9000 when rooms > 0 then rooms else 0 end::double as area, case when total > 0 then 'totalArea' when width > 0 then 'bounds' when rooms > 0 then 'rooms' else 'unknown' end as source from t left join r using (plan_id)")
@@ -40,14 +29,6 @@ def p18(v):
     return p.select("plan_id", pick(F.col("total"), F.col("box"), F.col("rooms"), F.lit(0)).cast("double").alias("area"), pick(F.lit("totalArea"), F.lit("bounds"), F.lit("rooms"), F.lit("unknown")).alias("source"))
 
 
-@query("P20_room_types", "select zone_id, case when zone_id % 7 = 0 then 'corridor' when w * h < 30000 then 'closet' when w * h < 100000 then 'office' when w * h < 200000 then 'meeting' else 'hall' end as room_type, case when greatest(w, h) * 1.0 / least(w, h) > 1.8 then 'long' else 'square' end as subtype from zones")
-def p20(v):
-    """Room type by layer words, else by area bands; subtype by aspect."""
-    area = F.col("w") * F.col("h")
-    kind = F.when(F.col("zone_id") % 7 == 0, "corridor").when(area < 30000, "closet").when(area < 100000, "office").when(area < 200000, "meeting").otherwise("hall")
-    return v.zones.select("zone_id", kind.alias("room_type"), F.when(F.greatest("w", "h") / F.least("w", "h") > 1.8, "long").otherwise("square").alias("subtype"))
-
-
 _CLEAR = "case " + " ".join(f"when regexp_matches(lower(layer), '{p}') then {c}" for p, c in CLEARANCES) + " else 50 end"
 
 
@@ -185,13 +166,6 @@ def _segments(v):
     return v.walls.select("plan_id", "wall_id", F.least("x1", "x2").alias("x"), F.least("y1", "y2").alias("y"), F.abs(F.col("x2") - F.col("x1")).alias("w"), F.abs(F.col("y2") - F.col("y1")).alias("h"))
 
 
-@query("J4_wall_clearance", f"with p as (select a.plan_id, a.box_id, min({_GAP2}) as d2 from boxes a join {_SEGMENT} b on a.plan_id = b.plan_id and {_GAP2} < 900 group by all) select plan_id, box_id, round(sqrt(d2), 4) as clearance, case when d2 = 0 then 'CRITICAL' else 'MAJOR' end as severity from p")
-def j4(v):
-    """Boxes less than 30 cm from a wall, with the least clearance."""
-    d = spatial.within(v.boxes, _segments(v), ["plan_id"], 30).groupBy(F.col("a.plan_id").alias("plan_id"), F.col("a.box_id").alias("box_id")).agg(F.min(geometry.gap_squared("a", "b")).alias("d2"))
-    return d.select("plan_id", "box_id", F.round(F.sqrt("d2"), 4).alias("clearance"), F.when(F.col("d2") == 0, "CRITICAL").otherwise("MAJOR").alias("severity"))
-
-
 @query("J8_corridor_crossings", f"select a.plan_id, a.corridor_id as h_id, b.corridor_id as v_id from corridors a join corridors b on a.plan_id = b.plan_id and a.w >= a.h and b.w < b.h and {_STRICT}")
 def j8(v):
     """Horizontal corridors that cross vertical ones."""
@@ -219,15 +193,6 @@ def j18(v):
     return b.where(geometry.inside(F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2, F.col("ring"))).select("box_id")
 
 
-@query("J17_edge_partitions", f"with s as (select box_id, plan_id, floor_level, x as c, y as lo, y + h as hi from boxes union all select box_id, plan_id, floor_level, x + w, y, y + h from boxes) select a.box_id, count(distinct b.box_id) as neighbours from s a join s b on a.plan_id = b.plan_id and a.floor_level = b.floor_level and a.box_id <> b.box_id and abs(a.c - b.c) <= 10 and a.lo < b.hi and b.lo < a.hi group by a.box_id")
-def j17(v):
-    """Boxes whose vertical edges line up with a neighbour's edge (10 cm): shared partitions."""
-    e = v.boxes.select("box_id", *FLOOR, F.explode(F.array("x", F.col("x") + F.col("w"))).alias("x"), "y", F.lit(0).alias("w"), "h")
-    c = lambda t, n: F.col(f"{t}.{n}")
-    near = (F.abs(c("a", "x") - c("b", "x")) <= 10) & (c("a", "y") < c("b", "y") + c("b", "h")) & (c("b", "y") < c("a", "y") + c("a", "h")) & (c("a", "box_id") != c("b", "box_id"))
-    return spatial.grid_join(e, e, FLOOR, near, pad=10).groupBy(c("a", "box_id").alias("box_id")).agg(F.countDistinct(c("b", "box_id")).alias("neighbours"))
-
-
 @query("J20_room_adjacency", f"select a.plan_id, a.zone_id, count(*) filter (b.kind = 'exit') as exits, count(*) filter (b.kind = 'corridor') as corridors from zones a join (select plan_id, 'exit' as kind, x, y, 0 as w, 0 as h from exits union all select plan_id, 'corridor', x, y, w, h from corridors) b on a.plan_id = b.plan_id and {_GAP2} < 10000 group by a.plan_id, a.zone_id")
 def j20(v):
     """Exits and corridors within a metre of each zone."""

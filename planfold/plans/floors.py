@@ -156,12 +156,6 @@ def j12(v):
     return ends.join(near, ["wall_id", "e"], "left").select("plan_id", "wall_id", "e", state.alias("state"), F.round(F.sqrt("d2"), 4).alias("distance"))
 
 
-@query("P25_exit_widths", "select plan_id, exit_id, width, width >= 90 as accessible from (select plan_id, exit_id, case exit_id when 0 then 70 when 1 then 90 + x % 40 else 85 + y % 20 end as width from exits) t")
-def p25(v):
-    width = F.when(F.col("exit_id") == 0, 70).when(F.col("exit_id") == 1, 90 + F.col("x") % 40).otherwise(85 + F.col("y") % 20)
-    return v.exits.select("plan_id", "exit_id", width.alias("width"), (width >= 90).alias("accessible"))
-
-
 @query("C11_corridor_class", f"""with x as (select distinct a.corridor_id from corridors a join (select *, 0 as w, 0 as h from exits) b on a.plan_id = b.plan_id and {_GAP2} < 250000), n as (select distinct a.corridor_id from corridors a join boxes b on a.plan_id = b.plan_id and {_GAP2} < 40000)
   select c.plan_id, c.corridor_id, case when x.corridor_id is not null then 'main' when n.corridor_id is not null then 'access' else 'connecting' end as class from corridors c left join x using (corridor_id) left join n using (corridor_id)""")
 def c11(v):

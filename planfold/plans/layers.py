@@ -125,12 +125,6 @@ def w12(v):
     return gaps.where("spacing is not null").groupBy("plan_id", "spacing").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("M1_entity_features", f"select entity_id, cast(length(layer) as double) as f_name, color % 256 / 255.0 as f_color, len_cm / 100.0 as f_length, case when entity_type = 'LWPOLYLINE' then 1.0 else 0.0 end as f_closed, case when entity_type = 'LINE' then 1.0 else 0.0 end as f_line from entities")
-def m1(v):
-    one = lambda k: F.when(F.col("entity_type") == k, 1.0).otherwise(0.0)
-    return v.entities.select("entity_id", F.length("layer").cast("double").alias("f_name"), (F.col("color") % 256 / 255.0).alias("f_color"), (F.col("len_cm") / 100.0).alias("f_length"), one("LWPOLYLINE").alias("f_closed"), one("LINE").alias("f_line"))
-
-
 @query("M3_one_hot", f"select entity_id, case when t = 'envelope' then 1 else 0 end || ',' || case when t = 'entrance' then 1 else 0 end || ',' || case when t = 'forbidden' then 1 else 0 end || ',' || case when t = 'wall' then 1 else 0 end as label from (select entity_id, split_part(c, ':', 1) as t from {_CLASS} u) w")
 def m3(v):
     classes = F.array(*(F.lit(c) for c in ("envelope", "entrance", "forbidden", "wall")))

@@ -93,20 +93,6 @@ def j11(v):
     return v.corridors.join(on_zone.union(cut), "corridor_id", "left_anti").select("plan_id", "corridor_id")
 
 
-@query("J23_first_failure", f"""with z as (select distinct a.box_id from boxes a join zones b on a.plan_id = b.plan_id and {_TOUCH}), o as (select distinct unnest([a.box_id, b.box_id]) as box_id from boxes a join boxes b on a.plan_id = b.plan_id and a.floor_level = b.floor_level and a.box_id < b.box_id and {_STRICT}),
-  e as (select distinct a.box_id from boxes a join (select *, 0 as w, 0 as h from exits) b on a.plan_id = b.plan_id and {_GAP2} < 2500)
-  select b.plan_id, b.box_id, case when b.x < 0 or b.y < 0 or b.x + b.w > 12000 or b.y + b.h > 9000 then 'bounds' when z.box_id is not null then 'zone' when o.box_id is not null then 'box' when e.box_id is not null then 'exit' else 'ok' end as reason from boxes b left join z using (box_id) left join o using (box_id) left join e using (box_id)""")
-def j23(v):
-    flag = lambda df, name: df.distinct().withColumn(name, F.lit(True))
-    one = lambda df: df.select(F.col("a.box_id").alias("box_id"))
-    z = flag(one(spatial.grid_join(v.boxes, v.zones, ["plan_id"], geometry.overlap("a", "b", strict=False))), "z")
-    o = flag(spatial.overlapping(v.boxes, FLOOR).select(F.explode(F.array("a_id", "b_id")).alias("box_id")), "o")
-    e = flag(one(spatial.within(v.boxes, spatial.points(v.exits), ["plan_id"], 50)), "e")
-    j = v.boxes.join(v.plans, "plan_id").join(z, "box_id", "left").join(o, "box_id", "left").join(e, "box_id", "left")
-    out = (F.col("x") < F.col("min_x")) | (F.col("y") < F.col("min_y")) | (F.col("x") + F.col("w") > F.col("max_x")) | (F.col("y") + F.col("h") > F.col("max_y"))
-    return j.select("plan_id", "box_id", F.when(out, "bounds").when(F.col("z"), "zone").when(F.col("o"), "box").when(F.col("e"), "exit").otherwise("ok").alias("reason"))
-
-
 @query("J25_proximity_graph", "select a.plan_id, count(*) as n from boxes a join boxes b on a.plan_id = b.plan_id and a.floor_level = b.floor_level and a.box_id < b.box_id and pow(a.x + a.w / 2.0 - b.x - b.w / 2.0, 2) + pow(a.y + a.h / 2.0 - b.y - b.h / 2.0, 2) < 1000000 group by a.plan_id")
 def j25(v):
     centres = spatial.points(v.boxes.select("plan_id", "floor_level", "box_id", (2 * F.col("x") + F.col("w")).alias("x"), (2 * F.col("y") + F.col("h")).alias("y")))
@@ -167,19 +153,6 @@ def a19(v):
     return v.boxes.groupBy("plan_id", cell("x", "w").alias("gx"), cell("y", "h").alias("gy")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("A21_layout_features", f"""with o as (select plan_id, count(*) as n from (select a.plan_id from boxes a join boxes b on a.plan_id = b.plan_id and a.floor_level = b.floor_level and a.box_id < b.box_id and {_STRICT}) t group by plan_id),
-  b as (select plan_id, count(*) as boxes, sum(cast(w as bigint) * h) as area, avg(distance) as d, stddev_pop(x + w / 2.0) as sx, stddev_pop(y + h / 2.0) as sy from {_NEAR} t group by plan_id), c as (select plan_id, count(*) as corridors, sum(cast(w as bigint) * h) as area from corridors group by plan_id)
-  select b.plan_id, b.boxes, coalesce(c.corridors, 0) as corridors, coalesce(o.n, 0) as collisions, round(b.area / 108000000.0, 6) as density, round(b.sx, 3) as spread_x, round(b.sy, 3) as spread_y, round(b.d, 3) as exit_distance, round(b.area * 1.0 / (b.area + coalesce(c.area, 0)), 6) as efficiency from b left join c using (plan_id) left join o using (plan_id)""")
-def a21(v):
-    o = spatial.overlapping(v.boxes, FLOOR).groupBy("plan_id").agg(F.count(F.lit(1)).alias("collisions"))
-    area = F.sum(F.col("w").cast("long") * F.col("h"))
-    b = spatial.nearest_exit(v.boxes, v.exits).groupBy("plan_id").agg(F.count(F.lit(1)).alias("boxes"), area.alias("area"), F.avg("distance").alias("d"), F.stddev_pop(F.col("x") + F.col("w") / 2.0).alias("sx"), F.stddev_pop(F.col("y") + F.col("h") / 2.0).alias("sy"))
-    c = v.corridors.groupBy("plan_id").agg(F.count(F.lit(1)).alias("corridors"), area.alias("c_area"))
-    j = b.join(c, "plan_id", "left").join(o, "plan_id", "left").fillna(0, ["corridors", "c_area", "collisions"])
-    r = lambda c, n, name: F.round(c, n).alias(name)
-    return j.select("plan_id", "boxes", "corridors", "collisions", r(F.col("area") / 108000000, 6, "density"), r("sx", 3, "spread_x"), r("sy", 3, "spread_y"), r("d", 3, "exit_distance"), r(F.col("area") / (F.col("area") + F.col("c_area")), 6, "efficiency"))
-
-
 _ROWKEY = "cast(floor((y + h / 2.0) / 400 + 0.5) as bigint)"
 
 

@@ -63,28 +63,6 @@ def a22(v):
     return j.select("plan_id", *(F.round(c, 6).alias(n) for n, c in parts.items()), F.round(score, 6).alias("score"))
 
 
-#: Sixteen grey and colour corners, by rule: each channel 0 or 255, then half-bright.
-PALETTE = [(i, *(255 // (1 + i // 8) * (i >> k & 1) for k in range(3))) for i in range(16)]
-_PALETTE = ", ".join(f"({i}, {r}, {g}, {b})" for i, r, g, b in PALETTE)
-_RGB = "(select distinct color, color * 7 % 256 as r, color * 13 % 256 as g, color * 29 % 256 as b from entities)"
-
-
-@query("C3_nearest_colour", f"with p(i, r, g, b) as (values {_PALETTE}), c as {_RGB} select c.color, arg_min(p.i, pow(c.r - p.r, 2) * 1000 + pow(c.g - p.g, 2) * 1000 + pow(c.b - p.b, 2) * 1000 + p.i) as nearest from c cross join p group by c.color")
-def c3(v):
-    """Nearest palette entry of each distinct colour (ties: the smaller index)."""
-    c = v.entities.select("color").distinct().withColumn("r", F.col("color") * 7 % 256).withColumn("g", F.col("color") * 13 % 256).withColumn("b", F.col("color") * 29 % 256)
-    ranked = F.array(*(F.struct((F.pow(F.col("r") - r, 2) + F.pow(F.col("g") - g, 2) + F.pow(F.col("b") - b, 2)).alias("d"), F.lit(i).alias("i")) for i, r, g, b in PALETTE))
-    return c.select("color", F.array_min(ranked)["i"].alias("nearest"))
-
-
-@query("C2_colour_class", f"select color, case when r > 150 and g < 100 and b < 100 then 'entrance' when b > 150 and r < 100 then 'forbidden' when greatest(r, g, b) - least(r, g, b) < 40 then 'wall' else 'other' end as class from {_RGB} t")
-def c2(v):
-    """Reds are entrances, blues forbidden, greys walls."""
-    c = v.entities.select("color").distinct().withColumn("r", F.col("color") * 7 % 256).withColumn("g", F.col("color") * 13 % 256).withColumn("b", F.col("color") * 29 % 256)
-    kind = F.when((F.col("r") > 150) & (F.col("g") < 100) & (F.col("b") < 100), "entrance").when((F.col("b") > 150) & (F.col("r") < 100), "forbidden").when(F.greatest("r", "g", "b") - F.least("r", "g", "b") < 40, "wall")
-    return c.select("color", kind.otherwise("other").alias("class"))
-
-
 _CELL = 500
 
 
@@ -148,16 +126,6 @@ def m4(v):
     return v.entities.select("plan_id", part.alias("part")).groupBy("plan_id", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("M5_augmented", "with g as (select zone_id, unnest([0, 1, 2]) as copy from zones) select copy, count(*) as n, count(distinct zone_id) as zones, true as within from g group by copy")
-def m5(v):
-    """Each zone with two noisy copies, at most 5 % off; the noise comes from a hash."""
-    z = v.zones.withColumn("copy", F.explode(F.array(*(F.lit(i) for i in range(3)))))
-    noise = lambda n: F.when(F.col("copy") == 0, 0.0).otherwise((F.pmod(F.xxhash64("zone_id", "copy", F.lit(n)), F.lit(10001)) / 10000 - 0.5) / 10)
-    z = z.withColumn("nw", F.col("w") * (1 + noise("w"))).withColumn("nh", F.col("h") * (1 + noise("h")))
-    near = (F.abs(F.col("nw") / F.col("w") - 1) <= 0.05) & (F.abs(F.col("nh") / F.col("h") - 1) <= 0.05)
-    return z.groupBy("copy").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("zone_id").alias("zones"), F.bool_and(near).alias("within"))
-
-
 @query("M8_room_classifier")
 def m8(v):
     """Zones classified by a multilayer perceptron on their shape, trained on the hash split; the confusion of the test part."""
