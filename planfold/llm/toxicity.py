@@ -8,8 +8,8 @@ Labels are read from rows whose crc32(doc_id as text) mod 4 is not 2. At most TR
 models: three fifths grow the trees, two fifths calibrate. Lang, source, doc_id and labels are never inputs of a score.
 
 Defined results: null or empty text is scored like any text, with all features 0; a doc_id with several labels counts as toxic if
-one says so; null labels are left out; with fewer than MIN_CLASS labelled rows of either class the score is the share of toxic rows
-(0 without labels). Rows that repeat a doc_id are scored one by one. Extra columns are ignored by scored(), kept by drop_toxic()."""
+one says so; null labels are left out; with fewer than MIN_CLASS labelled texts of either class, or none to grow or to calibrate with, the score
+is the share of toxic ones (0 without labels). Rows that repeat a doc_id are scored one by one. Extra columns are ignored by scored(), kept by drop_toxic()."""
 
 from __future__ import annotations
 
@@ -23,7 +23,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planfold.llm.common import cut, fold, map_texts, table, without
+from planfold.llm.common import cut, fold, map_texts, table, without, written
 
 TRAIN_ROWS, LEXICON_ROWS, MIN_CLASS = 20_000, 2_000, 5
 THRESHOLD, TREES, DEPTH = 0.3, 20, 3
@@ -118,15 +118,16 @@ def scored(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     """docs(doc_id, text), labels(doc_id, toxic) -> doc_id, held_out, score, predicted."""
     docs = docs.select("doc_id", "text")
     sample = labelled(labels, train_rows)
-    train = docs.join(F.broadcast(sample), "doc_id")  # at most train_rows rows of a few bytes
-    counts = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    train = written(docs.join(F.broadcast(sample), "doc_id"))  # at most train_rows rows of a few bytes are sent
+    counts = {(r.toxic, r.grows): r["count"] for r in train.groupBy("toxic", (F.col("part") < 3).alias("grows")).count().collect()}
+    clean, toxic = (sum(n for (x, _), n in counts.items() if (x == 1) == (want == 1)) for want in (0, 1))
     held_out = F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out")
-    score = F.lit(counts.get(1, 0) / max(1, sum(counts.values())))
-    if min(counts.get(0, 0), counts.get(1, 0)) < MIN_CLASS:
+    score = F.lit(toxic / max(1, clean + toxic))
+    if min(clean, toxic) < MIN_CLASS or len(counts) < 4:
         rows = docs
     else:
         lexicons = learned_lexicons(train)
-        rows = cut(measured(train, lexicons, "toxic", "part", "half").select(F.col("toxic").cast("double").alias("label"), "part", array_to_vector("features").alias("features")).coalesce(4))
+        rows = cut(measured(train, lexicons, "toxic", "part", "half").select(F.col("toxic").cast("double").alias("label"), "part", array_to_vector("features").alias("features"))).coalesce(4)  # bounded, as train_rows are
         trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, maxBins=32, subsamplingRate=1.0, seed=7).fit(rows.where("part < 3"))
         p = vector_to_array("probability")[1]
         steps = IsotonicRegression(featuresCol="p", labelCol="label").fit(trees.transform(rows.where("part >= 3")).select(p.alias("p"), "label"))
