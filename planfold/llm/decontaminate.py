@@ -4,7 +4,8 @@ Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z. A window
 not none, is one window. A document word inside any occurrence of a window is hit.
 
 The automaton is broadcast, so its size is checked: item texts are summed first, and beyond BLOCK_CHARS they go into several
-automata of that size at most (items by a hash), whose findings are merged by document.
+automata of about that size (items by a hash). Then the findings of one automaton are written before the items of the next come to
+the driver, and merged by document in the end.
 
 Defined results: null text has no words; items without words match nothing; equal items are each found; rows that repeat a doc_id
 are reported one by one. Extra columns are ignored by contamination() and kept by drop_contaminated()."""
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planfold.llm.common import map_texts, raw_texts, table, without
+from planfold.llm.common import map_texts, raw_texts, table, without, written
 
 WINDOW = 10
 #: Characters of items in one automaton (about 100 bytes of memory each).
@@ -93,30 +94,28 @@ def _scan(items: list[tuple[int, str]]):
 
 
 def _item_blocks(benchmark: DataFrame, block_chars: int):
-    """Items by blocks of block_chars characters at most, about; only one block is on the driver at a time."""
+    """(blocks, a function from a block's number to its items): blocks of block_chars characters at most, about."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = -(-chars // block_chars) or 1
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
-    for k in range(blocks):
-        yield [tuple(r) for r in dealt.where(F.col("block") == k).select("item_id", "text").orderBy("item_id", "text").collect()]
+    return blocks, lambda k: [tuple(r) for r in dealt.where(F.col("block") == k).select("item_id", "text").orderBy("item_id", "text").collect()]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> doc_id, n_words, n_hit, n_items, items_sha256, contaminated, ranges, items."""
     schema = "doc_id long, row long, n_words long, ranges array<struct<a: int, b: int>>, items array<long>"
-    blocks = list(_item_blocks(benchmark, block_chars))
-    if len(blocks) == 1:
-        found = map_texts(docs.withColumn("row", F.lit(0).cast("long")), ["doc_id", "row", "text"], schema, _scan(blocks[0]))
+    blocks, items = _item_blocks(benchmark, block_chars)
+    if blocks == 1:
+        found = map_texts(docs.withColumn("row", F.lit(0).cast("long")), ["doc_id", "row", "text"], schema, _scan(items(0)))
     else:
-        rows = docs.withColumn("row", F.xxhash64("text"))
-        parts = [map_texts(rows, ["doc_id", "row", "text"], schema, _scan(b)) for b in blocks]
-        found = parts[0]
-        for part in parts[1:]:
-            found = found.union(part)
+        rows, found = docs.withColumn("row", F.xxhash64("text")), None
+        for k in range(blocks):
+            part = written(map_texts(rows, ["doc_id", "row", "text"], schema, _scan(items(k))))
+            found = part if found is None else found.union(part)
         # equal rows (same doc_id and text) stay apart: each block reports each of them once
         found = found.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("ranges"))).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.count(F.lit(1)).alias("copies"))
-        found = found.withColumn("again", F.explode(F.expr(f"sequence(1, cast(copies / {len(blocks)} as int))")))
+        found = found.withColumn("again", F.explode(F.expr(f"sequence(1, cast(copies / {blocks} as int))")))
     hit = "aggregate(ranges, named_struct('n', 0L, 'to', 0), (s, r) -> named_struct('n', s.n + greatest(0, r.b - greatest(r.a, s.to)), 'to', greatest(s.to, r.b)), s -> s.n)"
     ids = "array_join(array_sort(transform(items, i -> cast(i as string))), ',')"
     return found.selectExpr("doc_id", "n_words", f"{hit} as n_hit", "cast(size(items) as long) as n_items", f"sha2({ids}, 256) as items_sha256", "size(items) > 0 as contaminated", "ranges", "items")
