@@ -24,7 +24,9 @@ from planfold.llm.common import fold, map_texts, table
 
 TRAIN_ROWS = 3_000
 BUCKETS = 1 << 15
-ROUNDS, SET_ROUNDS, MOST = 8, 4, 3
+ROUNDS, SET_ROUNDS = 8, 4
+#: Texts that are fitted together, and numbers (trigrams times languages) in a table of theirs, about.
+TOGETHER, CELLS = 250, 4_000_000
 SMOOTH = 0.5
 #: Digits, punctuation and controls count as blanks.
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -90,11 +92,13 @@ def mixtures(texts: list[np.ndarray], model: np.ndarray) -> tuple[np.ndarray, np
     share = settle(np.full((langs, len(full)), 1 / langs, np.float32), ROUNDS)
     rank = np.argsort(np.argsort(-share, axis=0, kind="stable"), axis=0, kind="stable")
     top, chosen = np.full(len(full), -np.inf), None
-    for k in range(1, min(MOST, langs) + 1):
+    for k in range(1, langs + 1):
         part = np.where(rank < k, np.maximum(share, 1e-6), 0).astype(np.float32)
         part = settle(part / part.sum(axis=0), SET_ROUNDS if k > 1 else 0)
         likely = np.add.reduceat(weight * np.log((p * part[:, of]).sum(axis=0)), starts).astype(np.float64) - 0.5 * (k - 1) * np.log(total)
         better = likely > top + 1e-9
+        if not better.any():
+            break
         top, chosen = np.where(better, likely, top), part if chosen is None else np.where(better, part, chosen)
     best[full] = chosen.argmax(axis=0)
     # few trigrams say little: shrunk towards an even mixture
@@ -110,11 +114,16 @@ def identified(docs: DataFrame) -> DataFrame:
         texts = batch.column("text").to_pylist()
         said = [bool(t and langs and _LETTER.search(t)) for t in texts]
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
-        for i in range(0, len(texts), 250):
-            at = [j for j in range(i, min(i + 250, len(texts))) if said[j]]
-            best, score = mixtures([trigrams(texts[j]) for j in at], model)
-            for j, b, s in zip(at, best.tolist(), score.tolist(), strict=True):
-                names[j], scores[j] = langs[b], min(1.0, max(0.0, s))
+        at, grams, cells = [], [], 0
+        for j, text in enumerate(texts):
+            if said[j]:
+                at.append(j)
+                grams.append(trigrams(text))
+                cells += len(langs) * min(BUCKETS, len(grams[-1]))
+            if at and (cells > CELLS or len(at) == TOGETHER or j == len(texts) - 1):
+                for k, b, s in zip(at, *(x.tolist() for x in mixtures(grams, model)), strict=True):
+                    names[k], scores[k] = langs[b], min(1.0, max(0.0, s))
+                at, grams, cells = [], [], 0
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     found = map_texts(docs, ["doc_id", "text"], "doc_id long, lang_pred string, score double", each)

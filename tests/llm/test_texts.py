@@ -11,9 +11,10 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from tests.llm.conftest import ODD, WORD, lower_az
+from tests.llm.conftest import LONG, ODD, WORD, lower_az
 from tokenizers import Tokenizer
 
+from planfold.llm import common as common_
 from planfold.llm import decontaminate, language, line_dedup, pii, quality, token_files, toxicity
 
 BASE = {
@@ -182,7 +183,9 @@ def plain_lines(rows):
     return out
 
 
-def test_line_dedup(documents):
+@pytest.mark.parametrize("ids", [10**6, 0])
+def test_line_dedup(documents, monkeypatch, ids):
+    monkeypatch.setattr(common_, "BROADCAST_IDS", ids)
     common = "This line is long enough to be counted, and it is everywhere"
     rows = [*ODD, *((20 + i, f"first {i}\n \t{common.upper() if i % 2 else common}\r\nshort\n\n{common}") for i in range(7)), (26, common), (None, common), (40, common[:39] + "\nshort"), (41, "short")]
     got = [tuple(r) for r in line_dedup.deduplicated_lines(documents(rows)).collect()]
@@ -231,6 +234,12 @@ def test_contamination(documents, spark, block):
     assert left.columns == documents(rows).columns
 
 
+def test_contamination_of_nothing(documents, spark):
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    for block in (10**6, 1):
+        assert decontaminate.contamination(documents([]), bench, block).count() == 0
+
+
 def test_contamination_without_items(documents, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(r.contaminated for r in decontaminate.contamination(documents(ODD), none).collect())
@@ -322,6 +331,60 @@ def test_language(documents):
     assert {r.lang_pred for r in language.identified(documents([(1, "some text", None)])).collect()} == {"und"}
 
 
+def plain_mixture(grams, model):
+    """The language of one text: EM over all languages, then over the likeliest 1, 2, ... of them, by the docstring's formulas."""
+    p, w = model[:, np.unique(grams)].astype(float), np.unique(grams, return_counts=True)[1].astype(float)
+
+    def settle(share, rounds):
+        for _ in range(rounds):
+            part = p * share[:, None]
+            share = (part / part.sum(axis=0) * w).sum(axis=1) / w.sum()
+        return share
+
+    share = settle(np.full(len(model), 1 / len(model)), language.ROUNDS)
+    order, best = sorted(range(len(model)), key=lambda i: -share[i]), None
+    for k in range(1, len(model) + 1):
+        some = np.zeros(len(model))
+        some[order[:k]] = np.maximum(share[order[:k]], 1e-6)
+        some = settle(some / some.sum(), language.SET_ROUNDS if k > 1 else 0)
+        likely = (w * np.log((p * some[:, None]).sum(axis=0))).sum() - 0.5 * (k - 1) * np.log(w.sum())
+        if best is None or likely > best[0]:
+            best = (likely, some)
+    return int(best[1].argmax()), (w.sum() * best[1].max() + 1) / (w.sum() + len(model))
+
+
+def test_mixtures_against_a_plain_version():
+    rng = np.random.RandomState(6)
+    model = rng.dirichlet(np.full(300, 0.3), 5) + 1e-6
+    model = (model / model.sum(axis=1, keepdims=True)).astype(np.float32)
+    texts = []
+    for i in range(60):
+        langs = rng.choice(5, 1 + i % 4, replace=False)
+        texts.append(np.concatenate([rng.choice(300, rng.randint(20, 400), p=model[x] / model[x].sum(dtype=float)) for x in langs]))
+    best, score = language.mixtures(texts, model)
+    for t, b, s in zip(texts, best, score, strict=True):
+        expected = plain_mixture(t, model)
+        assert b == expected[0] and abs(s - expected[1]) < 5e-3
+
+
+def test_language_of_odd_rows(documents, monkeypatch):
+    rows = [(100 + i, f"the house of the sea {i}" if i % 2 else f"das haus und die see {i}", "en" if i % 2 else "de") for i in range(40)] + ODD
+    got = sorted(map(tuple, language.identified(documents(rows)).collect()))
+    assert len(got) == len(rows)
+    monkeypatch.setattr(language, "CELLS", 10)
+    assert sorted(map(tuple, language.identified(documents(rows)).collect())) == got
+    assert language.identified(documents([])).count() == 0
+
+
+def test_toxicity_features_of_odd_rows():
+    lexicon = {"grum": 2.0}
+    assert toxicity.features(None, lexicon) == toxicity.features("", lexicon) == [0.0] * toxicity.FEATURES
+    tokens = "You are a GRUMBLO!! grumblo w0rd soooo".split()
+    f = toxicity.features(" ".join(tokens), lexicon)
+    assert f[0] == 2 / 7 and f[1] == 4 / 7 and f[3] == 2.0 and f[5] == 1.0 and f[6] == 1 / 7 and f[10] == 1 / 7 and f[11] == 1 / 7
+    assert len(toxicity.features(LONG * 3, lexicon)) == toxicity.FEATURES
+
+
 def test_toxicity(documents, spark):
     rng = np.random.RandomState(3)
     calm, bad = [f"calm{chr(97 + i)}{chr(97 + i)}" for i in range(26)], ["grumblo", "snarkit", "fozzle"]
@@ -332,7 +395,7 @@ def test_toxicity(documents, spark):
         rng.shuffle(words)
         rows.append((i, " ".join(words)))
         labels.append((i, 1, toxic, "x"))
-    rows += [(900, None), (901, ""), (902, "grumblo snarkit you fozzle"), (902, "calmaa")]
+    rows += [(900, None), (901, ""), (902, "grumblo snarkit you fozzle"), (902, "calmaa"), (903, LONG), (904, "calmaa"), (904, "calmaa")]
     labels += [(900, 1, None, "x"), (None, 1, 1, "x"), (0, 1, 1, "x")]
     table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string")
     got = toxicity.scored(documents(rows), table).collect()
@@ -340,6 +403,7 @@ def test_toxicity(documents, spark):
     held = [r for r in got if r.held_out and r.doc_id < 400]
     assert sum(r.predicted == (r.doc_id % 5 == 0) for r in held) >= 0.97 * len(held)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    assert toxicity.scored(documents([]), table).count() == 0
     left = toxicity.drop_toxic(documents(rows), table)
     assert 5 not in {r.doc_id for r in left.collect()} and left.columns == documents(rows).columns
 
