@@ -1,26 +1,33 @@
 """Graphs as edge tables: components, reachability, shortest paths, rounds of greedy choices. Loops end when nothing changes; each round is
-cut by a checkpoint in the shared folder that the cluster names (spark.checkpoint.dir)."""
+cut by a written table in the shared folder that the cluster names (spark.checkpoint.dir)."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, under spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A new folder that driver and executors share, under spark.checkpoint.dir; a temporary one only in local mode where that is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="planfold-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="planfold-"))
     return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written as Parquet to the shared folder and read again. Unlike a checkpoint the copy doesn't carry the constraints that Spark has
+    inferred so far, which grow from round to round of a loop."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -41,26 +48,25 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
     raise RuntimeError("components did not settle")
 
 
-def distances(sources: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
+def distances(sources: DataFrame, edges: DataFrame) -> DataFrame:
     """sources(id), edges(a, b, cost), both ways -> (id, cost): least cost from a source, by relaxing all edges until nothing falls."""
     both = cut(edges.select("a", "b", "cost").union(edges.select("b", "a", "cost")).groupBy("a", "b").agg(F.min("cost").alias("cost")))
     best = cut(sources.select("id").distinct().withColumn("total", F.lit(0).cast("double")))
     front = best
-    for _ in range(rounds):
+    while True:
         step = front.join(both, F.col("id") == F.col("a")).groupBy(F.col("b").alias("id")).agg(F.min(F.col("total") + F.col("cost")).alias("new"))
         front = cut(step.join(best, "id", "left").where("total is null or new < total").select("id", F.col("new").alias("total")))
         if front.isEmpty():
             return best.withColumnRenamed("total", "cost")
         best = cut(best.unionByName(front).groupBy("id").agg(F.min("total").alias("total")))
-    raise RuntimeError("distances did not settle")
 
 
-def kept_in_order(nodes: DataFrame, conflicts: DataFrame, rounds: int = 200) -> DataFrame:
+def kept_in_order(nodes: DataFrame, conflicts: DataFrame) -> DataFrame:
     """nodes(id, place), conflicts(a, b) -> ids kept by a scan in order of place that drops what conflicts with a kept one. In each round
     every live node that comes before all its live neighbours is kept and its neighbours go: the same result as the scan."""
     both = cut(conflicts.select("a", "b").union(conflicts.select("b", "a")).distinct())
     live, kept = cut(nodes.select("id", "place")), None
-    for _ in range(rounds):
+    while True:
         links = both.join(live.select(F.col("id").alias("a"), F.col("place").alias("pa")), "a").join(live.select(F.col("id").alias("b"), F.col("place").alias("pb")), "b")
         beaten = links.where("pb < pa or (pb = pa and b < a)").select(F.col("a").alias("id")).distinct()
         won = cut(live.join(beaten, "id", "left_anti"))
@@ -69,14 +75,13 @@ def kept_in_order(nodes: DataFrame, conflicts: DataFrame, rounds: int = 200) ->
         live = cut(live.join(gone.distinct(), "id", "left_anti"))
         if live.isEmpty():
             return kept
-    raise RuntimeError("the order did not settle")
 
 
-def mutual_nearest(pairs: DataFrame, rounds: int = 200) -> DataFrame:
+def mutual_nearest(pairs: DataFrame) -> DataFrame:
     """pairs(a, b, distance) -> one-to-one pairs: rounds of pairs that are each other's nearest, by (distance, a, b), until none is
     left. Equal to taking pairs greedily in global order."""
     live, done = cut(pairs.select("a", "b", "distance")), None
-    for _ in range(rounds):
+    while True:
         by = lambda k: live.groupBy(k).agg(F.min(F.struct("distance", "a", "b")).alias(f"best_{k}"))  # noqa: B023, E731
         both = live.join(by("a"), "a").join(by("b"), "b")
         me = F.struct("distance", "a", "b")
@@ -85,4 +90,69 @@ def mutual_nearest(pairs: DataFrame, rounds: int = 200) -> DataFrame:
         if won.isEmpty():
             return done
         live = cut(live.join(won.select("a"), "a", "left_anti").join(won.select("b"), "b", "left_anti"))
-    raise RuntimeError("pairs did not settle")
+
+
+def nearest_pairs(pairs: DataFrame) -> DataFrame:
+    """pairs(a, b, distance) of nodes of one kind -> pairs in which no node comes twice, taken greedily by (distance, a, b): rounds of
+    pairs that are the least of both their nodes."""
+    live, done = cut(pairs.select("a", "b", "distance")), None
+    me = F.struct("distance", "a", "b")
+    while True:
+        best = cut(live.select(F.explode(F.array("a", "b")).alias("node"), me.alias("p")).groupBy("node").agg(F.min("p").alias("best")))
+        of = lambda k: best.select(F.col("node").alias(k), F.col("best").alias(f"best_{k}"))  # noqa: B023, E731
+        won = cut(live.join(of("a"), "a").join(of("b"), "b").where((me == F.col("best_a")) & (me == F.col("best_b"))).select("a", "b", "distance"))
+        done = won if done is None else done.union(won)
+        if won.isEmpty():
+            return done
+        gone = won.select(F.explode(F.array("a", "b")).alias("a"))
+        live = cut(live.join(gone, "a", "left_anti").join(gone.withColumnRenamed("a", "b"), "b", "left_anti"))
+
+
+def predecessors(costs: DataFrame, edges: DataFrame) -> DataFrame:
+    """costs(id, cost) from distances(), edges(a, b, cost), both ways -> (id, before): for each node that costs something, the smallest
+    node before it on a least path."""
+    both = edges.select("a", "b", "cost").union(edges.select("b", "a", "cost")).withColumnRenamed("cost", "step")
+    ahead = both.join(costs.select(F.col("id").alias("a"), F.col("cost").alias("ca")), "a").join(costs.select(F.col("id").alias("b"), F.col("cost").alias("cb")), "b")
+    on_path = ahead.where((F.col("ca") < F.col("cb")) & (F.abs(F.col("ca") + F.col("step") - F.col("cb")) < 1e-6))
+    return on_path.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("before"))
+
+
+def roots(parents: DataFrame) -> DataFrame:
+    """parents(id, before) without cycles -> (id, root): the last node that is no one's child, by doubling pointers."""
+    now = cut(parents.select("id", F.col("before").alias("root")))
+    while True:
+        up = now.select(F.col("id").alias("root"), F.col("root").alias("_next"))
+        after = cut(now.join(up, "root", "left").select("id", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")))
+        now = after.select("id", "root")
+        if after.where("_moved").isEmpty():
+            return now
+
+
+def spanning_bridges(nodes: DataFrame, near: Callable[[DataFrame, int], DataFrame], reach: int) -> DataFrame:
+    """nodes(id, group, component, ...) -> (a, b, distance): the shortest bridges that join the components of each group to one tree.
+
+    near(nodes, reach) gives pairs(a, b, distance) of nodes, a < b, at most reach apart. Within a reach each component takes its shortest
+    pair to another one (ties by ids) until there is none; then the reach doubles for the groups still in parts. Shorter pairs are all
+    dealt with before longer ones, so the tree is a minimum spanning tree."""
+    label = cut(nodes.withColumnRenamed("component", "label"))
+    found = None
+    while True:
+        parts = label.groupBy("group").agg(F.countDistinct("label").alias("n")).where("n > 1").select("group")
+        label = cut(label.join(parts, "group"))
+        if label.isEmpty():
+            return found if found is not None else label.sparkSession.createDataFrame([], "a long, b long, distance double")
+        pairs = cut(near(label, reach).select("a", "b", "distance"))
+        while True:
+            of = label.select("id", "label")
+            across = pairs.join(of.toDF("a", "la"), "a").join(of.toDF("b", "lb"), "b").where("la <> lb")
+            best = across.select(F.explode(F.array("la", "lb")).alias("label"), F.struct("distance", "a", "b").alias("p"), "la", "lb").groupBy("label").agg(F.min(F.struct("p", "la", "lb")).alias("m"))
+            best = cut(best.select("label", F.when(F.col("label") == F.col("m.la"), F.col("m.lb")).otherwise(F.col("m.la")).alias("other"), "m.p.a", "m.p.b", "m.p.distance"))
+            if best.isEmpty():
+                break
+            won = best.select("a", "b", "distance").distinct()
+            found = won if found is None else found.union(won)
+            # each component follows the one it chose; of two that chose each other the smaller is the root
+            mutual = best.alias("p").join(best.alias("q"), (F.col("p.other") == F.col("q.label")) & (F.col("q.other") == F.col("p.label")) & (F.col("p.label") < F.col("q.label"))).select(F.col("p.label").alias("label"))
+            top = roots(best.select("label", "other").join(mutual, "label", "left_anti").toDF("id", "before"))
+            label = cut(label.join(top.withColumnRenamed("id", "label"), "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root"))
+        reach *= 2

@@ -96,14 +96,6 @@ def r2(v):
     return found.join(reached, "component", "left_anti").join(v.corridors.select(F.col("corridor_id").alias("id"), "plan_id"), "id").select("plan_id", F.col("id").alias("corridor_id"))
 
 
-@query("R3_connectivity_report", _COMPONENTS + ", g as (select distinct c.component from c join x using (id)) select k.plan_id, count(distinct c.component) as components, count(*) as corridors, count(*) filter (g.component is null) as unreachable, count(distinct c.component) = 1 as connected from corridors k join c on c.id = k.corridor_id left join g using (component) group by k.plan_id")
-def r3(v):
-    found = _corridor_components(v).join(v.corridors.select(F.col("corridor_id").alias("id"), "plan_id"), "id")
-    reached = found.join(_with_exit(v), "id").select("component").distinct().withColumn("ok", F.lit(1))
-    j = found.join(reached, "component", "left")
-    return j.groupBy("plan_id").agg(F.countDistinct("component").alias("components"), F.count(F.lit(1)).alias("corridors"), F.count(F.when(F.col("ok").isNull(), 1)).alias("unreachable")).withColumn("connected", F.col("components") == 1)
-
-
 @query("R8_kept_components", _COMPONENTS + " select k.plan_id, c.component, cast(sum(greatest(k.w, k.h)) as bigint) as length, count(*) as corridors, max(case when x.id is null then 0 else 1 end) as has_exit from corridors k join c on c.id = k.corridor_id left join x on x.id = c.id group by k.plan_id, c.component having max(case when x.id is null then 0 else 1 end) = 1 or sum(greatest(k.w, k.h)) >= 2000")
 def r8(v):
     """Components with an exit near, or 20 m of corridor."""
@@ -122,19 +114,6 @@ def r5(v):
     return found.select(F.col("id").alias("corridor_id"), F.round("cost", 4).alias("cost"))
 
 
-@query("R7_level_hops", f"""with recursive e as (select distinct plan_id, level_a as a, level_a + 1 as b from {_PAIRS} p), n as (select distinct plan_id, floor_level as l from connectors),
-  r(plan_id, src, l, hops) as (select plan_id, l, l, 0 from n union select r.plan_id, r.src, case when e.a = r.l then e.b else e.a end, r.hops + 1 from r join e on e.plan_id = r.plan_id and (e.a = r.l or e.b = r.l) where r.hops < 4)
-  select plan_id, src as from_level, l as to_level, min(hops) as hops from r where src < l group by all""")
-def r7(v):
-    """Levels reachable from each level over vertical links: levels are few, so links form a chain and hops are differences in runs."""
-    up = _vertical(v).select("plan_id", F.col("floor_level").alias("a"), (F.col("floor_level") + 1).alias("b")).distinct()
-    out = reach = up.select("plan_id", F.col("a").alias("from_level"), F.col("b").alias("to_level"), F.lit(1).alias("hops"))
-    for _ in range(2):
-        reach = reach.join(up.select("plan_id", F.col("a").alias("to_level"), "b"), ["plan_id", "to_level"]).select("plan_id", "from_level", F.col("b").alias("to_level"), (F.col("hops") + 1).alias("hops"))
-        out = out.union(reach)
-    return out.groupBy("plan_id", "from_level", "to_level").agg(F.min("hops").alias("hops"))
-
-
 @query("W14_conflict_free_boxes")
 def w14(v):
     """Boxes kept by a scan in id order that drops overlaps."""
@@ -145,17 +124,6 @@ def w14(v):
 _ENDS = "(select plan_id, wall_id, 0 as e, x1 as x, y1 as y from walls union all select plan_id, wall_id, 1, x2, y2 from walls)"
 
 
-@query("J12_wall_ends", f"""with p as (select a.wall_id, a.e, min(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) as d2 from {_ENDS} a join {_ENDS} b on a.plan_id = b.plan_id and a.wall_id <> b.wall_id and pow(a.x - b.x, 2) + pow(a.y - b.y, 2) < 62500 group by all)
-  select a.plan_id, a.wall_id, a.e, case when d2 <= 225 then 'connected' when d2 is not null then 'gap' else 'open' end as state, round(sqrt(d2), 4) as distance from {_ENDS} a left join p using (wall_id, e)""")
-def j12(v):
-    """Each wall end: connected to another wall's end (15 cm), across a gap (2.5 m), or open."""
-    ends = spatial.points(v.walls.select("plan_id", "wall_id", F.explode(F.array(F.struct(F.lit(0).alias("e"), F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.lit(1).alias("e"), F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("s")).select("plan_id", "wall_id", "s.*"))
-    pairs = spatial.within(ends, ends, ["plan_id"], 250, F.col("a.wall_id") != F.col("b.wall_id"))
-    near = pairs.groupBy(F.col("a.wall_id").alias("wall_id"), F.col("a.e").alias("e")).agg(F.min(geometry.gap_squared("a", "b")).alias("d2"))
-    state = F.when(F.col("d2") <= 225, "connected").when(F.col("d2").isNotNull(), "gap").otherwise("open")
-    return ends.join(near, ["wall_id", "e"], "left").select("plan_id", "wall_id", "e", state.alias("state"), F.round(F.sqrt("d2"), 4).alias("distance"))
-
-
 @query("C11_corridor_class", f"""with x as (select distinct a.corridor_id from corridors a join (select *, 0 as w, 0 as h from exits) b on a.plan_id = b.plan_id and {_GAP2} < 250000), n as (select distinct a.corridor_id from corridors a join boxes b on a.plan_id = b.plan_id and {_GAP2} < 40000)
   select c.plan_id, c.corridor_id, case when x.corridor_id is not null then 'main' when n.corridor_id is not null then 'access' else 'connecting' end as class from corridors c left join x using (corridor_id) left join n using (corridor_id)""")
 def c11(v):
