@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planfold.llm.common import BROADCAST_IDS, LOWER, cut, map_texts, raw_texts, table, without, written
+from planfold.llm.common import LOWER, cut, few, map_texts, raw_texts, table, without, written
 from planfold.llm.graph import components
 
 SHINGLE, PERCENT = 5, 75
@@ -34,6 +34,8 @@ BITS, BATCH = 4, 32
 MISS = 1e-6
 #: Rounds of comparisons with the ends of buckets, and pairs a document from which a round takes one for each.
 ROUNDS, MANY = 8, 8
+#: Members of a bucket that one task compares with the others, about.
+SLOT = 2_000
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -54,14 +56,18 @@ def _tables() -> tuple[np.ndarray, int, int, np.ndarray, np.ndarray]:
 
 
 _powers: dict[int, np.ndarray] = {}
+#: Powers that a worker keeps; longer texts make their own and let them go.
+KEPT_POWERS = 1 << 20
 
 
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 4096) * 2, base, dtype=np.uint64)
+        have = np.full(min(max(n, 4096) * 2, max(n, KEPT_POWERS)), base, dtype=np.uint64)
         have[0] = 1
-        _powers[base] = have = np.cumprod(have, dtype=np.uint64)
+        have = np.cumprod(have, dtype=np.uint64)
+        if len(have) <= KEPT_POWERS:
+            _powers[base] = have
     return have[:n]
 
 
@@ -156,11 +162,9 @@ def _may_link(a: str, b: str, last_only: bool = False) -> str:
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(node, shingles) of the documents in ids(doc_id). The ids are counted and, up to BROADCAST_IDS of them, sent to the scan;
-    beyond, the texts are joined by a shuffle."""
-    needed = cut(ids.distinct())
-    needed = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed.hint("merge")
-    return map_texts(docs.join(needed, "doc_id", "left_semi"), ["doc_id", "text"], "node long, shingles array<long>", _sets)
+    """(node, shingles) of the documents in ids(doc_id). The ids are counted and, if they are few, sent to the scan; beyond, the texts
+    are joined by a shuffle."""
+    return map_texts(docs.join(few(cut(ids.distinct())), "doc_id", "left_semi"), ["doc_id", "text"], "node long, shingles array<long>", _sets)
 
 
 #: SQL: are the sets of rows x and y similar enough? 100 * c >= PERCENT * (|x| + |y| - c), with c common shingles.
@@ -171,7 +175,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs(a, b) whose full sets are similar enough. Only documents in a pair are shingled again."""
     sets = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.struct("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.struct("shingles").alias("y")), "b")
-    return both.where(_SIMILAR).select("a", "b").distinct()
+    return both.where(_SIMILAR).select("a", "b")  # components() makes them distinct: here that would tie them to the join's tasks
 
 
 def _open_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -179,7 +183,15 @@ def _open_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
     placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ends = [F.max(F.when(F.col("node") == F.col(x), F.col("component"))).alias(y) for x, y in (("low", "first"), ("high", "last"))]
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), *ends).where("least < most").drop("least", "most")
-    return placed.join(mixed, "bucket")
+    return placed.join(written(mixed).hint("merge"), "bucket")
+
+
+def _dealt(x: DataFrame, y: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join by bucket with a slot to join by as well: large buckets of x are dealt over slots of about SLOT rows, and
+    each of their rows of y goes to all of those slots."""
+    slots = written(x.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / SLOT).alias("slots"))).hint("merge")
+    dealt = x.join(slots, "bucket").withColumn("slot", F.pmod(F.xxhash64("node"), "slots")).drop("slots")
+    return dealt, y.join(slots, "bucket").withColumn("slot", F.explode(F.expr("sequence(0L, slots - 1)"))).drop("slots")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -191,7 +203,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = written(full.join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "codes", "buckets"))
     dealt = nodes.select("node", F.explode("buckets").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-    members = written(dealt.join(shared, "bucket"))
+    # what is known of buckets is written before it meets their members, so that Spark splits the large ones in the join
+    members = written(dealt.join(written(shared).hint("merge"), "bucket"))
     # longs of their own, as tests read them often
     code_columns = [F.col("codes")[i].alias(f"c{i}") for i in range(HASHES * BITS // 64)]
     codes = nodes.select("node", F.struct("n_shingles", *code_columns).alias("code"))
@@ -205,7 +218,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # 1. Each document with the most central one of its buckets: one pair a document gathers groups of any size.
     central = members.groupBy("node").agg(F.sum("n").alias("degree"))
     hubs = members.join(central, "node").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("k"))).alias("hub"))
-    nearest = members.join(hubs, "bucket").where("node <> -hub.k").groupBy("node").agg((-F.max("hub")["k"]).alias("hub"))
+    nearest = members.join(written(hubs).hint("merge"), "bucket").where("node <> -hub.k").groupBy("node").agg((-F.max("hub")["k"]).alias("hub"))
     tried = cut(nearest.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
     found = components(compared(tried))
     # 2. In buckets that still hold several components, their smallest and their largest member with all outside its component: one
@@ -229,17 +242,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     open_ = _open_buckets(members, found).where("n > 2 and node <> low and node <> high").select("bucket", "node", "component", "first")
     open_ = written(open_.join(nodes, "node").select("bucket", "node", "component", "first", "n_shingles", "buckets", F.array_position("buckets", F.col("bucket")).alias("band"), *code_columns))
     alone = open_.where("component <> first")
-    apart = "x.bucket = y.bucket and x.component <> y.component and (y.component = x.first or x.node < y.node)"
+    apart = "x.bucket = y.bucket and x.slot = y.slot and x.component <> y.component and (y.component = x.first or x.node < y.node)"
     test = F.expr(f"{apart} and {_may_link('x', 'y')}")
-    near = alone.alias("x").join(open_.alias("y"), test, "left_semi").union(open_.alias("y").join(alone.alias("x"), test, "left_semi"))
+    some, all_ = _dealt(alone, open_)
+    near = some.alias("x").join(all_.alias("y"), test, "left_semi").union(all_.alias("y").join(some.alias("x"), test, "left_semi"))
     near = cut(near.select("bucket", "node").distinct())
     if not near.isEmpty():
         sets = written(_sets_of(docs, near.select(F.col("node").alias("doc_id"))))
-        full = open_.join(near, ["bucket", "node"]).join(sets, "node")
+        full = written(open_.join(near, ["bucket", "node"]).join(sets, "node"))
+        some, all_ = _dealt(full.where("component <> first"), full)
         # short, as the JVM compiles no long methods: the whole signature at once, the first shared band, the sets
         once = "array_position(zip_with(x.buckets, y.buckets, (p, q) -> p = q), true) = x.band"
         full_test = F.expr(f"{apart} and {_may_link('x', 'y', last_only=True)} and {once} and {_SIMILAR}")
-        links = full.where("component <> first").alias("x").join(full.alias("y"), full_test).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        links = some.alias("x").join(all_.alias("y"), full_test).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         found = _joined(found, written(links.distinct()))
     places = classes.join(found, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "k1", "k2").join(places, ["k1", "k2"], "left")

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from tests.llm.conftest import ODD, WORD, lower_az
 
 from planfold.llm import near_dedup
@@ -49,7 +50,10 @@ def test_empty_table(documents):
     assert near_dedup.near_duplicates(documents([])).count() == 0
 
 
-def test_chains_copies_and_unrelated(documents):
+@pytest.mark.parametrize("slot", [2000, 2])
+def test_chains_copies_and_unrelated(documents, monkeypatch, slot):
+    monkeypatch.setattr(near_dedup, "SLOT", slot)
+    monkeypatch.setattr(near_dedup, "KEPT_POWERS", 4096 if slot > 2 else 100)
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     rows, n = [], 0
