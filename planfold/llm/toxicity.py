@@ -9,7 +9,7 @@ models: three fifths grow the trees, two fifths calibrate. Lang, source, doc_id
 
 Defined results: null or empty text is scored like any text, with all features 0; a doc_id with several labels counts as toxic if
 one says so; null labels are left out; with fewer than MIN_CLASS labelled texts of either class, or none to grow or to calibrate with, the score
-is the share of toxic ones (0 without labels). Rows that repeat a doc_id are scored one by one. Extra columns are ignored by scored(), kept by drop_toxic()."""
+is 0, as nothing was learned. Rows that repeat a doc_id are scored one by one. Extra columns are ignored by scored(), kept by drop_toxic()."""
 
 from __future__ import annotations
 
@@ -122,7 +122,7 @@ def scored(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     counts = {(r.toxic, r.grows): r["count"] for r in train.groupBy("toxic", (F.col("part") < 3).alias("grows")).count().collect()}
     clean, toxic = (sum(n for (x, _), n in counts.items() if (x == 1) == (want == 1)) for want in (0, 1))
     held_out = F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out")
-    score = F.lit(toxic / max(1, clean + toxic))
+    score = F.lit(0.0)
     if min(clean, toxic) < MIN_CLASS or len(counts) < 4:
         rows = docs
     else:
