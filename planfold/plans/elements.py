@@ -18,7 +18,7 @@ TEMPLATES = [("XS", 0.5, 1.0), ("S", 1.0, 2.0), ("M", 2.0, 5.0), ("L", 5.0, 10.0
 RATIOS = [1.0, 1.5, 0.67, 2.0, 0.5, 1.25, 0.8]
 
 
-@query("P18_usable_area", "with t as (select plan_id, case when plan_id % 4 = 0 then null when plan_id % 4 = 1 then 0 else 100 + plan_id end as total, case when plan_id % 8 = 0 then null else 12000 end as width from plans), r as (select plan_id, sum(cast(w as bigint) * h) as rooms from zones group by plan_id) select t.plan_id, case when total > 0 then total when width > 0 then width * 9000 when rooms > 0 then rooms else 0 end::double as area, case when total > 0 then 'totalArea' when width > 0 then 'bounds' when rooms > 0 then 'rooms' else 'unknown' end as source from t left join r using (plan_id)")
+@query("P18_usable_area", "with t as (select plan_id, case when plan_id % 4 = 0 then null when plan_id % 4 = 1 then 0 else 100 + plan_id end as total, case when plan_id % 8 = 0 then null else max_x - min_x end as width, max_y - min_y as height from plans), r as (select plan_id, sum(cast(w as bigint) * h) as rooms from zones group by plan_id) select t.plan_id, case when total > 0 then total when width > 0 then width * height when rooms > 0 then rooms else 0 end::double as area, case when total > 0 then 'totalArea' when width > 0 then 'bounds' when rooms > 0 then 'rooms' else 'unknown' end as source from t left join r using (plan_id)")
 def p18(v):
     """Total area, else bounds, else the sum of rooms, else 0, with its source."""
     total = F.when(F.col("plan_id") % 4 == 1, 0).when(F.col("plan_id") % 4 > 1, 100 + F.col("plan_id"))
@@ -103,7 +103,7 @@ def p34(v):
     return z.select("zone_id", F.when((F.col("p_size") % 3 == 0) & (area >= 100000), 0.8).otherwise(0.2).alias("suitability"), F.when(seats < 2, "single").when(seats < 4, "double").when(seats < 7, "team").otherwise("meeting").alias("workspace"))
 
 
-@query("C7_usable_confidence", "with z as (select plan_id, sum(cast(w as bigint) * h) as taken, count(*) as n from zones group by plan_id), e as (select plan_id, count(*) as n from exits group by plan_id), w as (select plan_id, count(*) as n from walls group by plan_id) select p.plan_id, cast(108000000 - coalesce(z.taken, 0) as bigint) as usable, 50 + case when coalesce(w.n, 0) > 0 then 20 else 0 end + case when coalesce(e.n, 0) > 0 then 15 else 0 end + case when coalesce(z.n, 0) > 0 then 10 else 0 end + case when coalesce(e.n, 0) > 1 then 5 else 0 end as confidence, case when coalesce(e.n, 0) = 0 then 'no exits' else '' end as warnings from plans p left join z using (plan_id) left join e using (plan_id) left join w using (plan_id)")
+@query("C7_usable_confidence", "with z as (select plan_id, sum(cast(w as bigint) * h) as taken, count(*) as n from zones group by plan_id), e as (select plan_id, count(*) as n from exits group by plan_id), w as (select plan_id, count(*) as n from walls group by plan_id) select p.plan_id, cast(cast(p.max_x - p.min_x as bigint) * (p.max_y - p.min_y) - coalesce(z.taken, 0) as bigint) as usable, 50 + case when coalesce(w.n, 0) > 0 then 20 else 0 end + case when coalesce(e.n, 0) > 0 then 15 else 0 end + case when coalesce(z.n, 0) > 0 then 10 else 0 end + case when coalesce(e.n, 0) > 1 then 5 else 0 end as confidence, case when coalesce(e.n, 0) = 0 then 'no exits' else '' end as warnings from plans p left join z using (plan_id) left join e using (plan_id) left join w using (plan_id)")
 def c7(v):
     count = lambda df, name: df.groupBy("plan_id").agg(F.count(F.lit(1)).alias(name))
     z = v.zones.groupBy("plan_id").agg(F.sum(F.col("w").cast("long") * F.col("h")).alias("taken"), F.count(F.lit(1)).alias("zones"))
@@ -182,7 +182,7 @@ def j15(v):
     return spatial.grid_join(v.boxes, v.boxes, FLOOR, test).select(c("a", "plan_id").alias("plan_id"), c("a", "box_id").alias("box_id")).distinct()
 
 
-@query("J18_boxes_in_envelope", "select box_id from boxes where (x + w / 2.0) / 12000.0 + (y + h / 2.0) / 9000.0 < 1.5 and x + w / 2.0 < 12000 and y + h / 2.0 < 9000")
+@query("J18_boxes_in_envelope", "select box_id from boxes join plans using (plan_id) where (x + w / 2.0) / max_x + (y + h / 2.0) / max_y < 1.5 and x + w / 2.0 < max_x and y + h / 2.0 < max_y")
 def j18(v):
     """Boxes whose centre is in the plan's envelope polygon (its rectangle with one corner cut off)."""
     p = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
@@ -241,13 +241,13 @@ def a30(v):
     return w.groupBy("plan_id", "side").agg(F.count(F.lit(1)).alias("walls"), F.sum(F.abs(F.col("x2") - F.col("x1")) + F.abs(F.col("y2") - F.col("y1"))).alias("length"))
 
 
-@query("A13_pipeline_metrics", "with b as (select plan_id, count(*) as n, sum(cast(w as bigint) * h) as a from boxes group by plan_id), c as (select plan_id, sum(cast(w as bigint) * h) as a from corridors group by plan_id) select plan_id, b.n as boxes, round(b.a / 108000000.0, 6) as yield_ratio, round(c.a * 1.0 / b.a, 6) as circulation_ratio, round((b.a + c.a) / 108000000.0, 6) as efficiency from b join c using (plan_id)")
+@query("A13_pipeline_metrics", "with b as (select plan_id, count(*) as n, sum(cast(w as bigint) * h) as a from boxes group by plan_id), c as (select plan_id, sum(cast(w as bigint) * h) as a from corridors group by plan_id) select plan_id, b.n as boxes, round(b.a * 1.0 / (cast(max_x - min_x as bigint) * (max_y - min_y)), 6) as yield_ratio, round(c.a * 1.0 / b.a, 6) as circulation_ratio, round((b.a + c.a) * 1.0 / (cast(max_x - min_x as bigint) * (max_y - min_y)), 6) as efficiency from b join c using (plan_id) join plans using (plan_id)")
 def a13(v):
     area = F.sum(F.col("w").cast("long") * F.col("h"))
     b = v.boxes.groupBy("plan_id").agg(F.count(F.lit(1)).alias("boxes"), area.alias("ba"))
-    j = b.join(v.corridors.groupBy("plan_id").agg(area.alias("ca")), "plan_id")
+    j = b.join(v.corridors.groupBy("plan_id").agg(area.alias("ca")), "plan_id").join(v.plan_areas, "plan_id")
     r = lambda c, n: F.round(c, 6).alias(n)
-    return j.select("plan_id", "boxes", r(F.col("ba") / 108000000, "yield_ratio"), r(F.col("ca") / F.col("ba"), "circulation_ratio"), r((F.col("ba") + F.col("ca")) / 108000000, "efficiency"))
+    return j.select("plan_id", "boxes", r(F.col("ba") / F.col("plan_area"), "yield_ratio"), r(F.col("ca") / F.col("ba"), "circulation_ratio"), r((F.col("ba") + F.col("ca")) / F.col("plan_area"), "efficiency"))
 
 
 _ROW = "cast(floor((y + h / 2.0) / 400 + 0.5) as bigint)"

@@ -47,11 +47,11 @@ def a17(v):
     return v.connectors.groupBy("plan_id", "floor_level").agg(lift.alias("elevator"), stairs.alias("stairs"), F.concat_ws(", ", F.when(~lift, "no elevator"), F.when(stairs == 0, "no stair")).alias("notes"))
 
 
-@query("A14_building_summary", "with f as (select plan_id, floor_level, sum(cast(w as bigint) * h) as area, count(*) as n from boxes group by all) select building_id, count(distinct plan_id) as plans, count(*) as floors, cast(sum(n) as bigint) as boxes, cast(sum(area) as bigint) as area, round(sum(area) * 100.0 / (count(*) * 108000000.0), 4) as utilisation from f join plans using (plan_id) group by building_id")
+@query("A14_building_summary", "with f as (select plan_id, floor_level, sum(cast(w as bigint) * h) as area, count(*) as n from boxes group by all) select building_id, count(distinct plan_id) as plans, count(*) as floors, cast(sum(n) as bigint) as boxes, cast(sum(area) as bigint) as area, round(sum(area) * 100.0 / sum((cast(max_x - min_x as bigint) * (max_y - min_y))), 4) as utilisation from f join plans using (plan_id) group by building_id")
 def a14(v):
     f = v.boxes.groupBy("plan_id", "floor_level").agg(F.sum(F.col("w").cast("long") * F.col("h")).alias("area"), F.count(F.lit(1)).alias("n"))
-    g = f.join(v.plans, "plan_id").groupBy("building_id")
-    return g.agg(F.countDistinct("plan_id").alias("plans"), F.count(F.lit(1)).alias("floors"), F.sum("n").alias("boxes"), F.sum("area").alias("area"), F.round(F.sum("area") * 100 / (F.count(F.lit(1)) * 108000000), 4).alias("utilisation"))
+    g = f.join(v.plans, "plan_id").join(v.plan_areas, "plan_id").groupBy("building_id")
+    return g.agg(F.countDistinct("plan_id").alias("plans"), F.count(F.lit(1)).alias("floors"), F.sum("n").alias("boxes"), F.sum("area").alias("area"), F.round(F.sum("area") * 100 / F.sum("plan_area"), 4).alias("utilisation"))
 
 
 @query("A16_egress", f"with e as (select plan_id, floor_level, count(*) as rooms, max(distance) as far, avg(distance) as mean from {_NEAR} t group by all) select plan_id, floor_level, rooms, round(far, 4) as max_distance, round(mean, 4) as mean_distance, coalesce(far <= 4500, false) as passes, case when far is null then 'no exits' when far > 4500 then 'too far' else 'ok' end as reason from e")

@@ -129,7 +129,7 @@ def a7(v):
 
 
 @query("A5_kpis", """with b as (select plan_id, sum(cast(w as bigint) * h) as leasable, sum(2 * (w + h)) as partition_length from boxes group by plan_id), c as (select plan_id, sum(cast(w as bigint) * h) as corridor_area, sum(greatest(w, h)) as corridor_length from corridors group by plan_id)
-  select p.plan_id, cast(coalesce(leasable, 0) as bigint) as leasable_area, cast(108000000 as bigint) as usable_area, round(coalesce(leasable, 0) / 108000000.0, 6) as yield_ratio, cast(coalesce(partition_length, 0) as bigint) as partition_length, cast(coalesce(corridor_area, 0) as bigint) as corridor_area, cast(coalesce(corridor_length, 0) as bigint) as corridor_length from plans p left join b using (plan_id) left join c using (plan_id)""")
+  select p.plan_id, cast(coalesce(leasable, 0) as bigint) as leasable_area, (cast(max_x - min_x as bigint) * (max_y - min_y)) as usable_area, round(coalesce(leasable, 0) * 1.0 / (cast(max_x - min_x as bigint) * (max_y - min_y)), 6) as yield_ratio, cast(coalesce(partition_length, 0) as bigint) as partition_length, cast(coalesce(corridor_area, 0) as bigint) as corridor_area, cast(coalesce(corridor_length, 0) as bigint) as corridor_length from plans p left join b using (plan_id) left join c using (plan_id)""")
 def a5(v):
     area = F.sum(F.col("w").cast("long") * F.col("h"))
     b = v.boxes.groupBy("plan_id").agg(area.alias("leasable_area"), F.sum(2 * (F.col("w") + F.col("h"))).alias("partition_length"))
@@ -216,11 +216,11 @@ def w8(v):
     return _islands(v).select("plan_id", "band", "a", "b")
 
 
-@query("W9_free_spans", _ISLANDS + """, f as (select plan_id, band, coalesce(lag(b) over (partition by plan_id, band order by a), 0) as lo, a as hi from g union all select plan_id, band, max(b), 12000 from g group by plan_id, band) select plan_id, cast(band as bigint) as band, lo, hi from f where hi - lo >= 100""")
+@query("W9_free_spans", _ISLANDS + """, f as (select plan_id, band, coalesce(lag(b) over (partition by plan_id, band order by a), 0) as lo, a as hi from g union all select plan_id, band, max(b), any_value(max_x) from g join plans using (plan_id) group by plan_id, band) select plan_id, cast(band as bigint) as band, lo, hi from f where hi - lo >= 100""")
 def w9(v):
     g = _islands(v)
     before = g.select("plan_id", "band", F.coalesce(F.lag("b").over(Window.partitionBy("plan_id", "band").orderBy("a")), F.lit(0).cast("long")).alias("lo"), F.col("a").alias("hi"))
-    after = g.groupBy("plan_id", "band").agg(F.max("b").alias("lo")).withColumn("hi", F.lit(12000).cast("long"))
+    after = g.groupBy("plan_id", "band").agg(F.max("b").alias("lo")).join(v.plans.select("plan_id", F.col("max_x").cast("long").alias("hi")), "plan_id").select("plan_id", "band", "lo", "hi")
     return before.unionByName(after).where("hi - lo >= 100")
 
 
@@ -250,10 +250,10 @@ def t6(v):
     return v.boxes.withColumn("n", n).where(F.col("n") <= 100 + F.col("plan_id")).select("plan_id", "box_id")
 
 
-@query("P9_clipped_boxes", "with c as (select plan_id, box_id, greatest(x, 0) as x1, greatest(y, 0) as y1, least(x + w, 11500) as x2, least(y + h, 8800) as y2 from boxes) select plan_id, box_id, x1 as x, y1 as y, x2 - x1 as w, y2 - y1 as h from c where x2 - x1 >= 50 and y2 - y1 >= 50")
+@query("P9_clipped_boxes", "with c as (select plan_id, box_id, greatest(x, 0) as x1, greatest(y, 0) as y1, least(x + w, max_x - 500) as x2, least(y + h, max_y - 200) as y2 from boxes join plans using (plan_id)) select plan_id, box_id, x1 as x, y1 as y, x2 - x1 as w, y2 - y1 as h from c where x2 - x1 >= 50 and y2 - y1 >= 50")
 def p9(v):
     """Clipped to the usable part of the plan; what is left under half a metre goes."""
-    c = v.boxes.select("plan_id", "box_id", F.greatest("x", F.lit(0)).alias("x"), F.greatest("y", F.lit(0)).alias("y"), F.least(F.col("x") + F.col("w"), F.lit(11500)).alias("x2"), F.least(F.col("y") + F.col("h"), F.lit(8800)).alias("y2"))
+    c = v.boxes.join(v.plans, "plan_id").select("plan_id", "box_id", F.greatest("x", F.lit(0)).alias("x"), F.greatest("y", F.lit(0)).alias("y"), F.least(F.col("x") + F.col("w"), F.col("max_x") - 500).alias("x2"), F.least(F.col("y") + F.col("h"), F.col("max_y") - 200).alias("y2"))
     return c.select("plan_id", "box_id", "x", "y", (F.col("x2") - F.col("x")).alias("w"), (F.col("y2") - F.col("y")).alias("h")).where("w >= 50 and h >= 50")
 
 

@@ -150,7 +150,7 @@ def a3(v):
 
 
 @query("A3_deviation_summary", _VAR + """, s as (select plan_id, sum(case when priority = 'obligatoire' then 2 else 1 end) as wt, sum((case when priority = 'obligatoire' then 2 else 1 end) * case when abs(deviation) <= allowed then 1 else greatest(0, 1 - abs(deviation) * 1.0 / target) end) as c, sum(target) as t, sum(actual) as a from k group by plan_id)
-  select plan_id, round(c / wt * 100, 4) as compliance, cast(greatest(0, 108000000 - a) as bigint) as lost_area, round(a / 108000000.0, 6) as yield_ratio, case when c / wt * 100 >= 95 then 'excellent' when c / wt * 100 >= 85 then 'good' when c / wt * 100 >= 70 then 'acceptable' else 'needs_improvement' end as band from s""")
+  select plan_id, round(c / wt * 100, 4) as compliance, cast(greatest(0, (cast(max_x - min_x as bigint) * (max_y - min_y)) - a) as bigint) as lost_area, round(a * 1.0 / (cast(max_x - min_x as bigint) * (max_y - min_y)), 6) as yield_ratio, case when c / wt * 100 >= 95 then 'excellent' when c / wt * 100 >= 85 then 'good' when c / wt * 100 >= 70 then 'acceptable' else 'needs_improvement' end as band from s join plans using (plan_id)""")
 def a3_summary(v):
     """Usable area: the plan's bounds."""
     weight = F.when(F.col("priority") == "obligatoire", 2).otherwise(1)

@@ -23,22 +23,22 @@ def _causes(v):
     short = F.array_sort(F.collect_list(F.when(must & (F.col("delta") < 0), F.struct("ord", "type"))))
     s = v1.groupBy("plan_id").agg(F.sum("target_area").alias("target"), F.sum("actual_area").alias("actual"), F.count(F.when(must, 1)).alias("unmet"), F.array_join(F.transform(short, lambda x: x["type"]), ",").alias("missing"))
     z = v.zones.groupBy("plan_id").agg(F.sum(F.col("w").cast("long") * F.col("h")).alias("taken"))
-    return s.join(z, "plan_id", "left")
+    return s.join(z, "plan_id", "left").join(v.plan_areas, "plan_id")
 
 
-@query("A4_deviation_causes", _CAUSE + "select plan_id, concat_ws(',', case when coalesce(taken, 0) > 0 then 'geometry' end, case when target > 0.9 * 108000000 then 'feasibility' end, case when unmet > 0 then 'priority' end) as causes from s left join z using (plan_id)")
+@query("A4_deviation_causes", _CAUSE + "select plan_id, concat_ws(',', case when coalesce(taken, 0) > 0 then 'geometry' end, case when target > 0.9 * (cast(max_x - min_x as bigint) * (max_y - min_y)) then 'feasibility' end, case when unmet > 0 then 'priority' end) as causes from s join plans using (plan_id) left join z using (plan_id)")
 def a4_causes(v):
     c = _causes(v)
-    return c.select("plan_id", F.concat_ws(",", F.when(F.coalesce("taken", F.lit(0)) > 0, "geometry"), F.when(F.col("target") > 0.9 * 108000000, "feasibility"), F.when(F.col("unmet") > 0, "priority")).alias("causes"))
+    return c.select("plan_id", F.concat_ws(",", F.when(F.coalesce("taken", F.lit(0)) > 0, "geometry"), F.when(F.col("target") > 0.9 * F.col("plan_area"), "feasibility"), F.when(F.col("unmet") > 0, "priority")).alias("causes"))
 
 
-@query("A4_recommendations", _CAUSE + "select plan_id, action, detail from (select plan_id, 'meet mandatory types' as action, missing as detail from s where missing is not null union all select plan_id, 'review geometry', '' from s join z using (plan_id) where taken > 0 union all select plan_id, 'improve utilisation', 'yield ' || (actual * 100 // 108000000) || '%' from s where actual < 0.6 * 108000000) t")
+@query("A4_recommendations", _CAUSE + "select plan_id, action, detail from (select plan_id, 'meet mandatory types' as action, missing as detail from s where missing is not null union all select plan_id, 'review geometry', '' from s join z using (plan_id) where taken > 0 union all select plan_id, 'improve utilisation', 'yield ' || (actual * 100 // (cast(max_x - min_x as bigint) * (max_y - min_y))) || '%' from s join plans using (plan_id) where actual < 0.6 * (cast(max_x - min_x as bigint) * (max_y - min_y))) t")
 def a4_recommendations(v):
     c = graph.cut(_causes(v))
     part = lambda where, action, detail: c.where(where).select("plan_id", F.lit(action).alias("action"), detail.alias("detail"))
     out = part("missing <> ''", "meet mandatory types", F.col("missing")).unionByName(part("taken > 0", "review geometry", F.lit("")))
-    share = F.floor(F.col("actual") * 100 / 108000000)
-    return out.unionByName(part("actual < 0.6 * 108000000", "improve utilisation", F.concat(F.lit("yield "), share, F.lit("%"))))
+    share = F.floor(F.col("actual") * 100 / F.col("plan_area"))
+    return out.unionByName(part("actual < 0.6 * plan_area", "improve utilisation", F.concat(F.lit("yield "), share, F.lit("%"))))
 
 
 @query("A8_validator_counts", _ISSUES + "select p.plan_id, count(*) filter (code like 'corridor%') as corridors, count(*) filter (code like 'box%') as boxes, count(*) filter (code like '%exit%') as exits, count(*) filter (code = 'forbidden_zone') as zones, count(*) filter (severity in ('CRITICAL', 'MAJOR')) = 0 as valid from plans p left join i using (plan_id) group by p.plan_id")
@@ -51,14 +51,14 @@ def a8(v):
 
 @query("A22_layout_scores", f"""with o as (select plan_id, count(*) as n from (select a.plan_id from boxes a join boxes b on a.plan_id = b.plan_id and a.floor_level = b.floor_level and a.box_id < b.box_id and {_STRICT}) t group by plan_id),
   b as (select plan_id, count(*) as n, sum(cast(w as bigint) * h) as area, avg(distance) as d, count(*) filter (x % 50 = 0 or y % 50 = 0) as aligned from {_NEAR} t group by plan_id)
-  select plan_id, round(area / 108000000.0, 6) as coverage, round(1.0 - coalesce(o.n, 0) * 1.0 / b.n, 6) as separation, round(greatest(0, 1 - coalesce(d, 15000) / 15000), 6) as access, round(aligned * 1.0 / b.n, 6) as alignment,
-    round(0.4 * area / 108000000.0 + 0.3 * (1.0 - coalesce(o.n, 0) * 1.0 / b.n) + 0.2 * greatest(0, 1 - coalesce(d, 15000) / 15000) + 0.1 * aligned / b.n, 6) as score from b left join o using (plan_id)""")
+  select plan_id, round(area * 1.0 / (cast(max_x - min_x as bigint) * (max_y - min_y)), 6) as coverage, round(1.0 - coalesce(o.n, 0) * 1.0 / b.n, 6) as separation, round(greatest(0, 1 - coalesce(d, 15000) / 15000), 6) as access, round(aligned * 1.0 / b.n, 6) as alignment,
+    round(0.4 * area / (cast(max_x - min_x as bigint) * (max_y - min_y)) + 0.3 * (1.0 - coalesce(o.n, 0) * 1.0 / b.n) + 0.2 * greatest(0, 1 - coalesce(d, 15000) / 15000) + 0.1 * aligned / b.n, 6) as score from b join plans using (plan_id) left join o using (plan_id)""")
 def a22(v):
     """Coverage, separation, access and alignment of a layout, and their weighted sum."""
     o = spatial.overlapping(v.boxes, FLOOR).groupBy("plan_id").agg(F.count(F.lit(1)).alias("o"))
     b = spatial.nearest_exit(v.boxes, v.exits).groupBy("plan_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("w").cast("long") * F.col("h")).alias("area"), F.avg("distance").alias("d"), F.count(F.when((F.col("x") % 50 == 0) | (F.col("y") % 50 == 0), 1)).alias("k"))
-    j = b.join(o, "plan_id", "left").fillna(0, ["o"])
-    parts = {"coverage": F.col("area") / 108000000, "separation": 1 - F.col("o") / F.col("n"), "access": F.greatest(F.lit(0.0), 1 - F.coalesce("d", F.lit(15000.0)) / 15000), "alignment": F.col("k") / F.col("n")}
+    j = b.join(o, "plan_id", "left").fillna(0, ["o"]).join(v.plan_areas, "plan_id")
+    parts = {"coverage": F.col("area") / F.col("plan_area"), "separation": 1 - F.col("o") / F.col("n"), "access": F.greatest(F.lit(0.0), 1 - F.coalesce("d", F.lit(15000.0)) / 15000), "alignment": F.col("k") / F.col("n")}
     score = sum(w * c for w, c in zip((0.4, 0.3, 0.2, 0.1), parts.values(), strict=True))
     return j.select("plan_id", *(F.round(c, 6).alias(n) for n, c in parts.items()), F.round(score, 6).alias("score"))
 
@@ -69,10 +69,11 @@ _CELL = 500
 @query("R10_free_regions")
 def r10(v):
     """Free cells of a 5 m raster (none of a zone's), joined to regions by their four neighbours."""
-    whole = v.plans.select("plan_id", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(17))))
+    cells = lambda a, b: F.sequence(F.floor(F.col(a) / _CELL).cast("int"), F.ceil(F.col(b) / _CELL).cast("int") - 1)
+    whole = v.plans.select("plan_id", F.explode(cells("min_x", "max_x")).alias("i"), "min_y", "max_y").select("plan_id", "i", F.explode(cells("min_y", "max_y")).alias("j"))
     span = lambda p, s: F.sequence(F.floor(F.col(p) / _CELL).cast("int"), F.floor((F.col(p) + F.col(s)) / _CELL).cast("int"))
     blocked = v.zones.select("plan_id", F.explode(span("x", "w")).alias("i"), "y", "h").select("plan_id", "i", F.explode(span("y", "h")).alias("j")).distinct()
-    free = graph.cut(whole.join(blocked, ["plan_id", "i", "j"], "left_anti").withColumn("id", F.col("plan_id") * 1000 + F.col("i") * 20 + F.col("j")))
+    free = graph.cut(whole.join(blocked, ["plan_id", "i", "j"], "left_anti").withColumn("id", (F.col("plan_id") * 65536 + F.col("i")) * 65536 + F.col("j")))
     step = lambda di, dj: free.select("plan_id", (F.col("i") + di).alias("i"), (F.col("j") + dj).alias("j"), F.col("id").alias("a"))
     edges = step(1, 0).union(step(0, 1)).join(free.select("plan_id", "i", "j", F.col("id").alias("b")), ["plan_id", "i", "j"]).select("a", "b")
     found = graph.components(free.select("id"), edges)
@@ -141,7 +142,7 @@ def m8(v):
     return model.transform(z.where("band >= 70")).groupBy(F.col("label").cast("int").alias("truth"), F.col("prediction").cast("int").alias("said")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("J24_clean_corridors", f"select plan_id, count(*) as before, count(*) filter (x + w <= 12000 and y + h <= 9000 and corridor_id not in (select a.corridor_id from corridors a join zones b on a.plan_id = b.plan_id and {_STRICT})) as after from corridors group by plan_id")
+@query("J24_clean_corridors", f"select plan_id, count(*) as before, count(*) filter (x + w <= max_x and y + h <= max_y and corridor_id not in (select a.corridor_id from corridors a join zones b on a.plan_id = b.plan_id and {_STRICT})) as after from corridors join plans using (plan_id) group by plan_id")
 def j24(v):
     """Corridors inside the bounds and clear of zones; counts before and after."""
     hit = spatial.grid_join(v.corridors, v.zones, ["plan_id"], geometry.overlap("a", "b")).select(F.col("a.corridor_id").alias("corridor_id")).distinct().withColumn("hit", F.lit(1))

@@ -8,7 +8,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 _FIRST = "row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate)"
 
 VIEWS = {
-    "plans": "select s_suppkey as plan_id, 0 as min_x, 0 as min_y, 12000 as max_x, 9000 as max_y, s_nationkey as building_id from {supplier}",
+    "plans": "select s_suppkey as plan_id, 0 as min_x, 0 as min_y, 12000 - 300 * (s_suppkey % 3) as max_x, 9000 - 250 * (s_suppkey % 2) as max_y, s_nationkey as building_id from {supplier}",
     "boxes": f"""select plan_id, floor_level, box_id, x, y, w, h,
         case when w * h <= 20000 then 'S' when w * h <= 50000 then 'M' when w * h <= 100000 then 'L' else 'XL' end as type
       from (select l_suppkey as plan_id, l_linenumber % 3 as floor_level, l_orderkey * 10 + l_linenumber as box_id,
@@ -52,6 +52,11 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    @property
+    def plan_areas(self) -> DataFrame:
+        """plan_id, plan_area: the area of each plan's bounds."""
+        return self.plans.selectExpr("plan_id", "cast(max_x - min_x as bigint) * (max_y - min_y) as plan_area")
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
