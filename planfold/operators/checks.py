@@ -149,3 +149,29 @@ def history_metrics(history: DataFrame) -> DataFrame:
     g = h.groupBy("model").agg(last, best, F.count(F.lit(1)).alias("epochs"))
     names = {"final_loss": "loss", "final_accuracy": "acc", "final_val_loss": "val_loss", "final_val_accuracy": "val_acc"}
     return g.select("model", *(F.col(f"last.{c}").alias(n) for n, c in names.items()), "epochs", F.col("best.epoch").alias("best_epoch"))
+
+
+def solution_scores(keys: list[str], mix: DataFrame, boxes: DataFrame, usable: DataFrame, grid: int = 10) -> DataFrame:
+    """Score of each layout (boxes by keys) against its plan's mix(plan_id, type, target_area, allowed, priority) and usable area
+    (plan_id, plan_area): 0.4 compliance + 0.3 yield (of 80 %) + 0.2 partitions + 0.1 readability (share of corners on the grid)."""
+    area = F.col("w").cast("long") * F.col("h")
+    on = lambda c: (F.abs(F.col(c) - F.floor(F.col(c) / grid + 0.5) * grid) < grid * 0.1).cast("int")
+    b = boxes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(area).alias("area"), F.avg(on("x")).alias("ax"), F.avg(on("y")).alias("ay"))
+    placed = boxes.groupBy(*keys, "type").agg(F.sum(area).alias("actual"))
+    wanted = b.select(*keys).join(mix, "plan_id").join(placed, [*keys, "type"], "left").fillna(0, ["actual"])
+    off = F.least(F.lit(1.0), F.abs(F.col("actual") - F.col("target_area")) / (F.col("target_area") + F.col("allowed")))
+    weight = F.when(F.col("priority") == "obligatoire", 2).otherwise(1)
+    c = wanted.groupBy(*keys).agg(F.greatest(F.lit(0.0), 1 - F.sum(off * weight) / F.sum(weight)).alias("compliance"))
+    j = b.join(c, keys, "left").fillna(0, ["compliance"]).join(usable, "plan_id")
+    share = F.least(F.lit(1.0), F.col("area") / F.col("plan_area") / 0.8)
+    aligned = lambda a: F.when(F.col("n") < 2, 1.0).otherwise(F.col(a))
+    j = j.withColumns({"yield_score": share, "partitions": F.lit(1 - 2.5 / 4), "readability": (aligned("ax") + aligned("ay")) / 2})
+    return j.withColumn("score", 0.4 * F.col("compliance") + 0.3 * F.col("yield_score") + 0.2 * F.col("partitions") + 0.1 * F.col("readability"))
+
+
+def recommended_presets(plans: DataFrame) -> DataFrame:
+    """plans(plan_id, area in square metres, rooms) -> plan_id, preset, score: what area and number of rooms speak for."""
+    area, rooms = F.col("area"), F.col("rooms")
+    rules = [("modern-office", 0.9, (area > 500) & (area < 5000)), ("hotel-standard", 0.85, (area > 1000) & (rooms > 10)), ("warehouse", 0.8, (area > 2000) & (rooms < 5))]
+    found = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(name).alias("preset"), F.lit(score).alias("score"))) for name, score, test in rules)))
+    return plans.select("plan_id", F.inline(found))

@@ -72,3 +72,41 @@ def bucketed_distribution(ranges: DataFrame) -> DataFrame:
     sums = known.groupBy("plan_id").agg(F.sum("share").alias("total"), *(F.sum(F.when(c, F.col("share")).otherwise(0.0)).alias(k) for k, c in bands.items()))
     default = {"S": 25.0, "M": 35.0, "L": 25.0, "XL": 15.0}
     return sums.select("plan_id", *(F.when(F.col("total") > 0, F.floor(F.col(k) / F.col("total") * 10000 + 0.5) / 100).otherwise(default[k]).alias(k.lower()) for k in bands))
+
+
+def matched(mix: DataFrame, boxes: DataFrame) -> DataFrame:
+    """mix(plan_id, line_no, type) with actual_area, actual_count and rule: the boxes of the same type; where there are none those of
+    the same base name; where there are none those of the same base name whatever the case. Boxes are summed before each join."""
+    base = lambda c: text.base_type(F.col(c))
+    out = mix
+    for k, (ours, theirs) in enumerate([(F.col("type"), F.col("type")), (base("type"), base("type")), (F.lower(base("type")), F.lower(base("type")))]):
+        sums = actuals(boxes.withColumn("_key", theirs), "plan_id", "_key").withColumnsRenamed({"actual_area": f"_area{k}", "actual_count": f"_count{k}"})
+        out = out.withColumn("_key", ours).join(sums, ["plan_id", "_key"], "left").drop("_key")
+    rule = F.coalesce(*(F.when(F.col(f"_count{k}") > 0, name) for k, name in enumerate(("exact", "base", "any case"))), F.lit("none"))
+    pick = lambda c: F.coalesce(*(F.col(f"{c}{k}") for k in range(3)), F.lit(0))
+    return out.withColumns({"actual_area": pick("_area"), "actual_count": pick("_count"), "rule": rule}).drop(*(f"_{c}{k}" for c in ("area", "count") for k in range(3)))
+
+
+def report(mix: DataFrame, boxes: DataFrame) -> DataFrame:
+    """mix(plan_id, type, target_area, target_count, tolerance, priority: text) against the boxes of the same base name: delta_area,
+    delta_count, within (both where both are given), ratio (by area, else by count) and weight (a priority that is no number, or 0,
+    weighs 1)."""
+    placed = actuals(boxes.withColumn("base", text.base_type(F.col("type"))), "plan_id", "base")
+    out = mix.withColumn("base", text.base_type(F.col("type"))).join(placed, ["plan_id", "base"], "left").fillna(0, ["actual_area", "actual_count"])
+    tol = text.tolerance(F.col("tolerance"))
+    parts = {}
+    for kind in ("area", "count"):
+        target, delta = F.col(f"target_{kind}"), F.col(f"actual_{kind}") - F.col(f"target_{kind}")
+        parts[kind] = (delta, F.abs(delta) <= text.allowed(tol, target), F.when(target > 0, F.greatest(F.lit(0.0), 1 - F.abs(delta) / target)).otherwise(F.when(target.isNotNull(), 0.0)))
+    weight = F.coalesce(F.nullif(text.number(F.coalesce("priority", F.lit(""))), F.lit(0.0)), F.lit(1.0))
+    within = F.when(parts["area"][1].isNull(), parts["count"][1]).when(parts["count"][1].isNull(), parts["area"][1]).otherwise(parts["area"][1] & parts["count"][1])
+    return out.withColumns({"delta_area": parts["area"][0], "delta_count": parts["count"][0], "within": within, "ratio": F.coalesce(parts["area"][2], parts["count"][2], F.lit(0.0)), "weight": weight})
+
+
+def type_by_target(area: Column, targets: list[tuple[str, float, float, float]]) -> Column:
+    """Type of an area from (type, least, most, target): the first range that holds it, else the nearest target (the first of equal ones)
+    if it is at most half of itself away; else by general limits."""
+    inside = [F.when(area.between(lo, hi), kind) for kind, lo, hi, _ in targets]
+    near = F.array_min(F.array(*(F.struct(F.abs(area - t).alias("d"), F.lit(i).alias("i"), F.lit(float(t)).alias("t"), F.lit(kind).alias("kind")) for i, (kind, _, _, t) in enumerate(targets))))
+    general = F.when(area < 6, "single").when(area < 12, "double").when(area < 20, "team").otherwise("meeting")
+    return F.coalesce(*inside, F.when(near["d"] <= near["t"] * 0.5, near["kind"]), general)

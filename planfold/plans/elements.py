@@ -139,14 +139,6 @@ def c14(v):
     return v.boxes.select("box_id", F.round(found["width"], 4).alias("width"), F.round(found["depth"], 4).alias("depth"))
 
 
-@query("C16_recommended_presets", "with s as (select a.plan_id, b.plan_id as preset, sum(abs(a.weight - b.weight)) as d from distributions a join distributions b on a.size_range = b.size_range and b.plan_id < 5 group by all), r as (select *, row_number() over (partition by plan_id order by d, preset) as place from s) select plan_id, preset, d::bigint as d, place from r where place <= 3")
-def c16(v):
-    """The three nearest of the first five plans' distributions."""
-    a, b = v.distributions.alias("a"), v.distributions.where("plan_id < 5").alias("b")
-    d = a.join(b, F.col("a.size_range") == F.col("b.size_range")).groupBy(F.col("a.plan_id").alias("plan_id"), F.col("b.plan_id").alias("preset")).agg(F.sum(F.abs(F.col("a.weight") - F.col("b.weight"))).alias("d"))
-    return d.withColumn("place", F.row_number().over(Window.partitionBy("plan_id").orderBy("d", "preset")).cast("long")).where("place <= 3")
-
-
 @query("C17_text_labels", "with t as (select plan_id, zone_id, x, y, case zone_id % 5 when 0 then 'RM-' || zone_id when 1 then 'Ex' || zone_id % 10 when 2 then 'loading bay' when 3 then (w / 100.0)::double || ' m' else 'note' end as txt from zones) select plan_id, zone_id, case when regexp_matches(txt, '^RM-[0-9]+') then 'room' when regexp_matches(txt, '^Ex[0-9]+$') then 'exit' when regexp_matches(txt, '^[0-9.]+ ?m$') then 'dimension' when regexp_matches(lower(txt), 'loading|main access') then 'area' else 'notice' end as label, case when regexp_matches(txt, '^RM-[0-9]+') then cast(regexp_extract(txt, '([0-9]+)', 1) as bigint) else -1 end as room from t where zone_id % 5 <> 4")
 def c17(v):
     """Labels of text entities: rooms with their number, exits, dimensions, areas, notices."""

@@ -26,13 +26,6 @@ def s5(v):
     return v.versions.select("project_id", "version_key", F.round(1 + 0.1 * (n - 1), 1).alias("version"), F.min("updated_at").over(w).alias("created_at"))
 
 
-@query("S6_upserted_metadata", "select project_id, arg_max(version_key, (epoch_us(updated_at), version_key)) as version_key, count(distinct status) as statuses, string_agg(distinct status, ',' order by status) as seen from versions group by project_id")
-def s6(v):
-    """The last write of a key wins; metadata of all writes is merged."""
-    g = v.versions.groupBy("project_id")
-    return g.agg(F.max(F.struct("updated_at", "version_key"))["version_key"].alias("version_key"), F.countDistinct("status").alias("statuses"), F.array_join(F.array_sort(F.collect_set("status")), ",").alias("seen"))
-
-
 @query("T1_projects_by_update", "select project_id, updated_at, row_number() over (order by updated_at desc, project_id) as place from (select project_id, max(updated_at) as updated_at from versions group by project_id) t order by place limit 100")
 def t1(v):
     top = v.versions.groupBy("project_id").agg(F.max("updated_at").alias("updated_at")).orderBy(F.desc("updated_at"), "project_id").limit(100)
@@ -76,22 +69,6 @@ def a25(v):
     return v.raw("events").groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), F.count(F.lit(1)).alias("n"))
 
 
-@query("A23_best_version", "select project_id, version_key, score from (select *, (version_key * 7919) % 1000 as score, row_number() over (partition by project_id order by (version_key * 7919) % 1000 desc, version_key) as rn from versions) t where rn = 1")
-def a23(v):
-    """The best-scored layout version of each project; ties go to the smaller key."""
-    score = (F.col("version_key") * 7919) % 1000
-    best = v.versions.groupBy("project_id").agg(F.max(F.struct(score.alias("score"), (-F.col("version_key")).alias("k"))).alias("m"))
-    return best.select("project_id", (-F.col("m.k")).alias("version_key"), "m.score")
-
-
-@query("S9_building_documents", "select building_id, count(*) as plans, string_agg(plan_id, ',' order by plan_id) as plan_ids from plans group by building_id")
-def s9(v):
-    """One nested JSON document for each building, read back."""
-    docs = v.plans.groupBy("building_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("plan_id", "max_x", "max_y"))).alias("plans"))).alias("document"))
-    parsed = docs.select("building_id", F.from_json("document", "plans array<struct<plan_id: long, max_x: int, max_y: int>>").alias("d"))
-    return parsed.select("building_id", F.size("d.plans").cast("long").alias("plans"), F.array_join(F.col("d.plans.plan_id").cast("array<string>"), ",").alias("plan_ids"))
-
-
 @query("S7_box_list", "select plan_id, count(*) as n, cast(sum(cast(w as bigint) * h) as bigint) as area, min(box_id) as first_id from boxes where floor_level = 0 group by plan_id")
 def s7(v):
     """Box lists of the ground floors written as CSV, a folder for each plan, and read back."""
@@ -100,14 +77,6 @@ def s7(v):
     return files.read_box_list(v.spark, path).groupBy("plan_id").agg(F.count(F.lit(1)).alias("n"), F.sum("area").alias("area"), F.min("box_id").alias("first_id"))
 
 
-@query("S1_mix_csv", "select type as typologie, cast(target_area_cm2 // 10000 as bigint)::varchar as surface_cible, tolerance, priority as priorite, count(*) as n from unit_mix group by all")
-def s1(v):
-    """Unit mixes written as CSV files under other headers, and read back by header aliases."""
-    path = _folder(v.spark)
-    v.unit_mix.select(F.col("type").alias("Type"), F.floor(F.col("target_area_cm2") / 10000).alias("AREA"), F.col("tolerance").alias("Tolerance"), F.col("priority").alias("PRIORITY")).write.option("header", True).csv(path)
-    return files.read_mix_csv(v.spark, path).groupBy("typologie", "surface_cible", "tolerance", "priorite").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("S4_plan_documents", "select cast(plan_id as varchar) as plan_id, wall_id::varchar as wall_id, x1::double as x1, y1::double as y1, x2::double as x2, y2::double as y2 from walls")
 def s4(v):
     """Walls written as JSON documents of plans, in three spellings, and normalised again."""

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The names a column may come under, in order of preference.
@@ -20,19 +21,30 @@ PLAN_SCHEMA = """urn string, totalArea double, bounds struct<minX: double, minY:
   walls array<struct<id: string, start: struct<x: double, y: double>, end: struct<x: double, y: double>, polygon: array<array<double>>, x1: double, y1: double, x2: double, y2: double>>"""
 
 
+#: A field of a CSV line: quoted, with doubled quotes inside, or plain.
+_FIELD = r'(?:^|,)(?:"((?:[^"]|"")*)"|([^,]*))'
+
+
+def _fields(line: Column) -> Column:
+    """The fields of a CSV line, trimmed."""
+    quoted, plain = (F.regexp_extract_all(line, F.lit(_FIELD), F.lit(i)) for i in (1, 2))
+    return F.zip_with(quoted, plain, lambda q, p: F.trim(F.when(q != "", F.replace(q, F.lit('""'), F.lit('"'))).otherwise(p)))
+
+
 def read_mix_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All unit-mix CSVs under path as text columns typologie, surface_cible, tolerance, priorite with mix_id (the file's name). Headers
-    match without regard to case and blanks; a file without a known type column has its first one taken."""
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    names = {c.strip().lower(): c for c in raw.columns}
-    raw = raw.withColumn("mix_id", F.regexp_extract("_metadata.file_path", r"([^/]+)\.csv$", 1))
+    """All unit-mix CSVs under path as text columns typologie, surface_cible, tolerance, priorite with mix_id (the file's name). Every file
+    is read by its own header, whatever the order of columns elsewhere. Headers match without regard to case and blanks; a file without
+    a known type column has its first one taken; blank lines are left out. Mixes are small files, one to a row."""
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.[A-Za-z]+$", 1).alias("mix_id"), F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
+    raw = raw.where("size(lines) > 0").withColumn("names", F.transform(_fields(F.get("lines", F.lit(0))), lambda n: F.lower(F.trim(F.replace(n, F.lit("\ufeff"), F.lit(""))))))
+    rows = raw.select("mix_id", "names", F.explode(F.slice("lines", 2, F.size("lines"))).alias("line")).withColumn("fields", _fields(F.col("line")))
 
-    def pick(field: str, first: Column | None = None) -> Column:
-        found = [F.nullif(F.trim(F.col(f"`{names[a]}`")), F.lit("")) for a in ALIASES[field] if a in names]
-        return F.coalesce(*found, *([first] if first is not None else []), F.lit(None).cast("string")).alias(field)
+    def pick(field: str, first: bool = False) -> Column:
+        at = lambda name: F.nullif(F.get("fields", F.when(F.array_position("names", name) > 0, F.array_position("names", name) - 1).cast("int")), F.lit(""))
+        known = [at(a) for a in ALIASES[field]]
+        return F.coalesce(*known, *([F.when(~F.arrays_overlap("names", F.array(*map(F.lit, ALIASES[field]))), F.nullif(F.get("fields", F.lit(0)), F.lit("")))] if first else [])).alias(field)
 
-    first = next(iter(names.values()))
-    return raw.select("mix_id", pick("typologie", F.col(f"`{first}`")), pick("surface_cible"), pick("tolerance"), pick("priorite"))
+    return rows.select("mix_id", pick("typologie", True), pick("surface_cible"), pick("tolerance"), pick("priorite"))
 
 
 def read_plan_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -70,16 +82,16 @@ def write_bundle(tables: dict[str, DataFrame], path: str, kind: str = "parquet")
 
 
 def append_samples(samples: DataFrame, path: str) -> tuple[int, int]:
-    """Appends extracted samples to a training set; (appended, total)."""
-    before = 0
+    """Appends extracted samples to a training set; (appended, total). The set is counted once; what is added is counted as it is written."""
+    before, seen = 0, Observation()
     try:
         before = samples.sparkSession.read.parquet(path).count()
-    except Exception as e:  # the first append makes the set
+    except AnalysisException as e:  # the first append makes the set
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    samples.write.mode("append").parquet(path)
-    total = samples.sparkSession.read.parquet(path).count()
-    return total - before, total
+    samples.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    n = seen.get["n"]
+    return n, before + n
 
 
 def save_version(versions: DataFrame, changes: DataFrame) -> DataFrame:
