@@ -48,11 +48,54 @@ def exits_missing(plans: DataFrame, exits: DataFrame) -> DataFrame:
     return none.unionByName(n.where("n = 1").select(*issue("single_exit", "MAJOR", "plan_id", F.col("n"), F.lit(2))))
 
 
-def audit(plans: DataFrame, boxes: DataFrame, corridors: DataFrame, zones: DataFrame, exits: DataFrame) -> DataFrame:
+def narrow_boxes(boxes: DataFrame, least: int = 50) -> DataFrame:
+    side = F.least("w", "h")
+    return boxes.where(side < least).select(*issue("box_side", "MINOR", "box_id", side, F.lit(least)))
+
+
+def without_access(boxes: DataFrame, corridors: DataFrame, exits: DataFrame, reach: int = 100) -> DataFrame:
+    """Boxes with no corridor within reach, in plans that have exits."""
+    near = spatial.within(boxes, corridors, ["plan_id"], reach).select(F.col("a.box_id").alias("box_id")).distinct()
+    alone = boxes.join(exits.select("plan_id").distinct(), "plan_id", "left_semi").join(near, "box_id", "left_anti")
+    return alone.select(*issue("box_access", "MINOR", "box_id", F.lit(None), F.lit(reach)))
+
+
+def dead_ends(corridors: DataFrame, reach: int = 50, least: int = 3) -> DataFrame:
+    """Corridors linked to one other at most, in plans with at least three."""
+    pairs = spatial.within(corridors, corridors, ["plan_id"], reach, F.col("a.corridor_id") != F.col("b.corridor_id"))
+    links = pairs.groupBy(F.col("a.corridor_id").alias("corridor_id")).agg(F.count(F.lit(1)).alias("links"))
+    many = corridors.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("plan_id")
+    ends = corridors.join(many, "plan_id", "left_semi").join(links, "corridor_id", "left").fillna(0, ["links"]).where("links <= 1")
+    return ends.select(*issue("corridor_dead_end", "MINOR", "corridor_id", F.col("links"), F.lit(2)))
+
+
+def audit(plans: DataFrame, boxes: DataFrame, corridors: DataFrame, zones: DataFrame, exits: DataFrame, fire_doors: DataFrame) -> DataFrame:
     """All issues of all plans."""
-    hits = boxes_in_zones(boxes, zones)
-    out = narrow_corridors(corridors).unionByName(small_boxes(boxes)).unionByName(hits.select(*issue("forbidden_zone", "CRITICAL", "box_id", F.col("zone_id"))))
-    return out.unionByName(far_from_exit(boxes, exits)).unionByName(exits_missing(plans, exits))
+    hits = boxes_in_zones(boxes, zones).select(*issue("forbidden_zone", "CRITICAL", "box_id", F.col("zone_id")))
+    doors = near_fire_doors(boxes, fire_doors).select(*issue("box_fire_door", "MAJOR", "box_id", F.round("distance", 4), F.lit(150)))
+    out = narrow_corridors(corridors)
+    for part in (dead_ends(corridors), small_boxes(boxes), narrow_boxes(boxes), without_access(boxes, corridors, exits), hits, doors, far_from_exit(boxes, exits), exits_missing(plans, exits)):
+        out = out.unionByName(part)
+    return out
+
+
+#: Least area (square feet) and least side (feet) of a room by type.
+ROOM_MINIMUMS = {"office": (70, 7), "meeting": (120, 10), "restroom": (30, 5), "utility": (20, 4)}
+FOOT = 30.48
+
+
+def room_minimums(rooms: DataFrame) -> DataFrame:
+    """rooms(plan_id, zone_id, type, w, h) -> issues of rooms that are too small (room_area) or too narrow (room_dimension)."""
+    area, side = F.col("w") * F.col("h") / FOOT**2, F.least("w", "h") / FOOT
+    of = lambda i: F.coalesce(*(F.when(F.col("type") == kind, F.lit(float(least[i]))) for kind, least in ROOM_MINIMUMS.items()))
+    small = rooms.where(area < of(0)).select(*issue("room_area", "MAJOR", "zone_id", F.round(area, 4), of(0)))
+    return small.unionByName(rooms.where(side < of(1)).select(*issue("room_dimension", "MINOR", "zone_id", F.round(side, 4), of(1))))
+
+
+def fire_compartments(boxes: DataFrame, most: int = 500) -> DataFrame:
+    """plan_id, area (square metres), walls: fire walls that plans with more box area than a compartment may have need."""
+    area = boxes.groupBy("plan_id").agg((F.sum(F.col("w").cast("long") * F.col("h")) / 10000).alias("area"))
+    return area.where(F.col("area") > most).withColumn("walls", (F.ceil(F.col("area") / most) - 1).cast("long"))
 
 
 def near_fire_doors(boxes: DataFrame, doors: DataFrame, least: int = 150) -> DataFrame:

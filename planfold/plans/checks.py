@@ -218,3 +218,20 @@ def m6_history(v):
     h = e.select((F.col("user_id") % 5).alias("model"), F.col("event_id").alias("step"), value.alias("loss"), F.when(F.col("event_type") != "view", value % 100).alias("acc"), (value * 7 % 90).alias("val_loss"), (value % 50).alias("val_acc"))
     m = checks.history_metrics(h)
     return m.select("model", *(F.round(c, 4).alias(c) for c in ("final_loss", "final_accuracy", "final_val_loss", "final_val_accuracy")), "epochs", "best_epoch")
+
+
+_ROOM_KIND = "case zone_id % 5 when 0 then 'office' when 1 then 'meeting' when 2 then 'restroom' when 3 then 'utility' else 'hall' end"
+_ROOM_LEAST = "(values ('office', 70, 7), ('meeting', 120, 10), ('restroom', 30, 5), ('utility', 20, 4)) as m(type, a, s)"
+
+
+@query("A8_room_minimums", f"""with r as (select z.*, w * h / (30.48 * 30.48) as area, least(w, h) / 30.48 as side, m.a, m.s from (select *, {_ROOM_KIND} as type from zones) z join {_ROOM_LEAST} on m.type = z.type) select plan_id, 'room_area' as code, 'MAJOR' as severity, zone_id as element_id, round(area, 4) as actual, a::double as required from r where area < a
+  union all select plan_id, 'room_dimension', 'MINOR', zone_id, round(side, 4), s::double from r where side < s""")
+def a8_rooms(v):
+    """Rooms under the least area or side of their type; halls have none."""
+    kinds = F.array(*(F.lit(k) for k in ("office", "meeting", "restroom", "utility", "hall")))
+    return rules.room_minimums(v.zones.withColumn("type", F.get(kinds, F.col("zone_id") % 5)))
+
+
+@query("A7_fire_compartments", "select plan_id, area, cast(ceil(area / 500) - 1 as bigint) as walls from (select plan_id, sum(cast(w as bigint) * h) / 10000.0 as area from boxes group by plan_id) t where area > 500")
+def a7_compartments(v):
+    return rules.fire_compartments(v.boxes)

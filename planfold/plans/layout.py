@@ -101,7 +101,11 @@ def j25(v):
 
 
 _ISSUES = f"""with i as (select plan_id, 'corridor_width' as code, 'MAJOR' as severity, corridor_id as element_id, least(w, h)::double as actual, case when w > h then 150 else 120 end::double as required from corridors where least(w, h) < case when w > h then 150 else 120 end
+  union all select c.plan_id, 'corridor_dead_end', 'MINOR', c.corridor_id, coalesce(n.n, 0), 2 from corridors c join (select plan_id, count(*) as k from corridors group by plan_id) t using (plan_id) left join (select a_id, count(*) as n from {_LINKS} l group by a_id) n on n.a_id = c.corridor_id where t.k >= 3 and coalesce(n.n, 0) <= 1
   union all select plan_id, 'box_area', 'MINOR', box_id, w * h, 5000 from boxes where w * h < 5000
+  union all select plan_id, 'box_side', 'MINOR', box_id, least(w, h), 50 from boxes where least(w, h) < 50
+  union all select plan_id, 'box_access', 'MINOR', box_id, null, 100 from boxes where plan_id in (select plan_id from exits) and box_id not in (select a.box_id from boxes a join corridors b on a.plan_id = b.plan_id and {_GAP2} < 10000)
+  union all select b.plan_id, 'box_fire_door', 'MAJOR', b.box_id, round(sqrt(pow(b.x + b.w / 2.0 - e.x, 2) + pow(b.y + b.h / 2.0 - e.y, 2)), 4), 150 from boxes b join exits e on e.plan_id = b.plan_id and e.exit_id % 2 = 0 and pow(b.x + b.w / 2.0 - e.x, 2) + pow(b.y + b.h / 2.0 - e.y, 2) < 22500
   union all select a.plan_id, 'forbidden_zone', 'CRITICAL', a.box_id, b.zone_id, null from boxes a join zones b on a.plan_id = b.plan_id and ({_SPOT})
   union all select plan_id, 'exit_distance', case when distance > 3000 then 'MAJOR' else 'MINOR' end, box_id, round(distance, 4), 3000 from {_NEAR} t where distance > 2400
   union all select plan_id, case when n = 0 then 'no_exit' else 'single_exit' end, case when n = 0 then 'CRITICAL' else 'MAJOR' end, plan_id, n, n + 1 from (select p.plan_id, count(e.exit_id) as n from plans p left join exits e using (plan_id) group by p.plan_id) x where n < 2)
@@ -109,7 +113,8 @@ _ISSUES = f"""with i as (select plan_id, 'corridor_width' as code, 'MAJOR' as se
 
 
 def _audit(v):
-    return rules.audit(v.plans, v.boxes, v.corridors, v.zones, v.exits)
+    """Every other exit is a fire door."""
+    return rules.audit(v.plans, v.boxes, v.corridors, v.zones, v.exits, v.exits.where("exit_id % 2 = 0"))
 
 
 @query("A6_violations", _ISSUES + "select plan_id, code, severity, element_id, actual, required from i")
