@@ -66,6 +66,26 @@ def padded(n: Column, width: int) -> Column:
     return F.when(F.length(n.cast("string")) >= width, n.cast("string")).otherwise(F.lpad(n.cast("string"), width, "0"))
 
 
+#: Schemes of box codes: prefixes of zone and row, separator, and least digits of zone, row and number.
+CODE_SCHEMES = {"default": ("Z", "R", "-", (2, 2, 3)), "compact": ("", "", "", (1, 1, 2)), "verbose": ("ZONE", "ROW", "-", (2, 2, 4))}
+
+
+def box_code(zone: Column, row: Column, number: Column, scheme: str = "default") -> Column:
+    """Code of a box; parts without a prefix are left out, but for the number."""
+    z, r, between, (dz, dr, dn) = CODE_SCHEMES[scheme]
+    parts = [F.concat(F.lit(z), padded(zone, dz))] if z else []
+    parts += [F.concat(F.lit(r), padded(row, dr))] if r else []
+    return F.concat_ws(between, *parts, padded(number, dn))
+
+
+def parsed_code(code: Column, scheme: str = "default") -> Column:
+    """struct(zone, row, number) of a code; null where it has another form."""
+    z, r, between, _ = CODE_SCHEMES[scheme]
+    pattern = rf"{z}(\d+){between}{r}(\d+){between}(\d+)"
+    part = lambda i: F.regexp_extract(code, pattern, i).try_cast("long")
+    return F.when(code.rlike(pattern), F.struct(part(1).alias("zone"), part(2).alias("row"), part(3).alias("number")))
+
+
 def layer_hash(name: Column) -> Column:
     """Feature of a layer name: 32-bit rolling hash (31 * h + code, wrapped to a signed int each step), unsigned, mod 1000, / 1000."""
     wrap = lambda x: F.pmod(x + F.lit(2147483648), F.lit(4294967296)) - F.lit(2147483648)

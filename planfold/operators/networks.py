@@ -187,3 +187,18 @@ def distinct_zones(zones: DataFrame, area: int = 50_000, corner: int = 100) -> D
     pairs = spatial.within(z, z, ["plan_id"], corner, alike).select(F.col("a.zone_id").alias("a"), F.col("b.zone_id").alias("b"))
     kept = graph.kept_in_order(zones.select(F.col("zone_id").alias("id"), (-size).alias("place")), pairs)
     return zones.join(kept.withColumnRenamed("id", "zone_id"), "zone_id", "left_semi")
+
+
+def merged_rectangles(rects: DataFrame, keys: list[str], gap: int = 15) -> DataFrame:
+    """rects(keys, id, x, y, w, h) -> keys, id (the least of those merged), x, y, w, h, n: rectangles of equal keys that overlap, or lie at
+    most gap apart on both axes, become the rectangle around them, until no two do. Each round merges whole components at once."""
+    now = graph.cut(rects.select(*keys, "id", "x", "y", "w", "h", F.lit(1).cast("long").alias("n")))
+    while True:
+        near = lambda p, s: (F.col(f"a.{p}") <= F.col(f"b.{p}") + F.col(f"b.{s}") + gap) & (F.col(f"b.{p}") <= F.col(f"a.{p}") + F.col(f"a.{s}") + gap)
+        pairs = graph.cut(spatial.grid_join(now, now, keys, near("x", "w") & near("y", "h") & (F.col("a.id") < F.col("b.id")), pad=gap + 1).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")))
+        if pairs.isEmpty():
+            return now
+        root = graph.components(now.select("id"), pairs).withColumnRenamed("component", "root")
+        right, top = F.max(F.col("x") + F.col("w")), F.max(F.col("y") + F.col("h"))
+        merged = now.join(root, "id").groupBy(*keys, F.col("root").alias("id")).agg(F.min("x").alias("x"), F.min("y").alias("y"), (right - F.min("x")).alias("w"), (top - F.min("y")).alias("h"), F.sum("n").alias("n"))
+        now = graph.cut(merged)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planfold.functions import geometry
@@ -81,3 +81,40 @@ def sanitised_arrows(arrows: DataFrame) -> DataFrame:
     """Arrows with both coordinates, the rest filled: direction in lower case (right), type, colour, size and height."""
     filled = {"z": F.coalesce("z", F.lit(0.0)), "direction": F.coalesce(F.lower("direction"), F.lit("right")), "type": F.coalesce("type", F.lit("corridor_flow")), "color": F.coalesce("color", F.lit("green")), "size": F.coalesce("size", F.lit("medium"))}
     return arrows.where("x is not null and y is not null").withColumns(filled)
+
+
+def decomposed(corridors: DataFrame, width: float) -> DataFrame:
+    """corridors(corridor_id, corners: array<struct<x, y>> or null for plain ones, x, y, w, h) -> corridor_id, part (none, h, v), x, y, w, h:
+    an L-shaped corridor (four corners or more) gives a horizontal part along its lowest line and a vertical one along its right-most."""
+    of = lambda k: F.array_sort(F.array_distinct(F.transform("corners", lambda c: c[k])))
+    bent = F.coalesce((F.size("corners") >= 4) & (F.size(of("x")) >= 2) & (F.size(of("y")) >= 2), F.lit(False))
+    first, last = (lambda k: F.array_min(of(k))), (lambda k: F.array_max(of(k)))
+    rect = lambda part, x, y, w, h: F.struct(F.lit(part).alias("part"), *(c.cast("double").alias(n) for n, c in (("x", x), ("y", y), ("w", w), ("h", h))))
+    wide = F.lit(float(width))
+    split = F.array(rect("h", first("x"), first("y"), last("x") - first("x"), wide), rect("v", last("x"), first("y"), wide, last("y") - first("y")))
+    return corridors.select("corridor_id", F.inline(F.when(bent, split).otherwise(F.array(rect("", *(F.col(c) for c in "xywh"))))))
+
+
+def trimmed_bounds(plans: DataFrame, points: DataFrame, trim: float = 0.01, pad: float = 0.012, least: float = 3, coverage: float = 0.22) -> DataFrame:
+    """points(plan_id, x, y) -> plan_id, min_x, min_y, max_x, max_y: exact bounds of the points without a share at both ends of each axis,
+    grown by a share of their size. The plan's own bounds take their place under eight points, without extent, or where the trimmed ones
+    cover too little of them (unless those are over 1.6 times as large across).
+
+    Equal coordinates are counted together, so that running counts go over distinct values."""
+    axes = points.select("plan_id", F.inline(F.array(F.struct(F.lit("x").alias("axis"), F.col("x").cast("double").alias("c")), F.struct(F.lit("y").alias("axis"), F.col("y").cast("double").alias("c")))))
+    values = axes.groupBy("plan_id", "axis", "c").agg(F.count(F.lit(1)).alias("k"))
+    w = Window.partitionBy("plan_id", "axis")
+    values = values.withColumns({"upto": F.sum("k").over(w.orderBy("c")), "n": F.sum("k").over(w)})
+    low = F.floor(F.col("n") * trim)
+    high = F.least(F.greatest(low + 1, F.ceil(F.col("n") * (1 - trim)) - 1), F.col("n") - 1)
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("c")))
+    ends = values.groupBy("plan_id", "axis").agg(at(low).alias("lo"), at(high).alias("hi"), F.max("n").alias("n"))
+    by = ends.groupBy("plan_id").agg(F.max("n").alias("n"), *(F.max(F.when(F.col("axis") == a, F.col(c))).alias(f"{c}_{a}") for a in "xy" for c in ("lo", "hi")))
+    j = plans.select("plan_id", "min_x", "min_y", "max_x", "max_y").join(by, "plan_id", "left")
+    for a in "xy":
+        grow = F.greatest(F.lit(float(least)), (F.col(f"hi_{a}") - F.col(f"lo_{a}")) * pad)
+        j = j.withColumns({f"t_min_{a}": F.col(f"lo_{a}") - grow, f"t_max_{a}": F.col(f"hi_{a}") + grow})
+    own, new = {a: F.col(f"max_{a}") - F.col(f"min_{a}") for a in "xy"}, {a: F.col(f"t_max_{a}") - F.col(f"t_min_{a}") for a in "xy"}
+    thin = (new["x"] / own["x"] < coverage) | (new["y"] / own["y"] < coverage)
+    back = (F.coalesce("n", F.lit(0)) < 8) | (F.col("hi_x") <= F.col("lo_x")) | (F.col("hi_y") <= F.col("lo_y")) | (thin & (F.hypot(own["x"], own["y"]) <= 1.6 * F.hypot(new["x"], new["y"])))
+    return j.select("plan_id", *(F.when(back, F.col(c)).otherwise(F.col(f"t_{c}")).cast("double").alias(c) for c in ("min_x", "min_y", "max_x", "max_y")))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from planfold.catalog import query
-from planfold.functions import geometry
-from planfold.operators import shapes, spatial
+from planfold.functions import geometry, text
+from planfold.operators import networks, shapes, spatial
 
 _CCW = lambda a, b, c: f"(({c}y - {a}y) * ({b}x - {a}x) > ({b}y - {a}y) * ({c}x - {a}x))"
 _CROSS = f"({_CCW('p', 'r', 's')} <> {_CCW('q', 'r', 's')} and {_CCW('p', 'q', 'r')} <> {_CCW('p', 'q', 's')})"
@@ -125,3 +125,48 @@ _D = lambda p, q: f"pow({p}x - greatest(least({q}x1, {q}x2), least({p}x, greates
 def j19(v):
     """Parallel walls 0.8 to 2.5 m apart, with the door drawn between their middles."""
     return shapes.doors_between_walls(v.walls).select("plan_id", "a_id", "b_id", *(F.round(c, 4).alias(c) for c in ("gap", "x1", "y1", "x2", "y2")))
+
+
+@query("P21_decomposed_corridors", """select corridor_id, 'h' as part, x::double as x, y::double as y, w::double as w, 120.0::double as h from corridors where corridor_id % 3 = 0 union all select corridor_id, 'v', x + w, y, 120.0, h + 300 from corridors where corridor_id % 3 = 0
+  union all select corridor_id, '', x, y, w, h from corridors where corridor_id % 3 > 0""")
+def p21_parts(v):
+    """Every third corridor is L-shaped, turning upwards at its right end."""
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x, y, w, h = (F.col(c).cast("double") for c in "xywh")
+    corners = F.when(F.col("corridor_id") % 3 == 0, F.array(at(x, y), at(x + w, y), at(x + w, y + h), at(x + w, y + h + 300)))
+    return shapes.decomposed(v.corridors.withColumn("corners", corners), 120)
+
+
+_POINTS = "(select plan_id, unnest([x, x + w, x, x + w]) as x, unnest([y, y, y + h, y + h]) as y from boxes union all select plan_id, unnest([x, x + w]), unnest([y, y + h]) from corridors)"
+
+
+@query("A18_trimmed_bounds", f"""with p as (select * from {_POINTS} t), r as (select plan_id, x, y, row_number() over (partition by plan_id order by x) - 1 as rx, row_number() over (partition by plan_id order by y) - 1 as ry, count(*) over (partition by plan_id) as n from p), q as (select *, cast(floor(n * 0.01) as bigint) as low, least(greatest(cast(floor(n * 0.01) as bigint) + 1, cast(ceil(n * 0.99) as bigint) - 1), n - 1) as high from r),
+  e as (select plan_id, max(n) as n, max(x) filter (rx = low) as x1, max(x) filter (rx = high) as x2, max(y) filter (ry = low) as y1, max(y) filter (ry = high) as y2 from q group by plan_id), t as (select p.*, n, e.x1, e.x2, e.y1, e.y2, greatest(3, (e.x2 - e.x1) * 0.012) as px, greatest(3, (e.y2 - e.y1) * 0.012) as py from plans p left join e using (plan_id)),
+  b as (select *, coalesce(n, 0) < 8 or x2 <= x1 or y2 <= y1 or (((x2 - x1 + 2 * px) / (max_x - min_x) < 0.22 or (y2 - y1 + 2 * py) / (max_y - min_y) < 0.22) and sqrt(pow(max_x - min_x, 2) + pow(max_y - min_y, 2)) <= 1.6 * sqrt(pow(x2 - x1 + 2 * px, 2) + pow(y2 - y1 + 2 * py, 2))) as back from t)
+  select plan_id, round(case when back then min_x else x1 - px end, 4) as min_x, round(case when back then min_y else y1 - py end, 4) as min_y, round(case when back then max_x else x2 + px end, 4) as max_x, round(case when back then max_y else y2 + py end, 4) as max_y from b""")
+def a18_trimmed(v):
+    """Bounds of the corners of boxes and the ends of corridors without one in a hundred at each side."""
+    x, y, w, h = (F.col(c) for c in "xywh")
+    at = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    points = v.boxes.select("plan_id", F.inline(F.array(at(x, y), at(x + w, y), at(x, y + h), at(x + w, y + h)))).unionByName(v.corridors.select("plan_id", F.inline(F.array(at(x, y), at(x + w, y + h)))))
+    return shapes.trimmed_bounds(v.plans, points).select("plan_id", *(F.round(c, 4).alias(c) for c in ("min_x", "min_y", "max_x", "max_y")))
+
+
+_PAD = lambda c, n: f"case when length(({c})::varchar) >= {n} then ({c})::varchar else lpad(({c})::varchar, {n}, '0') end"
+_CODE = "(select box_id, floor_level + 1 as z, y // 300 as r, box_id % 2000 as n from boxes)"
+
+
+@query("P26_box_codes", f"select box_id, 'Z' || {_PAD('z', 2)} || '-R' || {_PAD('r', 2)} || '-' || {_PAD('n', 3)} as plain, {_PAD('n', 2)} as compact, 'ZONE' || {_PAD('z', 2)} || '-ROW' || {_PAD('r', 2)} || '-' || {_PAD('n', 4)} as verbose, z::bigint as zone, r::bigint as row_no, n::bigint as number, true as same, false as other from {_CODE} t")
+def p26(v):
+    """Codes of boxes in three schemes; the default one is parsed back, the compact one doesn't parse as it."""
+    z, r, n = F.col("floor_level") + 1, F.floor(F.col("y") / 300), F.col("box_id") % 2000
+    b = v.boxes.select("box_id", *(text.box_code(z, r, n, s).alias(name) for s, name in (("default", "plain"), ("compact", "compact"), ("verbose", "verbose"))))
+    p, q = text.parsed_code(F.col("plain")), text.parsed_code(F.col("verbose"), "verbose")
+    return b.select("*", p["zone"].alias("zone"), p["row"].alias("row_no"), p["number"].alias("number"), (p == q).alias("same"), text.parsed_code(F.col("compact")).isNotNull().alias("other"))
+
+
+@query("W13_merged_corridors")
+def w13_merged(v):
+    """Corridors of one direction that overlap, or nearly touch, made one."""
+    rects = v.corridors.select("plan_id", (F.col("w") >= F.col("h")).alias("flat"), F.col("corridor_id").alias("id"), "x", "y", "w", "h")
+    return networks.merged_rectangles(rects, ["plan_id", "flat"])

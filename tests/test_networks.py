@@ -178,3 +178,27 @@ def test_literals(spark):
     } | {k: v for k, v in got.items() if k[0] == "bridge"}
     # the wall is in the way of the bridge from (500, 100) to (1200, 105); nodes on one centreline that aren't neighbours are bridged
     assert {k[1:] for k in got if k[0] == "bridge"} <= {(500.0, 0.0, 500.0, 600.0)}
+
+
+def test_merged_rectangles(spark):
+    rng = random.Random(21)
+    rows = [(1 + i % 2, i, rng.randrange(3000), rng.randrange(3000), 40 + rng.randrange(400), 30 + rng.randrange(200)) for i in range(70)]
+    df = spark.createDataFrame(rows, "plan_id long, id long, x long, y long, w long, h long")
+    expected = []
+    for plan in (1, 2):
+        left = [list(r[1:]) + [1] for r in rows if r[0] == plan]
+        done = False
+        while not done:
+            done = True
+            for i, a in enumerate(left):
+                j = next((j for j in range(i) if all(a[k] <= left[j][k] + left[j][k + 2] + 15 and left[j][k] <= a[k] + a[k + 2] + 15 for k in (1, 2))), None)
+                if j is not None:
+                    b = left[j]
+                    x, y = min(a[1], b[1]), min(a[2], b[2])
+                    left[j] = [min(a[0], b[0]), x, y, max(a[1] + a[3], b[1] + b[3]) - x, max(a[2] + a[4], b[2] + b[4]) - y, a[5] + b[5]]
+                    del left[i]
+                    done = False
+                    break
+        expected += [(plan, *r) for r in left]
+    got = networks.merged_rectangles(df, ["plan_id"]).select("plan_id", "id", "x", "y", "w", "h", "n").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, expected))
