@@ -175,3 +175,11 @@ def recommended_presets(plans: DataFrame) -> DataFrame:
     rules = [("modern-office", 0.9, (area > 500) & (area < 5000)), ("hotel-standard", 0.85, (area > 1000) & (rooms > 10)), ("warehouse", 0.8, (area > 2000) & (rooms < 5))]
     found = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(name).alias("preset"), F.lit(score).alias("score"))) for name, score, test in rules)))
     return plans.select("plan_id", F.inline(found))
+
+
+def connected_boxes(boxes: DataFrame, corridors: DataFrame, reach: int = 100) -> DataFrame:
+    """Ids of the boxes that a corridor overlaps, or lies beside: level with it on one axis and at most reach away on the other."""
+    level = lambda p, s: (F.col(f"a.{p}") <= F.col(f"b.{p}") + F.col(f"b.{s}")) & (F.col(f"b.{p}") <= F.col(f"a.{p}") + F.col(f"a.{s}"))
+    gap = lambda p, s: F.greatest(F.col(f"a.{p}") - F.col(f"b.{p}") - F.col(f"b.{s}"), F.col(f"b.{p}") - F.col(f"a.{p}") - F.col(f"a.{s}"))
+    beside = (level("x", "w") & (gap("y", "h") <= reach)) | (level("y", "h") & (gap("x", "w") <= reach))
+    return spatial.grid_join(boxes, corridors, ["plan_id"], beside, pad=reach).select(F.col("a.box_id").alias("box_id")).distinct()

@@ -235,3 +235,31 @@ def a8_rooms(v):
 @query("A7_fire_compartments", "select plan_id, area, cast(ceil(area / 500) - 1 as bigint) as walls from (select plan_id, sum(cast(w as bigint) * h) / 10000.0 as area from boxes group by plan_id) t where area > 500")
 def a7_compartments(v):
     return rules.fire_compartments(v.boxes)
+
+
+_LEVEL = lambda p, w: f"(a.{p} <= b.{p} + b.{w} and b.{p} <= a.{p} + a.{w})"
+_APART = lambda p, w: f"greatest(a.{p} - b.{p} - b.{w}, b.{p} - a.{p} - a.{w}) <= 100"
+_BESIDE = f"(select distinct a.box_id from boxes a join corridors b on a.plan_id = b.plan_id and (({_LEVEL('x', 'w')} and {_APART('y', 'h')}) or ({_LEVEL('y', 'h')} and {_APART('x', 'w')})))"
+
+
+@query("J10_isolated_boxes", f"select plan_id, count(*) as boxes, count(*) filter (c.box_id is null) as isolated, round(count(*) filter (c.box_id is null) * 1.0 / count(*), 6) as rate from boxes left join {_BESIDE} c using (box_id) group by plan_id")
+def j10(v):
+    """Boxes no corridor overlaps or lies beside (a metre), and their share."""
+    near = checks.connected_boxes(v.boxes, v.corridors).withColumn("near", F.lit(1))
+    alone = F.count(F.when(F.col("near").isNull(), 1))
+    return v.boxes.join(near, "box_id", "left").groupBy("plan_id").agg(F.count(F.lit(1)).alias("boxes"), alone.alias("isolated"), F.round(alone / F.count(F.lit(1)), 6).alias("rate"))
+
+
+_CORNER = "(select plan_id, zone_id, x as ax, y as ay, x + w as bx, y as by_, x + w / 2.0 as cx, cast(y + h as double) as cy from zones)"
+
+
+@query("P13_points_in_polygons", f"""with p as (select b.box_id, b.x + b.w / 2.0 as x, b.y + b.h / 2.0 as y, t.* exclude (plan_id) from boxes b join {_CORNER} t on t.plan_id = b.plan_id), e as (select box_id, zone_id, x, y, case k when 0 then ax when 1 then bx else cx end as px, case k when 0 then ay when 1 then by_ else cy end as py, case k when 0 then bx when 1 then cx else ax end as qx, case k when 0 then by_ when 1 then cy else ay end as qy from p cross join (values (0), (1), (2)) as k(k))
+  select box_id, zone_id from e group by box_id, zone_id having sum(case when (py > y) <> (qy > y) and x < (qx - px) * (y - py) / (qy - py) + px then 1 else 0 end) % 2 = 1""")
+def p13(v):
+    """Boxes whose centre lies in the triangle over a zone's base."""
+    d = lambda c: F.col(c).cast("double")
+    x, y, w, h = (d(c) for c in "xywh")
+    ring = F.array(*(F.struct(a.alias("x"), b.alias("y")) for a, b in ((x, y), (x + w, y), (x + w / 2, y + h))))
+    centres = spatial.points(v.boxes.select("plan_id", "box_id", (x + w / 2).alias("x"), (y + h / 2).alias("y")))
+    pairs = spatial.grid_join(centres, v.zones.withColumn("ring", ring), ["plan_id"], geometry.overlap("a", "b", strict=False))
+    return pairs.where(geometry.inside(F.col("a.x"), F.col("a.y"), F.col("b.ring"))).select("box_id", "zone_id")

@@ -77,14 +77,6 @@ def j7(v):
     return out.select("plan_id", "corridor_id", "links", ((F.col("links") <= 1) & (F.col("k") >= 3)).alias("dead_end"))
 
 
-@query("J10_isolated_boxes", f"with c as (select distinct a.box_id from boxes a join corridors b on a.plan_id = b.plan_id and {_GAP2} < 10000) select plan_id, count(*) as boxes, count(*) filter (c.box_id is null) as isolated, round(count(*) filter (c.box_id is null) * 1.0 / count(*), 6) as rate from boxes left join c using (box_id) group by plan_id")
-def j10(v):
-    near = spatial.within(v.boxes, v.corridors, ["plan_id"], 100).select(F.col("a.box_id").alias("box_id")).distinct().withColumn("near", F.lit(1))
-    j = v.boxes.join(near, "box_id", "left")
-    alone = F.count(F.when(F.col("near").isNull(), 1))
-    return j.groupBy("plan_id").agg(F.count(F.lit(1)).alias("boxes"), alone.alias("isolated"), F.round(alone / F.count(F.lit(1)), 6).alias("rate"))
-
-
 @query("J11_valid_corridors", f"select plan_id, corridor_id from corridors where corridor_id not in (select a.corridor_id from corridors a join zones b on a.plan_id = b.plan_id and {_TOUCH}) and corridor_id not in (select a.corridor_id from corridors a join boxes b on a.plan_id = b.plan_id and b.floor_level = 0 and {_AREA} > 0.5 * a.w * a.h)")
 def j11(v):
     """Not touching a zone, and no box of the ground floor on more than half of it."""
