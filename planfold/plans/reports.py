@@ -115,7 +115,7 @@ _COUNTED = "(select plan_id, ord, type, case when ord <> 3 then target_area_cm2
 
 
 @query("A2_area_and_count_targets", f"""with m as (select m.*, coalesce(b.n, 0) as n, coalesce(b.area, 0) as area, case when contains(tolerance, '%') then cast(replace(tolerance, '%', '') as double) / 100 end as share, try_cast(tolerance as double) as fixed from {_COUNTED} m left join (select plan_id, type, count(*) as n, sum(cast(w as bigint) * h) as area from boxes group by all) b on b.plan_id = m.plan_id and b.type = m.type),
-  d as (select *, area - ta as da, n - tc as dc, abs(area - ta) <= coalesce(share * ta, fixed) as wa, abs(n - tc) <= coalesce(share * tc, fixed) as wc, coalesce(greatest(0, 1 - abs(area - ta) * 1.0 / ta), greatest(0, 1 - abs(n - tc) * 1.0 / tc), 0) as ratio from m)
+  d as (select *, area - ta as da, n - tc as dc, abs(area - ta) <= coalesce(share * ta, fixed) as wa, abs(n - tc) <= coalesce(share * tc, fixed) as wc, case when ta is not null then greatest(0, 1 - abs(area - ta) * 1.0 / ta) when tc is not null then greatest(0, 1 - abs(n - tc) * 1.0 / tc) else 0 end as ratio from m)
   select plan_id, type, cast(da as bigint) as delta_area, cast(dc as bigint) as delta_count, case when wa is null then wc when wc is null then wa else wa and wc end as within, round(ratio, 6) as ratio, weight, round(sum(ratio * weight) over (partition by plan_id) / sum(weight) over (partition by plan_id), 6) as compliance from d""")
 def a2_counts(v):
     """Targets of area, of count, or both, weighed by priorities (those that are no number, or 0, weigh 1)."""
