@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from planfold.llm import decontaminate, html_text, language, line_dedup, mixing, near_dedup, pii, quality, token_files, toxicity
+from planfold.llm import alignment, decontaminate, html_text, language, line_dedup, mixing, near_dedup, pii, quality, token_files, toxicity
 
 def pipeline(spark, sf_dir):
     import corpus_pipeline
@@ -21,6 +21,7 @@ QUERIES = {
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_language_mixture": language.op9_language_mixture,
     "op10_token_files": token_files.op10_token_files,
+    "op11_cross_tokenizer_alignment": alignment.op11_cross_tokenizer_alignment,
     "pipeline": pipeline,
 }
 
