@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from planfold.llm import alignment, decontaminate, html_text, language, line_dedup, mixing, near_dedup, pii, quality, token_files, toxicity
+from planfold.llm import alignment, decontaminate, html_text, language, line_dedup, mixing, near_dedup, pii, quality, simhash, token_files, toxicity, whitening
 
 def pipeline(spark, sf_dir):
     import corpus_pipeline
@@ -22,6 +22,8 @@ QUERIES = {
     "op9_language_mixture": language.op9_language_mixture,
     "op10_token_files": token_files.op10_token_files,
     "op11_cross_tokenizer_alignment": alignment.op11_cross_tokenizer_alignment,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_simhash_near_dedup": simhash.op13_simhash_near_dedup,
     "pipeline": pipeline,
 }
 
