@@ -7,9 +7,9 @@ lookup verifies it. Each task adds up a dense vector of document counts, indexed
 pass aligns the documents again and looks the counts up. Hash, keys and counts are sent to the tasks for SLICE_KEYS pairs at a time; with
 more pairs there is a pass for each slice, whose results are added.
 
-Alignment works on chunks: runs of a text that begin with a blank after a plain character and before one that isn't blank. Neither
-tokenizer ever joins such a blank to what stands before it (A's pattern cuts there, no piece of B has a blank behind another
-character), so ids, groups and links of a chunk don't depend on its neighbours, and a worker remembers those of chunks that recur.
+Alignment works on chunks: runs of a text that begin with a blank or line end after a plain character and before one that isn't blank.
+Neither tokenizer ever joins such a blank to what stands before it (A's pattern cuts there, no piece of B has a blank behind another
+character, or a line end), so ids, groups and links of a chunk don't depend on its neighbours, and a worker remembers those of chunks that recur.
 Whatever else the text holds stays inside its chunk, up to the whole text.
 
 Defined results: each row is a document, also where doc_id repeats or is null. Texts null, empty, or whose tokens' joined bytes differ
@@ -18,6 +18,9 @@ from blank + text (a text with U+2581, say) have zeros and no groups. Extra colu
 from __future__ import annotations
 
 import hashlib
+import json
+import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +37,10 @@ SLICE_KEYS, SHARD_KEYS = 4_000_000, 40_000
 LOAD, TRIES = 3, 256
 #: An id pair as one long: A's id above, B's id in the low bits.
 B_BITS = 24
-#: Chunks (of at most LONG bytes) that a worker remembers, twice: those since the last turn and those of the turn before.
-REMEMBERED, LONG = 150_000, 200
-#: Bytes of text that are aligned at once; a text is never split.
-PIECE = 4 << 20
+#: Chunks that a worker remembers, at most; bytes up to which a chunk is encoded together with others.
+REMEMBERED, IN_A_ROW = 700_000, 200
+#: Bytes of text, and rows, that are aligned at once, about; a text is never split.
+PIECE, ROWS = 12 << 20, 4000
 
 _SEED, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
@@ -126,32 +129,16 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class Chunk:
-    """What a chunk has: whether its tokens' bytes are its own, numbers of tokens of both kinds, groups, links (pairs, repeats included), and
-    its groups as text."""
-
-    __slots__ = ("good", "n_a", "n_b", "n_groups", "links", "said")
-
-    def __init__(self, good, n_a=0, n_b=0, n_groups=0, links=np.empty(0, np.int64), said=b""):
-        self.good, self.n_a, self.n_b, self.n_groups, self.links, self.said = good, n_a, n_b, n_groups, links, said
-
-
-def aligned(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids and byte ends of both token rows of one text -> (A token and B token of each link, byte ends of groups). Two tokens overlap in
-    one stretch without ends inside, so the stretches between neighbouring ends are the links."""
-    ends = np.union1d(a_ends, b_ends)
-    return np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends), np.intersect1d(a_ends, b_ends)
-
-
-class Aligner(dict):
-    """From a chunk (bytes) to what it has. Chunks met for the first time go through both tokenizers together."""
+class Aligner:
+    """Aligns texts by their chunks. What a chunk has is kept by its number: tokens of both kinds, groups, where its links (pairs, repeats
+    included) and its groups as text begin. A chunk whose tokens' joined bytes are not its own counts -1 tokens. Chunks met for the
+    first time go through both tokenizers together."""
 
     def __init__(self, path_a: str, path_b: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a process for each core
         import sentencepiece
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.before: dict[bytes, Chunk] = {}
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
@@ -162,10 +149,36 @@ class Aligner(dict):
             self.bytes_a[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        if len(self.bytes_b) > 1 << B_BITS:
-            raise ValueError(f"B has more than 2**{B_BITS} ids")
+        if max(len(self.bytes_a), len(self.bytes_b)) > 10**7:
+            raise ValueError("ids of more than seven digits")
         self.length_a, self.length_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
-        self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
+        self.cuts = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
+        self.prefix = self.b.piece_to_id("▁")
+        self.ranks = self._ranks(path_a)
+        # ids as text, eight bytes each, padded with zeros; behind them a comma, or what ends a group's side
+        digits = [str(i).encode() for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        self.said_as = {c: np.array([d + c for d in digits], "S8").view("<u8") for c in (b",", b"|", b";")}
+        self.forget()
+
+    def _ranks(self, path: str):
+        """The faster encoder with A's vocabulary, where A's ids are the order of its merges; else None, and A encodes all."""
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        merges = [m if isinstance(m, list) else m.split(" ") for m in said["model"].get("merges", [])]
+        vocabulary = said["model"]["vocab"]
+        plain = said["pre_tokenizer"].get("type") == "ByteLevel" and said["pre_tokenizer"].get("use_regex") and not said["pre_tokenizer"].get("add_prefix_space") and not said.get("normalizer")
+        if not plain or sorted(vocabulary.values())[: 256 + len(merges)] != list(range(256 + len(merges))) or any(vocabulary[x + y] != 256 + k for k, (x, y) in enumerate(merges)):
+            return None
+        return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks={self.bytes_a[i]: i for i in range(256 + len(merges))}, special_tokens={})
+
+    def forget(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.said: list[bytes] = []
+        self.counts = np.zeros((0, 4), np.int64)
+        self.links = np.empty(0, np.int64)
 
     def chunk_starts(self, b: np.ndarray, firsts: np.ndarray) -> np.ndarray:
         """Bytes of blank + text, in a row, and where each begins -> starts of chunks. Behind a text's last byte comes the next one's blank."""
@@ -173,38 +186,91 @@ class Aligner(dict):
         if self.cuts and len(b) > 2:
             plain = (b > 32) & (b < 127)
             plain[1:] |= (b[:-1] == 0xC3) & (b[1:] >= 0x80)
-            start[1:-1] = (b[1:-1] == 32) & plain[:-2] & (b[2:] > 32)
+            start[1:-1] = ((b[1:-1] == 32) | (b[1:-1] == 10)) & plain[:-2] & (b[2:] > 32)
         start[firsts] = True
         return np.flatnonzero(start)
 
-    def learn(self, chunks: list[bytes]) -> list[Chunk]:
+    def _one_by_one(self, chunks: list[bytes]) -> list[tuple[list[int], list[int]] | None]:
+        """Ids by A and by B, or None where their bytes are not the chunk. B sets a blank before what it encodes: it takes the place of the
+        chunk's own, or goes if that is a line end."""
         texts = [c.decode() for c in chunks]
         out = []
-        for chunk, ea, ib in zip(chunks, self.a.encode_batch_fast(texts, add_special_tokens=False), self.b.encode([t[1:] for t in texts], num_threads=1), strict=True):
-            ia = ea.ids
-            if b"".join(map(self.bytes_a.__getitem__, ia)) != chunk or b"".join(map(self.bytes_b.__getitem__, ib)) != chunk or len(chunk) < 2:
-                out.append(Chunk(False))
-                continue
-            a, b = np.array(ia, np.int64), np.array(ib, np.int64)
-            ea, eb = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
-            la, lb, groups = aligned(a, b, ea, eb)
-            at_a, at_b = [0, *(np.searchsorted(ea, groups) + 1).tolist()], [0, *(np.searchsorted(eb, groups) + 1).tolist()]
-            said = ";".join(f"{','.join(map(str, ia[at_a[g] : at_a[g + 1]]))}|{','.join(map(str, ib[at_b[g] : at_b[g + 1]]))}" for g in range(len(groups)))
-            out.append(Chunk(True, len(a), len(b), len(groups), a[la] << B_BITS | b[lb], said.encode()))
+        for c, x, ib in zip(chunks, self.a.encode_batch_fast(texts, add_special_tokens=False), self.b.encode([t if t[0] == "\n" else t[1:] for t in texts], num_threads=1), strict=True):
+            if c[0] == 10:
+                ib = ib[1:] if ib[:1] == [self.prefix] else []
+            same = len(c) > 1 and b"".join(map(self.bytes_a.__getitem__, x.ids)) == c and b"".join(map(self.bytes_b.__getitem__, ib)) == c
+            out.append((x.ids, ib) if same else None)
         return out
 
-    def known(self, chunks: list[bytes]) -> list[Chunk]:
-        found = [self.get(c) or self.before.get(c) for c in chunks]
-        new = [i for i, x in enumerate(found) if x is None]
-        if new:
-            if len(self) > REMEMBERED:
-                self.before = dict(self)
-                self.clear()
-            for i, x in zip(new, self.learn([chunks[i] for i in new]), strict=True):
-                found[i] = x
-                if len(chunks[i]) <= LONG:
-                    self[chunks[i]] = x
-        return found
+    def _in_a_row(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(A's ids, number of them by chunk, B's ids, number of them, which chunks are good) of chunks that end with a plain character: as
+        one text. If its bytes don't come out or a token crosses chunks, halves of them; a few are encoded one by one."""
+        said = b" a" + b"".join(chunks)
+        text = said.decode()
+        a, b = self.ranks.encode_to_numpy(text, disallowed_special=()).astype(np.int64), np.array(self.b.encode(text[1:]), np.int64)
+        ends, at = 2 + np.cumsum([0, *map(len, chunks)]), []
+        for ids, lengths, parts in ((a, self.length_a, self.bytes_a), (b, self.length_b, self.bytes_b)):
+            stops = np.cumsum(lengths[ids])
+            place = np.searchsorted(stops, ends)
+            if stops[-1] == len(said) and (stops[place] == ends).all() and b"".join(map(parts.__getitem__, ids.tolist())) == said:
+                at.append(place + 1)
+        if len(at) == 2:
+            return a[at[0][0] :], np.diff(at[0]), b[at[1][0] :], np.diff(at[1]), np.ones(len(chunks), bool)
+        if len(chunks) > 32:
+            halves = [self._in_a_row(c) for c in (chunks[: len(chunks) // 2], chunks[len(chunks) // 2 :])]
+            return tuple(np.concatenate(x) for x in zip(*halves, strict=True))
+        return self._flat(self._one_by_one(chunks))
+
+    @staticmethod
+    def _flat(found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        ids = [[x[k] if x else [] for x in found] for k in (0, 1)]
+        (a, n_a), (b, n_b) = ((np.array(list(chain.from_iterable(x)), np.int64), np.array([len(i) for i in x], np.int64)) for x in ids)
+        return a, n_a, b, n_b, np.array([x is not None for x in found], bool)
+
+    def learn(self, chunks: list[bytes]) -> None:
+        """All chunks in a row: two tokens overlap in one stretch without ends inside, so the stretches between neighbouring ends of
+        tokens are the links; groups end where tokens of both kinds do, as chunks do."""
+        closed = [self.ranks is not None and 1 < len(c) <= IN_A_ROW and c[1] > 32 and (32 < c[-1] < 127 or c[-1] >= 128 and c[-2] == 0xC3) for c in chunks]
+        chunks = [c for c, x in zip(chunks, closed, strict=True) if x] + [c for c, x in zip(chunks, closed, strict=True) if not x]
+        n = sum(closed)
+        parts = [self._in_a_row(chunks[:n])] if n else []
+        parts += [self._flat(self._one_by_one(chunks[n:]))] if n < len(chunks) else []
+        a, n_a, b, n_b, good = (np.concatenate(x) for x in zip(*parts, strict=True))
+        at = np.flatnonzero(good).tolist()
+        n_a, n_b = n_a[good], n_b[good]
+        a_ends, b_ends, ends = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b]), np.cumsum([len(chunks[i]) for i in at], dtype=np.int64)
+        size = int(ends[-1]) + 1 if at else 1
+        at_a, at_b = np.zeros(size, bool), np.zeros(size, bool)
+        at_a[a_ends], at_b[b_ends] = True, True
+        shared = at_a & at_b
+        before = lambda x: np.cumsum(x) - x
+        stops = np.flatnonzero(at_a | at_b)
+        links = a[before(at_a)[stops]] << B_BITS | b[before(at_b)[stops]]
+        group = before(shared)
+        order = np.argsort(np.concatenate([2 * group[a_ends], 2 * group[b_ends] + 1]), kind="stable")
+        said = np.concatenate([np.where(shared[e], self.said_as[last][i], self.said_as[b","][i]) for e, i, last in ((a_ends, a, b"|"), (b_ends, b, b";"))])[order].view(np.uint8)
+        until = np.concatenate([[0], np.cumsum((said != 0).reshape(-1, 8).sum(axis=1))])[np.concatenate([[0], np.cumsum(n_a + n_b)])].tolist()
+        said = said[said != 0].tobytes()
+        counts = np.full((len(chunks), 4), 0, np.int64)
+        counts[~good, 0] = -1
+        counts[good] = np.stack([n_a, n_b, np.diff(np.cumsum(shared)[ends], prepend=0), np.diff(np.searchsorted(stops, ends, "right"), prepend=0)], axis=1)
+        self.number.update(zip(chunks, range(len(self.said), len(self.said) + len(chunks)), strict=True))
+        texts = [b""] * len(chunks)
+        for k, i in enumerate(at):
+            texts[i] = said[until[k] : until[k + 1] - 1]
+        self.said += texts
+        self.counts, self.links = np.concatenate([self.counts, counts]), np.concatenate([self.links, links])
+
+    def numbers(self, chunks: list[bytes]) -> np.ndarray:
+        found = list(map(self.number.get, chunks))
+        if None in found:
+            new = [c for c, x in zip(chunks, found, strict=True) if x is None]
+            if len(self.number) + len(new) > REMEMBERED and self.number:
+                self.forget()
+                new = chunks
+            self.learn(new)
+            found = list(map(self.number.__getitem__, chunks))
+        return np.array(found, np.int64)
 
     def texts(self, texts: list[bytes]) -> Texts:
         full = [b" " + t if t else b"" for t in texts]
@@ -212,31 +278,41 @@ class Aligner(dict):
         said = np.flatnonzero([len(t) > 0 for t in full])
         joined = np.frombuffer(b"".join(full), np.uint8)
         starts = self.chunk_starts(joined, firsts[said])
-        places = np.append(starts, len(joined)).astype(np.int64)
-        runs = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(joined)]).dictionary_encode()
-        chunks = self.known(runs.dictionary.to_pylist())
-        which = runs.indices.to_numpy()
-        return Texts(len(texts), said[np.searchsorted(firsts[said], starts, "right") - 1], which, chunks)
+        places = np.append(starts, len(joined)).astype(np.int32)
+        runs = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(joined)]).dictionary_encode()
+        numbers = self.numbers(runs.dictionary.to_numpy(zero_copy_only=False).tolist())
+        return Texts(self, len(texts), said[np.searchsorted(firsts[said], starts, "right") - 1], runs.indices.to_numpy(), numbers)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, each value once."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (sizes[0] of them), starts[1], ..."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Texts:
-    """Aligned texts: for each chunk in a row its text (of) and its entry in chunks (which); good says of which texts the bytes agree."""
+    """Aligned texts: for each chunk in a row its text (of) and its place among the distinct chunks (which); good says of which texts the
+    bytes agree."""
 
-    def __init__(self, n: int, of: np.ndarray, which: np.ndarray, chunks: list[Chunk]):
-        fine = np.array([c.good for c in chunks], bool)
+    def __init__(self, known: Aligner, n: int, of: np.ndarray, which: np.ndarray, numbers: np.ndarray):
+        self.counts, self.sizes = known.counts[numbers, :3], known.counts[numbers, 3]
+        fine = self.counts[:, 0] >= 0
         self.good = np.bincount(of, minlength=n) > 0
         self.good[of[~fine[which]]] = False
         keep = self.good[of]
-        self.n, self.of, self.which, self.chunks = n, of[keep], which[keep], chunks
-        self.sizes = np.array([len(c.links) for c in chunks], np.int64)
-        self.links = np.concatenate([np.empty(0, np.int64), *(c.links for c in chunks)])
+        self.n, self.of, self.which, self.chunks, self.said, self.numbers = n, of[keep], which[keep], len(numbers), known.said, numbers
+        first = np.cumsum(known.counts[:, 3]) - known.counts[:, 3]
+        self.links = known.links[_runs(first[numbers], self.sizes)]
 
-    def total(self, by_chunk) -> np.ndarray:
+    def total(self, by_chunk: np.ndarray) -> np.ndarray:
         """A number of each chunk, added up by text."""
-        if not len(self.of):
-            return np.zeros(self.n, np.int64)
-        values = np.asarray(by_chunk, np.int64)[self.which]
-        sums = np.concatenate([[0], np.cumsum(values)])
+        sums = np.concatenate([[0], np.cumsum(by_chunk[self.which])])
         ends = np.searchsorted(self.of, np.arange(self.n + 1))
         return sums[ends[1:]] - sums[ends[:-1]]
 
@@ -248,20 +324,18 @@ class Texts:
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pairs and in how many of the texts each is linked."""
-        once = np.unique(self.of.astype(np.int64) * len(self.chunks) + self.which)
-        of, which = np.divmod(once, max(1, len(self.chunks)))
-        n = self.sizes[which]
-        ends = np.cumsum(n)
-        at = np.repeat((np.cumsum(self.sizes) - self.sizes)[which] - ends + n, n) + np.arange(n.sum())
-        keys, code = np.unique(self.links, return_inverse=True)
-        held = np.unique(np.repeat(of, n) * max(1, len(keys)) + code[at])
-        counts = np.bincount(held % max(1, len(keys)), minlength=len(keys))
+        keys = distinct(self.links)
+        code, m = np.searchsorted(keys, self.links), max(1, len(keys))
+        once = distinct(self.of.astype(np.int64) * max(1, self.chunks) + self.which)
+        of, which = np.divmod(once, max(1, self.chunks))
+        at = _runs((np.cumsum(self.sizes) - self.sizes)[which], self.sizes[which])
+        held = distinct(np.repeat(of, self.sizes[which]) * m + code[at])
+        counts = np.bincount(held % m, minlength=len(keys))
         return keys[counts > 0], counts[counts > 0]
 
     def groups_sha256(self) -> list[str]:
         ends = np.searchsorted(self.of, np.arange(self.n + 1)).tolist()
-        said = [c.said for c in self.chunks]
-        words = [said[i] for i in self.which.tolist()]
+        words = list(map(self.said.__getitem__, self.numbers[self.which].tolist()))
         return [hashlib.sha256(b";".join(words[ends[i] : ends[i + 1]])).hexdigest() if self.good[i] else "" for i in range(self.n)]
 
 
@@ -301,7 +375,7 @@ def linked_pairs(docs: DataFrame, a: str = TOKENIZER_A, b: str = TOKENIZER_B) ->
             keys, counts = texts.pairs()
             yield pa.RecordBatch.from_arrays([pa.array([keys], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))], names=["keys", "counts"])
 
-    return map_texts(docs, ["text"], "keys array<long>, counts array<long>", each)
+    return map_texts(docs, ["text"], "keys array<long>, counts array<long>", each, ROWS)
 
 
 def pair_hashes(pieces: DataFrame) -> tuple[DataFrame, int, int]:
@@ -374,12 +448,11 @@ def alignments(docs: DataFrame, a: str = TOKENIZER_A, b: str = TOKENIZER_B) -> D
                 at = find(texts.links)
                 value = np.where(at >= 0, count[at] if len(count) else 0, 0)
                 is_best = (at >= 0) & (value == most[texts.links >> B_BITS]) if len(most) else at >= 0
-                chunk = texts.chunks
-                numbers = [[c.n_a for c in chunk], [c.n_b for c in chunk], [c.n_groups for c in chunk], texts.sizes, texts.per_chunk(is_best), texts.per_chunk(value)]
+                numbers = [*texts.counts.T, texts.sizes, texts.per_chunk(is_best), texts.per_chunk(value)]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(texts.total(x), pa.int64()) for x in numbers), pa.array(texts.groups_sha256(), pa.string()), rows.column("key")], names=["doc_id", *_OUT, "groups_sha256", "key"])
 
         keyed = docs.select("doc_id", "text", (F.sha2("text", 256) if slices > 1 else F.lit(None).cast("string")).alias("key"))
-        return map_texts(keyed, ["doc_id", "text", "key"], "doc_id long, " + ", ".join(f"{c} long" for c in _OUT) + ", groups_sha256 string, key string", each)
+        return map_texts(keyed, ["doc_id", "text", "key"], "doc_id long, " + ", ".join(f"{c} long" for c in _OUT) + ", groups_sha256 string, key string", each, ROWS)
 
     if slices == 1:
         return looked_up(*found[0]).drop("key")
