@@ -4,7 +4,7 @@ Features: density and weight of lexicon words, how many stand near a second-pers
 stretched words, length. The lexicon is learned: word beginnings (4 and 5 letters) far more frequent in toxic texts. To keep training
 honest, each half of the training rows gets its features from the lexicon of the other half; scoring uses the lexicon of both.
 
-Labels are read from rows whose crc32(doc_id as text) mod 4 is not 2. At most TRAIN_ROWS of them (those with the smallest hash) fit the
+Labels are read from rows whose crc32(doc_id as text) mod 4 is not 2 and whose document is there. At most TRAIN_ROWS of them, chosen by class, fit the
 models: three fifths grow the trees, two fifths calibrate. Lang, source, doc_id and labels are never inputs of a score.
 
 Defined results: null or empty text is scored like any text, with all features 0; a doc_id with several labels counts as toxic if
@@ -72,11 +72,21 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
     ]
 
 
-def labelled(labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, toxic, part, half): the training rows, at most `rows`. part: 0 to 4."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold(F.col("doc_id")) != 2)
-    mixed = F.xxhash64(F.lit("toxicity"), "doc_id")
-    return cut(known.orderBy(mixed, "doc_id").limit(rows).select("doc_id", "toxic", F.pmod(mixed, F.lit(5)).alias("part"), F.pmod(F.shiftright(mixed, 8), F.lit(2)).cast("int").alias("half")))
+def labelled(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """(doc_id, toxic, part, half, weight): the training rows, at most `rows`, among labels that have a document; part: 0 to 4.
+
+    Beyond `rows` each class keeps those with the smallest hash, toxic ones half of all rows or whatever the others leave; weight is how
+    many labels of its class a row stands for, so that rare toxic texts are learned and scores still follow their true share."""
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic") == 1).cast("int").alias("toxic")).where(fold(F.col("doc_id")) != 2)
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("_mixed", F.xxhash64(F.lit("toxicity"), "doc_id"))
+    known = written(known)
+    n = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    clean, toxic = n.get(0, 0), n.get(1, 0)
+    most = {1: min(toxic, max(rows // 2, rows - clean))}
+    most[0] = min(clean, rows - most[1])
+    parts = [known.where(F.col("toxic") == x).orderBy("_mixed", "doc_id").limit(k).withColumn("weight", F.lit(n[x] / k)) for x, k in most.items() if k]
+    both = parts[0].union(parts[1]) if len(parts) == 2 else parts[0] if parts else known.limit(0).withColumn("weight", F.lit(1.0))
+    return cut(both.select("doc_id", "toxic", F.pmod("_mixed", F.lit(5)).alias("part"), F.pmod(F.shiftright("_mixed", 8), F.lit(2)).cast("int").alias("half"), "weight"))
 
 
 def learned_lexicons(train: DataFrame) -> list[dict[str, float]]:
@@ -117,7 +127,7 @@ def measured(docs: DataFrame, lexicons: list[dict[str, float]], *more: str) -> D
 def scored(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """docs(doc_id, text), labels(doc_id, toxic) -> doc_id, held_out, score, predicted."""
     docs = docs.select("doc_id", "text")
-    sample = labelled(labels, train_rows)
+    sample = labelled(docs, labels, train_rows)
     train = written(docs.join(F.broadcast(sample), "doc_id"))  # at most train_rows rows of a few bytes are sent
     counts = {(r.toxic, r.grows): r["count"] for r in train.groupBy("toxic", (F.col("part") < 3).alias("grows")).count().collect()}
     clean, toxic = (sum(n for (x, _), n in counts.items() if (x == 1) == (want == 1)) for want in (0, 1))
@@ -127,10 +137,10 @@ def scored(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
         rows = docs
     else:
         lexicons = learned_lexicons(train)
-        rows = cut(measured(train, lexicons, "toxic", "part", "half").select(F.col("toxic").cast("double").alias("label"), "part", array_to_vector("features").alias("features"))).coalesce(4)  # bounded, as train_rows are
-        trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, maxBins=32, subsamplingRate=1.0, seed=7).fit(rows.where("part < 3"))
+        rows = cut(measured(train, lexicons, "toxic", "part", "half", "weight").select(F.col("toxic").cast("double").alias("label"), "part", "weight", array_to_vector("features").alias("features"))).coalesce(4)  # bounded, as train_rows are
+        trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, maxBins=32, subsamplingRate=1.0, seed=7, weightCol="weight").fit(rows.where("part < 3"))
         p = vector_to_array("probability")[1]
-        steps = IsotonicRegression(featuresCol="p", labelCol="label").fit(trees.transform(rows.where("part >= 3")).select(p.alias("p"), "label"))
+        steps = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="weight").fit(trees.transform(rows.where("part >= 3")).select(p.alias("p"), "label", "weight"))
         rows = measured(docs.withColumn("half", F.lit(None).cast("int")), lexicons, "doc_id").select("doc_id", array_to_vector("features").alias("features"))
         rows = steps.transform(trees.transform(rows).select("doc_id", p.alias("p")))
         # calibrated steps are flat; a fiftieth of the trees' own probability keeps the order within a step
