@@ -91,12 +91,12 @@ def mixtures(texts: list[np.ndarray], model: np.ndarray) -> tuple[np.ndarray, np
 
     share = settle(np.full((langs, len(full)), 1 / langs, np.float32), ROUNDS)
     rank = np.argsort(np.argsort(-share, axis=0, kind="stable"), axis=0, kind="stable")
-    top, chosen = np.full(len(full), -np.inf), None
+    top, chosen, grows = np.full(len(full), -np.inf), None, np.ones(len(full), bool)  # a text's set grows while it gains
     for k in range(1, langs + 1):
         part = np.where(rank < k, np.maximum(share, 1e-6), 0).astype(np.float32)
         part = settle(part / part.sum(axis=0), SET_ROUNDS if k > 1 else 0)
         likely = np.add.reduceat(weight * np.log((p * part[:, of]).sum(axis=0)), starts).astype(np.float64) - 0.5 * (k - 1) * np.log(total)
-        better = likely > top + 1e-9
+        grows = better = grows & (likely > top + 1e-9)
         if not better.any():
             break
         top, chosen = np.where(better, likely, top), part if chosen is None else np.where(better, part, chosen)
