@@ -34,11 +34,10 @@ def plain_words(text: bytes) -> list[bytes]:
     return text.translate(PLAIN).split()
 
 
-def _automaton(items: list[tuple[int, str]]) -> tuple:
+def _automaton(key: str, items: list[tuple[int, str]]) -> tuple:
     """The automaton over ' w1 w2 ... ' and, for each window, its length in words and its items. Built once in a worker."""
     import ahocorasick
 
-    key = hashlib.sha256(repr(items).encode()).hexdigest()
     if key not in _automata:
         windows: dict[str, tuple[int, set]] = {}
         for item_id, text in items:
@@ -58,9 +57,10 @@ def _automaton(items: list[tuple[int, str]]) -> tuple:
 
 def _scan(items: list[tuple[int, str]]):
     """For each text: number of words, hit words as [first, last) word ranges, items found."""
+    key = hashlib.sha256(repr(items).encode()).hexdigest()
 
     def each(batch: pa.RecordBatch):
-        machine, any_ = _automaton(items)
+        machine, any_ = _automaton(key, items)
         n, ranges, found = [], [], []
         for text in raw_texts(batch):
             words = plain_words(text)
