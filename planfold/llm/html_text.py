@@ -7,11 +7,17 @@ VARIETY**l of the weighted mean over its nodes, where l is the number of layouts
 say. In the mean each node counts as often as it is shown, and by DECAY for each level below, down to LEVELS levels. Nodes shown less
 than MIN_PAGES times count as important.
 
+Importance chooses where the article is: the text of each branch, weighed by the importance of the nodes that say it, is summed from the
+leaves up, and from the body down the branch is followed that holds DOMINANT of the weight, as long as it is made of blocks. Tags and
+names are a prior: what is never text or is named noise weighs nothing, and an <article>, <main> or articleBody on the way down or below
+it is taken as it is; but if it stands elsewhere and has less than half of the weight, the heavier branch is the article. On hosts with
+few pages nothing is known of importance and the prior alone decides.
+
 What goes is decided by importance against a limit that the element's name sets: a branch with a neutral name goes under
 MIN_IMPORTANCE, one whose class, id or role names noise (NOISE, ROLES) unless it has NAMED_IMPORTANCE, and elements that are never text
 of an article (NEVER: menus, footers, asides, forms, scripts, ...; hidden ones) always, as pages of hosts with few pages need it.
 
-From each page the article is taken: the <article>, <main> or articleBody with the most text, or the body where there is none; an <article>
+The prior's article is the <article>, <main> or articleBody with the most text, or the body where there is none; an <article>
 in <main> is one of them, and what <main> says beside its articles is measured against theirs. Elements around it are not judged by
 name. Inside the article, plain elements without class or id are kept whatever their importance, and low branches only go if they
 hold at most half of its text: copies of an article on one host make its paragraphs as frequent as a footer, and they are still text.
@@ -39,6 +45,8 @@ from planfold.llm.common import cut, map_texts, table
 #: Limits of importance for branches with neutral names and with names of noise, and how often a node must be shown to be judged.
 MIN_IMPORTANCE, NAMED_IMPORTANCE, MIN_PAGES = 0.2, 0.85, 8
 LEVELS, DECAY, VARIETY = 6, 0.7, 0.9
+#: Share of the weight that a branch must hold to be followed, and importance from which a node's text has its full weight.
+DOMINANT, FULL_WEIGHT = 0.7, 0.9
 BROADCAST_PATHS = 200_000
 _TAG = re.compile(r"<!--|<!\[CDATA\[|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*+>")
 #: For pages with a quote that never closes.
@@ -229,8 +237,37 @@ def _anchor(root: Node, noise) -> Node | None:
     return max(anchors, key=lambda x: said[id(x)])
 
 
-def main_text(html: str | None, low: frozenset[int] | set[int] = frozenset(), kept: frozenset[int] | set[int] = frozenset()) -> str:
-    """The article's text; low: paths of low importance on the page's host; kept: paths with a name of noise, but high importance."""
+def content_root(root: Node, weights: dict[int, float], nothing) -> tuple[Node, dict[int, float]]:
+    """The branch that holds the article by weight alone, and the weight of all branches (by id); nothing(node): its branch weighs nothing."""
+    top = next((k for h in root.kids for k in [h, *h.kids] if k.tag == "body"), root)
+    order, work, total = [], [top], {}
+    while work:
+        x = work.pop()
+        order.append(x)
+        work += [k for k in x.kids if not nothing(k)]
+    for x in reversed(order):
+        own = sum(len(" ".join(p.split())) for p in x.parts if isinstance(p, str)) * weights.get(x.path, 1.0)
+        total[id(x)] = total.get(id(x), 0.0) + own
+        if x is not top:
+            total[id(x.up)] = total.get(id(x.up), 0.0) + total[id(x)]
+    x = top
+    while True:
+        blocks = [k for k in x.kids if id(k) in total and any(g.tag not in INLINE and g.tag not in VOID for g in k.kids)]
+        best = max(blocks, key=lambda k: total[id(k)], default=None)
+        if best is None or total[id(best)] < DOMINANT * total[id(x)] or not total[id(x)]:
+            return x, total
+        x = best
+
+
+def _within(node: Node, other: Node) -> bool:
+    while node is not None and node is not other:
+        node = node.up
+    return node is other
+
+
+def main_text(html: str | None, low: frozenset[int] | set[int] = frozenset(), kept: frozenset[int] | set[int] = frozenset(), weights: dict[int, float] | None = None) -> str:
+    """The article's text; low: paths of low importance on the page's host; kept: paths with a name of noise, but high importance;
+    weights: importance of the host's paths under FULL_WEIGHT, None where nothing is known of the host."""
     if not html:
         return ""
     root = parsed(html)
@@ -239,6 +276,10 @@ def main_text(html: str | None, low: frozenset[int] | set[int] = frozenset(), ke
         return node.path not in kept and _named(node)
 
     anchor = _anchor(root, noise)
+    if weights is not None:
+        found, total = content_root(root, weights, lambda x: _never(x) or noise(x))
+        if found.tag != "body" and found is not root and (anchor is None or not _within(anchor, found) and not _within(found, anchor) and total[id(found)] > 2 * total.get(id(anchor), 0.0)):
+            anchor = found
     comments = anchor.kids[:] if anchor is not None and not _holds_articles(anchor) else []
     if anchor is not None and not comments:  # a <main> that says more than its articles keeps them, without the articles in those
         work = [anchor]
@@ -294,7 +335,7 @@ def style_features(html: str | None) -> dict[tuple[int, int, int], tuple[list[in
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """pages(url, html) -> (host, path, shown, named, importance): the composite importance of every branch of every host."""
+    """pages(url, html) -> (host, path, shown, named, own, importance): own and composite importance of every branch of every host."""
 
     def each(batch: pa.RecordBatch):
         found: dict[tuple, list] = {}
@@ -328,13 +369,15 @@ def importance(pages: DataFrame) -> DataFrame:
     mine = lambda c: F.max(F.when(F.col("level") == 0, F.col(c))).alias(c)
     branches = spread.groupBy("host", F.col("branch").alias("path")).agg(mine("shown"), mine("named"), mine("kinds"), mine("own"), (F.sum(weight * F.col("own")) / F.sum(weight)).alias("mean"))
     less = F.pow(F.lit(VARIETY), F.col("kinds"))
-    return branches.select("host", "path", "shown", "named", ((1 - less) * F.col("own") + less * F.col("mean")).alias("importance"))
+    return branches.select("host", "path", "shown", "named", "own", ((1 - less) * F.col("own") + less * F.col("mean")).alias("importance"))
 
 
 def decisive_paths(pages: DataFrame) -> DataFrame:
-    """(host, path, low): the branches of low importance, and those with a name of noise but high importance."""
+    """(host, path, low, kept, weight): the branches of low importance, those with a name of noise but high importance, and those whose text
+    has less than its full weight."""
     judged = importance(pages).where(F.col("shown") >= MIN_PAGES)
-    return judged.where((F.col("importance") < MIN_IMPORTANCE) | (F.col("named") & (F.col("importance") >= NAMED_IMPORTANCE))).select("host", "path", (F.col("importance") < MIN_IMPORTANCE).alias("low"))
+    low, kept = F.col("importance") < MIN_IMPORTANCE, F.col("named") & (F.col("importance") >= NAMED_IMPORTANCE)
+    return judged.select("host", "path", low.alias("low"), kept.alias("kept"), F.greatest(F.lit(0.0), "own").alias("weight")).where(F.col("low") | F.col("kept") | (F.col("weight") < FULL_WEIGHT))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -348,9 +391,14 @@ def extracted(pages: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     if paths.count() <= BROADCAST_PATHS:
-        known: dict[str, tuple[set[int], set[int]]] = {}
+        known: dict[str, tuple[set[int], set[int], dict[int, float]]] = {}
         for r in paths.collect():
-            known.setdefault(r.host, (set(), set()))[not r.low].add(r.path)
+            low, kept, weights = known.setdefault(r.host, (set(), set(), {}))
+            weights[r.path] = r.weight
+            if r.low:
+                low.add(r.path)
+            elif r.kept:
+                kept.add(r.path)
 
         def each(batch: pa.RecordBatch):
             yield rows(batch, [known.get(host_of(u), ()) for u in batch.column("url").to_pylist()])
@@ -365,13 +413,13 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     keyed = pages.withColumn("key", F.xxhash64("page_id", "url", "html"))
     of = map_texts(keyed, ["key", "url", "html"], "key long, host string, path long", of_page).join(paths, ["host", "path"])
-    of = of.groupBy("key").agg(F.collect_set(F.when(F.col("low"), F.col("path"))).alias("low"), F.collect_set(F.when(~F.col("low"), F.col("path"))).alias("kept"))
+    of = of.groupBy("key").agg(F.collect_set(F.when(F.col("low"), F.col("path"))).alias("low"), F.collect_set(F.when(F.col("kept") & ~F.col("low"), F.col("path"))).alias("kept"), F.map_from_entries(F.collect_set(F.struct("path", "weight"))).alias("weights"))
     joined = keyed.join(of, "key", "left")
 
     def each_joined(batch: pa.RecordBatch):
-        yield rows(batch, [(set(x or ()), set(y or ())) for x, y in zip(batch.column("low").to_pylist(), batch.column("kept").to_pylist(), strict=True)])
+        yield rows(batch, [(set(x or ()), set(y or ()), None if w is None else dict(w)) for x, y, w in zip(*(batch.column(c).to_pylist() for c in ("low", "kept", "weights")), strict=True)])
 
-    return map_texts(joined, ["page_id", "url", "html", "low", "kept"], schema, each_joined)
+    return map_texts(joined, ["page_id", "url", "html", "low", "kept", "weights"], schema, each_joined)
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
