@@ -73,7 +73,7 @@ def r10(v):
     whole = v.plans.select("plan_id", F.explode(cells("min_x", "max_x")).alias("i"), "min_y", "max_y").select("plan_id", "i", F.explode(cells("min_y", "max_y")).alias("j"))
     span = lambda p, s: F.sequence(F.floor(F.col(p) / _CELL).cast("int"), F.floor((F.col(p) + F.col(s)) / _CELL).cast("int"))
     blocked = v.zones.select("plan_id", F.explode(span("x", "w")).alias("i"), "y", "h").select("plan_id", "i", F.explode(span("y", "h")).alias("j")).distinct()
-    free = graph.cut(whole.join(blocked, ["plan_id", "i", "j"], "left_anti").withColumn("id", (F.col("plan_id") * 65536 + F.col("i")) * 65536 + F.col("j")))
+    free = graph.cut(whole.join(blocked, ["plan_id", "i", "j"], "left_anti").withColumn("id", F.concat_ws("/", "plan_id", "i", "j")))
     step = lambda di, dj: free.select("plan_id", (F.col("i") + di).alias("i"), (F.col("j") + dj).alias("j"), F.col("id").alias("a"))
     edges = step(1, 0).union(step(0, 1)).join(free.select("plan_id", "i", "j", F.col("id").alias("b")), ["plan_id", "i", "j"]).select("a", "b")
     found = graph.components(free.select("id"), edges)
