@@ -7,17 +7,9 @@ from pyspark.sql import functions as F
 
 from planfold.catalog import query
 from planfold.functions import geometry
-from planfold.operators import spatial
+from planfold.operators import catalogs, spatial
 from planfold.plans.layout import _GAP2, _STRICT, _TOUCH, FLOOR
 
-#: Clearance in centimetres around obstacles, by the first word found in the layer name.
-CLEARANCES = [("stair|escalier", 120), ("exit|sortie|entree", 150), ("wall|mur", 30), ("tole|gris", 20)]
-#: Box templates: name, least and greatest area in square metres.
-TEMPLATES = [("XS", 0.5, 1.0), ("S", 1.0, 2.0), ("M", 2.0, 5.0), ("L", 5.0, 10.0), ("XL", 10.0, 20.0)]
-#: Width-to-depth ratios tried in order for a box of an area.
-RATIOS = [1.0, 1.5, 0.67, 2.0, 0.5, 1.25, 0.8]
-
-
 @query("P18_usable_area", "with t as (select plan_id, case when plan_id % 4 = 0 then null when plan_id % 4 = 1 then 0 else 100 + plan_id end as total, case when plan_id % 8 = 0 then null else max_x - min_x end as width, max_y - min_y as height from plans), r as (select plan_id, sum(cast(w as bigint) * h) as rooms from zones group by plan_id) select t.plan_id, case when total > 0 then total when width > 0 then width * height when rooms > 0 then rooms else 0 end::double as area, case when total > 0 then 'totalArea' when width > 0 then 'bounds' when rooms > 0 then 'rooms' else 'unknown' end as source from t left join r using (plan_id)")
 def p18(v):
     """Total area, else bounds, else the sum of rooms, else 0, with its source."""
@@ -29,22 +21,31 @@ def p18(v):
     return p.select("plan_id", pick(F.col("total"), F.col("box"), F.col("rooms"), F.lit(0)).cast("double").alias("area"), pick(F.lit("totalArea"), F.lit("bounds"), F.lit("rooms"), F.lit("unknown")).alias("source"))
 
 
-_CLEAR = "case " + " ".join(f"when regexp_matches(lower(layer), '{p}') then {c}" for p, c in CLEARANCES) + " else 50 end"
+_CLEAR = "case " + " ".join(f"when regexp_matches(lower(name), '{p}') then {round(100 * c)}" for p, c in catalogs.CLEARANCES) + f" else {round(100 * catalogs.DEFAULT_CLEARANCE)} end"
 
 
-@query("P22_exclusion_zones", f"with o as (select plan_id, wall_id, layer, least(x1, x2) as ax, least(y1, y2) as ay, greatest(x1, x2) as bx, greatest(y1, y2) as by_, {_CLEAR} as c from walls) select plan_id, wall_id, c as clearance, ax - c as x1, ay - c as y1, bx + c as x2, by_ + c as y2 from o")
+@query("P22_exclusion_zones", f"with o as (select plan_id, type as name, connector_id as element_id, x, y, 100 as w, 100 as h from connectors union all select plan_id, 'exit', exit_id, x, y, 100, 100 from exits union all select plan_id, layer, wall_id, least(x1, x2), least(y1, y2), abs(x2 - x1), abs(y2 - y1) from walls), c as (select *, {_CLEAR} as clearance from o) select plan_id, name, element_id, clearance, x - clearance as x1, y - clearance as y1, x + w + clearance as x2, y + h + clearance as y2 from c")
 def p22(v):
-    """Bounding boxes of obstacles grown by a clearance that depends on the layer."""
-    c = F.coalesce(*(F.when(F.lower("layer").rlike(p), n) for p, n in CLEARANCES), F.lit(50))
-    w = v.walls.withColumn("clearance", c)
-    return w.select("plan_id", "wall_id", "clearance", (F.least("x1", "x2") - F.col("clearance")).alias("x1"), (F.least("y1", "y2") - F.col("clearance")).alias("y1"), (F.greatest("x1", "x2") + F.col("clearance")).alias("x2"), (F.greatest("y1", "y2") + F.col("clearance")).alias("y2"))
+    """Connectors and exits (a metre wide) and walls, grown by the clearance that their name asks for."""
+    one = F.lit(100).cast("long")
+    o = v.connectors.select("plan_id", F.col("type").alias("name"), F.col("connector_id").alias("element_id"), "x", "y", one.alias("w"), one.alias("h"))
+    o = o.unionByName(v.exits.select("plan_id", F.lit("exit").alias("name"), F.col("exit_id").alias("element_id"), "x", "y", one.alias("w"), one.alias("h")))
+    o = o.unionByName(_segments(v).join(v.walls.select("wall_id", "layer"), "wall_id").select("plan_id", F.col("layer").alias("name"), F.col("wall_id").alias("element_id"), "x", "y", "w", "h"))
+    return catalogs.exclusion_zones(o).select("plan_id", "name", "element_id", "clearance", "x1", "y1", "x2", "y2")
+
 
+_ELEMENTS = "(select entity_id, case when entity_type = 'HATCH' and color % 7 = 0 then 'ARC' when entity_type = 'HATCH' and color % 7 = 1 then 'CIRCLE' else entity_type end as t, (len_cm * (1 + color % 3)) / 100.0::double as n, w / 1000.0::double as w, h / 1000.0::double as h, w / 100.0::double * h / 100 as a from entities join boxes on box_id = entity_id)"
 
-@query("P24_element_flags", "select entity_id, regexp_matches(lower(layer), 'door|porte|entree') or (entity_type = 'LINE' and len_cm between 70 and 120) as door, lower(layer) like '%stair%' as stair, case when lower(layer) like '%stair%' then len_cm // 30 else 0 end as steps, entity_type = 'HATCH' and len_cm < 100 as column_like from entities")
+
+@query("P24_element_flags", f"""select entity_id, t = 'ARC' or (t = 'LINE' and n > 0.8 and n < 1.5) as door, case when t = 'ARC' then 'swing' when t = 'LINE' and n > 0.8 and n < 1.2 then 'single' when t = 'LINE' and n > 0.8 and n < 1.5 then 'standard' end as door_type,
+  case when t = 'ARC' then 0.9 when t = 'LINE' and n > 0.8 and n < 1.2 then 0.8 when t = 'LINE' and n > 0.8 and n < 1.5 then 0.5 end::double as door_confidence, t = 'LINE' and n > 2 and n < 10 as stair, case when t = 'LINE' and n > 2 and n < 10 then floor(n / 0.3::double) else 0 end::bigint as steps,
+  w * 10 * h * 10 > 1 and w * 10 * h * 10 < 10 as elevator, w * 10 * h * 10 > 2 and w * 10 * h * 10 < 8 and greatest(w * 10, h * 10) / least(w * 10, h * 10) < 2 as elevator_by_size, t = 'CIRCLE' or (abs(w * 10 - h * 10) < 0.1 and w * 10 < 0.5) as "column" from {_ELEMENTS} e""")
 def p24(v):
-    low = F.lower("layer")
-    stair = low.contains("stair")
-    return v.entities.select("entity_id", (low.rlike("door|porte|entree") | ((F.col("entity_type") == "LINE") & F.col("len_cm").between(70, 120))).alias("door"), stair.alias("stair"), F.when(stair, F.floor(F.col("len_cm") / 30)).otherwise(0).alias("steps"), ((F.col("entity_type") == "HATCH") & (F.col("len_cm") < 100)).alias("column_like"))
+    """Entities with the extent of their box; some hatches stand for arcs and circles."""
+    kind = F.when((F.col("entity_type") == "HATCH") & (F.col("color") % 7 == 0), "ARC").when((F.col("entity_type") == "HATCH") & (F.col("color") % 7 == 1), "CIRCLE").otherwise(F.col("entity_type"))
+    e = v.entities.join(v.boxes.select(F.col("box_id").alias("entity_id"), "w", "h"), "entity_id")
+    e = e.select("entity_id", kind.alias("entity_type"), (F.col("len_cm") * (1 + F.col("color") % 3) / 100).alias("length"), (F.col("w") / 1000 * 10).alias("width"), (F.col("h") / 1000 * 10).alias("height"))
+    return e.select("entity_id", *(c.alias(n) for n, c in catalogs.element_flags().items()))
 
 
 @query("P27_suggestions", "with i as (select plan_id, 'Box ' || box_id || ' has area ' || (w * h) || ', minimum is 20000' as message from boxes where w * h < 20000 union all select plan_id, 'Corridor ' || corridor_id || ' width ' || least(w, h) || ' below minimum 120' from corridors where least(w, h) < 120) select plan_id, message, case when message like '%area%' then 'scale' when message like '%width%' then 'widen' end as action, case when message like '%area%' then round(sqrt(20000.0 / cast(regexp_extract(message, 'area ([0-9]+)', 1) as double)), 4) when message like '%width%' then 120.0 - cast(regexp_extract(message, 'width ([0-9]+)', 1) as double) end as amount from i")
@@ -68,13 +69,16 @@ def p28(v):
     return d.select("plan_id", ((F.abs(total - 100) <= 0.01) & ok_keys & ok_values).alias("valid"), total.alias("total"), F.size(F.filter(F.map_keys("m"), lambda k: ~k.rlike(r"^\d+-\d+$"))).cast("long").alias("bad_keys"))
 
 
-@query("P29_code_presets", "with p(code, corridor, exit_limit) as (values ('A', 150, 3000), ('B', null, 4500), ('C', 120, null)) select plan_id, coalesce(p.corridor, 130 + plan_id % 7) as corridor, coalesce(p.exit_limit, 4000) as exit_limit from plans left join p on p.code = case plan_id % 4 when 0 then 'A' when 1 then 'B' when 2 then 'C' else 'none' end")
+_PRESETS = ", ".join(f"('{code}', " + ", ".join("null" if x is None else str(x).lower() for x in said) + ")" for code, said in catalogs.CODE_PRESETS.items())
+
+
+@query("P29_code_presets", f"with p(code, corridor, egress, elevators, entrances) as (values {_PRESETS}) select plan_id, coalesce(p.corridor, 1.3 + plan_id % 7)::double as corridor_width, coalesce(p.egress, 50)::double as egress_limit, coalesce(p.elevators, plan_id % 2 = 0) as require_elevators, coalesce(p.entrances, 2)::int as accessible_entrances from plans left join p on p.code = case plan_id % 5 when 0 then 'ibc_common' when 1 then 'eurocode_style' when 2 then 'storage_warehouse' when 3 then 'none' else 'unknown' end")
 def p29(v):
     """A preset of a building code laid over current values; what it leaves out is kept."""
-    presets = v.spark.createDataFrame([("A", 150, 3000), ("B", None, 4500), ("C", 120, None)], "code string, p_corridor int, p_exit int")
-    code = F.when(F.col("plan_id") % 4 == 0, "A").when(F.col("plan_id") % 4 == 1, "B").when(F.col("plan_id") % 4 == 2, "C").otherwise("none")
-    j = v.plans.select("plan_id", code.alias("code")).join(F.broadcast(presets), "code", "left")  # three fixed rows
-    return j.select("plan_id", F.coalesce("p_corridor", 130 + F.col("plan_id") % 7).cast("long").alias("corridor"), F.coalesce("p_exit", F.lit(4000)).alias("exit_limit"))
+    k = F.col("plan_id") % 5
+    code = F.when(k == 0, "ibc_common").when(k == 1, "eurocode_style").when(k == 2, "storage_warehouse").when(k == 3, "none").otherwise("unknown")
+    own = v.plans.select("plan_id", (1.3 + F.col("plan_id") % 7).cast("double").alias("corridor_width"), F.lit(50.0).alias("egress_limit"), (F.col("plan_id") % 2 == 0).alias("require_elevators"), F.lit(2).alias("accessible_entrances"))
+    return catalogs.with_preset(own, code)
 
 
 @query("P32_arrow_positions", "with c as (select corridor_id, w >= h as flat, x, y, w, h, greatest(w, h) as len from corridors), n as (select *, greatest(1, len // 200) as k from c) select corridor_id, i, round(case when flat then x + len * (i + 0.5) / k else x + w / 2.0 end, 4) as ax, round(case when flat then y + h / 2.0 else y + len * (i + 0.5) / k end, 4) as ay from (select *, unnest(range(k)) as i from n) t")
@@ -103,40 +107,42 @@ def p34(v):
     return z.select("zone_id", F.when((F.col("p_size") % 3 == 0) & (area >= 100000), 0.8).otherwise(0.2).alias("suitability"), F.when(seats < 2, "single").when(seats < 4, "double").when(seats < 7, "team").otherwise("meeting").alias("workspace"))
 
 
-@query("C7_usable_confidence", "with z as (select plan_id, sum(cast(w as bigint) * h) as taken, count(*) as n from zones group by plan_id), e as (select plan_id, count(*) as n from exits group by plan_id), w as (select plan_id, count(*) as n from walls group by plan_id) select p.plan_id, cast(cast(p.max_x - p.min_x as bigint) * (p.max_y - p.min_y) - coalesce(z.taken, 0) as bigint) as usable, 50 + case when coalesce(w.n, 0) > 0 then 20 else 0 end + case when coalesce(e.n, 0) > 0 then 15 else 0 end + case when coalesce(z.n, 0) > 0 then 10 else 0 end + case when coalesce(e.n, 0) > 1 then 5 else 0 end as confidence, case when coalesce(e.n, 0) = 0 then 'no exits' else '' end as warnings from plans p left join z using (plan_id) left join e using (plan_id) left join w using (plan_id)")
+@query("C7_usable_confidence", """with t as (select plan_id, sum(a) as taken, count(*) as n from (select plan_id, cast(w as bigint) * h as a from zones union all select plan_id, 10000 from connectors) x group by plan_id), e as (select plan_id, count(*) as n from exits group by plan_id), w as (select plan_id, count(*) as n from walls group by plan_id), u as (select plan_id, count(*) as n from entities where layer = 'Divers' and plan_id % 3 > 0 group by plan_id),
+  j as (select p.plan_id, cast(greatest(0, cast(p.max_x - p.min_x as bigint) * (p.max_y - p.min_y) - coalesce(t.taken, 0)) as bigint) as usable, coalesce(t.n, 0) as t, coalesce(e.n, 0) as e, coalesce(w.n, 0) as w, coalesce(u.n, 0) as u from plans p left join t using (plan_id) left join e using (plan_id) left join w using (plan_id) left join u using (plan_id))
+  select plan_id, usable, least(100, 50 + case when w > 0 then 20 else 0 end + case when e > 0 then 15 else 0 end + case when t > 0 then 10 else 0 end + case when usable > 0 then 5 else 0 end + case when u = 0 then 5 else 0 end) as confidence, concat_ws('; ', case when w = 0 then 'no walls' end, case when e = 0 then 'no exits' end, case when usable <= 0 then 'no usable area' end) as warnings from j""")
 def c7(v):
-    count = lambda df, name: df.groupBy("plan_id").agg(F.count(F.lit(1)).alias(name))
-    z = v.zones.groupBy("plan_id").agg(F.sum(F.col("w").cast("long") * F.col("h")).alias("taken"), F.count(F.lit(1)).alias("zones"))
-    j = v.plans.join(z, "plan_id", "left").join(count(v.exits, "exits"), "plan_id", "left").join(count(v.walls, "walls"), "plan_id", "left").fillna(0, ["taken", "zones", "exits", "walls"])
-    plus = lambda c, n: F.when(c, n).otherwise(0)
-    score = 50 + plus(F.col("walls") > 0, 20) + plus(F.col("exits") > 0, 15) + plus(F.col("zones") > 0, 10) + plus(F.col("exits") > 1, 5)
-    warnings = F.array_join(F.array_compact(F.array(F.when(F.col("exits") == 0, "no exits"))), "; ")
-    return j.select("plan_id", ((F.col("max_x") - F.col("min_x")).cast("long") * (F.col("max_y") - F.col("min_y")) - F.col("taken")).alias("usable"), score.alias("confidence"), warnings.alias("warnings"))
+    """Connectors (a square metre each) are obstacles; entities of the layer Divers are unknown, in two plans of three."""
+    obstacles = v.connectors.select("plan_id", F.lit(100).alias("w"), F.lit(100).alias("h"))
+    return catalogs.usable_area(v.plans, obstacles, v.zones, v.walls, v.exits, v.entities.where("layer = 'Divers' and plan_id % 3 > 0"))
 
 
-_TEMPLATE = ", ".join(f"('{n}', {a}, {b}, {i})" for i, (n, a, b) in enumerate(TEMPLATES))
+_BOXES = ", ".join(f"({i}, '{n}', {', '.join(f'{x}::double' for x in t)})" for i, (n, t) in enumerate(catalogs.BOX_TEMPLATES.items()))
+_UNITS = ", ".join(f"({i}, '{n}', {a}, {b})" for i, (n, (a, b)) in enumerate(catalogs.UNIT_TEMPLATES.items()))
 
 
-@query("C13_box_template", f"with t(name, lo, hi, ord) as (values {_TEMPLATE}), b as (select box_id, w * h / 10000.0 as area from boxes), m as (select box_id, arg_min(name, case when area >= lo and area <= hi then ord else 1000 + greatest(lo - area, area - hi) end) as template from b cross join t group by box_id) select box_id, template from m")
+@query("C13_box_template", f"""with t(ord, name, lo, hi, wlo, whi, dlo, dhi, door) as (values {_BOXES}), u(ord, name, lo, hi) as (values {_UNITS}), b as (select box_id, w * h * (1 + box_id % 3) / 10000.0::double as area from boxes)
+  select box_id, (select arg_min(name, ord) from t where area between lo and hi) as box_template, coalesce((select arg_min(name, ord) from u where area between lo and hi), (select arg_min(name, least(abs(area - lo), abs(area - hi))) from u)) as unit_template from b""")
 def c13(v):
-    """The first template that holds the area, else the one whose range is nearest."""
-    area = F.col("w") * F.col("h") / 10000.0
-    ranked = F.array(*(F.struct(F.when(area.between(lo, hi), F.lit(float(i))).otherwise(1000 + F.greatest(lo - area, area - hi)).alias("d"), F.lit(n).alias("name")) for i, (n, lo, hi) in enumerate(TEMPLATES)))
-    return v.boxes.select("box_id", F.array_min(ranked)["name"].alias("template"))
+    """Both catalogues: the first box template that holds the area or none, the first unit template or the nearest."""
+    area = F.col("w") * F.col("h") * (1 + F.col("box_id") % 3) / 10000
+    return v.boxes.select("box_id", catalogs.box_template(area).alias("box_template"), catalogs.unit_template(area).alias("unit_template"))
 
 
-_RATIO = ", ".join(f"({i}, {r})" for i, r in enumerate(RATIOS))
+_RATIO = ", ".join(f"({i}, {r}::double)" for i, r in enumerate(catalogs.RATIOS))
 
 
-@query("C14_box_dimensions", f"with r(ord, ratio) as (values {_RATIO}), b as (select box_id, w * h / 10000.0 as area from boxes), d as (select box_id, area, ord, floor(sqrt(area * ratio) * 20 + 0.5) / 20 as width, floor(sqrt(area / ratio) * 20 + 0.5) / 20 as depth from b cross join r), k as (select *, row_number() over (partition by box_id order by ord) as rn from d where width between 0.8 and 4 and depth between 0.8 and 4 and abs(width * depth - area) <= 0.02 * area) select b.box_id, round(coalesce(k.width, sqrt(b.area)), 4) as width, round(coalesce(k.depth, sqrt(b.area)), 4) as depth from b left join k on k.box_id = b.box_id and k.rn = 1")
+@query("C14_box_dimensions", f"""with t(o, name, lo, hi, wlo, whi, dlo, dhi, door) as (values {_BOXES}), r(ord, ratio) as (values {_RATIO}), b as (select box_id, type as name, greatest(lo, least(hi, w * h / 10000.0::double)) as a, lo, hi, wlo, whi, dlo, dhi from boxes join t on t.name = type),
+  s as (select *, floor(sqrt(a * ratio) / 0.1::double + 0.5) * 0.1::double as w1, floor(a / sqrt(a * ratio) / 0.1::double + 0.5) * 0.1::double as d1 from b cross join r),
+  k as (select *, sqrt(floor(w1 * d1 / 0.5::double + 0.5) * 0.5::double / (w1 * d1)) as f from s where w1 between wlo and whi and d1 between dlo and dhi and w1 / d1 between 0.6::double * 0.8::double and 1.4::double * 1.2::double),
+  m as (select *, floor(w1 * f / 0.1::double + 0.5) * 0.1::double as w2, floor(d1 * f / 0.1::double + 0.5) * 0.1::double as d2 from k),
+  z as (select box_id, arg_min(struct_pack(w := w2, d := d2), ord) as p from m where w2 * d2 between lo * 0.8::double and hi * 1.2::double and w2 between wlo * 0.8::double and whi * 1.1::double and d2 between dlo * 0.8::double and dhi * 1.1::double group by box_id),
+  y as (select b.*, z.p, least(a, whi * dhi * 0.9::double) as use from b left join z using (box_id)), x as (select *, greatest(wlo, least(whi, sqrt(use * 1.2::double))) as fw, greatest(dlo, least(dhi, use / sqrt(use * 1.2::double))) as fd from y),
+  q as (select box_id, case when p is not null then p.w when fw * fd < use * 0.5 then least(whi, fw * 1.2::double) else fw end as width, case when p is not null then p.d when fw * fd < use * 0.5 then least(dhi, fd * 1.2::double) else fd end as depth from x)
+  select box_id, round(greatest(0.5, width), 4) as width, round(greatest(0.5, depth), 4) as depth, round(width * depth, 4) as area from q""")
 def c14(v):
-    """Width and depth of the first aspect ratio whose rounded sides fit, else a square."""
-    area = F.col("w") * F.col("h") / 10000.0
-    side = lambda x: F.floor(F.sqrt(x) * 20 + 0.5) / 20
-    tries = [(side(area * r), side(area / r)) for r in RATIOS]
-    fits = [F.when(a.between(0.8, 4) & b.between(0.8, 4) & (F.abs(a * b - area) <= 0.02 * area), F.struct(a.alias("width"), b.alias("depth"))) for a, b in tries]
-    found = F.coalesce(*fits, F.struct(F.sqrt(area).alias("width"), F.sqrt(area).alias("depth")))
-    return v.boxes.select("box_id", F.round(found["width"], 4).alias("width"), F.round(found["depth"], 4).alias("depth"))
+    """Dimensions of boxes by their type's template, sides to 10 cm and areas to half a square metre."""
+    d = catalogs.box_dimensions(v.boxes.withColumn("m2", F.col("w") * F.col("h") / 10000), "type", "m2", 0.1, 0.5)
+    return d.select("box_id", F.round("width", 4).alias("width"), F.round("depth", 4).alias("depth"), F.round("box_area", 4).alias("area"))
 
 
 @query("C17_text_labels", "with t as (select plan_id, zone_id, x, y, case zone_id % 5 when 0 then 'RM-' || zone_id when 1 then 'Ex' || zone_id % 10 when 2 then 'loading bay' when 3 then (w / 100.0)::double || ' m' else 'note' end as txt from zones) select plan_id, zone_id, case when regexp_matches(txt, '^RM-[0-9]+') then 'room' when regexp_matches(txt, '^Ex[0-9]+$') then 'exit' when regexp_matches(txt, '^[0-9.]+ ?m$') then 'dimension' when regexp_matches(lower(txt), 'loading|main access') then 'area' else 'notice' end as label, case when regexp_matches(txt, '^RM-[0-9]+') then cast(regexp_extract(txt, '([0-9]+)', 1) as bigint) else -1 end as room from t where zone_id % 5 <> 4")
@@ -208,13 +214,11 @@ def a24(v):
     return v.boxes.groupBy("plan_id").agg(F.count(F.lit(1)).alias("boxes"), F.countDistinct("type").alias("zones"), F.countDistinct(F.floor(F.col("y") / 300)).alias("n_rows"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("zone_list"))
 
 
-@query("A26_junctions", "with p as (select plan_id, x1 as x, y1 as y from walls union all select plan_id, x2, y2 from walls) select plan_id, cast(floor(x / 20.0 + 0.5) as bigint) as kx, cast(floor(y / 20.0 + 0.5) as bigint) as ky, count(*) as degree, round(avg(x), 4) as mx, round(avg(y), 4) as my, case when count(*) = 2 then 'linear' when count(*) = 3 then 'T' else 'cross' end as kind from p group by 1, 2, 3 having count(*) >= 2")
+@query("A26_junctions", """with f as (select plan_id, x, w, y + h / 2.0 as c from corridors where w >= h), u as (select plan_id, y, h, x + w / 2.0 as c from corridors where w < h), p as (select plan_id, x::double as px, c::double as py from f union all select plan_id, x + w, c from f union all select plan_id, c, y from u union all select plan_id, c, y + h from u
+    union all select f.plan_id, u.c, f.c from f join u on f.plan_id = u.plan_id and u.c between f.x - 20 and f.x + f.w + 20 and f.c between u.y - 20 and u.y + u.h + 20)
+  select plan_id, cast(floor(px / 20 + 0.5) as bigint) as kx, cast(floor(py / 20 + 0.5) as bigint) as ky, count(*) as degree, round(avg(px), 4) as x, round(avg(py), 4) as y, case when count(*) >= 4 then 'cross' when count(*) = 3 then 'T' else 'linear' end as kind from p group by 1, 2, 3 having count(*) >= 2""")
 def a26(v):
-    """Wall ends snapped to 20 cm keys where two or more meet."""
-    ends = v.walls.select("plan_id", F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p")).select("plan_id", "p.*")
-    key = lambda c: F.floor(F.col(c) / 20 + 0.5)
-    g = ends.groupBy("plan_id", key("x").alias("kx"), key("y").alias("ky")).agg(F.count(F.lit(1)).alias("degree"), F.round(F.avg("x"), 4).alias("mx"), F.round(F.avg("y"), 4).alias("my")).where("degree >= 2")
-    return g.withColumn("kind", F.when(F.col("degree") == 2, "linear").when(F.col("degree") == 3, "T").otherwise("cross"))
+    return catalogs.corridor_junctions(v.corridors).withColumns({"x": F.round("x", 4), "y": F.round("y", 4)})
 
 
 @query("A29_zone_totals", "select plan_id, type as zone, cast(sum(cast(w as bigint) * h) as bigint) as area, round(avg(x + w / 2.0), 4) as cx, round(avg(y + h / 2.0), 4) as cy, type || ': ' || round(sum(cast(w as bigint) * h) / 10000)::bigint || ' m2' as label from boxes group by plan_id, type")

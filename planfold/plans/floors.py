@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from planfold.catalog import query
 from planfold.functions import geometry
-from planfold.operators import graph, spatial
+from planfold.operators import catalogs, graph, spatial
 from planfold.plans.layout import _GAP2, _LINKS, _NEAR, _links
 
 _PAIRS = "(select a.plan_id, a.connector_id as a_id, b.connector_id as b_id, pow(a.x - b.x, 2) + pow(a.y - b.y, 2) as d2, a.floor_level as level_a from connectors a join connectors b on a.plan_id = b.plan_id and a.type = b.type and b.floor_level = a.floor_level + 1 and pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 15625)"
@@ -41,10 +41,14 @@ def a15(v):
     return out.select("*", (F.col("elevator") + F.col("stair") + F.col("escalator") + F.col("shaft")).alias("n"), (F.col("floor_level") * 300).alias("z"))
 
 
-@query("A17_accessibility", "select plan_id, floor_level, bool_or(type = 'elevator') as elevator, count(*) filter (type = 'stair') as stairs, concat_ws(', ', case when not bool_or(type = 'elevator') then 'no elevator' end, case when count(*) filter (type = 'stair') = 0 then 'no stair' end) as notes from connectors group by plan_id, floor_level")
+@query("A17_accessibility", """with f as (select plan_id, floor_level from boxes union select plan_id, floor_level from connectors), c as (select plan_id, floor_level, bool_or(type = 'elevator') as lift, count(*) filter (type in ('stair', 'escalator')) as stairs, count(*) as n from connectors group by all), e as (select plan_id, 0 as floor_level, count(*) as n from exits where 75 + 10 * exit_id >= 90 group by plan_id),
+  j as (select plan_id, floor_level, coalesce(lift, false) as elevator, coalesce(stairs, 0) as stairs, coalesce(e.n, 0) as entrances, floor_level > 0 and coalesce(c.n, 0) = 0 as none, floor_level > 0 and not coalesce(lift, false) as no_lift, floor_level = 0 and coalesce(e.n, 0) < 1 as few from f left join c using (plan_id, floor_level) left join e using (plan_id, floor_level))
+  select plan_id, floor_level, elevator, stairs, entrances, not (none or no_lift or few) as passes, concat_ws(' ', case when none then 'No vertical connector.' end, case when no_lift then 'Elevator missing.' end, case when few then 'Needs 1 accessible entrances.' end) as notes from j""")
 def a17(v):
-    lift, stairs = F.bool_or(F.col("type") == "elevator"), F.count(F.when(F.col("type") == "stair", 1))
-    return v.connectors.groupBy("plan_id", "floor_level").agg(lift.alias("elevator"), stairs.alias("stairs"), F.concat_ws(", ", F.when(~lift, "no elevator"), F.when(stairs == 0, "no stair")).alias("notes"))
+    """Exits are entrances of the ground floor, from 75 cm wide."""
+    floors = v.boxes.select("plan_id", "floor_level").union(v.connectors.select("plan_id", "floor_level"))
+    entrances = v.exits.select("plan_id", F.lit(0).alias("floor_level"), ((75 + 10 * F.col("exit_id")) / 100).alias("width"))
+    return catalogs.accessibility(floors, v.connectors, entrances)
 
 
 @query("A14_building_summary", "with f as (select plan_id, floor_level, sum(cast(w as bigint) * h) as area, count(*) as n from boxes group by all) select building_id, count(distinct plan_id) as plans, count(*) as floors, cast(sum(n) as bigint) as boxes, cast(sum(area) as bigint) as area, round(sum(area) * 100.0 / sum((cast(max_x - min_x as bigint) * (max_y - min_y))), 4) as utilisation from f join plans using (plan_id) group by building_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from planfold.catalog import query
 from planfold.functions import geometry, text
-from planfold.operators import rules, spatial
+from planfold.operators import catalogs, rules, spatial
 
 FLOOR = ["plan_id", "floor_level"]
 _STRICT = "a.x < b.x + b.w and b.x < a.x + a.w and a.y < b.y + b.h and b.y < a.y + a.h"
@@ -77,12 +77,11 @@ def j7(v):
     return out.select("plan_id", "corridor_id", "links", ((F.col("links") <= 1) & (F.col("k") >= 3)).alias("dead_end"))
 
 
-@query("J11_valid_corridors", f"select plan_id, corridor_id from corridors where corridor_id not in (select a.corridor_id from corridors a join zones b on a.plan_id = b.plan_id and {_TOUCH}) and corridor_id not in (select a.corridor_id from corridors a join boxes b on a.plan_id = b.plan_id and b.floor_level = 0 and {_AREA} > 0.5 * a.w * a.h)")
+@query("J11_valid_corridors", f"select plan_id, corridor_id from corridors where corridor_id not in (select a.corridor_id from corridors a join (select plan_id, x, y, w, h from zones union all select plan_id, x - 33, y - 33, 66, 66 from exits) b on a.plan_id = b.plan_id and {_STRICT}) and corridor_id not in (select a.corridor_id from corridors a join boxes b on a.plan_id = b.plan_id and {_STRICT} and {_AREA} > 0.8 * a.w * a.h)")
 def j11(v):
-    """Not touching a zone, and no box of the ground floor on more than half of it."""
-    on_zone = spatial.grid_join(v.corridors, v.zones, ["plan_id"], geometry.overlap("a", "b", strict=False)).select(F.col("a.corridor_id").alias("corridor_id"))
-    cut = spatial.grid_join(v.corridors, v.boxes.where("floor_level = 0"), ["plan_id"], geometry.overlap_area("a", "b") > 0.5 * F.col("a.w") * F.col("a.h")).select(F.col("a.corridor_id").alias("corridor_id"))
-    return v.corridors.join(on_zone.union(cut), "corridor_id", "left_anti").select("plan_id", "corridor_id")
+    """Over no zone and no entrance (66 cm about an exit), and over no box of any floor by more than 80 %."""
+    entrances = v.exits.select("plan_id", (F.col("x") - 33).alias("x"), (F.col("y") - 33).alias("y"), F.lit(66).alias("w"), F.lit(66).alias("h"))
+    return catalogs.valid_corridors(v.corridors, v.zones, entrances, v.boxes).select("plan_id", "corridor_id")
 
 
 @query("J25_proximity_graph", "select a.plan_id, count(*) as n from boxes a join boxes b on a.plan_id = b.plan_id and a.floor_level = b.floor_level and a.box_id < b.box_id and pow(a.x + a.w / 2.0 - b.x - b.w / 2.0, 2) + pow(a.y + a.h / 2.0 - b.y - b.h / 2.0, 2) < 1000000 group by a.plan_id")
@@ -144,10 +143,9 @@ def a18(v):
     return both.groupBy("plan_id").agg(F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max(F.col("x") + F.col("w")).alias("max_x"), F.max(F.col("y") + F.col("h")).alias("max_y"))
 
 
-@query("A19_density_map", "select plan_id, cast(floor((x + w / 2.0) / 12200 * 32) as int) as gx, cast(floor((y + h / 2.0) / 12200 * 32) as int) as gy, count(*) as n from boxes group by all")
+@query("A19_density_map", "select plan_id, cast(floor((x + w / 2.0::double - min_x) / (max_x - min_x) * 32) as int) as gx, cast(floor((y + h / 2.0::double - min_y) / (max_y - min_y) * 32) as int) as gy, count(*) as n from boxes join plans using (plan_id) where floor((x + w / 2.0::double - min_x) / (max_x - min_x) * 32) between 0 and 31 and floor((y + h / 2.0::double - min_y) / (max_y - min_y) * 32) between 0 and 31 group by 1, 2, 3")
 def a19(v):
-    cell = lambda p, s: F.floor((F.col(p) + F.col(s) / 2.0) / 12200 * 32).cast("int")
-    return v.boxes.groupBy("plan_id", cell("x", "w").alias("gx"), cell("y", "h").alias("gy")).agg(F.count(F.lit(1)).alias("n"))
+    return catalogs.density_grid(v.plans, v.boxes)
 
 
 _ROWKEY = "cast(floor((y + h / 2.0) / 400 + 0.5) as bigint)"

@@ -26,13 +26,11 @@ def s5(v):
     return v.versions.select("project_id", "version_key", F.round(1 + 0.1 * (n - 1), 1).alias("version"), F.min("updated_at").over(w).alias("created_at"))
 
 
-@query("T1_projects_by_update", "select project_id, updated_at, row_number() over (order by updated_at desc, project_id) as place from (select project_id, max(updated_at) as updated_at from versions group by project_id) t order by place limit 100")
-def t1(v):
-    top = v.versions.groupBy("project_id").agg(F.max("updated_at").alias("updated_at")).orderBy(F.desc("updated_at"), "project_id").limit(100)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("updated_at"), "project_id")).cast("long"))  # of 100 rows
+_PROJECTS = "select project_id, updated_at, row_number() over (order by updated_at desc, project_id) as place from (select project_id, max(updated_at) as updated_at from versions group by project_id) t"
 
 
-@query("T1_all_projects_by_update", "select project_id, updated_at, row_number() over (order by updated_at desc, project_id) as place from (select project_id, max(updated_at) as updated_at from versions group by project_id) t")
+@query("T1_projects_by_update", _PROJECTS)
+@query("T1_all_projects_by_update", _PROJECTS)
 def t1_all(v):
     """All projects: sorted by ranges, placed within each range, after the rows of the ranges before (one count for each range)."""
     order = [F.desc("updated_at"), F.asc("project_id")]
