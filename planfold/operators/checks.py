@@ -89,8 +89,13 @@ def edge_partitions(boxes: DataFrame, walls: DataFrame, at_wall: int = 20, at_bo
     ends = ends.withColumn("k", F.floor(F.col("w_c") / at_wall))
     axis = F.when(F.col("side").isin("left", "right"), 0).otherwise(1)
     on_wall = around(edges.withColumn("axis", axis), at_wall).join(ends, ["plan_id", "axis", "k"]).where(F.abs(F.col("c") - F.col("w_c")) < at_wall).select("box_id", "side").distinct().withColumn("_wall", F.lit(True))
-    theirs = edges.select("plan_id", "floor_level", F.col("box_id").alias("b_id"), F.col("side").alias("other"), F.col("c").alias("b_c"), bucket(at_box))
-    by_box = around(edges, at_box).join(theirs, ["plan_id", "floor_level", "other", "k"]).where((F.col("box_id") != F.col("b_id")) & (F.abs(F.col("c") - F.col("b_c")) < at_box)).select("box_id", "side").distinct().withColumn("_box", F.lit(True))
+    # many boxes may share a line: what they meet are its distinct coordinates, with the least and the largest box that has each
+    theirs = edges.groupBy("plan_id", "floor_level", F.col("side").alias("other"), F.col("c").alias("b_c")).agg(F.min("box_id").alias("b_first"), F.max("box_id").alias("b_last")).withColumn("k", F.floor(F.col("b_c") / at_box))
+    lines = edges.select("plan_id", "floor_level", "side", "other", "c").distinct()
+    met = around(lines, at_box).join(theirs, ["plan_id", "floor_level", "other", "k"]).where(F.abs(F.col("c") - F.col("b_c")) < at_box)
+    # a line is shared by all its boxes but one that is alone on all lines it meets
+    met = met.groupBy("plan_id", "floor_level", "side", "c").agg(F.min("b_first").alias("b_first"), F.max("b_last").alias("b_last"))
+    by_box = edges.join(met, ["plan_id", "floor_level", "side", "c"]).where((F.col("b_first") != F.col("box_id")) | (F.col("b_last") != F.col("box_id"))).select("box_id", "side", F.lit(True).alias("_box"))
     out = edges.join(on_wall, ["box_id", "side"], "left").join(by_box, ["box_id", "side"], "left")
     return out.select("box_id", "side", F.when(F.col("_box").isNull() & F.col("_wall"), "white").otherwise("grey").alias("partition"), F.coalesce("_box", F.lit(False)).alias("shared"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planfold.functions.geometry import overlap
-from planfold.operators import spatial
+from planfold.operators import graph, spatial
 
 
 def issue(code: str, severity: str, element: str, actual: Column, required: Column | None = None) -> list[Column]:
@@ -19,11 +19,6 @@ def narrow_corridors(corridors: DataFrame, main: int = 150, other: int = 120) ->
     return corridors.where(width < least).select(*issue("corridor_width", "MAJOR", "corridor_id", width, least))
 
 
-def small_boxes(boxes: DataFrame, least: int = 5000) -> DataFrame:
-    area = F.col("w") * F.col("h")
-    return boxes.where(area < least).select(*issue("box_area", "MINOR", "box_id", area, F.lit(least)))
-
-
 def boxes_in_zones(boxes: DataFrame, zones: DataFrame) -> DataFrame:
     """Boxes with a corner or the centre in a zone's rectangle."""
     spots = [("x", "y", 0, 0), ("x", "y", 1, 0), ("x", "y", 0, 1), ("x", "y", 1, 1), ("x", "y", 0.5, 0.5)]
@@ -35,11 +30,20 @@ def boxes_in_zones(boxes: DataFrame, zones: DataFrame) -> DataFrame:
     return pairs.select(F.col("a.plan_id").alias("plan_id"), F.col("a.box_id").alias("box_id"), F.col("b.zone_id").alias("zone_id"))
 
 
-def far_from_exit(boxes: DataFrame, exits: DataFrame, limit: int = 3000) -> DataFrame:
-    """Over the limit a MAJOR issue, over 80 % of it a MINOR one; plans without exits have none here."""
-    d = spatial.nearest_exit(boxes, exits).where("distance is not null")
-    cut = lambda sev, test: d.where(test).select(*issue("exit_distance", sev, "box_id", F.round("distance", 4), F.lit(limit)))
-    return cut("MAJOR", F.col("distance") > limit).unionByName(cut("MINOR", (F.col("distance") > 0.8 * limit) & (F.col("distance") <= limit)))
+def box_issues(boxes: DataFrame, exits: DataFrame, area: int = 5000, side: int = 50, limit: int = 3000) -> DataFrame:
+    """What a box shows by itself, in one pass: too small, too narrow, too far from the plan's nearest exit (over the limit a MAJOR issue, over
+    80 % of it a MINOR one; plans without exits have none here)."""
+    d = F.col("distance")
+    one = lambda test, code, severity, actual, required: F.when(test, F.struct(F.lit(code).alias("code"), severity.alias("severity"), actual.cast("double").alias("actual"), F.lit(float(required)).alias("required")))
+    w_h, least = F.col("w") * F.col("h"), F.least("w", "h")
+    found = F.array_compact(
+        F.array(
+            one(w_h < area, "box_area", F.lit("MINOR"), w_h, area),
+            one(least < side, "box_side", F.lit("MINOR"), least, side),
+            one(d > 0.8 * limit, "exit_distance", F.when(d > limit, "MAJOR").otherwise("MINOR"), F.round(d, 4), limit),
+        )
+    )
+    return spatial.nearest_exit(boxes, exits).select("plan_id", F.col("box_id").cast("long").alias("element_id"), F.inline(found)).select("plan_id", "code", "severity", "element_id", "actual", "required")
 
 
 def exits_missing(plans: DataFrame, exits: DataFrame) -> DataFrame:
@@ -48,11 +52,6 @@ def exits_missing(plans: DataFrame, exits: DataFrame) -> DataFrame:
     return none.unionByName(n.where("n = 1").select(*issue("single_exit", "MAJOR", "plan_id", F.col("n"), F.lit(2))))
 
 
-def narrow_boxes(boxes: DataFrame, least: int = 50) -> DataFrame:
-    side = F.least("w", "h")
-    return boxes.where(side < least).select(*issue("box_side", "MINOR", "box_id", side, F.lit(least)))
-
-
 def without_access(boxes: DataFrame, corridors: DataFrame, exits: DataFrame, reach: int = 100) -> DataFrame:
     """Boxes with no corridor within reach, in plans that have exits."""
     near = spatial.within(boxes, corridors, ["plan_id"], reach).select(F.col("a.box_id").alias("box_id")).distinct()
@@ -70,11 +69,12 @@ def dead_ends(corridors: DataFrame, reach: int = 50, least: int = 3) -> DataFram
 
 
 def audit(plans: DataFrame, boxes: DataFrame, corridors: DataFrame, zones: DataFrame, exits: DataFrame, fire_doors: DataFrame) -> DataFrame:
-    """All issues of all plans."""
+    """All issues of all plans. Boxes and corridors are read by several rules: they are derived and written once."""
+    boxes, corridors = graph.cut(boxes), graph.cut(corridors)
     hits = boxes_in_zones(boxes, zones).select(*issue("forbidden_zone", "CRITICAL", "box_id", F.col("zone_id")))
     doors = near_fire_doors(boxes, fire_doors).select(*issue("box_fire_door", "MAJOR", "box_id", F.round("distance", 4), F.lit(150)))
     out = narrow_corridors(corridors)
-    for part in (dead_ends(corridors), small_boxes(boxes), narrow_boxes(boxes), without_access(boxes, corridors, exits), hits, doors, far_from_exit(boxes, exits), exits_missing(plans, exits)):
+    for part in (dead_ends(corridors), box_issues(boxes, exits), without_access(boxes, corridors, exits), hits, doors, exits_missing(plans, exits)):
         out = out.unionByName(part)
     return out
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from planfold.catalog import query
 from planfold.functions import geometry
 from planfold.operators import graph, spatial
+from planfold.operators.shapes import as_rectangles
 from planfold.plans.floors import _corridor_components
 from planfold.plans.layout import _ISSUES, _NEAR, _STRICT, FLOOR, _audit
 from planfold.plans.mix import _VAR, _variance
@@ -86,9 +87,7 @@ def r11(v):
     found = graph.cut(_corridor_components(v).withColumnRenamed("id", "corridor_id").join(v.corridors, "corridor_id"))
     main = found.groupBy("plan_id", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("plan_id").agg(F.max(F.struct("n", (-F.col("component")).alias("k"))).alias("m")).select("plan_id", (-F.col("m.k")).alias("main"))
     on_main = found.join(main, "plan_id").where("component = main")
-    d = v.exits.alias("b").join(on_main.alias("a"), F.col("a.plan_id") == F.col("b.plan_id"))
-    gap = lambda p, s: F.greatest(F.lit(0), F.col(f"a.{p}") - F.col(f"b.{p}"), F.col(f"b.{p}") - F.col(f"a.{p}") - F.col(f"a.{s}"))
-    d = d.groupBy(F.col("b.plan_id").alias("plan_id"), F.col("b.exit_id").alias("exit_id")).agg(F.min(gap("x", "w") * gap("x", "w") + gap("y", "h") * gap("y", "h")).alias("d2"))
+    d = spatial.nearest(v.exits, "exit_id", on_main, ["plan_id"], geometry.gap_squared("a", "b"))
     return d.where("d2 >= 250000").select("plan_id", "exit_id", F.round(F.sqrt("d2"), 4).alias("distance"))
 
 
@@ -180,6 +179,5 @@ def t5(v):
 @query("P12_wall_distance", "select plan_id, exit_id, round(min(sqrt(pow(greatest(0, least(x1, x2) - x, x - greatest(x1, x2)), 2) + pow(greatest(0, least(y1, y2) - y, y - greatest(y1, y2)), 2))), 4) as distance from exits join walls using (plan_id) group by plan_id, exit_id")
 def p12(v):
     """Distance of each exit from the nearest wall of its plan (point to segment)."""
-    j = v.exits.join(v.walls, "plan_id")
-    d2 = geometry.point_segment_squared(*(F.col(c).cast("double") for c in ("x", "y", "x1", "y1", "x2", "y2")))
-    return j.groupBy("plan_id", "exit_id").agg(F.round(F.sqrt(F.min(d2)), 4).alias("distance"))
+    d2 = geometry.point_segment_squared(*(F.col(c).cast("double") for c in ("a.x", "a.y", "b.x1", "b.y1", "b.x2", "b.y2")))
+    return spatial.nearest(v.exits, "exit_id", as_rectangles(v.walls), ["plan_id"], d2).select("plan_id", "exit_id", F.round(F.sqrt("d2"), 4).alias("distance"))
