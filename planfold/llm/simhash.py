@@ -91,9 +91,8 @@ def _signed(mask: int) -> int:
 
 def _dealt(members: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
     """members(agreed, fp) -> (agreed, key, fp): for each mask of bits agreed so far the buckets of the wider masks it leads to."""
-    return members.join(
-        F.broadcast(members.sparkSession.createDataFrame([(_signed(m), _signed(w)) for m, wide in masks.items() for w in wide], "agreed long, wider long")), "agreed"
-    ).select(F.col("wider").alias("agreed"), F.col("fp").bitwiseAND(F.col("wider")).alias("key"), "fp")
+    wider = F.coalesce(*(F.when(F.col("agreed") == _signed(m), F.array(*(F.lit(_signed(w)).cast("long") for w in wide))) for m, wide in masks.items()))
+    return members.select("fp", F.explode(wider).alias("agreed")).select("agreed", F.col("fp").bitwiseAND(F.col("agreed")).alias("key"), "fp")
 
 
 def lanes(fps: np.ndarray, planes: list[int]) -> np.ndarray:
