@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from planfold.plans import checks, elements, floors, layers, layout, mix, models, networks, projects, rasters, reports, rows, shapes  # noqa: F401
+    from planfold.plans import checks, elements, floors, layers, layout, mix, models, networks, projects, rasters, reports, rows, scores, shapes  # noqa: F401

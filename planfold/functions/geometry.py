@@ -22,7 +22,7 @@ def overlap_area(a: str, b: str) -> Column:
 def gap_squared(a: str, b: str) -> Column:
     """Squared distance of two rectangles, 0 where they touch."""
     c = lambda t, n: F.col(f"{t}.{n}")
-    apart = lambda p, s: F.greatest(F.lit(0), c(a, p) - c(b, p) - c(b, s), c(b, p) - c(a, p) - c(a, s))
+    apart = lambda p, s: F.greatest(F.lit(0), c(a, p) - c(b, p) - c(b, s), c(b, p) - c(a, p) - c(a, s)).cast("double")
     return apart("x", "w") * apart("x", "w") + apart("y", "h") * apart("y", "h")
 
 

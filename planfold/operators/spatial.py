@@ -59,16 +59,17 @@ def nearest_exit(boxes: DataFrame, exits: DataFrame) -> DataFrame:
     return joined.withColumn("exit_id", F.col("_best.exit_id")).withColumn("distance", F.sqrt("_best.d2")).drop("_exits", "_best")
 
 
-def nearest(sources: DataFrame, key: str, shapes: DataFrame, keys: list[str], squared: Column, reach: int = 500) -> DataFrame:
+def nearest(sources: DataFrame, key: str, shapes: DataFrame, keys: list[str], squared: Column, reach: int = 500, more: Column | None = None) -> DataFrame:
     """keys, key, d2: for each point of sources(keys, key, x, y) the least of `squared` (over aliases a: the point, b: a shape with its
-    rectangle) among the shapes of its keys; points whose keys have no shape are left out.
+    rectangle) among the shapes of its keys (that pass `more`: there must be one for each point); points whose keys have no shape are left out.
 
     Points look within reach by grid cells; those that find nothing look on with four times the reach. A point is done once it has found a
     shape within the reach looked at, as nothing outside can be nearer, so pairs stay few however many shapes a plan has."""
     some = graph.cut(points(sources).join(shapes.select(*keys).distinct(), keys, "left_semi").select(*keys, key, "x", "y", "w", "h"))
     done = None
     while True:
-        near = grid_join(some, shapes, keys, squared < reach * reach, cell=max(1000, reach), pad=reach)
+        test = squared < reach * reach
+        near = grid_join(some, shapes, keys, test if more is None else test & more, cell=max(1000, reach), pad=reach)
         found = graph.cut(near.groupBy(*(F.col(f"a.{k}").alias(k) for k in [*keys, key])).agg(F.min(squared).alias("d2")))
         done = found if done is None else done.unionByName(found)
         some = graph.cut(some.join(found, [*keys, key], "left_anti"))
