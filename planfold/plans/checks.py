@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from planfold.catalog import query
 from planfold.functions import geometry, text
-from planfold.operators import checks, classify, rules, shapes, spatial, standards
+from planfold.operators import checks, classify, graph, learning, rules, shapes, spatial, standards
 from planfold.plans.layers import _CLASS, _NAME, _STANDARD, _classed
 from planfold.plans.layout import _GAP2, _NEAR, _STRICT, _TOUCH, FLOOR
 from planfold.plans.shapes import _D
@@ -189,6 +189,25 @@ def m1(v):
     return checks.entity_features(e)
 
 
+def entity_samples(v):
+    """The nine features of each entity with its class by layer and colour, those of every tenth drawing corrected by a user to the class that their number names."""
+    shade = F.col("color") % 4
+    e = _drawn(v).withColumn("rgb", F.when(shade == 0, 0).when(shade == 1, 16711680).when(shade == 2, 255).otherwise(F.col("color") * 65793))
+    classes = v.entities.select("entity_id", classify.entity_class(F.col("layer"), F.col("color"), F.col("entity_type") == "LWPOLYLINE")["type"].alias("label"))
+    kinds = F.array(*map(F.lit, ("entrance", "envelope", "forbidden", "wall")))
+    own = v.entities.where("floor(entity_id / 10) % 10 = 0").select("entity_id", F.element_at(kinds, (F.col("entity_id") % 4 + 1).cast("int")).alias("label"))
+    return checks.entity_features(e).join(learning.with_corrections(classes, own, "entity_id"), "entity_id")
+
+
+@query("M8_entity_classifier")
+def m8_entities(v):
+    """A classifier of entities fitted on the training part, saved, loaded again, and its confusion on the test part."""
+    samples = graph.cut(entity_samples(v).withColumn("part", learning.part_of(F.col("entity_id"))))
+    path = graph.shared_folder(v.spark)
+    learning.save(learning.fitted(samples.where("part = 'train'"), learning.ENTITY_FEATURES), path)
+    return learning.confusion(learning.applied(samples.where("part = 'test'"), learning.load(path), learning.ENTITY_FEATURES))
+
+
 @query("M1_room_features", f"""with n as (select a.zone_id, count(*) as n from zones a join zones b on a.plan_id = b.plan_id and a.zone_id <> b.zone_id and {_TOUCH} group by a.zone_id), d as (select z.zone_id, min(sqrt(pow(z.x + z.w / 2.0 - e.x, 2) + pow(z.y + z.h / 2.0 - e.y, 2))) / 100 as d from zones z join exits e using (plan_id) group by z.zone_id)
   select zone_id, w * h / 10000.0 as area, round(w * 1.0 / h, 6) as aspect, coalesce(n.n, 0) as adjacent, round(coalesce(d.d, 10), 4) as exit_distance, 2 * (w + h) / 100.0 as perimeter from zones left join n using (zone_id) left join d using (zone_id)""")
 def m1_rooms(v):
