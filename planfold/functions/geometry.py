@@ -65,6 +65,12 @@ def point_segment_squared(px: Column, py: Column, x1: Column, y1: Column, x2: Co
     return F.pow(px - x1 - t * dx, 2) + F.pow(py - y1 - t * dy, 2)
 
 
+def point_polygon_squared(px: Column, py: Column, polygon: Column) -> Column:
+    """Squared distance of a point from the nearest edge of a closed ring, also from inside; null under three points."""
+    edges = F.transform(ring(polygon), lambda e: point_segment_squared(px, py, e["p"]["x"], e["p"]["y"], e["q"]["x"], e["q"]["y"]))
+    return F.when(F.size(polygon) >= 3, F.array_min(edges))
+
+
 def _turns(a: tuple[Column, Column], b: tuple[Column, Column], c: tuple[Column, Column]) -> Column:
     """Does a, b, c turn counter-clockwise?"""
     return (c[1] - a[1]) * (b[0] - a[0]) > (b[1] - a[1]) * (c[0] - a[0])

@@ -122,10 +122,16 @@ def _reachable(parts: DataFrame, entrances: DataFrame) -> DataFrame:
     at = spatial.grid_join(lines, entrances, ["plan_id"], _overlap("a", "b") | _segment_meets("a", _c("b", "x"), _c("b", "y"), _c("b", "x") + _c("b", "w"), _c("b", "y") + _c("b", "h")))
     j = parts.select("id", "plan_id", F.greatest("w", "h").alias("length")).join(found, "id").join(_ids(at, "_seed"), "id", "left")
     by = graph.cut(j.groupBy("plan_id", "component").agg(F.sum("length").alias("length"), F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or("_seed"), F.lit(False)).alias("seeded")))
-    plan = by.groupBy("plan_id").agg(F.bool_or("seeded").alias("any_seed"), F.max(F.struct("length", "component")).alias("longest"), F.bool_or((F.col("length") >= LEAST_COMPONENT) | (F.col("n") > 1)).alias("any_long"))
-    long_enough = F.col("length") >= LEAST_COMPONENT
-    stays = F.when(F.col("any_seed"), F.col("seeded") | long_enough).when(F.col("any_long"), long_enough | (F.col("n") > 1)).otherwise(F.col("component") == F.col("longest.component"))
-    return j.join(by.join(plan, "plan_id").where(stays).select("component"), "component", "left_semi").select("id")
+    return j.join(kept_components(by, LEAST_COMPONENT).select("component"), "component", "left_semi").select("id")
+
+
+def kept_components(by: DataFrame, least: float) -> DataFrame:
+    """by(plan_id, component, length, n, seeded, ...): the rows that stay. In plans with a seeded component those that are seeded or at least as long;
+    in others those long enough or of several parts, and where there is none the longest (of equal ones the last by name)."""
+    long_enough = F.col("length") >= least
+    plan = by.groupBy("plan_id").agg(F.bool_or("seeded").alias("_any_seed"), F.max(F.struct("length", "component")).alias("_longest"), F.bool_or(long_enough | (F.col("n") > 1)).alias("_any_long"))
+    stays = F.when(F.col("_any_seed"), F.col("seeded") | long_enough).when(F.col("_any_long"), long_enough | (F.col("n") > 1)).otherwise(F.col("component") == F.col("_longest.component"))
+    return by.join(plan, "plan_id").where(stays).select(*by.columns)
 
 
 def cleaned_boxes(plans: DataFrame, boxes: DataFrame, corridors: DataFrame, walls: DataFrame, zones: DataFrame, entrances: DataFrame) -> DataFrame:

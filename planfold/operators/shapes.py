@@ -118,3 +118,33 @@ def trimmed_bounds(plans: DataFrame, points: DataFrame, trim: float = 0.01, pad:
     thin = (new["x"] / own["x"] < coverage) | (new["y"] / own["y"] < coverage)
     back = (F.coalesce("n", F.lit(0)) < 8) | (F.col("hi_x") <= F.col("lo_x")) | (F.col("hi_y") <= F.col("lo_y")) | (thin & (F.hypot(own["x"], own["y"]) <= 1.6 * F.hypot(new["x"], new["y"])))
     return j.select("plan_id", *(F.when(back, F.col(c)).otherwise(F.col(f"t_{c}")).cast("double").alias(c) for c in ("min_x", "min_y", "max_x", "max_y")))
+
+
+def sanitized(boxes: DataFrame, plans: DataFrame, least: int = 50) -> DataFrame:
+    """boxes(plan_id, box_id, x, y, cx, cy, w, h) clipped to their plan's bounds: plan_id, box_id, x, y, w, h. A box without x or y takes its centre
+    for both; one without either, outside of the bounds, or left with a side under `least` goes. Sides that are null or 0 count as a metre."""
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull()
+    b = boxes.withColumns({"_x": F.when(placed, F.col("x")).otherwise(F.col("cx")), "_y": F.when(placed, F.col("y")).otherwise(F.col("cy"))}).where("_x is not null and _y is not null")
+    side = lambda c: F.coalesce(F.nullif(F.col(c), F.lit(0)), F.lit(100))
+    b = b.withColumns({"_w": side("w"), "_h": side("h")}).join(plans.select("plan_id", "min_x", "min_y", "max_x", "max_y"), "plan_id")
+    b = b.where("_x + _w >= min_x and _x <= max_x and _y + _h >= min_y and _y <= max_y")
+    low = lambda p: F.greatest(F.col(f"_{p}"), F.col(f"min_{p}"))
+    high = lambda p, s: F.least(F.col(f"_{p}") + F.col(f"_{s}"), F.col(f"max_{p}"))
+    out = b.select("plan_id", "box_id", low("x").alias("x"), low("y").alias("y"), (high("x", "w") - low("x")).alias("w"), (high("y", "h") - low("y")).alias("h"))
+    return out.where((F.col("w") >= least) & (F.col("h") >= least))
+
+
+def perimeter_walls(walls: DataFrame, plans: DataFrame, tolerance: int = 50) -> DataFrame:
+    """Walls both of whose ends are less than tolerance from one side of their plan's bounds, with that side (left, right, bottom, top: the first)."""
+    near = lambda p, o: (F.abs(F.col(f"{p}1") - F.col(o)) < tolerance) & (F.abs(F.col(f"{p}2") - F.col(o)) < tolerance)
+    side = F.when(near("x", "min_x"), "left").when(near("x", "max_x"), "right").when(near("y", "min_y"), "bottom").when(near("y", "max_y"), "top")
+    return walls.join(plans.select("plan_id", "min_x", "min_y", "max_x", "max_y"), "plan_id").withColumn("side", side).where("side is not null").select(*walls.columns, "side")
+
+
+def synthetic_envelopes(envelope: DataFrame, plans: DataFrame, tolerance: int = 20) -> DataFrame:
+    """plan_id, edges, aligned, synthetic: envelopes(plan_id, x1, y1, x2, y2) of four to eight edges, at least four of which lie on the bounds, were
+    probably drawn from the bounds."""
+    on = lambda p, o: (F.abs(F.col(f"{p}1") - F.col(o)) <= tolerance) & (F.abs(F.col(f"{p}2") - F.col(o)) <= tolerance)
+    aligned = on("x", "min_x") | on("x", "max_x") | on("y", "min_y") | on("y", "max_y")
+    e = envelope.join(plans.select("plan_id", "min_x", "min_y", "max_x", "max_y"), "plan_id").groupBy("plan_id").agg(F.count(F.lit(1)).alias("edges"), F.count(F.when(aligned, 1)).alias("aligned"))
+    return e.withColumn("synthetic", F.col("edges").between(4, 8) & (F.col("aligned") >= 4))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from planfold.catalog import query
 from planfold.functions import geometry
 from planfold.operators import catalogs, spatial
+from planfold.operators.shapes import perimeter_walls, synthetic_envelopes
 from planfold.plans.layout import _GAP2, _STRICT, _TOUCH, FLOOR
 
 @query("P18_usable_area", "with t as (select plan_id, case when plan_id % 4 = 0 then null when plan_id % 4 = 1 then 0 else 100 + plan_id end as total, case when plan_id % 8 = 0 then null else max_x - min_x end as width, max_y - min_y as height from plans), r as (select plan_id, sum(cast(w as bigint) * h) as rooms from zones group by plan_id) select t.plan_id, case when total > 0 then total when width > 0 then width * height when rooms > 0 then rooms else 0 end::double as area, case when total > 0 then 'totalArea' when width > 0 then 'bounds' when rooms > 0 then 'rooms' else 'unknown' end as source from t left join r using (plan_id)")
@@ -237,6 +238,31 @@ def a30(v):
     return w.groupBy("plan_id", "side").agg(F.count(F.lit(1)).alias("walls"), F.sum(F.abs(F.col("x2") - F.col("x1")) + F.abs(F.col("y2") - F.col("y1"))).alias("length"))
 
 
+_BOUNDS = "(select plan_id, min(least(x1, x2)) as min_x, min(least(y1, y2)) as min_y, max(greatest(x1, x2)) as max_x, max(greatest(y1, y2)) as max_y from walls group by plan_id)"
+
+
+def _wall_bounds(v):
+    return v.walls.groupBy("plan_id").agg(F.min(F.least("x1", "x2")).alias("min_x"), F.min(F.least("y1", "y2")).alias("min_y"), F.max(F.greatest("x1", "x2")).alias("max_x"), F.max(F.greatest("y1", "y2")).alias("max_y"))
+
+
+@query("A30_detected_perimeter", f"select plan_id, wall_id, side from (select w.plan_id, wall_id, case when abs(x1 - min_x) < 50 and abs(x2 - min_x) < 50 then 'left' when abs(x1 - max_x) < 50 and abs(x2 - max_x) < 50 then 'right' when abs(y1 - min_y) < 50 and abs(y2 - min_y) < 50 then 'bottom' when abs(y1 - max_y) < 50 and abs(y2 - max_y) < 50 then 'top' end as side from walls w join {_BOUNDS} b using (plan_id)) t where side is not null")
+def a30_detected(v):
+    """Walls within half a metre of the bounds of all walls."""
+    return perimeter_walls(v.walls, _wall_bounds(v)).select("plan_id", "wall_id", "side")
+
+
+_ENVELOPE = """(select plan_id, 0 as k, min_x as x1, min_y as y1, max_x as x2, min_y as y2 from plans union all select plan_id, 1, max_x, min_y, max_x, max_y + plan_id % 3 * 15 from plans union all select plan_id, 2, max_x, max_y, min_x, max_y from plans union all select plan_id, 3, min_x + plan_id % 2 * 40, max_y, min_x, min_y from plans union all select plan_id, 4, x1, y1, x2, y2 from walls where wall_id % 100 = 7)"""
+
+
+@query("A30_synthetic_envelopes", f"select plan_id, count(*) as edges, count(*) filter (a) as aligned, count(*) between 4 and 8 and count(*) filter (a) >= 4 as synthetic from (select e.plan_id, (abs(x1 - min_x) <= 20 and abs(x2 - min_x) <= 20) or (abs(x1 - max_x) <= 20 and abs(x2 - max_x) <= 20) or (abs(y1 - min_y) <= 20 and abs(y2 - min_y) <= 20) or (abs(y1 - max_y) <= 20 and abs(y2 - max_y) <= 20) as a from {_ENVELOPE} e join plans using (plan_id)) t group by plan_id")
+def a30_synthetic(v):
+    """Four edges on or near the bounds, and some walls."""
+    edge = lambda x1, y1, x2, y2: F.struct(*(F.expr(c).cast("long").alias(n) for c, n in zip((x1, y1, x2, y2), ("x1", "y1", "x2", "y2"), strict=True)))
+    four = F.array(edge("min_x", "min_y", "max_x", "min_y"), edge("max_x", "min_y", "max_x", "max_y + plan_id % 3 * 15"), edge("max_x", "max_y", "min_x", "max_y"), edge("min_x + plan_id % 2 * 40", "max_y", "min_x", "min_y"))
+    e = v.plans.select("plan_id", F.inline(four)).unionByName(v.walls.where("wall_id % 100 = 7").select("plan_id", *(F.col(c).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2"))))
+    return synthetic_envelopes(e, v.plans)
+
+
 @query("A13_pipeline_metrics", "with b as (select plan_id, count(*) as n, sum(cast(w as bigint) * h) as a from boxes group by plan_id), c as (select plan_id, sum(cast(w as bigint) * h) as a from corridors group by plan_id) select plan_id, b.n as boxes, round(b.a * 1.0 / (cast(max_x - min_x as bigint) * (max_y - min_y)), 6) as yield_ratio, round(c.a * 1.0 / b.a, 6) as circulation_ratio, round((b.a + c.a) * 1.0 / (cast(max_x - min_x as bigint) * (max_y - min_y)), 6) as efficiency from b join c using (plan_id) join plans using (plan_id)")
 def a13(v):
     area = F.sum(F.col("w").cast("long") * F.col("h"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from planfold.catalog import query
 from planfold.functions import geometry
-from planfold.operators import catalogs, graph, spatial
+from planfold.operators import catalogs, cleanup, graph, spatial
 from planfold.plans.layout import _GAP2, _LINKS, _NEAR, _links
 
 _PAIRS = "(select a.plan_id, a.connector_id as a_id, b.connector_id as b_id, pow(a.x - b.x, 2) + pow(a.y - b.y, 2) as d2, a.floor_level as level_a from connectors a join connectors b on a.plan_id = b.plan_id and a.type = b.type and b.floor_level = a.floor_level + 1 and pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 15625)"
@@ -109,6 +109,16 @@ def r8(v):
     return by.where("has_exit = 1 or length >= 2000")
 
 
+@query("R8_kept_with_fallbacks", _COMPONENTS + """, d as (select k.plan_id, c.component, cast(sum(greatest(k.w, k.h)) as bigint) as length, count(*) as n, max(case when x.id is null then 0 else 1 end) = 1 as seeded from corridors k join c on c.id = k.corridor_id left join x on x.id = c.id group by k.plan_id, c.component),
+  f as (select *, bool_or(seeded) over w as any_seed, bool_or(length >= 2000 or n > 1) over w as any_long, row_number() over (partition by plan_id order by length desc, component desc) as place from d window w as (partition by plan_id))
+  select plan_id, component, length, n, seeded from f where case when any_seed then seeded or length >= 2000 when any_long then length >= 2000 or n > 1 else place = 1 end""")
+def r8_fallbacks(v):
+    """Components that stay, also in plans where none has an exit near."""
+    found = _corridor_components(v).join(v.corridors.select(F.col("corridor_id").alias("id"), "plan_id", F.greatest("w", "h").alias("length")), "id")
+    by = found.join(_with_exit(v).withColumn("_exit", F.lit(True)), "id", "left").groupBy("plan_id", "component").agg(F.sum("length").alias("length"), F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or("_exit"), F.lit(False)).alias("seeded"))
+    return cleanup.kept_components(graph.cut(by), 2000)
+
+
 @query("R5_path_costs")
 def r5(v):
     """Least cost from the corridors near an exit, over links that cost the mean of both lengths."""

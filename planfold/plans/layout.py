@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from planfold.catalog import query
 from planfold.functions import geometry, text
 from planfold.operators import catalogs, rules, spatial
+from planfold.operators.shapes import sanitized
 
 FLOOR = ["plan_id", "floor_level"]
 _STRICT = "a.x < b.x + b.w and b.x < a.x + a.w and a.y < b.y + b.h and b.y < a.y + a.h"
@@ -245,11 +246,14 @@ def t6(v):
     return v.boxes.withColumn("n", n).where(F.col("n") <= 100 + F.col("plan_id")).select("plan_id", "box_id")
 
 
-@query("P9_clipped_boxes", "with c as (select plan_id, box_id, greatest(x, 0) as x1, greatest(y, 0) as y1, least(x + w, max_x - 500) as x2, least(y + h, max_y - 200) as y2 from boxes join plans using (plan_id)) select plan_id, box_id, x1 as x, y1 as y, x2 - x1 as w, y2 - y1 as h from c where x2 - x1 >= 50 and y2 - y1 >= 50")
+@query("P9_clipped_boxes", """with b as (select plan_id, box_id, case when box_id % 7 in (3, 5) then x + w / 2.0 else x end as x, case when box_id % 7 in (3, 5) then y + h / 2.0 else y end as y, case when box_id % 11 = 4 then 100 else w end as w, h from boxes where box_id % 7 <> 5 or box_id % 13 <> 2),
+  c as (select plan_id, box_id, greatest(x, min_x) as x1, greatest(y, min_y) as y1, least(x + w, max_x) as x2, least(y + h, max_y) as y2 from b join plans using (plan_id) where x + w >= min_x and x <= max_x and y + h >= min_y and y <= max_y) select plan_id, box_id, x1::double as x, y1::double as y, (x2 - x1)::double as w, (y2 - y1)::double as h from c where x2 - x1 >= 50 and y2 - y1 >= 50""")
 def p9(v):
-    """Clipped to the usable part of the plan; what is left under half a metre goes."""
-    c = v.boxes.join(v.plans, "plan_id").select("plan_id", "box_id", F.greatest("x", F.lit(0)).alias("x"), F.greatest("y", F.lit(0)).alias("y"), F.least(F.col("x") + F.col("w"), F.col("max_x") - 500).alias("x2"), F.least(F.col("y") + F.col("h"), F.col("max_y") - 200).alias("y2"))
-    return c.select("plan_id", "box_id", "x", "y", (F.col("x2") - F.col("x")).alias("w"), (F.col("y2") - F.col("y")).alias("h")).where("w >= 50 and h >= 50")
+    """Boxes some of which have no x (or y) but a centre, some not even that, some no width: clipped to the plan."""
+    k = F.col("box_id") % 7
+    centre = F.when((k != 5) | (F.col("box_id") % 13 != 2), 1)
+    b = v.boxes.select("plan_id", "box_id", F.when(k != 3, F.when(k != 5, F.col("x"))).alias("x"), F.when(k != 5, F.col("y")).alias("y"), (centre * (F.col("x") + F.col("w") / 2)).alias("cx"), (centre * (F.col("y") + F.col("h") / 2)).alias("cy"), F.when(F.col("box_id") % 11 != 4, F.col("w")).alias("w"), "h")
+    return sanitized(b, v.plans).select("plan_id", "box_id", *(F.col(c).cast("double").alias(c) for c in "xywh"))
 
 
 @query("P19_snapped_boxes", "select box_id, cast(floor(x / 25.0 + 0.5) * 25 as bigint) as x, cast(floor(y / 25.0 + 0.5) * 25 as bigint) as y from boxes")

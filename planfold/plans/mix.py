@@ -185,6 +185,23 @@ def a12(v):
     return v.plans.select("plan_id").join(b, "plan_id", "left").join(c, "plan_id", "left").fillna(0, names).unpivot("plan_id", names, "metric", "value")
 
 
+@query("A12_summary_metrics", _VAR + """, q as (select plan_id, round(sum(case when priority = 'obligatoire' then 2 else 1 end * case when abs(deviation) <= allowed then 1.0 else greatest(0, 1 - abs(deviation) * 1.0 / target) end) * 100 / sum(case when priority = 'obligatoire' then 2 else 1 end), 4) as rate from k group by plan_id),
+  b as (select plan_id, count(*) as n, sum(w * h / 10000.0::double) as a from boxes group by plan_id), jj as (select p.plan_id, coalesce(b.n, 0) as n, coalesce(b.a, 0) as a, coalesce(q.rate, 0) as rate, greatest(0, (max_x - min_x)::double * (max_y - min_y) / 10000 - coalesce(b.a, 0)) as lost from plans p left join b using (plan_id) left join q using (plan_id))
+  select plan_id, unnest(['Total Boxes', 'Total Area (m²)', 'Compliance Rate (%)', 'Lost Area (m²)']) as metric, unnest([n, round(a, 4), rate, round(lost, 4)]::double[]) as value, null::varchar as status from jj
+  union all select plan_id, 'Status', null, case when rate >= 95 then 'excellent' when rate >= 85 then 'good' when rate >= 70 then 'acceptable' else 'needs_improvement' end from jj""")
+def a12_summary(v):
+    """The five lines of an export's summary."""
+    weight = F.when(F.col("priority") == "obligatoire", 2).otherwise(1)
+    rate = F.round(F.sum(weight * _conformity() / 100) * 100 / F.sum(weight), 4)
+    q = _variance(v).groupBy("plan_id").agg(rate.alias("rate"))
+    b = v.boxes.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("w") * F.col("h") / 10000).alias("a"))
+    j = v.plan_areas.join(b, "plan_id", "left").join(q, "plan_id", "left").fillna(0, ["n", "a", "rate"])
+    lost = F.greatest(F.lit(0.0), F.col("plan_area") / 10000 - F.col("a"))
+    status = F.when(F.col("rate") >= 95, "excellent").when(F.col("rate") >= 85, "good").when(F.col("rate") >= 70, "acceptable").otherwise("needs_improvement")
+    line = lambda name, value, said=None: F.struct(F.lit(name).alias("metric"), (F.lit(None) if value is None else value).cast("double").alias("value"), (F.lit(None) if said is None else said).cast("string").alias("status"))
+    return j.select("plan_id", F.inline(F.array(line("Total Boxes", F.col("n")), line("Total Area (m²)", F.round("a", 4)), line("Compliance Rate (%)", F.col("rate")), line("Lost Area (m²)", F.round(lost, 4)), line("Status", None, status))))
+
+
 @query("A31_fulfilment", f"with {_ACTUAL}, j as (select m.plan_id, m.type, 40 + m.plan_id % 50 as target, coalesce(a.n, 0) as placed from unit_mix m left join act a on a.plan_id = m.plan_id and a.type = m.type) select plan_id, type, target, placed, round((placed - target) * 100.0 / target, 4) as deviation_pct, case when placed >= target then 'FULFILLED' else 'SHORTFALL' end as status, round(sum(least(placed, target)) over (partition by plan_id) * 1.0 / sum(target) over (partition by plan_id), 6) as overall from j")
 def a31(v):
     found = _variance(v).select("plan_id", "type", (40 + F.col("plan_id") % 50).alias("target"), F.col("actual_count").alias("placed"))

@@ -181,3 +181,12 @@ def p12(v):
     """Distance of each exit from the nearest wall of its plan (point to segment)."""
     d2 = geometry.point_segment_squared(*(F.col(c).cast("double") for c in ("a.x", "a.y", "b.x1", "b.y1", "b.x2", "b.y2")))
     return spatial.nearest(v.exits, "exit_id", as_rectangles(v.walls), ["plan_id"], d2).select("plan_id", "exit_id", F.round(F.sqrt("d2"), 4).alias("distance"))
+
+
+@query("P12_polygon_distance", """with d as (select plan_id, exit_id, case when e.x > z.x and e.x < z.x + z.w and e.y > z.y and e.y < z.y + z.h then least(e.x - z.x, z.x + z.w - e.x, e.y - z.y, z.y + z.h - e.y)::double else sqrt(pow(greatest(0, z.x - e.x, e.x - z.x - z.w), 2) + pow(greatest(0, z.y - e.y, e.y - z.y - z.h), 2)) end as d from exits e join zones z using (plan_id)) select plan_id, exit_id, round(min(d), 4) as distance from d group by plan_id, exit_id""")
+def p12_polygon(v):
+    """Distance of each exit from the nearest edge of a zone's polygon, also from inside."""
+    p = lambda i, j: F.struct((F.col("x") + F.col("w") * i).cast("double").alias("x"), (F.col("y") + F.col("h") * j).cast("double").alias("y"))
+    zones = v.zones.withColumn("polygon", F.array(p(0, 0), p(1, 0), p(1, 1), p(0, 1)))
+    d2 = geometry.point_polygon_squared(F.col("a.x").cast("double"), F.col("a.y").cast("double"), F.col("b.polygon"))
+    return spatial.nearest(v.exits, "exit_id", zones, ["plan_id"], d2).select("plan_id", "exit_id", F.round(F.sqrt("d2"), 4).alias("distance"))
