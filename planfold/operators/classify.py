@@ -80,3 +80,34 @@ def role(layer: Column) -> Column:
         test = F.lower(layer).rlike(words)
         rule = F.when(test, name) if rule is None else rule.when(test, name)
     return rule.otherwise("other")
+
+
+#: Words of layers that make a line an entrance or forbidden; colours that do so by themselves.
+LINE_WORDS = {"entrance": (1, "ENTRANCE|EXIT|DOOR|OPENING"), "forbidden": (5, "FORBIDDEN|STAIR|ELEVATOR|LIFT|SHAFT|COLUMN|OBSTACLE")}
+
+
+def line_class(layer: Column, color: Column) -> Column:
+    """entrance, forbidden or wall: by colour or the layer's words, in this order; everything else is a wall."""
+    name = layer_name(layer)
+    return F.coalesce(*(F.when((color == code) | name.rlike(words), kind) for kind, (code, words) in LINE_WORDS.items()), F.lit("wall"))
+
+
+#: Kinds of text labels and their patterns on the text, in order; notices are kept once a plan and text.
+LABELS = [("number", "^[0-9]{1,2}$"), ("room", "^RM-[0-9]+$"), ("green_zone", "(?i)^Ex[0-9]+$"), ("dimension", r"(?i)^[0-9]+(\.[0-9]+)?\s*m$")]
+NOTICES = "ZERO LINE|ROOF THROUGH|EXIT AREA|TO EXIT"
+FUNCTIONS = [("LOADING BAY", "LOADING|BAY"), ("MAIN ACCESS", "MAIN.*ACCESS|ACCESS.*MAIN"), ("EXIT DOOR", "EXIT|SORTIE")]
+
+
+def text_labels(texts: DataFrame) -> DataFrame:
+    """texts(plan_id, text_id, text, ...) -> the same with kind and label, a row for each that a text gives (a notice may name a function as well).
+    Of equal notices of a plan the one with the least text_id stays; room numbers go from 1 to 26."""
+    upper = F.upper("text")
+    one = lambda test, kind, label: F.when(test, F.struct(F.lit(kind).alias("kind"), label.alias("label")))
+    number = F.col("text").rlike(LABELS[0][1]) & F.expr("try_cast(text as int)").between(1, 26)
+    said = [one(number, "number", F.expr("cast(try_cast(text as int) as string)"))] + [one(F.col("text").rlike(p), kind, F.col("text")) for kind, p in LABELS[1:]]
+    function = F.coalesce(*(F.when(upper.rlike(p), name) for name, p in FUNCTIONS))
+    said += [one(upper.rlike(NOTICES), "notice", F.col("text")), one(function.isNotNull(), "function", function)]
+    rows = texts.select("*", F.inline(F.array_compact(F.array(*said))))
+    first = rows.where("kind = 'notice'").groupBy("plan_id", "label").agg(F.min("text_id").alias("_first"))
+    rows = rows.join(first, ["plan_id", "label"], "left").where("kind <> 'notice' or text_id = _first").drop("_first")
+    return rows.select(*texts.columns, "kind", "label")

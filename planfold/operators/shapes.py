@@ -148,3 +148,28 @@ def synthetic_envelopes(envelope: DataFrame, plans: DataFrame, tolerance: int =
     aligned = on("x", "min_x") | on("x", "max_x") | on("y", "min_y") | on("y", "max_y")
     e = envelope.join(plans.select("plan_id", "min_x", "min_y", "max_x", "max_y"), "plan_id").groupBy("plan_id").agg(F.count(F.lit(1)).alias("edges"), F.count(F.when(aligned, 1)).alias("aligned"))
     return e.withColumn("synthetic", F.col("edges").between(4, 8) & (F.col("aligned") >= 4))
+
+
+def path_arrows(lines: DataFrame, key: str, spacing: float = 300, length: float = 200) -> DataFrame:
+    """lines(key, points array<struct<x, y>>) -> key, arrow (from 0), x, y, angle (radians), path_length: arrows along each polyline, the first half a spacing
+    from its start and none that would reach over the end. An arrow is `length` or 60 % of a short path; a path too short for two has one in
+    its middle, if it is longer than the arrow. Points that repeat make no segment.
+
+    Segments carry the length before them, so each arrow is placed by the one segment that holds its distance."""
+    p = lines.select(key, F.posexplode("points").alias("i", "p"))
+    following = Window.partitionBy(key).orderBy("i")
+    s = p.withColumn("q", F.lead("p").over(following)).where("q is not null")
+    s = s.withColumns({"dx": (F.col("q.x") - F.col("p.x")).cast("double"), "dy": (F.col("q.y") - F.col("p.y")).cast("double")}).withColumn("n", F.hypot("dx", "dy")).where("n > 0")
+    s = s.withColumn("upto", F.sum("n").over(following.rowsBetween(Window.unboundedPreceding, 0)))
+    s = s.withColumn("path_length", F.sum("n").over(Window.partitionBy(key))).withColumn("before", F.col("upto") - F.col("n"))
+    whole, arrow = F.col("path_length"), F.least(F.lit(float(length)), F.col("path_length") * 0.6)
+    short = whole < spacing + arrow
+    first = F.when(short & (whole > arrow), whole / 2).otherwise(spacing / 2)
+    last = F.least(whole - arrow * 0.5, F.when(short, first).otherwise(whole))
+    # the arrows whose distance lies on this segment: behind its start (the path's start counts) and up to its end
+    low = F.when(F.col("before") > 0, F.floor((F.col("before") - first) / spacing) + 1).otherwise(0).cast("long")
+    high = F.floor((F.least("upto", last) - first) / spacing).cast("long")
+    s = s.withColumns({"_first": first, "_low": F.greatest(F.lit(0).cast("long"), low), "_high": high}).where("_high >= _low")
+    s = s.withColumn("arrow", F.explode(F.sequence("_low", "_high"))).withColumn("_t", (F.col("_first") + F.col("arrow") * spacing - F.col("before")) / F.col("n"))
+    s = s.where((F.col("_first") + F.col("arrow") * spacing) < whole)
+    return s.select(key, "arrow", (F.col("p.x") + F.col("_t") * F.col("dx")).alias("x"), (F.col("p.y") + F.col("_t") * F.col("dy")).alias("y"), F.atan2("dy", "dx").alias("angle"), "path_length")

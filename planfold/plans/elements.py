@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from planfold.catalog import query
 from planfold.functions import geometry
-from planfold.operators import catalogs, spatial
-from planfold.operators.shapes import perimeter_walls, synthetic_envelopes
+from planfold.operators import catalogs, classify, spatial
+from planfold.operators.shapes import path_arrows, perimeter_walls, synthetic_envelopes
 from planfold.plans.layout import _GAP2, _STRICT, _TOUCH, FLOOR
 
 @query("P18_usable_area", "with t as (select plan_id, case when plan_id % 4 = 0 then null when plan_id % 4 = 1 then 0 else 100 + plan_id end as total, case when plan_id % 8 = 0 then null else max_x - min_x end as width, max_y - min_y as height from plans), r as (select plan_id, sum(cast(w as bigint) * h) as rooms from zones group by plan_id) select t.plan_id, case when total > 0 then total when width > 0 then width * height when rooms > 0 then rooms else 0 end::double as area, case when total > 0 then 'totalArea' when width > 0 then 'bounds' when rooms > 0 then 'rooms' else 'unknown' end as source from t left join r using (plan_id)")
@@ -91,6 +91,46 @@ def p32(v):
     return c.select("corridor_id", "i", F.round(F.when(F.col("flat"), F.col("x") + along).otherwise(F.col("x") + F.col("w") / 2), 4).alias("ax"), F.round(F.when(F.col("flat"), F.col("y") + F.col("h") / 2).otherwise(F.col("y") + along), 4).alias("ay"))
 
 
+@query("P32_path_arrows", """with c as (select corridor_id, [{'x': x, 'y': y}, {'x': x + w, 'y': y}, {'x': x + w, 'y': y + h}, {'x': x + w, 'y': y + h}, {'x': x, 'y': y + 2 * h}] as p from corridors),
+  s as (select corridor_id, unnest(range(1, 5)) as i, p from c), g as (select corridor_id, i, p[i].x as x1, p[i].y as y1, (p[i + 1].x - p[i].x)::double as dx, (p[i + 1].y - p[i].y)::double as dy from s), n as (select *, sqrt(dx * dx + dy * dy) as n from g where dx <> 0 or dy <> 0),
+  u as (select *, sum(n) over (partition by corridor_id order by i rows unbounded preceding) as upto, sum(n) over (partition by corridor_id) as whole from n), a as (select *, least(200, whole * 0.6::double) as arrow from u), f as (select *, case when whole < 300 + arrow and whole > arrow then whole / 2 else 150 end as d0, whole < 300 + arrow as short from a),
+  k as (select *, unnest(range(0, greatest(1, (whole / 300)::bigint + 2))) as arrow_no from f), d as (select *, d0 + arrow_no * 300 as d from k where not short or arrow_no = 0)
+  select corridor_id, arrow_no as arrow, round(x1 + (d - upto + n) / n * dx, 4) as x, round(y1 + (d - upto + n) / n * dy, 4) as y, round(atan2(dy, dx), 6) as angle, round(whole, 4) as path_length from d where d < whole and d <= whole - arrow * 0.5 and d <= upto and (d > upto - n or (d = 0 and upto = n))""")
+def p32_paths(v):
+    """Arrows along bent centrelines, one of whose points repeats."""
+    p = lambda x, y: F.struct(F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y"))
+    lines = v.corridors.select("corridor_id", F.array(p("x", "y"), p("x + w", "y"), p("x + w", "y + h"), p("x + w", "y + h"), p("x", "y + 2 * h")).alias("points"))
+    return path_arrows(lines, "corridor_id").withColumns({c: F.round(c, n) for c, n in (("x", 4), ("y", 4), ("angle", 6), ("path_length", 4))})
+
+
+_TEXTS = """(select plan_id, zone_id as text_id, x + zone_id % 700 as x, y, case zone_id % 9 when 0 then 'RM-' || zone_id when 1 then 'ex' || zone_id % 10 when 2 then 'Loading bay' when 3 then (zone_id % 12) || '.5 m' when 4 then 'To exit' when 5 then (zone_id % 40)::varchar when 6 then 'Main access' when 7 then (zone_id % 26 + 1)::varchar else 'note' end as text from zones)"""
+
+
+def _texts(v):
+    k = F.col("zone_id") % 9
+    said = F.when(k == 0, F.concat(F.lit("RM-"), "zone_id")).when(k == 1, F.concat(F.lit("ex"), F.col("zone_id") % 10)).when(k == 2, "Loading bay").when(k == 3, F.concat((F.col("zone_id") % 12).cast("string"), F.lit(".5 m")))
+    said = said.when(k == 4, "To exit").when(k == 5, (F.col("zone_id") % 40).cast("string")).when(k == 6, "Main access").when(k == 7, (F.col("zone_id") % 26 + 1).cast("string")).otherwise("note")
+    return v.zones.select("plan_id", F.col("zone_id").alias("text_id"), (F.col("x") + F.col("zone_id") % 700).alias("x"), "y", said.alias("text"))
+
+
+@query("C17_label_kinds", f"""with t as (select * from {_TEXTS} u), n as (select plan_id, text_id, 'notice' as kind, text as label from t where regexp_matches(upper(text), 'ZERO LINE|ROOF THROUGH|EXIT AREA|TO EXIT') qualify row_number() over (partition by plan_id, text order by text_id) = 1)
+  select plan_id, text_id, 'number' as kind, try_cast(text as int)::varchar as label from t where regexp_matches(text, '^[0-9]{{1,2}}$') and try_cast(text as int) between 1 and 26 union all select plan_id, text_id, 'room', text from t where regexp_matches(text, '^RM-[0-9]+$') union all select plan_id, text_id, 'green_zone', text from t where regexp_matches(text, '(?i)^Ex[0-9]+$')
+  union all select plan_id, text_id, 'dimension', text from t where regexp_matches(text, '(?i)^[0-9]+([.][0-9]+)?\\s*m$') union all select * from n union all select plan_id, text_id, 'function', case when regexp_matches(upper(text), 'LOADING|BAY') then 'LOADING BAY' when regexp_matches(upper(text), 'MAIN.*ACCESS|ACCESS.*MAIN') then 'MAIN ACCESS' else 'EXIT DOOR' end from t where regexp_matches(upper(text), 'LOADING|BAY|MAIN.*ACCESS|ACCESS.*MAIN|EXIT|SORTIE')""")
+def c17_kinds(v):
+    return classify.text_labels(_texts(v)).select("plan_id", "text_id", "kind", "label")
+
+
+@query("C17_room_numbers", f"""with t as (select * from {_TEXTS} u where regexp_matches(text, '^[0-9]{{1,2}}$') and try_cast(text as int) between 1 and 26), d as (select t.text_id, t.text, z.zone_id, pow(z.x + z.w / 2.0 - t.x, 2) + pow(z.y + z.h / 2.0 - t.y, 2) as d2 from t join zones z using (plan_id))
+  select text_id, try_cast(text as int) as number, zone_id from d where d2 < 250000 qualify row_number() over (partition by text_id order by d2, zone_id) = 1""")
+def c17_numbers(v):
+    """A number belongs to the room whose centre is nearest, within 5 m."""
+    t = spatial.points(classify.text_labels(_texts(v)).where("kind = 'number'"))
+    rooms = spatial.points(v.zones.select("plan_id", "zone_id", (F.col("x") + F.col("w") / 2).alias("x"), (F.col("y") + F.col("h") / 2).alias("y")))
+    pairs = spatial.within(t, rooms, ["plan_id"], 500)
+    best = F.min(F.struct(geometry.gap_squared("a", "b").alias("d2"), F.col("b.zone_id").alias("zone_id")))
+    return pairs.groupBy(F.col("a.text_id").alias("text_id"), F.col("a.label").cast("int").alias("number")).agg(best.alias("m")).select("text_id", "number", "m.zone_id")
+
+
 @query("P33_building_report", "with f as (select building_id, plan_id, count(*) as n, sum(cast(w as bigint) * h) as area from boxes join plans using (plan_id) group by all) select building_id, '# Building ' || building_id || chr(10) || string_agg('- Plan ' || plan_id || ': ' || n || ' boxes, ' || area || ' cm2', chr(10) order by plan_id) as report from f group by building_id")
 def p33(v):
     """A Markdown report for each building, a line for each plan in order."""

@@ -75,6 +75,11 @@ def c9(v):
     return v.entities.where(up.isin("NO_ENTREE", "FORBIDDEN") | up.contains("STAIR") | F.col("color").isin(5, 150)).select("plan_id", "entity_id", "layer")
 
 
+@query("C9_line_classes", f"select plan_id, entity_id, case when color = 1 or regexp_matches(n, 'ENTRANCE|EXIT|DOOR|OPENING') then 'entrance' when color = 5 or regexp_matches(n, 'FORBIDDEN|STAIR|ELEVATOR|LIFT|SHAFT|COLUMN|OBSTACLE') then 'forbidden' else 'wall' end as class from (select *, {_NAME} as n from entities) t")
+def c9_lines(v):
+    return v.entities.select("plan_id", "entity_id", classify.line_class(F.col("layer"), F.col("color")).alias("class"))
+
+
 @query("C12_type_by_ranges", """with r(type, lo, hi, ord) as (values ('S', 0.0, 2.0, 1), ('M', 2.0, 5.0, 2), ('L', 5.0, 10.0, 3), ('XL', 10.0, 9999.0, 4)), a as (select box_id, w * h / 10000.0 as area from boxes),
   c as (select box_id, type, row_number() over (partition by box_id order by ord) as rn from a join r on area >= lo - 1e-6 and area <= hi + 1e-6) select box_id, type from c where rn = 1""")
 def c12(v):

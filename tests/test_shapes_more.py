@@ -49,3 +49,36 @@ def test_components_that_stay(spark):
     rows = [(1, 1, 10, 1, True), (1, 2, 300, 1, False), (1, 3, 100, 5, False), (2, 4, 10, 1, False), (2, 5, 10, 2, False), (2, 6, 250, 1, False), (3, 7, 10, 1, False), (3, 8, 20, 1, False)]
     by = spark.createDataFrame(rows, "plan_id long, component long, length int, n long, seeded boolean")
     assert sorted(r.component for r in cleanup.kept_components(by, 200).collect()) == [1, 2, 5, 6, 8]
+
+
+def arrows(spark, points, **more):
+    df = spark.createDataFrame([(1, points)], "k long, points array<struct<x: double, y: double>>")
+    return [(r.arrow, round(r.x, 6), round(r.y, 6), round(r.angle, 6)) for r in shapes.path_arrows(df, "k", **more).orderBy("arrow").collect()]
+
+
+def test_arrows_along_paths(spark):
+    assert arrows(spark, [(0.0, 0.0), (1000.0, 0.0)]) == [(0, 150, 0, 0), (1, 450, 0, 0), (2, 750, 0, 0)]
+    bent = [(0.0, 0.0), (300.0, 0.0), (300.0, 0.0), (300.0, 700.0)]
+    assert arrows(spark, bent) == [(0, 150, 0, 0), (1, 300, 150, 1.570796), (2, 300, 450, 1.570796)]
+    assert arrows(spark, [(0.0, 0.0), (400.0, 0.0)]) == [(0, 200, 0, 0)]  # too short for two: one in the middle
+    assert arrows(spark, [(0.0, 0.0), (0.0, 0.0)]) == arrows(spark, [(1.0, 2.0)]) == arrows(spark, []) == []
+    assert len(arrows(spark, [(0.0, 0.0), (60_000.0, 0.0)])) == 200  # no cap
+
+
+def test_text_labels(spark):
+    from planfold.operators import classify
+
+    said = ["7", "27", "0", "RM-300", "RM-x", "Ex50", "1.5m", "10 M", "To exit", "To exit", "ROOF THROUGH", "loading bay", "main access", "Sortie", "note", None]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(said)], "plan_id long, text_id long, text string")
+    got = {(r.text_id, r.kind, r.label) for r in classify.text_labels(df).collect()}
+    assert got == {
+        (0, "number", "7"), (3, "room", "RM-300"), (5, "green_zone", "Ex50"), (6, "dimension", "1.5m"), (7, "dimension", "10 M"), (8, "notice", "To exit"), (8, "function", "EXIT DOOR"), (9, "function", "EXIT DOOR"),
+        (10, "notice", "ROOF THROUGH"), (11, "function", "LOADING BAY"), (12, "function", "MAIN ACCESS"), (13, "function", "EXIT DOOR"),
+    }
+
+
+def test_line_classes(spark):
+    from planfold.operators import classify
+
+    df = spark.createDataFrame([("Door 1", 0), ("x", 1), ("x", 5), ("shaft", 3), ("MUR", 7), (None, 9), ("stair exit", 5)], "layer string, color int")
+    assert [r.c for r in df.select(classify.line_class(F.col("layer"), F.col("color")).alias("c")).collect()] == ["entrance", "entrance", "forbidden", "forbidden", "wall", "wall", "entrance"]
