@@ -30,12 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """nodes(id), edges(a, b) of numbers -> (id, component): the smallest id reachable. Labels hook to the smallest neighbour's label,
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes(id), edges(a, b) of one type -> (id, component): the smallest id reachable. Labels hook to the smallest neighbour's label,
     then jump to their label's label, so long chains take few rounds."""
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
     label = cut(nodes.select("id", F.col("id").alias("component")).distinct())
-    for _ in range(rounds):
+    while True:
         near = both.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("near"))
         hooked = label.join(near, F.col("id") == F.col("a"), "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("hook"))
         # the root of each old label takes the least hook of its members, then every label jumps once
@@ -45,7 +45,6 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
         label = now.select("id", "component")
         if now.where("component <> old").isEmpty():
             return label
-    raise RuntimeError("components did not settle")
 
 
 def distances(sources: DataFrame, edges: DataFrame) -> DataFrame:
