@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,24 +106,42 @@ def rectangle_meets(x: Column, y: Column, w: Column, h: Column, polygon: Column)
     return F.coalesce((F.size(polygon) >= 3) & test, F.lit(False))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once a row: an expression named several times, or inside a lambda, is else computed each time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def cleaned(polygon: Column, tolerance: float) -> Column:
     """A ring of doubles without null points, without points within tolerance of the last one kept (the end counts against the start),
     and without points on a straight line, if three are left without those."""
     far = lambda p, q: F.sqrt(F.pow(p["x"] - q["x"], 2) + F.pow(p["y"] - q["y"], 2)) > tolerance
-    known = F.filter(polygon, lambda p: p.isNotNull() & p["x"].isNotNull() & p["y"].isNotNull())
-    kept = F.aggregate(known, F.slice(known, 1, 0), lambda a, p: F.when((F.size(a) == 0) | far(F.element_at(a, -1), p), F.concat(a, F.array(p))).otherwise(a))
-    kept = F.when((F.size(kept) > 1) & ~far(F.get(kept, F.lit(0)), F.element_at(kept, -1)), F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
-    n = F.size(kept)
-    at = lambda i: F.get(kept, F.pmod(i, n))
     bend = lambda p, q, r: (q["x"] - p["x"]) * (r["y"] - q["y"]) - (q["y"] - p["y"]) * (r["x"] - q["x"])
-    bent = F.filter(kept, lambda p, i: F.abs(bend(at(i - 1), p, at(i + 1))) > tolerance * tolerance)
-    return F.when((n >= 3) & (F.size(bent) >= 3), bent).otherwise(kept)
+
+    def apart(known):
+        return F.aggregate(known, F.slice(known, 1, 0), lambda a, p: F.when((F.size(a) == 0) | far(F.element_at(a, -1), p), F.concat(a, F.array(p))).otherwise(a))
+
+    def closed(kept):
+        return F.when((F.size(kept) > 1) & ~far(F.get(kept, F.lit(0)), F.element_at(kept, -1)), F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
+
+    def straightened(kept):
+        n = F.size(kept)
+        at = lambda i: F.get(kept, F.pmod(i, n))
+        bent = F.filter(kept, lambda p, i: F.abs(bend(at(i - 1), p, at(i + 1))) > tolerance * tolerance)
+        return _once(bent, lambda b: F.when((n >= 3) & (F.size(b) >= 3), b).otherwise(kept))
+
+    known = F.filter(polygon, lambda p: p.isNotNull() & p["x"].isNotNull() & p["y"].isNotNull())
+    return _once(known, lambda k: _once(apart(k), lambda a: _once(closed(a), straightened)))
 
 
 def ring_key(polygon: Column, places: int = 4) -> Column:
     """One text for all rotations and both directions of a ring: the least of them, coordinates rounded."""
     near = F.transform(polygon, lambda p: F.struct(F.round(p["x"], places).alias("x"), F.round(p["y"], places).alias("y")))
-    n = F.size(near)
-    turned = lambda r: F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.concat(F.slice(r, k + 1, n - k), F.slice(r, 1, k)))
-    least = F.array_min(F.concat(turned(near), turned(F.reverse(near))))
-    return F.when(n > 0, F.array_join(F.transform(least, lambda p: F.concat(p["x"].cast("string"), F.lit(","), p["y"].cast("string"))), ";"))
+
+    def turned(r):
+        n = F.size(r)
+        whole = lambda low: F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda k: F.get(r, k) == low), lambda k: F.concat(F.slice(r, k + 1, n - k), F.slice(r, 1, k)))
+        return _once(F.array_min(r), whole)  # the least one begins with the least point
+
+    said = lambda r: F.array_join(F.transform(r, lambda p: F.concat(p["x"].cast("string"), F.lit(","), p["y"].cast("string"))), ";")
+    least = lambda r: F.array_min(F.concat(turned(r), _once(F.reverse(r), turned)))
+    return _once(near, lambda r: F.when(F.size(r) > 0, said(least(r))))

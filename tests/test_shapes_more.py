@@ -82,3 +82,21 @@ def test_line_classes(spark):
 
     df = spark.createDataFrame([("Door 1", 0), ("x", 1), ("x", 5), ("shaft", 3), ("MUR", 7), (None, 9), ("stair exit", 5)], "layer string, color int")
     assert [r.c for r in df.select(classify.line_class(F.col("layer"), F.col("color")).alias("c")).collect()] == ["entrance", "entrance", "forbidden", "forbidden", "wall", "wall", "entrance"]
+
+
+def test_rings_are_computed_once(spark):
+    """No part of a ring's clean-up or key is named twice in the expression, which would be computed as often."""
+    df = spark.createDataFrame([([(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 0.0)],)], "ring array<struct<x: double, y: double>>")
+    said = lambda c: df.select(c.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert said(geometry.cleaned(F.col("ring"), 0.05)).count("aggregate(") == 1
+    assert said(geometry.ring_key(F.col("ring"))).count("round(") == 2
+
+
+def test_ring_keys_of_turned_rings(spark):
+    ring = [(0.0, 0.0), (2.0, 0.0), (0.0, 0.0), (-1.0, 3.00004), (2.0, 0.0)]  # points come twice
+    turns = [r[k:] + r[:k] for r in (ring, ring[::-1]) for k in range(5)]
+    got = spark.createDataFrame([(t,) for t in [*turns, [], None, [(1.0, 2.0)]]], "ring array<struct<x: double, y: double>>").select(geometry.ring_key(F.col("ring")).alias("k"))
+    keys = [r.k for r in got.collect()]
+    rounded = [[(x, round(y, 4)) for x, y in t] for t in turns]
+    assert set(keys[:10]) == {";".join(f"{x},{y}" for x, y in min(rounded))}
+    assert keys[10:] == [None, None, "1.0,2.0"]
