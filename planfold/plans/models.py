@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from planfold.catalog import query
 from planfold.functions import geometry
-from planfold.operators import graph, spatial
+from planfold.operators import graph, raster, spatial
 from planfold.operators.shapes import as_rectangles
 from planfold.plans.floors import _corridor_components
 from planfold.plans.layout import _ISSUES, _NEAR, _STRICT, FLOOR, _audit
@@ -70,15 +70,13 @@ _CELL = 500
 @query("R10_free_regions")
 def r10(v):
     """Free cells of a 5 m raster (none of a zone's), joined to regions by their four neighbours."""
-    cells = lambda a, b: F.sequence(F.floor(F.col(a) / _CELL).cast("int"), F.ceil(F.col(b) / _CELL).cast("int") - 1)
-    whole = v.plans.select("plan_id", F.explode(cells("min_x", "max_x")).alias("i"), "min_y", "max_y").select("plan_id", "i", F.explode(cells("min_y", "max_y")).alias("j"))
-    span = lambda p, s: F.sequence(F.floor(F.col(p) / _CELL).cast("int"), F.floor((F.col(p) + F.col(s)) / _CELL).cast("int"))
-    blocked = v.zones.select("plan_id", F.explode(span("x", "w")).alias("i"), "y", "h").select("plan_id", "i", F.explode(span("y", "h")).alias("j")).distinct()
-    free = graph.cut(whole.join(blocked, ["plan_id", "i", "j"], "left_anti").withColumn("id", F.concat_ws("/", "plan_id", "i", "j")))
-    step = lambda di, dj: free.select("plan_id", (F.col("i") + di).alias("i"), (F.col("j") + dj).alias("j"), F.col("id").alias("a"))
-    edges = step(1, 0).union(step(0, 1)).join(free.select("plan_id", "i", "j", F.col("id").alias("b")), ["plan_id", "i", "j"]).select("a", "b")
-    found = graph.components(free.select("id"), edges)
-    return found.join(free, "id").groupBy("plan_id", F.col("component").alias("region")).agg(F.count(F.lit(1)).alias("cells"), F.min("i").alias("i1"), F.max("i").alias("i2"), F.min("j").alias("j1"), F.max("j").alias("j2"))
+    low, high = (lambda c: F.floor(F.col(c) / _CELL)), (lambda c: F.ceil(F.col(c) / _CELL))
+    size = graph.cut(v.plans.select("plan_id", (high("max_x") - low("min_x")).alias("cols"), (high("max_y") - low("min_y")).alias("rows"), low("min_x").alias("c0"), low("min_y").alias("r0")))
+    end = lambda p, s, o: F.floor((F.col(p) + F.col(s)) / _CELL) - F.col(o)
+    blocked = v.zones.join(size, "plan_id").select("plan_id", (low("x") - F.col("c0")).alias("c1"), (low("y") - F.col("r0")).alias("r1"), end("x", "w", "c0").alias("c2"), end("y", "h", "r0").alias("r2"))
+    found = raster.joined_regions(size, blocked, named=True).join(size, "plan_id")
+    at = lambda c, o: (F.col(c) + F.col(o)).cast("int")
+    return found.select("plan_id", F.concat_ws("/", "plan_id", "name").alias("region"), "cells", at("c1", "c0").alias("i1"), at("c2", "c0").alias("i2"), at("r1", "r0").alias("j1"), at("r2", "r0").alias("j2"))
 
 
 @query("R11_exits_off_main")

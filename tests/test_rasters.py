@@ -91,6 +91,22 @@ def test_small_regions_go(spark):
     assert [(x.cells, x.area, x.x1, x.x2) for x in got] == [(90, 22.5, 500, 1000)]  # the 15.75 square metres on the left are too few
 
 
+@pytest.mark.parametrize("tile", [256, 3])
+def test_regions_of_cells_have_their_least_name(spark, monkeypatch, tile):
+    """Only regions that meet another tile's go through the components of a graph, by tile and not by cell."""
+    monkeypatch.setattr(raster, "TILE", tile)
+    real, seen = raster.graph.components, []
+    monkeypatch.setattr(raster.graph, "components", lambda nodes, edges: seen.append(nodes.distinct().count()) or real(nodes, edges))
+    size = spark.createDataFrame([(1, 12, 7, -1, 8), (2, 2, 2, 0, 0)], "plan_id long, cols long, rows long, c0 long, r0 long")
+    wall = spark.createDataFrame([(1, 6, -4, 6, 5), (1, 6, 6, 6, 90), (1, 9, 3, 20, 3)] + [(2, 0, 0, 5, 5)], "plan_id long, c1 long, r1 long, c2 long, r2 long")
+    open_ = {(c, r) for c in range(12) for r in range(7)} - {(6, r) for r in range(7)} - {(c, 3) for c in range(9, 12)}
+    left, right = {p for p in open_ if p[0] < 6}, {p for p in open_ if p[0] > 6}
+    name = lambda cells: min(f"{c - 1}/{r + 8}" for c, r in cells)
+    got = {(r.plan_id, r.cells, r.c1, r.r1, r.c2, r.r2, r.first, r.name) for r in raster.joined_regions(size, wall, named=True).collect()}
+    assert got == {(1, 42, 0, 0, 5, 6, 0, name(left)), (1, 32, 7, 0, 11, 6, 7, name(right))}
+    assert seen == ([] if tile == 256 else [12])
+
+
 def overlap(a, b, inset=0):
     return all(a[k] < b[k] + b[k + 2] - inset and a[k] + a[k + 2] > b[k] + inset for k in (0, 1))
 
