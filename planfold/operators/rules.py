@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from planfold.functions.geometry import overlap
 from planfold.operators import graph, spatial
 
+#: Side of the cells in which boxes and corridors meet: few of their rectangles lie in more than one.
+CELL = 2000
+#: Fixed value: how near a box must have a corridor.
+REACH = 100
+
 
 def issue(code: str, severity: str, element: str, actual: Column, required: Column | None = None) -> list[Column]:
     return [F.col("plan_id"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.col(element).cast("long").alias("element_id"), actual.cast("double").alias("actual"), (F.lit(None) if required is None else required).cast("double").alias("required")]
@@ -19,20 +24,20 @@ def narrow_corridors(corridors: DataFrame, main: int = 150, other: int = 120) ->
     return corridors.where(width < least).select(*issue("corridor_width", "MAJOR", "corridor_id", width, least))
 
 
-def boxes_in_zones(boxes: DataFrame, zones: DataFrame) -> DataFrame:
-    """Boxes with a corner or the centre in a zone's rectangle."""
+def boxes_in_zones(boxes: DataFrame, zones: DataFrame, pad: int = 0) -> DataFrame:
+    """Boxes with a corner or the centre in a zone's rectangle. With the reach of another join of the same boxes as pad both share one shuffle."""
     spots = [("x", "y", 0, 0), ("x", "y", 1, 0), ("x", "y", 0, 1), ("x", "y", 1, 1), ("x", "y", 0.5, 0.5)]
     test = F.lit(False)
     for _, _, i, j in spots:
         px, py = F.col("a.x") + F.col("a.w") * i, F.col("a.y") + F.col("a.h") * j
         test = test | ((px >= F.col("b.x")) & (px <= F.col("b.x") + F.col("b.w")) & (py >= F.col("b.y")) & (py <= F.col("b.y") + F.col("b.h")))
-    pairs = spatial.grid_join(boxes, zones, ["plan_id"], overlap("a", "b", strict=False) & test)
+    pairs = spatial.grid_join(boxes, zones, ["plan_id"], overlap("a", "b", strict=False) & test, CELL, pad)
     return pairs.select(F.col("a.plan_id").alias("plan_id"), F.col("a.box_id").alias("box_id"), F.col("b.zone_id").alias("zone_id"))
 
 
-def box_issues(boxes: DataFrame, exits: DataFrame, area: int = 5000, side: int = 50, limit: int = 3000) -> DataFrame:
+def box_issues(boxes: DataFrame, exits: DataFrame, fire_doors: DataFrame, area: int = 5000, side: int = 50, limit: int = 3000, door: int = 150) -> DataFrame:
     """What a box shows by itself, in one pass: too small, too narrow, too far from the plan's nearest exit (over the limit a MAJOR issue, over
-    80 % of it a MINOR one; plans without exits have none here)."""
+    80 % of it a MINOR one; plans without exits have none here), its centre less than `door` from a fire door (as near_fire_doors)."""
     d = F.col("distance")
     one = lambda test, code, severity, actual, required: F.when(test, F.struct(F.lit(code).alias("code"), severity.alias("severity"), actual.cast("double").alias("actual"), F.lit(float(required)).alias("required")))
     w_h, least = F.col("w") * F.col("h"), F.least("w", "h")
@@ -43,7 +48,12 @@ def box_issues(boxes: DataFrame, exits: DataFrame, area: int = 5000, side: int =
             one(d > 0.8 * limit, "exit_distance", F.when(d > limit, "MAJOR").otherwise("MINOR"), F.round(d, 4), limit),
         )
     )
-    return spatial.nearest_exit(boxes, exits).select("plan_id", F.col("box_id").cast("long").alias("element_id"), F.inline(found)).select("plan_id", "code", "severity", "element_id", "actual", "required")
+    by_plan = fire_doors.groupBy("plan_id").agg(F.collect_list(F.struct("x", "y")).alias("_doors"))
+    dx, dy = (lambda e: F.col("x") + F.col("w") / 2 - e["x"]), (lambda e: F.col("y") + F.col("h") / 2 - e["y"])
+    close = F.filter("_doors", lambda e: dx(e) * dx(e) + dy(e) * dy(e) < door * door)
+    doors = F.transform(close, lambda e: F.struct(F.lit("box_fire_door").alias("code"), F.lit("MAJOR").alias("severity"), F.round(F.hypot(dx(e), dy(e)), 4).alias("actual"), F.lit(float(door)).alias("required")))
+    j = spatial.nearest_exit(boxes, exits).join(by_plan, "plan_id", "left").withColumn("_all", F.when(F.col("_doors").isNull(), found).otherwise(F.concat(found, doors)))
+    return j.select("plan_id", F.col("box_id").cast("long").alias("element_id"), F.inline("_all")).select("plan_id", "code", "severity", "element_id", "actual", "required")
 
 
 def exits_missing(plans: DataFrame, exits: DataFrame) -> DataFrame:
@@ -52,16 +62,16 @@ def exits_missing(plans: DataFrame, exits: DataFrame) -> DataFrame:
     return none.unionByName(n.where("n = 1").select(*issue("single_exit", "MAJOR", "plan_id", F.col("n"), F.lit(2))))
 
 
-def without_access(boxes: DataFrame, corridors: DataFrame, exits: DataFrame, reach: int = 100) -> DataFrame:
+def without_access(boxes: DataFrame, corridors: DataFrame, exits: DataFrame, reach: int = REACH) -> DataFrame:
     """Boxes with no corridor within reach, in plans that have exits."""
-    near = spatial.within(boxes, corridors, ["plan_id"], reach).select(F.col("a.box_id").alias("box_id")).distinct()
+    near = spatial.within(boxes, corridors, ["plan_id"], reach, cell=CELL).select(F.col("a.box_id").alias("box_id")).distinct()
     alone = boxes.join(exits.select("plan_id").distinct(), "plan_id", "left_semi").join(near, "box_id", "left_anti")
     return alone.select(*issue("box_access", "MINOR", "box_id", F.lit(None), F.lit(reach)))
 
 
 def dead_ends(corridors: DataFrame, reach: int = 50, least: int = 3) -> DataFrame:
     """Corridors linked to one other at most, in plans with at least three."""
-    pairs = spatial.within(corridors, corridors, ["plan_id"], reach, F.col("a.corridor_id") != F.col("b.corridor_id"))
+    pairs = spatial.within(corridors, corridors, ["plan_id"], reach, F.col("a.corridor_id") != F.col("b.corridor_id"), cell=CELL)
     links = pairs.groupBy(F.col("a.corridor_id").alias("corridor_id")).agg(F.count(F.lit(1)).alias("links"))
     many = corridors.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("plan_id")
     ends = corridors.join(many, "plan_id", "left_semi").join(links, "corridor_id", "left").fillna(0, ["links"]).where("links <= 1")
@@ -69,12 +79,12 @@ def dead_ends(corridors: DataFrame, reach: int = 50, least: int = 3) -> DataFram
 
 
 def audit(plans: DataFrame, boxes: DataFrame, corridors: DataFrame, zones: DataFrame, exits: DataFrame, fire_doors: DataFrame) -> DataFrame:
-    """All issues of all plans. Boxes and corridors are read by several rules: they are derived and written once."""
-    boxes, corridors = graph.cut(boxes), graph.cut(corridors)
-    hits = boxes_in_zones(boxes, zones).select(*issue("forbidden_zone", "CRITICAL", "box_id", F.col("zone_id")))
-    doors = near_fire_doors(boxes, fire_doors).select(*issue("box_fire_door", "MAJOR", "box_id", F.round("distance", 4), F.lit(150)))
+    """All issues of all plans. Boxes and corridors are read by several rules: they are derived and written once, and boxes go to the cells
+    of corridors and zones in one shuffle."""
+    boxes, corridors = graph.cut(boxes.select("plan_id", "box_id", "x", "y", "w", "h")), graph.cut(corridors.select("plan_id", "corridor_id", "x", "y", "w", "h"))
+    hits = boxes_in_zones(boxes, zones, REACH).select(*issue("forbidden_zone", "CRITICAL", "box_id", F.col("zone_id")))
     out = narrow_corridors(corridors)
-    for part in (dead_ends(corridors), box_issues(boxes, exits), without_access(boxes, corridors, exits), hits, doors, exits_missing(plans, exits)):
+    for part in (dead_ends(corridors), box_issues(boxes, exits, fire_doors), without_access(boxes, corridors, exits, REACH), hits, exits_missing(plans, exits)):
         out = out.unionByName(part)
     return out
 

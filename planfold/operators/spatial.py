@@ -13,18 +13,18 @@ from planfold.operators import graph
 
 
 def in_cells(shapes: DataFrame, cell: int, pad: int = 0) -> DataFrame:
-    """shapes(x, y, w, h) with cx, cy for each cell that the rectangle, grown by pad, meets, and its lower corner ax, ay."""
+    """shapes(x, y, w, h) with cx, cy for each cell that the rectangle, grown by pad, meets."""
     low = lambda p: F.floor((F.col(p) - pad) / cell)
     high = lambda p, s: F.floor((F.col(p) + F.col(s) + pad) / cell)
-    grown = shapes.withColumn("ax", F.col("x") - pad).withColumn("ay", F.col("y") - pad)
-    return grown.withColumn("cx", F.explode(F.sequence(low("x"), high("x", "w")))).withColumn("cy", F.explode(F.sequence(low("y"), high("y", "h"))))
+    return shapes.withColumn("cx", F.explode(F.sequence(low("x"), high("x", "w")))).withColumn("cy", F.explode(F.sequence(low("y"), high("y", "h"))))
 
 
 def grid_join(left: DataFrame, right: DataFrame, keys: list[str], test: Column, cell: int = 1000, pad: int = 0, how: str = "inner") -> DataFrame:
     """Pairs a, b (struct columns) of rectangles at most pad apart that pass test (over aliases a and b)."""
     a, b = in_cells(left, cell, pad).alias("a"), in_cells(right, cell).alias("b")
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "cx", "cy"]]
-    corner = (F.floor(F.greatest(F.col("a.ax"), F.col("b.ax")) / cell) == F.col("a.cx")) & (F.floor(F.greatest(F.col("a.ay"), F.col("b.ay")) / cell) == F.col("a.cy"))
+    lower = lambda p: F.floor(F.greatest(F.col(f"a.{p}") - pad, F.col(f"b.{p}")) / cell)
+    corner = (lower("x") == F.col("a.cx")) & (lower("y") == F.col("a.cy"))
     condition = corner & test
     for s in same:
         condition = condition & s
@@ -37,10 +37,10 @@ def overlapping(boxes: DataFrame, keys: list[str], key: str = "box_id", strict:
     return pairs.select(*(F.col(f"a.{k}") for k in keys), F.col(f"a.{key}").alias("a_id"), F.col(f"b.{key}").alias("b_id"))
 
 
-def within(left: DataFrame, right: DataFrame, keys: list[str], distance: int, more: Column | None = None) -> DataFrame:
+def within(left: DataFrame, right: DataFrame, keys: list[str], distance: int, more: Column | None = None, cell: int = 1000) -> DataFrame:
     """Pairs a, b whose rectangles are less than distance apart."""
     test = gap_squared("a", "b") < distance * distance
-    return grid_join(left, right, keys, test if more is None else test & more, cell=max(1000, distance), pad=distance)
+    return grid_join(left, right, keys, test if more is None else test & more, cell=max(cell, distance), pad=distance)
 
 
 def points(df: DataFrame) -> DataFrame:

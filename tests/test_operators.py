@@ -158,3 +158,21 @@ def test_all_projects_are_placed(spark, sf):
         latest[p] = max(u, latest.get(p, u))
     assert len(latest) > 100
     assert [(r.project_id, r.place) for r in got] == [(p, k + 1) for k, p in enumerate(sorted(sorted(latest), key=latest.get, reverse=True))]
+
+
+def test_audit_sends_boxes_to_cells_once(spark, monkeypatch):
+    """All joins of an audit that lay boxes into cells lay them alike, so that they share a shuffle; fire doors need none."""
+    laid, real = set(), spatial.in_cells
+    monkeypatch.setattr(spatial, "in_cells", lambda shapes, cell, pad=0: laid.add((cell, pad)) or real(shapes, cell, pad) if "box_id" in shapes.columns else real(shapes, cell, pad))
+    df = spark.createDataFrame
+    plans = df([(1, 0, 0, 9000, 9000), (2, 0, 0, 9000, 9000)], "plan_id long, min_x int, min_y int, max_x int, max_y int")
+    boxes = df([(1, 0, 10, 0, 0, 200, 200), (1, 0, 11, 1000, 0, 200, 200), (2, 0, 20, 0, 0, 200, 200)], "plan_id long, floor_level int, box_id long, x int, y int, w int, h int")
+    corridors = df([(1, 30, 299, 0, 150, 600), (1, 31, 5000, 5000, 150, 600)], "plan_id long, corridor_id long, x int, y int, w int, h int")
+    zones = df([(1, 40, 1100, 100, 50, 50), (2, 41, 1100, 100, 50, 50)], "plan_id long, zone_id long, x int, y int, w int, h int")
+    doors = df([(1, 1, 100, 249), (1, 2, 190, 220), (1, 3, 100, 250), (1, 4, 1100, 100)], "plan_id long, exit_id long, x int, y int")
+    issues = rules.audit(plans, boxes, corridors, zones, doors, doors).collect()
+    assert len(laid) == 1
+    near = sorted((r.element_id, r.severity, r.actual, r.required) for r in issues if r.code == "box_fire_door")
+    assert near == [(10, "MAJOR", 149.0, 150.0), (11, "MAJOR", 0.0, 150.0)]  # a door at 150 cm is far enough
+    assert sorted(r.element_id for r in issues if r.code == "forbidden_zone") == [11]
+    assert sorted(r.element_id for r in issues if r.code == "box_access") == [11]
