@@ -106,7 +106,7 @@ def rectangle_meets(x: Column, y: Column, w: Column, h: Column, polygon: Column)
     return F.coalesce((F.size(polygon) >= 3) & test, F.lit(False))
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with the value computed once a row: an expression named several times, or inside a lambda, is else computed each time."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -127,10 +127,10 @@ def cleaned(polygon: Column, tolerance: float) -> Column:
         n = F.size(kept)
         at = lambda i: F.get(kept, F.pmod(i, n))
         bent = F.filter(kept, lambda p, i: F.abs(bend(at(i - 1), p, at(i + 1))) > tolerance * tolerance)
-        return _once(bent, lambda b: F.when((n >= 3) & (F.size(b) >= 3), b).otherwise(kept))
+        return once(bent, lambda b: F.when((n >= 3) & (F.size(b) >= 3), b).otherwise(kept))
 
     known = F.filter(polygon, lambda p: p.isNotNull() & p["x"].isNotNull() & p["y"].isNotNull())
-    return _once(known, lambda k: _once(apart(k), lambda a: _once(closed(a), straightened)))
+    return once(known, lambda k: once(apart(k), lambda a: once(closed(a), straightened)))
 
 
 def ring_key(polygon: Column, places: int = 4) -> Column:
@@ -140,8 +140,8 @@ def ring_key(polygon: Column, places: int = 4) -> Column:
     def turned(r):
         n = F.size(r)
         whole = lambda low: F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda k: F.get(r, k) == low), lambda k: F.concat(F.slice(r, k + 1, n - k), F.slice(r, 1, k)))
-        return _once(F.array_min(r), whole)  # the least one begins with the least point
+        return once(F.array_min(r), whole)  # the least one begins with the least point
 
     said = lambda r: F.array_join(F.transform(r, lambda p: F.concat(p["x"].cast("string"), F.lit(","), p["y"].cast("string"))), ";")
-    least = lambda r: F.array_min(F.concat(turned(r), _once(F.reverse(r), turned)))
-    return _once(near, lambda r: F.when(F.size(r) > 0, said(least(r))))
+    least = lambda r: F.array_min(F.concat(turned(r), once(F.reverse(r), turned)))
+    return once(near, lambda r: F.when(F.size(r) > 0, said(least(r))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planfold.functions.geometry import once
 from planfold.functions.text import layer_name
 
 #: Words in normalised layer names and the class they give, in order; then names that must match whole.
@@ -46,14 +47,17 @@ ROLES = {
 def entity_class(layer: Column, color: Column, closed: Column) -> Column:
     """struct(type, confidence): layer words first; then green closed polygons are envelopes, cyan is an entrance, dashed layers are
     forbidden; the rest are walls with little confidence."""
-    name = layer_name(layer)
-    rule = None
     pair = lambda t, c: F.struct(F.lit(t).alias("type"), F.lit(c).alias("confidence"))
-    for kind, confidence, words, whole in CLASS_WORDS:
-        test = name.rlike("|".join(words)) | name.isin(*whole) if whole else name.rlike("|".join(words))
-        rule = F.when(test, pair(kind, confidence)) if rule is None else rule.when(test, pair(kind, confidence))
-    rule = rule.when((color == 3) & closed, pair("envelope", 0.8)).when((color == 4) | name.contains("CYAN"), pair("entrance", 0.95))
-    return rule.when(name.contains("DASHED"), pair("forbidden", 0.95)).otherwise(pair("wall", 0.6))
+
+    def said(name):
+        rule = None
+        for kind, confidence, words, whole in CLASS_WORDS:
+            test = name.rlike("|".join(words)) | name.isin(*whole) if whole else name.rlike("|".join(words))
+            rule = F.when(test, pair(kind, confidence)) if rule is None else rule.when(test, pair(kind, confidence))
+        rule = rule.when((color == 3) & closed, pair("envelope", 0.8)).when((color == 4) | name.contains("CYAN"), pair("entrance", 0.95))
+        return rule.when(name.contains("DASHED"), pair("forbidden", 0.95)).otherwise(pair("wall", 0.6))
+
+    return once(layer_name(layer), said)
 
 
 def with_standard_type(layers: DataFrame, overrides: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from planfold.catalog import query
+from planfold.functions.geometry import once
 from planfold.functions import text
 from planfold.operators import classify
 
@@ -133,7 +134,8 @@ def w12(v):
 @query("M3_one_hot", f"select entity_id, case when t = 'envelope' then 1 else 0 end || ',' || case when t = 'entrance' then 1 else 0 end || ',' || case when t = 'forbidden' then 1 else 0 end || ',' || case when t = 'wall' then 1 else 0 end as label from (select entity_id, split_part(c, ':', 1) as t from {_CLASS} u) w")
 def m3(v):
     classes = F.array(*(F.lit(c) for c in ("envelope", "entrance", "forbidden", "wall")))
-    return _classed(v).select("entity_id", F.array_join(F.transform(classes, lambda k: (k == F.col("c.type")).cast("int").cast("string")), ",").alias("label"))
+    label = once(F.col("c.type"), lambda t: F.array_join(F.transform(classes, lambda k: (k == t).cast("int").cast("string")), ","))
+    return _classed(v).select("entity_id", label.alias("label"))
 
 
 @query("M6_confusion", f"""with e as (select split_part(c, ':', 1) as t, case when color % 5 = 0 then 'wall' else split_part(c, ':', 1) end as p from {_CLASS} u) select t as truth, count(*) filter (p = 'envelope') as envelope, count(*) filter (p = 'entrance') as entrance, count(*) filter (p = 'forbidden') as forbidden, count(*) filter (p = 'wall') as wall from e group by t""")

@@ -176,3 +176,13 @@ def test_audit_sends_boxes_to_cells_once(spark, monkeypatch):
     assert near == [(10, "MAJOR", 149.0, 150.0), (11, "MAJOR", 0.0, 150.0)]  # a door at 150 cm is far enough
     assert sorted(r.element_id for r in issues if r.code == "forbidden_zone") == [11]
     assert sorted(r.element_id for r in issues if r.code == "box_access") == [11]
+
+
+def test_entity_names_are_read_once(spark):
+    """A layer's name is cleaned once for all rules and classes."""
+    from planfold.operators import classify
+
+    df = spark.createDataFrame([("a-Door 1", 3, True)], "layer string, color int, closed boolean")
+    c = classify.entity_class(F.col("layer"), F.col("color"), F.col("closed"))
+    assert df.select(c["type"].alias("t"))._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+    assert df.select(c["type"].alias("t"), c["confidence"].alias("c")).first() == ("entrance", 0.9)
