@@ -65,9 +65,13 @@ def read_plan_documents(spark: SparkSession, path: str) -> tuple[DataFrame, Data
 
 
 def write_box_list(boxes: DataFrame, path: str) -> None:
-    """Box lists as CSV with fixed columns, a folder for each plan."""
+    """Box lists as CSV with fixed columns, a folder for each plan.
+
+    Rows are dealt by ranges of plan and box first, so that a plan is one file, or two where ranges meet (a large one as many as it has
+    ranges), and not one for each task; tasks put their own files in place, not the driver one after the other."""
     missing = [F.lit(None).cast("string").alias(c) for c in BOX_COLUMNS if c not in boxes.columns]
-    boxes.select("*", *missing).select("plan_id", *BOX_COLUMNS).write.partitionBy("plan_id").option("header", True).csv(path)
+    laid = boxes.select("*", *missing).select("plan_id", *BOX_COLUMNS).repartitionByRange("plan_id", "box_id")
+    laid.write.partitionBy("plan_id").option("header", True).option("mapreduce.fileoutputcommitter.algorithm.version", "2").csv(path)
 
 
 def read_box_list(spark: SparkSession, path: str) -> DataFrame:

@@ -186,3 +186,12 @@ def test_entity_names_are_read_once(spark):
     c = classify.entity_class(F.col("layer"), F.col("color"), F.col("closed"))
     assert df.select(c["type"].alias("t"))._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
     assert df.select(c["type"].alias("t"), c["confidence"].alias("c")).first() == ("entrance", 0.9)
+
+
+def test_box_lists_hold_a_plan_together(spark, tmp_path):
+    """However many tasks hold a plan's boxes, its folder has a file for each range of the plan, not for each task."""
+    boxes = spark.range(4000).select((F.col("id") % 50).alias("plan_id"), F.col("id").alias("box_id"), F.lit("S").alias("type"), *(F.lit(100).alias(c) for c in "xywh"), F.lit(10000).cast("long").alias("area")).repartition(8, "box_id")
+    files.write_box_list(boxes, str(tmp_path / "list"))
+    written = list((tmp_path / "list").glob("plan_id=*/*.csv"))
+    assert len(written) <= 50 + 3  # three bounds between the ranges of four tasks
+    assert files.read_box_list(spark, str(tmp_path / "list")).agg(F.count("box_id"), F.countDistinct("plan_id", "box_id")).first() == (4000, 4000)
