@@ -31,20 +31,30 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes(id), edges(a, b) of one type -> (id, component): the smallest id reachable. Labels hook to the smallest neighbour's label,
-    then jump to their label's label, so long chains take few rounds."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    label = cut(nodes.select("id", F.col("id").alias("component")).distinct())
-    while True:
-        near = both.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("near"))
-        hooked = label.join(near, F.col("id") == F.col("a"), "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("hook"))
-        # the root of each old label takes the least hook of its members, then every label jumps once
-        roots = hooked.groupBy("old").agg(F.min("hook").alias("root")).select(F.col("old").alias("r"), "root")
-        jumped = hooked.join(roots, F.col("old") == F.col("r"), "left").select("id", "old", F.least("hook", F.coalesce("root", "hook")).alias("component"))
-        now = cut(jumped)
-        label = now.select("id", "component")
-        if now.where("component <> old").isEmpty():
-            return label
+    """nodes(id), edges(a, b) between nodes, of one type -> (id, component): the smallest id reachable. In each round every node that has a
+    smaller neighbour follows the smallest one, up to the last of that chain; only edges between what is left go on, so rounds shrink."""
+
+    def kept(df: DataFrame) -> DataFrame:
+        return cut(df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+    live, tops = kept(edges.select("a", "b")), []
+    while not live.isEmpty():
+        top = roots(live.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("before")))
+        tops.append(top)
+        of = lambda k: top.select(F.col("id").alias(k), F.col("root").alias(f"_{k}"))  # noqa: B023, E731
+        live = kept(live.join(of("a"), "a").join(of("b"), "b", "left").select(F.col("_a").alias("a"), F.coalesce("_b", "b").alias("b")))
+    ids = nodes.select("id").distinct()
+    if not tops:
+        return cut(ids.select("id", F.col("id").alias("component")))
+    return cut(ids.join(_followed(tops), "id", "left").select("id", F.coalesce("root", "id").alias("component")))
+
+
+def _followed(tops: list[DataFrame]) -> DataFrame:
+    """(id, root) of rounds, each over what the one before left as roots -> (id, root) over all of them."""
+    whole = tops[-1]
+    for top in reversed(tops[:-1]):
+        whole = cut(top.join(whole.toDF("root", "_next"), "root", "left").select("id", F.coalesce("_next", "root").alias("root")).unionByName(whole))
+    return whole
 
 
 def distances(sources: DataFrame, edges: DataFrame) -> DataFrame:

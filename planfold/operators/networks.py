@@ -191,14 +191,24 @@ def distinct_zones(zones: DataFrame, area: int = 50_000, corner: int = 100) -> D
 
 def merged_rectangles(rects: DataFrame, keys: list[str], gap: int = 15) -> DataFrame:
     """rects(keys, id, x, y, w, h) -> keys, id (the least of those merged), x, y, w, h, n: rectangles of equal keys that overlap, or lie at
-    most gap apart on both axes, become the rectangle around them, until no two do. Each round merges whole components at once."""
-    now = graph.cut(rects.select(*keys, "id", "x", "y", "w", "h", F.lit(1).cast("long").alias("n")))
+    most gap apart on both axes, become the rectangle around them, until no two do. Each round merges whole components at once.
+
+    Only rectangles that grew in the round before can meet new ones; the rectangles of keys in which none grew are done."""
+    now = graph.cut(rects.select(*keys, "id", "x", "y", "w", "h", F.lit(1).cast("long").alias("n"), F.lit(True).alias("grew")))
+    done = None
+    near = lambda p, s: (F.col(f"a.{p}") <= F.col(f"b.{p}") + F.col(f"b.{s}") + gap) & (F.col(f"b.{p}") <= F.col(f"a.{p}") + F.col(f"a.{s}") + gap)
+    once = (F.col("a.id") < F.col("b.id")) | ~F.col("b.grew")
     while True:
-        near = lambda p, s: (F.col(f"a.{p}") <= F.col(f"b.{p}") + F.col(f"b.{s}") + gap) & (F.col(f"b.{p}") <= F.col(f"a.{p}") + F.col(f"a.{s}") + gap)
-        pairs = graph.cut(spatial.grid_join(now, now, keys, near("x", "w") & near("y", "h") & (F.col("a.id") < F.col("b.id")), pad=gap + 1).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")))
+        met = spatial.grid_join(now.where("grew"), now, keys, near("x", "w") & near("y", "h") & once, pad=gap + 1)
+        pairs = graph.cut(met.select(*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.id").alias("a"), F.col("b.id").alias("b")))
         if pairs.isEmpty():
-            return now
-        root = graph.components(now.select("id"), pairs).withColumnRenamed("component", "root")
+            now = now.drop("grew")
+            return now if done is None else done.unionByName(now)
+        busy = pairs.select(*keys).distinct().withColumn("_busy", F.lit(True))
+        now = graph.cut(now.drop("grew").join(busy, keys, "left"))
+        rest = now.where("_busy is null").drop("_busy")
+        done = rest if done is None else done.unionByName(rest)
+        root = graph.components(pairs.select(F.explode(F.array("a", "b")).alias("id")), pairs).withColumnRenamed("component", "root")
         right, top = F.max(F.col("x") + F.col("w")), F.max(F.col("y") + F.col("h"))
-        merged = now.join(root, "id").groupBy(*keys, F.col("root").alias("id")).agg(F.min("x").alias("x"), F.min("y").alias("y"), (right - F.min("x")).alias("w"), (top - F.min("y")).alias("h"), F.sum("n").alias("n"))
-        now = graph.cut(merged)
+        parts = now.where("_busy").join(root, "id", "left").groupBy(*keys, F.coalesce("root", "id").alias("id"))
+        now = graph.cut(parts.agg(F.min("x").alias("x"), F.min("y").alias("y"), (right - F.min("x")).alias("w"), (top - F.min("y")).alias("h"), F.sum("n").alias("n"), F.bool_or(F.col("root").isNotNull()).alias("grew")))
