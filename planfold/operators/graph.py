@@ -140,28 +140,36 @@ def roots(parents: DataFrame) -> DataFrame:
 def spanning_bridges(nodes: DataFrame, near: Callable[[DataFrame, int], DataFrame], reach: int) -> DataFrame:
     """nodes(id, group, component, ...) -> (a, b, distance): the shortest bridges that join the components of each group to one tree.
 
-    near(nodes, reach) gives pairs(a, b, distance) of nodes, a < b, at most reach apart. Within a reach each component takes its shortest
-    pair to another one (ties by ids) until there is none; then the reach doubles for the groups still in parts. Shorter pairs are all
-    dealt with before longer ones, so the tree is a minimum spanning tree."""
-    label = cut(nodes.withColumnRenamed("component", "label"))
+    near(nodes, reach) gives pairs(a, b, la, lb, distance) of nodes, a < b, at most reach apart, with their labels. Within a reach each
+    component takes its shortest pair to another one (ties by ids) until there is none; then the reach doubles for the groups still in
+    parts. Shorter pairs are all dealt with before longer ones, so the tree is a minimum spanning tree. Of two components only the shortest
+    pair goes on from round to round."""
+
+    def shortest(pairs: DataFrame) -> DataFrame:
+        by = pairs.where("la <> lb").groupBy(F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb"))
+        return cut(by.agg(F.min(F.struct("distance", "a", "b")).alias("p")))
+
+    label = nodes.withColumnRenamed("component", "label")
     found = None
     while True:
         parts = label.groupBy("group").agg(F.countDistinct("label").alias("n")).where("n > 1").select("group")
         label = cut(label.join(parts, "group"))
         if label.isEmpty():
             return found if found is not None else label.sparkSession.createDataFrame([], "a long, b long, distance double")
-        pairs = cut(near(label, reach).select("a", "b", "distance"))
-        while True:
-            of = label.select("id", "label")
-            across = pairs.join(of.toDF("a", "la"), "a").join(of.toDF("b", "lb"), "b").where("la <> lb")
-            best = across.select(F.explode(F.array("la", "lb")).alias("label"), F.struct("distance", "a", "b").alias("p"), "la", "lb").groupBy("label").agg(F.min(F.struct("p", "la", "lb")).alias("m"))
+        links, tops = shortest(near(label, reach)), []
+        while not links.isEmpty():
+            best = links.select(F.explode(F.array("la", "lb")).alias("label"), "p", "la", "lb").groupBy("label").agg(F.min(F.struct("p", "la", "lb")).alias("m"))
             best = cut(best.select("label", F.when(F.col("label") == F.col("m.la"), F.col("m.lb")).otherwise(F.col("m.la")).alias("other"), "m.p.a", "m.p.b", "m.p.distance"))
-            if best.isEmpty():
-                break
             won = best.select("a", "b", "distance").distinct()
             found = won if found is None else found.union(won)
             # each component follows the one it chose; of two that chose each other the smaller is the root
             mutual = best.alias("p").join(best.alias("q"), (F.col("p.other") == F.col("q.label")) & (F.col("q.other") == F.col("p.label")) & (F.col("p.label") < F.col("q.label"))).select(F.col("p.label").alias("label"))
             top = roots(best.select("label", "other").join(mutual, "label", "left_anti").toDF("id", "before"))
-            label = cut(label.join(top.withColumnRenamed("id", "label"), "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root"))
+            tops.append(top)
+            of = lambda k: top.toDF(k, f"_{k}")  # noqa: B023, E731
+            moved = links.join(of("la"), "la", "left").join(of("lb"), "lb", "left")
+            links = shortest(moved.select(F.coalesce("_la", "la").alias("la"), F.coalesce("_lb", "lb").alias("lb"), "p.*"))
+        if tops:
+            label = label.join(_followed(tops).withColumnRenamed("id", "label"), "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
+            label = cut(label)
         reach *= 2

@@ -80,12 +80,12 @@ def _aligned(nodes: DataFrame, along: str, across: str) -> DataFrame:
 
 def bridge_report(nodes: DataFrame, reach: int = 1000) -> DataFrame:
     """nodes(plan_id, id, x, y, component) -> plan_id, a, b, distance: the shortest bridges that make one component of each plan."""
-    points = nodes.select("plan_id", "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "component", F.col("plan_id").alias("group"))
+    points = graph.cut(nodes.select("plan_id", "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "component", F.col("plan_id").alias("group")))
 
     def near(df: DataFrame, r: int) -> DataFrame:
         p = spatial.points(df)
         pairs = spatial.within(p, p, ["plan_id"], r, (F.col("a.id") < F.col("b.id")) & (F.col("a.label") != F.col("b.label")))
-        return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")).alias("distance"))
+        return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.label").alias("la"), F.col("b.label").alias("lb"), F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")).alias("distance"))
 
     found = graph.spanning_bridges(points, near, reach)
     return found.join(points.select(F.col("id").alias("a"), "plan_id"), "a").select("plan_id", "a", "b", "distance")

@@ -34,3 +34,11 @@ def test_merged_rectangles_leave_settled_plans_alone(spark, cuts):
     got = networks.merged_rectangles(df, ["plan_id"]).select("plan_id", "n").collect()
     assert sorted((r.plan_id, r.n) for r in got) == [(0, 7), *((p, 1) for p in range(1, 301))]
     assert sum(c >= 300 for c in cuts) <= 2
+
+
+def test_bridges_keep_the_shortest_pair_of_two_components(spark, cuts):
+    # two dense clusters: all their pairs are within reach, one is a bridge
+    rows = [(1, 100 * c + i, 300 * c + i, 0, 100 * c) for c in (0, 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "plan_id long, id long, x long, y long, component long")
+    assert [(r.a, r.b, r.distance) for r in networks.bridge_report(df, reach=1000).collect()] == [(59, 100, 241.0)]
+    assert max(cuts) == 120
