@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from planfold.catalog import query
 from planfold.functions import geometry
-from planfold.operators import graph, networks, spatial
+from planfold.operators import graph, networks, rules, spatial
 from planfold.plans.floors import _COMPONENTS, _ENDS, _PAIRS, _corridor_components, _vertical, _with_exit
 from planfold.plans.layout import _GAP2
 
@@ -65,11 +65,12 @@ def r3(v):
     found = graph.cut(_corridor_components(v).withColumnRenamed("id", "corridor_id").join(v.corridors, "corridor_id"))
     reached = found.join(_with_exit(v).withColumnRenamed("id", "corridor_id"), "corridor_id").select("component").distinct().withColumn("ok", F.lit(True))
     found = graph.cut(found.join(reached, "component", "left"))
-    served = spatial.within(v.boxes, found.where("ok"), ["plan_id"], 50).select(F.col("a.box_id").alias("box_id")).distinct()
-    alone = v.boxes.join(served, "box_id", "left_anti").groupBy("plan_id").agg(F.count(F.lit(1)).alias("unreachable_boxes"))
+    boxes = graph.cut(v.boxes.select("plan_id", "box_id", "x", "y", "w", "h"))
+    served = spatial.within(boxes, found.where("ok"), ["plan_id"], 50, cell=rules.CELL).select(F.col("a.plan_id").alias("plan_id"), F.col("a.box_id").alias("box_id")).distinct()
+    served = served.groupBy("plan_id").agg(F.count(F.lit(1)).alias("served"))
+    alone = boxes.groupBy("plan_id").agg(F.count(F.lit(1)).alias("boxes")).join(served, "plan_id", "left").select("plan_id", (F.col("boxes") - F.coalesce("served", F.lit(0))).alias("unreachable_boxes"))
     n = found.groupBy("plan_id").agg(F.countDistinct("component").alias("components"), F.count(F.lit(1)).alias("corridors"), F.count(F.when(F.col("ok").isNull(), 1)).alias("unreachable"))
-    has = v.boxes.select("plan_id").distinct().withColumn("any", F.lit(0))
-    return n.join(alone, "plan_id", "left").join(has, "plan_id", "left").select("plan_id", "components", "corridors", "unreachable", F.coalesce("unreachable_boxes", "any").cast("long").alias("unreachable_boxes"), (F.col("components") == 1).alias("connected"))
+    return n.join(alone, "plan_id", "left").select("plan_id", "components", "corridors", "unreachable", F.col("unreachable_boxes").cast("long").alias("unreachable_boxes"), (F.col("components") == 1).alias("connected"))
 
 
 @query("J12_wall_ends", f"""with p as (select a.wall_id, a.e, min(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) as d2 from {_ENDS} a join {_ENDS} b on a.plan_id = b.plan_id and a.wall_id <> b.wall_id and pow(a.x - b.x, 2) + pow(a.y - b.y, 2) < 62500 group by all)
