@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planfold.functions.geometry import gap_squared, overlap
 from planfold.operators import graph, spatial
+from planfold.operators.rules import CELL
 
 FLOOR = ["plan_id", "floor_level"]
 
@@ -27,20 +28,20 @@ def fitness(plans: DataFrame, boxes: DataFrame, zones: DataFrame, exits: DataFra
     1.5 to 2.5 m; accessibility: mean distance from the nearest exit, best from 5 to 15 m, 1 without exits; aesthetics: boxes with both
     coordinates within 10 cm of a half metre, and evenness of areas; constraints: a tenth off for each pair of boxes, box and zone or box and
     exit (a metre) that touch, and for each box that leaves the bounds."""
-    boxes = graph.cut(boxes)
-    near = spatial.within(boxes, boxes, keys, 1000, F.col("a.box_id") < F.col("b.box_id"))
+    boxes = graph.cut(boxes.select(*keys, "box_id", "x", "y", "w", "h"))
+    near = spatial.within(boxes, boxes, keys, 1000, F.col("a.box_id") < F.col("b.box_id"), cell=4000)
     gap = F.sqrt(gap_squared("a", "b")) / 100
-    gaps = near.where(gap > 0).groupBy(*(F.col(f"a.{k}").alias(k) for k in keys)).agg(F.avg(gap).alias("gap"))
-    touching = _count(spatial.grid_join(boxes, boxes, keys, overlap("a", "b", strict=False) & (F.col("a.box_id") < F.col("b.box_id"))), "v1", keys)
+    # pairs that touch are those without a gap
+    gaps = near.groupBy(*(F.col(f"a.{k}").alias(k) for k in keys)).agg(F.avg(F.when(gap > 0, gap)).alias("gap"), F.count(F.when(gap == 0, 1)).alias("v1"))
     other = zones.select("plan_id", "x", "y", "w", "h").unionByName(exits.select("plan_id", "x", "y", F.lit(100).alias("w"), F.lit(100).alias("h")))
-    hits = _count(spatial.grid_join(boxes, other, ["plan_id"], overlap("a", "b", strict=False)), "v2", keys)
+    hits = _count(spatial.grid_join(boxes, other, ["plan_id"], overlap("a", "b", strict=False), CELL), "v2", keys)
     area = F.col("w").cast("double") * F.col("h") / 10000
     off = lambda c: F.pmod(F.col(c), F.lit(50))
     straight = (((off("x") < 10) | (off("x") > 40)) & ((off("y") < 10) | (off("y") > 40))).cast("double")
     out = (F.col("x") < F.col("min_x")) | (F.col("x") + F.col("w") > F.col("max_x")) | (F.col("y") < F.col("min_y")) | (F.col("y") + F.col("h") > F.col("max_y"))
     floor = ((F.col("max_x") - F.col("min_x")).cast("double") * (F.col("max_y") - F.col("min_y")) / 10000).alias("floor")
     b = spatial.nearest_exit(boxes, exits).join(plans, "plan_id").groupBy(*keys).agg(F.sum(area).alias("area"), F.max(floor).alias("floor"), F.avg(F.col("distance") / 100).alias("d"), F.avg(straight).alias("straight"), F.avg(area).alias("mean"), F.stddev_pop(area).alias("sd"), F.count(F.when(out, 1)).alias("v3"))
-    for df in (gaps, touching, hits):
+    for df in (gaps, hits):
         b = b.join(df, keys, "left")
     b = b.fillna(0, ["gap", "v1", "v2"])
     parts = {
@@ -55,7 +56,8 @@ def fitness(plans: DataFrame, boxes: DataFrame, zones: DataFrame, exits: DataFra
 def nearest_other(boxes: DataFrame, keys: list[str] = FLOOR) -> DataFrame:
     """keys, box_id, d2: squared distance of each box's centre from the nearest other one of its keys, where there is one."""
     centres = spatial.points(boxes.select(*keys, "box_id", (F.col("x") + F.col("w") / 2).alias("x"), (F.col("y") + F.col("h") / 2).alias("y")))
-    some = centres.join(centres.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys), keys, "left_semi")
+    each = Window.partitionBy(*keys)
+    some = graph.cut(centres.withColumn("_n", F.count(F.lit(1)).over(each)).where("_n > 1").drop("_n"))
     return spatial.nearest(some, "box_id", some, keys, gap_squared("a", "b"), more=F.col("a.box_id") != F.col("b.box_id"))
 
 
@@ -63,13 +65,16 @@ def placement_score(plans: DataFrame, boxes: DataFrame, zones: DataFrame, exits:
     """keys, density, accessibility, distribution, validity, total (0 to 100): share of the plan taken; 100 less the metres to the nearest exit
     (50 without exits); 100 less twice the metres by which the mean distance of nearest neighbours differs from twice the root of the mean
     area (100 for a single box); share of boxes inside the bounds that meet no zone."""
-    boxes = graph.cut(boxes)
-    bad = spatial.grid_join(boxes, zones, ["plan_id"], overlap("a", "b")).select(F.col("a.box_id").alias("box_id")).distinct().withColumn("_bad", F.lit(True))
+    boxes = graph.cut(boxes.select(*keys, "box_id", "x", "y", "w", "h"))
     inside = (F.col("x") >= F.col("min_x")) & (F.col("x") + F.col("w") <= F.col("max_x")) & (F.col("y") >= F.col("min_y")) & (F.col("y") + F.col("h") <= F.col("max_y"))
     area, floor = F.col("w").cast("double") * F.col("h") / 10000, (F.col("max_x") - F.col("min_x")).cast("double") * (F.col("max_y") - F.col("min_y")) / 10000
-    j = spatial.nearest_exit(boxes, exits).join(plans, "plan_id").join(bad, "box_id", "left").join(nearest_other(boxes, keys).select("box_id", F.sqrt("d2").alias("apart")), "box_id", "left")
+    # each part is counted by floor, so that boxes are not joined with what was found for them
+    hit = spatial.grid_join(boxes, zones, ["plan_id"], overlap("a", "b"), CELL).select(*(F.col(f"a.{c}").alias(c) for c in boxes.columns)).distinct()
+    hit = hit.join(plans, "plan_id").where(inside).groupBy(*keys).agg(F.count(F.lit(1)).alias("_bad"))
+    apart = nearest_other(boxes, keys).groupBy(*keys).agg(F.avg(F.sqrt("d2") / 100).alias("apart"))
     access = F.when(F.col("distance").isNull(), 50.0).otherwise(F.greatest(F.lit(0.0), 100 - F.col("distance") / 100))
-    g = j.groupBy(*keys).agg(F.sum(area).alias("area"), F.max(floor).alias("floor"), F.avg(access).alias("accessibility"), F.avg(F.col("apart") / 100).alias("apart"), F.avg(area).alias("mean"), F.avg((inside & F.col("_bad").isNull()).cast("double")).alias("valid"))
+    g = spatial.nearest_exit(boxes, exits).join(plans, "plan_id").groupBy(*keys).agg(F.sum(area).alias("area"), F.max(floor).alias("floor"), F.avg(access).alias("accessibility"), F.avg(area).alias("mean"), F.count(F.when(inside, 1)).alias("_inside"), F.count(F.lit(1)).alias("_n"))
+    g = g.join(hit, keys, "left").join(apart, keys, "left").withColumn("valid", (F.col("_inside") - F.coalesce("_bad", F.lit(0))) / F.col("_n"))
     distribution = F.when(F.col("apart").isNull(), 100.0).otherwise(F.greatest(F.lit(0.0), 100 - 2 * F.abs(F.col("apart") - 2 * F.sqrt("mean"))))
     g = g.select(*keys, (F.least(F.lit(1.0), F.col("area") / F.col("floor")) * 100).alias("density"), "accessibility", distribution.alias("distribution"), (F.col("valid") * 100).alias("validity"))
     return g.withColumn("total", 0.3 * F.col("density") + 0.3 * F.col("accessibility") + 0.2 * F.col("distribution") + 0.2 * F.col("validity"))

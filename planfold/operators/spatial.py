@@ -65,11 +65,12 @@ def nearest(sources: DataFrame, key: str, shapes: DataFrame, keys: list[str], sq
 
     Points look within reach by grid cells; those that find nothing look on with four times the reach. A point is done once it has found a
     shape within the reach looked at, as nothing outside can be nearer, so pairs stay few however many shapes a plan has."""
-    some = graph.cut(points(sources).join(shapes.select(*keys).distinct(), keys, "left_semi").select(*keys, key, "x", "y", "w", "h"))
+    some = points(sources) if more is not None else points(sources).join(shapes.select(*keys).distinct(), keys, "left_semi")
+    some = graph.cut(some.select(*keys, key, "x", "y", "w", "h"))
     done = None
     while True:
         test = squared < reach * reach
-        near = grid_join(some, shapes, keys, test if more is None else test & more, cell=max(1000, reach), pad=reach)
+        near = grid_join(some, shapes, keys, test if more is None else test & more, cell=max(1000, 4 * reach), pad=reach)
         found = graph.cut(near.groupBy(*(F.col(f"a.{k}").alias(k) for k in [*keys, key])).agg(F.min(squared).alias("d2")))
         done = found if done is None else done.unionByName(found)
         some = graph.cut(some.join(found, [*keys, key], "left_anti"))

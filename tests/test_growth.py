@@ -2,7 +2,10 @@
 
 import pytest
 
-from planfold.operators import graph, networks
+from planfold import catalog
+from planfold.operators import checks, graph, networks, spatial
+
+catalog.load()
 
 
 @pytest.fixture
@@ -42,3 +45,37 @@ def test_bridges_keep_the_shortest_pair_of_two_components(spark, cuts):
     df = spark.createDataFrame(rows, "plan_id long, id long, x long, y long, component long")
     assert [(r.a, r.b, r.distance) for r in networks.bridge_report(df, reach=1000).collect()] == [(59, 100, 241.0)]
     assert max(cuts) == 120
+
+
+@pytest.mark.parametrize("name", ["J17_edge_partitions", "R3_connectivity_report", "W4_tolerance_columns"])
+def test_boxes_are_derived_once(spark, sf, name):
+    # the view of boxes shuffles lineitem; a query that reads it several times does so from a table
+    plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
+
+
+def test_edges_near_borders_of_stretches(spark):
+    rows = [(1, 0, i, x, 5000, 100, 7) for i, x in enumerate((291, 400, 500, 90, 8000))]
+    boxes = spark.createDataFrame(rows, "plan_id long, floor_level int, box_id long, x long, y long, w long, h long")
+    walls = spark.createDataFrame([(1, 419, 0, 419, 10), (1, 7980, 0, 7980, 10)], "plan_id long, x1 long, y1 long, x2 long, y2 long")
+    got = {(r.box_id, r.side): (r.partition, r.shared) for r in checks.edge_partitions(boxes, walls).collect()}
+    ends = {(i, side): x + (100 if side == "right" else 0) for _, _, i, x, *_ in rows for side in ("left", "right")}
+    for (i, side), c in ends.items():
+        shared = any(j != i and s != side and abs(c - d) < 10 for (j, s), d in ends.items())
+        white = not shared and (abs(c - 419) < 20 or abs(c - 7980) < 20)
+        assert got[i, side] == ("white" if white else "grey", shared)
+    assert len(got) == 20
+
+
+@pytest.mark.parametrize("name", ["A22_search_fitness", "A22_placement_score", "R9_bridge_report"])
+def test_long_reaches_have_wide_cells(spark, sf, monkeypatch, name):
+    seen, plain = [], spatial.grid_join
+
+    def spied(left, right, keys, test, cell=1000, pad=0, how="inner"):
+        seen.append((cell, pad))
+        return plain(left, right, keys, test, cell, pad, how)
+
+    monkeypatch.setattr(spatial, "grid_join", spied)
+    catalog.QUERIES[name](spark, sf)
+    assert all(cell >= 2 * pad for cell, pad in seen) and any(pad >= 500 for _, pad in seen)
+    assert name != "A22_search_fitness" or len(seen) == 2
