@@ -33,14 +33,17 @@ def doors_between_walls(walls: DataFrame) -> DataFrame:
     """Pairs of parallel walls with a gap in DOOR_GAP (least distance of an end of the first from the second) and the corners of the
     door between their middles."""
     c = lambda t, n: F.col(f"{t}.{n}")
-    angle = lambda t: F.degrees(F.atan2(c(t, "y2") - c(t, "y1"), c(t, "x2") - c(t, "x1")))
-    turn = F.abs(angle("a") - angle("b"))
+    # a wall's direction is computed once, not once a pair
+    w = as_rectangles(walls).withColumn("angle", F.degrees(F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))))
+    turn = F.abs(c("a", "angle") - c("b", "angle"))
     parallel = (turn < PARALLEL) | (F.abs(turn - 180) < PARALLEL)
-    pairs = spatial.within(as_rectangles(walls), as_rectangles(walls), ["plan_id"], DOOR_GAP[1], parallel & (c("a", "wall_id") < c("b", "wall_id")))
+    # a small table has few partitions, its pairs are many: they are dealt out before they are formed
+    dealt = w.repartition(4 * w.sparkSession.sparkContext.defaultParallelism, "plan_id", "wall_id")
+    pairs = spatial.within(dealt, w, ["plan_id"], DOOR_GAP[1], (c("a", "wall_id") < c("b", "wall_id")) & parallel)
     far = lambda k: geometry.point_segment_squared(c("a", f"x{k}"), c("a", f"y{k}"), *(c("b", n) for n in ("x1", "y1", "x2", "y2")))
     mid = lambda t, p: (c(t, f"{p}1") + c(t, f"{p}2")) / 2
-    gap = F.sqrt(F.least(far(1), far(2)))
-    out = pairs.withColumn("gap", gap).where((F.col("gap") > DOOR_GAP[0]) & (F.col("gap") < DOOR_GAP[1]))
+    gap = geometry.once(F.sqrt(F.least(far(1), far(2))), lambda g: F.when((g > DOOR_GAP[0]) & (g < DOOR_GAP[1]), g))
+    out = pairs.withColumn("gap", gap).where("gap is not null")
     half = F.col("gap") / 2
     return out.select(c("a", "plan_id").alias("plan_id"), c("a", "wall_id").alias("a_id"), c("b", "wall_id").alias("b_id"), "gap", (mid("a", "x") - half).alias("x1"), (mid("a", "y") - half).alias("y1"), (mid("b", "x") + half).alias("x2"), (mid("b", "y") + half).alias("y2"))
 

@@ -79,3 +79,10 @@ def test_long_reaches_have_wide_cells(spark, sf, monkeypatch, name):
     catalog.QUERIES[name](spark, sf)
     assert all(cell >= 2 * pad for cell, pad in seen) and any(pad >= 500 for _, pad in seen)
     assert name != "A22_search_fitness" or len(seen) == 2
+
+
+def test_door_pairs_are_dealt_out(spark, sf):
+    # a small table is one partition: the pairs of its walls must not all be one task's
+    df = catalog.QUERIES["J19_doors_between_walls"](spark, sf)
+    assert df.rdd.getNumPartitions() >= 4
+    assert df._jdf.queryExecution().optimizedPlan().toString().upper().count("ATAN2") == 2  # once a wall, for each side
