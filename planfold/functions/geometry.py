@@ -111,6 +111,12 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def seldom(test: Column) -> Column:
+    """A long test for the few rows that pass the short ones before it. Bound by `once` it stays out of the loop that Spark generates for a
+    join, which the JVM compiles only while it is short."""
+    return once(F.lit(0), lambda _: test)
+
+
 def cleaned(polygon: Column, tolerance: float) -> Column:
     """A ring of doubles without null points, without points within tolerance of the last one kept (the end counts against the start),
     and without points on a straight line, if three are left without those."""

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planfold.functions.geometry import point_segment_squared
+from planfold.functions.geometry import point_segment_squared, seldom
 from planfold.operators import graph, spans, spatial
 
 #: Corridor width and wall clearance of a layout, from which the others follow.
 WIDTH, CLEARANCE = 120, 10
 GUARD, ENTRANCE_PAD, LEAST_COMPONENT, JOIN = max(3, min(22, 0.18 * WIDTH)), max(24, 0.26 * WIDTH), max(180, 1.5 * WIDTH), max(8, 0.1 * WIDTH)
+#: Side of the cells in which boxes meet walls, zones, entrances and corridors.
+CELL = 2000
 #: Reasons in the order in which they count.
 CORRIDOR_REASONS = ["small", "bounds", "wall", "obstacle", "conflict", "unreachable"]
 BOX_REASONS = ["bounds", "wall", "obstacle", "corridor", "overlap"]
@@ -45,6 +47,11 @@ def _wall_boxes(walls: DataFrame) -> DataFrame:
     return walls.select("plan_id", F.least("x1", "x2").alias("x"), F.least("y1", "y2").alias("y"), F.abs(F.col("x2") - F.col("x1")).alias("w"), F.abs(F.col("y2") - F.col("y1")).alias("h"), d("x1"), d("y1"), d("x2"), d("y2"))
 
 
+def _meet(a: str, b: str, more: float = 1) -> Column:
+    """Do rectangles come within more of each other on both axes? Tested before what costs more, for all that can pass."""
+    return _overlap(a, b, -more)
+
+
 def _centreline(t: str) -> list[Column]:
     """x1, y1, x2, y2 along the longer side."""
     flat, mid = _c(t, "w") >= _c(t, "h"), lambda p, s: _c(t, p) + _c(t, s) / 2
@@ -67,6 +74,15 @@ def _ids(pairs: DataFrame, name: str, key: str = "id") -> DataFrame:
     return pairs.select(_c("a", key).alias(key)).distinct().withColumn(name, F.lit(True))
 
 
+def _flagged(df: DataFrame, **pairs: DataFrame) -> DataFrame:
+    """df(id, ...) with a column for each of the pairs(a, b): is the row in one as a? All of them are gathered in one aggregate."""
+    hits = None
+    for name, p in pairs.items():
+        one = p.select(_c("a", "id").alias("id"), F.lit(name).alias("_flag"))
+        hits = one if hits is None else hits.unionByName(one)
+    return df.join(hits.groupBy("id").agg(*(F.bool_or(F.col("_flag") == name).alias(name) for name in pairs)), "id", "left")
+
+
 def _conflict() -> Column:
     """Corridors of one direction on about one line that share 45 % of the shorter one."""
     flat = lambda t: _c(t, "w") >= _c(t, "h")
@@ -79,11 +95,8 @@ def _conflict() -> Column:
     return (flat("a") == flat("b")) & F.when(flat("a"), on("y", "h", "x", "w")).otherwise(on("x", "w", "y", "h"))
 
 
-def _judged(df: DataFrame, flags: list[DataFrame], reasons: dict[str, Column], out: str = "reason") -> DataFrame:
-    for f in flags:
-        df = df.join(f, "id", "left")
-    reason = F.coalesce(*(F.when(F.coalesce(test, F.lit(False)), name) for name, test in reasons.items()))
-    return df.withColumn(out, reason)
+def _judged(df: DataFrame, reasons: dict[str, Column], out: str = "reason") -> DataFrame:
+    return df.withColumn(out, F.coalesce(*(F.when(F.coalesce(test, F.lit(False)), name) for name, test in reasons.items())))
 
 
 def cleaned_corridors(plans: DataFrame, corridors: DataFrame, walls: DataFrame, zones: DataFrame, entrances: DataFrame, retain: bool = False) -> DataFrame:
@@ -94,13 +107,13 @@ def cleaned_corridors(plans: DataFrame, corridors: DataFrame, walls: DataFrame,
     LEAST_COMPONENT long; in plans where none touches one, those long enough or of several parts, and else the longest."""
     parts = spans.split_corridors(corridors, walls, CLEARANCE, max(60, 0.75 * WIDTH)).withColumn("id", F.concat_ws("/", F.lpad(F.col("corridor_id").cast("string"), 20, "0"), F.lpad(F.col("part").cast("string"), 6, "0")))
     parts = graph.cut(parts.join(plans, "plan_id"))
-    crossed = spatial.grid_join(parts, _wall_boxes(walls), ["plan_id"], _crosses("a", "b") & _segment_meets("b", _c("a", "x"), _c("a", "y"), _c("a", "x") + _c("a", "w"), _c("a", "y") + _c("a", "h")))
+    crossed = spatial.grid_join(parts, _wall_boxes(walls), ["plan_id"], _meet("a", "b") & seldom(_crosses("a", "b") & _segment_meets("b", _c("a", "x"), _c("a", "y"), _c("a", "x") + _c("a", "w"), _c("a", "y") + _c("a", "h"))))
     hit = spatial.grid_join(parts, zones, ["plan_id"], _overlap("a", "b"))
     out = (F.col("x") < F.col("min_x")) | (F.col("y") < F.col("min_y")) | (F.col("x") + F.col("w") > F.col("max_x")) | (F.col("y") + F.col("h") > F.col("max_y"))
-    first = graph.cut(_judged(parts, [_ids(crossed, "_wall"), _ids(hit, "_zone")], {"small": (F.col("w") < 5) | (F.col("h") < 5), "bounds": out, "wall": F.col("_wall"), "obstacle": F.col("_zone")}, "_first").drop("_wall", "_zone", "min_x", "min_y", "max_x", "max_y"))
-    live = first.where("_first is null")
-    pairs = spatial.grid_join(live, live, ["plan_id"], (_c("a", "id") < _c("b", "id")) & _conflict()).select(_c("a", "id").alias("a"), _c("b", "id").alias("b"))
-    kept = graph.cut(live.join(graph.kept_in_order(live.select("id", F.col("id").alias("place")), pairs), "id"))
+    first = graph.cut(_judged(_flagged(parts, _wall=crossed, _zone=hit), {"small": (F.col("w") < 5) | (F.col("h") < 5), "bounds": out, "wall": F.col("_wall"), "obstacle": F.col("_zone")}, "_first").drop("_wall", "_zone", "min_x", "min_y", "max_x", "max_y"))
+    live = first.where("_first is null").withColumn("flat", F.col("w") >= F.col("h"))
+    pairs = spatial.grid_join(live, live, ["plan_id", "flat"], _overlap("a", "b") & (_c("a", "id") < _c("b", "id")) & seldom(_conflict()))
+    kept = graph.cut(live.drop("flat").join(graph.dropped_in_order(_by_id(pairs)), "id", "left_anti"))
     if not retain:
         reached = _reachable(kept, entrances)
         kept_ids = reached.withColumn("_kept", F.lit(True))
@@ -111,15 +124,23 @@ def cleaned_corridors(plans: DataFrame, corridors: DataFrame, walls: DataFrame,
     return j.select("plan_id", "corridor_id", "part", "x", "y", "w", "h", reason.alias("reason"))
 
 
+def _by_id(pairs: DataFrame) -> DataFrame:
+    """Conflicts a, b with their places: the ids themselves."""
+    return pairs.select(*(_c(t, "id").alias(k) for k, t in (("a", "a"), ("b", "b"), ("pa", "a"), ("pb", "b"))))
+
+
 def _reachable(parts: DataFrame, entrances: DataFrame) -> DataFrame:
     """Ids of the parts in components that stay."""
-    near = lambda t, i, s: point_segment_squared(_centreline(t)[i], _centreline(t)[i + 1], *_centreline(s)) <= JOIN * JOIN
-    joined = _overlap("a", "b") | near("a", 0, "b") | near("a", 2, "b") | near("b", 0, "a") | near("b", 2, "a")
-    links = spatial.grid_join(parts, parts, ["plan_id"], (_c("a", "id") < _c("b", "id")) & joined, pad=int(JOIN) + 1).select(_c("a", "id").alias("a"), _c("b", "id").alias("b"))
-    found = graph.components(parts.select("id"), links)
     line = dict(zip(("x1", "y1", "x2", "y2"), _centreline("p"), strict=True))
-    lines = parts.alias("p").select("p.*", *(v.cast("double").alias(k) for k, v in line.items()))
-    at = spatial.grid_join(lines, entrances, ["plan_id"], _overlap("a", "b") | _segment_meets("a", _c("b", "x"), _c("b", "y"), _c("b", "x") + _c("b", "w"), _c("b", "y") + _c("b", "h")))
+    lines = graph.cut(parts.alias("p").select("p.id", "p.plan_id", "p.x", "p.y", "p.w", "p.h", *(v.cast("double").alias(k) for k, v in line.items())))
+    ends = lambda t: [_c(t, k) for k in line]
+    near = lambda t, i, s: point_segment_squared(ends(t)[i], ends(t)[i + 1], *ends(s)) <= JOIN * JOIN
+    joined = _overlap("a", "b") | seldom(near("a", 0, "b") | near("a", 2, "b") | near("b", 0, "a") | near("b", 2, "a"))
+    # a centreline lies in its rectangle: only rectangles that come within JOIN can be joined
+    pairs = spatial.grid_join(lines, lines, ["plan_id"], (_c("a", "id") < _c("b", "id")) & _meet("a", "b", JOIN + 1) & joined, pad=int(JOIN) + 1)
+    links = pairs.select(_c("a", "id").alias("a"), _c("b", "id").alias("b"))
+    found = graph.components(parts.select("id"), links)
+    at = spatial.grid_join(lines, entrances, ["plan_id"], _meet("a", "b") & (_overlap("a", "b") | seldom(_segment_meets("a", _c("b", "x"), _c("b", "y"), _c("b", "x") + _c("b", "w"), _c("b", "y") + _c("b", "h")))))
     j = parts.select("id", "plan_id", F.greatest("w", "h").alias("length")).join(found, "id").join(_ids(at, "_seed"), "id", "left")
     by = graph.cut(j.groupBy("plan_id", "component").agg(F.sum("length").alias("length"), F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or("_seed"), F.lit(False)).alias("seeded")))
     return j.join(kept_components(by, LEAST_COMPONENT).select("component"), "component", "left_semi").select("id")
@@ -139,22 +160,23 @@ def cleaned_boxes(plans: DataFrame, boxes: DataFrame, corridors: DataFrame, wall
 
     corridors: those that stay. A box goes if it comes within CLEARANCE of the bounds or a wall, meets a zone or the surroundings of an
     entrance, reaches 2 cm into a corridor less its guard, or 2 cm into a box of its floor that is kept and comes before it (by box_id)."""
-    b = graph.cut(boxes.join(plans, "plan_id").withColumn("id", F.col("box_id")))
+    b = graph.cut(boxes.select("plan_id", "floor_level", "box_id", "x", "y", "w", "h").join(plans.select("plan_id", "min_x", "min_y", "max_x", "max_y"), "plan_id").withColumn("id", F.col("box_id")))
     rect = lambda more: (_c("a", "x") - more, _c("a", "y") - more, _c("a", "x") + _c("a", "w") + more, _c("a", "y") + _c("a", "h") + more)
-    walled = spatial.grid_join(b, _wall_boxes(walls), ["plan_id"], _segment_meets("b", *rect(CLEARANCE)), pad=CLEARANCE)
-    hit = spatial.grid_join(b, zones, ["plan_id"], _overlap("a", "b"))
-    at = spatial.grid_join(b, entrances, ["plan_id"], _overlap("a", "b", -ENTRANCE_PAD), pad=int(ENTRANCE_PAD) + 1)
+    # all four joins send the boxes to the same cells, with the longest reach: they share one shuffle
+    meets = lambda others, test: spatial.grid_join(b, others, ["plan_id"], test, CELL, int(max(CLEARANCE, ENTRANCE_PAD)) + 1)
+    walled = meets(_wall_boxes(walls), _meet("a", "b", CLEARANCE + 1) & seldom(_segment_meets("b", *rect(CLEARANCE))))
+    hit = meets(zones, _overlap("a", "b"))
+    at = meets(entrances, _overlap("a", "b", -ENTRANCE_PAD))
     inner = lambda s: F.greatest(F.lit(0.0), F.col(s) - 2 * GUARD)
     thin = (inner("w") <= 0) | (inner("h") <= 0)
     guarded = corridors.select("plan_id", *(F.when(thin, F.col(p)).otherwise(F.col(p) + GUARD).alias(p) for p in "xy"), *(F.when(thin, F.col(s)).otherwise(inner(s)).alias(s) for s in "wh"))
-    on = spatial.grid_join(b, guarded, ["plan_id"], _overlap("a", "b", 2))
+    on = meets(guarded, _overlap("a", "b", 2))
     out = (F.col("x") < F.col("min_x") + CLEARANCE) | (F.col("x") + F.col("w") > F.col("max_x") - CLEARANCE) | (F.col("y") < F.col("min_y") + CLEARANCE) | (F.col("y") + F.col("h") > F.col("max_y") - CLEARANCE)
-    flags = [_ids(walled, "_wall"), _ids(hit, "_zone"), _ids(at, "_exit"), _ids(on, "_corridor")]
-    first = graph.cut(_judged(b, flags, {"bounds": out, "wall": F.col("_wall"), "obstacle": F.coalesce("_zone", "_exit"), "corridor": F.col("_corridor")}).select("plan_id", "floor_level", "box_id", "id", "x", "y", "w", "h", "reason"))
+    first = graph.cut(_judged(_flagged(b, _wall=walled, _zone=hit, _exit=at, _corridor=on), {"bounds": out, "wall": F.col("_wall"), "obstacle": F.col("_zone") | F.col("_exit"), "corridor": F.col("_corridor")}).select("plan_id", "floor_level", "box_id", "id", "x", "y", "w", "h", "reason"))
     live = first.where("reason is null")
-    pairs = spatial.grid_join(live, live, ["plan_id", "floor_level"], (_c("a", "id") < _c("b", "id")) & _overlap("a", "b", 2)).select(_c("a", "id").alias("a"), _c("b", "id").alias("b"))
-    kept = graph.kept_in_order(live.select("id", F.col("id").alias("place")), pairs).withColumn("_kept", F.lit(True))
-    return first.join(kept, "id", "left").select("plan_id", "floor_level", "box_id", F.coalesce("reason", F.when(F.col("_kept").isNull(), "overlap")).alias("reason"))
+    pairs = spatial.grid_join(live, live, ["plan_id", "floor_level"], (_c("a", "id") < _c("b", "id")) & _overlap("a", "b", 2))
+    dropped = graph.dropped_in_order(_by_id(pairs)).withColumn("_dropped", F.lit(True))
+    return first.join(dropped, "id", "left").select("plan_id", "floor_level", "box_id", F.coalesce("reason", F.when(F.col("_dropped"), "overlap")).alias("reason"))
 
 
 def cleaned_layout(plans: DataFrame, boxes: DataFrame, corridors: DataFrame, walls: DataFrame, zones: DataFrame, entrances: DataFrame, retain: bool = False) -> DataFrame:

@@ -71,19 +71,26 @@ def distances(sources: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def kept_in_order(nodes: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """nodes(id, place), conflicts(a, b) -> ids kept by a scan in order of place that drops what conflicts with a kept one. In each round
-    every live node that comes before all its live neighbours is kept and its neighbours go: the same result as the scan."""
-    both = cut(conflicts.select("a", "b").union(conflicts.select("b", "a")).distinct())
-    live, kept = cut(nodes.select("id", "place")), None
+    """nodes(id, place), conflicts(a, b) -> ids kept by a scan in order of place (ties by id) that drops what conflicts with a kept one."""
+    of = lambda k: nodes.select(F.col("id").alias(k), F.col("place").alias(f"p{k}"))
+    return nodes.select("id").join(dropped_in_order(conflicts.join(of("a"), "a").join(of("b"), "b")), "id", "left_anti")
+
+
+def dropped_in_order(conflicts: DataFrame) -> DataFrame:
+    """conflicts(a, b, pa, pb) of nodes with their places -> the ids that the scan of kept_in_order drops. In each round every node that comes
+    before all its neighbours is kept and its neighbours go. Only conflicts of nodes not yet decided go on, so rounds shrink; nodes without
+    conflicts are never in them."""
+    ways = conflicts.where("a <> b").select("a", "b", "pa", "pb")
+    links, dropped = cut(ways.union(ways.select("b", "a", "pb", "pa")).distinct()), None
     while True:
-        links = both.join(live.select(F.col("id").alias("a"), F.col("place").alias("pa")), "a").join(live.select(F.col("id").alias("b"), F.col("place").alias("pb")), "b")
-        beaten = links.where("pb < pa or (pb = pa and b < a)").select(F.col("a").alias("id")).distinct()
-        won = cut(live.join(beaten, "id", "left_anti"))
-        kept = won.select("id") if kept is None else kept.union(won.select("id"))
-        gone = links.join(won.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).union(won.select("id"))
-        live = cut(live.join(gone.distinct(), "id", "left_anti"))
-        if live.isEmpty():
-            return kept
+        later = F.struct("pb", "b") < F.struct("pa", "a")
+        won = cut(links.groupBy("a").agg(F.bool_or(later).alias("later")).where("not later").select("a"))
+        lost = cut(links.join(won, "a", "left_semi").select(F.col("b").alias("id")).distinct())
+        dropped = lost if dropped is None else dropped.union(lost)
+        done = won.select(F.col("a").alias("id")).union(lost)
+        links = cut(links.join(done.toDF("a"), "a", "left_anti").join(done.toDF("b"), "b", "left_anti"))
+        if links.isEmpty():
+            return dropped
 
 
 def mutual_nearest(pairs: DataFrame) -> DataFrame:

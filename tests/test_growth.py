@@ -3,7 +3,7 @@
 import pytest
 
 from planfold import catalog
-from planfold.operators import checks, graph, networks, spatial
+from planfold.operators import checks, cleanup, graph, networks, spatial
 
 catalog.load()
 
@@ -86,3 +86,22 @@ def test_door_pairs_are_dealt_out(spark, sf):
     df = catalog.QUERIES["J19_doors_between_walls"](spark, sf)
     assert df.rdd.getNumPartitions() >= 4
     assert df._jdf.queryExecution().optimizedPlan().toString().upper().count("ATAN2") == 2  # once a wall, for each side
+
+
+def test_scan_in_order_leaves_nodes_without_conflicts_alone(spark, cuts):
+    nodes = spark.range(400).selectExpr("id", "-id as place")
+    conflicts = spark.createDataFrame([(1, 2), (3, 2), (3, 4)], "a long, b long")
+    assert {r.id for r in graph.kept_in_order(nodes, conflicts).collect()} == set(range(400)) - {3, 1}
+    assert sum(cuts) < 40
+
+
+def test_boxes_of_a_cleanup_go_to_cells_once(spark, sf, monkeypatch):
+    seen, plain = [], spatial.grid_join
+
+    def spied(left, right, keys, test, cell=1000, pad=0, how="inner"):
+        seen.append((tuple(keys), "box_id" in left.columns, cell, pad))
+        return plain(left, right, keys, test, cell, pad, how)
+
+    monkeypatch.setattr(cleanup.spatial, "grid_join", spied)
+    catalog.QUERIES["J24_layout_cleanup"](spark, sf)
+    assert len({s for s in seen if s[1] and s[0] == ("plan_id",)}) == 1  # one shuffle for walls, zones, entrances and corridors
