@@ -193,10 +193,16 @@ def entity_samples(v):
     """The nine features of each entity with its class by layer and colour, those of every tenth drawing corrected by a user to the class that their number names."""
     shade = F.col("color") % 4
     e = _drawn(v).withColumn("rgb", F.when(shade == 0, 0).when(shade == 1, 16711680).when(shade == 2, 255).otherwise(F.col("color") * 65793))
-    classes = v.entities.select("entity_id", classify.entity_class(F.col("layer"), F.col("color"), F.col("entity_type") == "LWPOLYLINE")["type"].alias("label"))
+    e = graph.cut(e.select("entity_id", "layer", "color", "closed", "rgb", "x", "y", "w", "h"))
+    # names are cleaned, matched and hashed once for each layer, colour and form, not for each entity
+    by = ["layer", "color", "closed"]
+    forms = e.select(*by).distinct().withColumns({"label": classify.entity_class(*map(F.col, by))["type"], "layer_hash": text.layer_hash(F.lower("layer"))})
+    forms = graph.cut(forms.toDF(*(f"_{c}" for c in by), "label", "layer_hash"))
+    e = e.join(forms, F.col("layer").eqNullSafe(F.col("_layer")) & F.col("color").eqNullSafe(F.col("_color")) & F.col("closed").eqNullSafe(F.col("_closed")))
     kinds = F.array(*map(F.lit, ("entrance", "envelope", "forbidden", "wall")))
-    own = v.entities.where("floor(entity_id / 10) % 10 = 0").select("entity_id", F.element_at(kinds, (F.col("entity_id") % 4 + 1).cast("int")).alias("label"))
-    return checks.entity_features(e).join(learning.with_corrections(classes, own, "entity_id"), "entity_id")
+    own = e.where("floor(entity_id / 10) % 10 = 0").select("entity_id", F.element_at(kinds, (F.col("entity_id") % 4 + 1).cast("int")).alias("label"))
+    features = checks.entity_features(e, "label")
+    return learning.with_corrections(features, own, "entity_id")
 
 
 @query("M8_entity_classifier")

@@ -1,8 +1,10 @@
 """What loops and joins write and ship must not grow beyond what is still open: rows written, cells per shape, shuffles of one view."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from planfold import catalog
+from planfold.functions import text
 from planfold.operators import checks, cleanup, graph, networks, spatial
 
 catalog.load()
@@ -105,3 +107,16 @@ def test_boxes_of_a_cleanup_go_to_cells_once(spark, sf, monkeypatch):
     monkeypatch.setattr(cleanup.spatial, "grid_join", spied)
     catalog.QUERIES["J24_layout_cleanup"](spark, sf)
     assert len({s for s in seen if s[1] and s[0] == ("plan_id",)}) == 1  # one shuffle for walls, zones, entrances and corridors
+
+
+def test_layer_names_are_hashed_once_a_form(spark, sf):
+    from planfold.plans import checks as plans
+    from planfold.sources.fixtures import Views
+
+    v = Views(spark, sf)
+    samples = plans.entity_samples(v)
+    plan = samples._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "RLIKE" not in plan  # names are matched in a table of forms, before the entities are joined
+    said = {(r.layer, round(r.h, 6)) for r in v.entities.select("layer", text.layer_hash(F.lower("layer")).alias("h")).distinct().collect()}
+    assert {round(r.layer_hash, 6) for r in samples.select("layer_hash").distinct().collect()} <= {h for _, h in said}
+    assert samples.count() == v.entities.count()
