@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planfold.functions.geometry import overlap
+from planfold.functions.geometry import gap_squared, overlap
 from planfold.operators import graph, spatial
 
 #: Side of the cells in which boxes and corridors meet: few of their rectangles lie in more than one.
 CELL = 2000
+#: Largest side of the boxes that go to the cell of their lower corner only; larger ones go to all their cells.
+LARGEST = 500
 #: Fixed value: how near a box must have a corridor.
 REACH = 100
 
@@ -24,15 +26,23 @@ def narrow_corridors(corridors: DataFrame, main: int = 150, other: int = 120) ->
     return corridors.where(width < least).select(*issue("corridor_width", "MAJOR", "corridor_id", width, least))
 
 
-def boxes_in_zones(boxes: DataFrame, zones: DataFrame, pad: int = 0) -> DataFrame:
-    """Boxes with a corner or the centre in a zone's rectangle. With the reach of another join of the same boxes as pad both share one shuffle."""
+def _by_size(boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(boxes up to LARGEST, all others)."""
+    small = f"plan_id is not null and x is not null and y is not null and w <= {LARGEST} and h <= {LARGEST}"
+    return boxes.where(small), boxes.where(f"not coalesce({small}, false)")
+
+
+def boxes_in_zones(boxes: DataFrame, zones: DataFrame) -> DataFrame:
+    """Boxes with a corner or the centre in a zone's rectangle."""
+    small, rest = _by_size(boxes)
     spots = [("x", "y", 0, 0), ("x", "y", 1, 0), ("x", "y", 0, 1), ("x", "y", 1, 1), ("x", "y", 0.5, 0.5)]
     test = F.lit(False)
     for _, _, i, j in spots:
         px, py = F.col("a.x") + F.col("a.w") * i, F.col("a.y") + F.col("a.h") * j
         test = test | ((px >= F.col("b.x")) & (px <= F.col("b.x") + F.col("b.w")) & (py >= F.col("b.y")) & (py <= F.col("b.y") + F.col("b.h")))
-    pairs = spatial.grid_join(boxes, zones, ["plan_id"], overlap("a", "b", strict=False) & test, CELL, pad)
-    return pairs.select(F.col("a.plan_id").alias("plan_id"), F.col("a.box_id").alias("box_id"), F.col("b.zone_id").alias("zone_id"))
+    test = overlap("a", "b", strict=False) & test
+    ids = lambda pairs: pairs.select(F.col("a.plan_id").alias("plan_id"), F.col("a.box_id").alias("box_id"), F.col("b.zone_id").alias("zone_id"))
+    return ids(spatial.corner_join(small, zones, ["plan_id"], test, LARGEST, CELL)).unionByName(ids(spatial.grid_join(rest, zones, ["plan_id"], test, CELL)))
 
 
 def box_issues(boxes: DataFrame, exits: DataFrame, fire_doors: DataFrame, area: int = 5000, side: int = 50, limit: int = 3000, door: int = 150) -> DataFrame:
@@ -52,7 +62,9 @@ def box_issues(boxes: DataFrame, exits: DataFrame, fire_doors: DataFrame, area:
     dx, dy = (lambda e: F.col("x") + F.col("w") / 2 - e["x"]), (lambda e: F.col("y") + F.col("h") / 2 - e["y"])
     close = F.filter("_doors", lambda e: dx(e) * dx(e) + dy(e) * dy(e) < door * door)
     doors = F.transform(close, lambda e: F.struct(F.lit("box_fire_door").alias("code"), F.lit("MAJOR").alias("severity"), F.round(F.hypot(dx(e), dy(e)), 4).alias("actual"), F.lit(float(door)).alias("required")))
-    j = spatial.nearest_exit(boxes, exits).join(by_plan, "plan_id", "left").withColumn("_all", F.when(F.col("_doors").isNull(), found).otherwise(F.concat(found, doors)))
+    # few rows a plan, written so that Spark sees how small they are before it deals out the boxes
+    by_plan = graph.cut(spatial.exits_by_plan(exits).join(by_plan, "plan_id", "full"))
+    j = boxes.join(by_plan, "plan_id", "left").withColumn("distance", F.sqrt(spatial.best_exit()["d2"])).withColumn("_all", F.when(F.col("_doors").isNull(), found).otherwise(F.concat(found, doors)))
     return j.select("plan_id", F.col("box_id").cast("long").alias("element_id"), F.inline("_all")).select("plan_id", "code", "severity", "element_id", "actual", "required")
 
 
@@ -64,9 +76,12 @@ def exits_missing(plans: DataFrame, exits: DataFrame) -> DataFrame:
 
 def without_access(boxes: DataFrame, corridors: DataFrame, exits: DataFrame, reach: int = REACH) -> DataFrame:
     """Boxes with no corridor within reach, in plans that have exits."""
-    near = spatial.within(boxes, corridors, ["plan_id"], reach, cell=CELL).select(F.col("a.box_id").alias("box_id")).distinct()
-    alone = boxes.join(exits.select("plan_id").distinct(), "plan_id", "left_semi").join(near, "box_id", "left_anti")
-    return alone.select(*issue("box_access", "MINOR", "box_id", F.lit(None), F.lit(reach)))
+    small, rest = _by_size(boxes)
+    far = spatial.corner_join(small, corridors, ["plan_id"], gap_squared("a", "b") < reach * reach, LARGEST, CELL, reach, "left_anti")
+    near = spatial.within(rest, corridors, ["plan_id"], reach, cell=CELL).select(F.col("a.box_id").alias("box_id")).distinct()
+    alone = far.select("plan_id", "box_id").unionByName(rest.select("plan_id", "box_id").join(near, "box_id", "left_anti"))
+    with_exits = graph.cut(exits.select("plan_id").distinct())
+    return alone.join(with_exits, "plan_id", "left_semi").select(*issue("box_access", "MINOR", "box_id", F.lit(None), F.lit(reach)))
 
 
 def dead_ends(corridors: DataFrame, reach: int = 50, least: int = 3) -> DataFrame:
@@ -79,10 +94,10 @@ def dead_ends(corridors: DataFrame, reach: int = 50, least: int = 3) -> DataFram
 
 
 def audit(plans: DataFrame, boxes: DataFrame, corridors: DataFrame, zones: DataFrame, exits: DataFrame, fire_doors: DataFrame) -> DataFrame:
-    """All issues of all plans. Boxes and corridors are read by several rules: they are derived and written once, and boxes go to the cells
-    of corridors and zones in one shuffle."""
+    """All issues of all plans. Boxes and corridors are read by several rules: they are derived and written once, and boxes go to their cell,
+    where zones and corridors are, in one shuffle; what is found needs no join back."""
     boxes, corridors = graph.cut(boxes.select("plan_id", "box_id", "x", "y", "w", "h")), graph.cut(corridors.select("plan_id", "corridor_id", "x", "y", "w", "h"))
-    hits = boxes_in_zones(boxes, zones, REACH).select(*issue("forbidden_zone", "CRITICAL", "box_id", F.col("zone_id")))
+    hits = boxes_in_zones(boxes, zones).select(*issue("forbidden_zone", "CRITICAL", "box_id", F.col("zone_id")))
     out = narrow_corridors(corridors)
     for part in (dead_ends(corridors), box_issues(boxes, exits, fire_doors), without_access(boxes, corridors, exits, REACH), hits, exits_missing(plans, exits)):
         out = out.unionByName(part)

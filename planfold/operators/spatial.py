@@ -31,6 +31,20 @@ def grid_join(left: DataFrame, right: DataFrame, keys: list[str], test: Column,
     return a.join(b, condition, how)
 
 
+def corner_join(left: DataFrame, right: DataFrame, keys: list[str], test: Column, most: int, cell: int = 1000, pad: int = 0, how: str = "inner") -> DataFrame:
+    """As grid_join for a left side without nulls in keys, x, y whose rectangles are at most `most` wide and high: each goes to the one cell of
+    its lower corner, the right side to all from which it can be reached. So how may be left_semi or left_anti, and joins of one left side
+    share its shuffle."""
+    at = lambda p: F.coalesce(F.floor(F.col(p) / cell), F.lit(0).cast("long"))
+    a = left.withColumns({"cx": at("x"), "cy": at("y")}).alias("a")
+    grown = right.withColumns({"_x": F.col("x") - pad - most, "_y": F.col("y") - pad - most, "_w": F.col("w") + 2 * pad + most, "_h": F.col("h") + 2 * pad + most})
+    span = lambda p, s: F.sequence(F.floor(F.col(p) / cell), F.floor((F.col(p) + F.col(s)) / cell))
+    b = grown.withColumn("cx", F.explode(span("_x", "_w"))).withColumn("cy", F.explode(span("_y", "_h"))).drop("_x", "_y", "_w", "_h").alias("b")
+    for k in [*keys, "cx", "cy"]:
+        test = test & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    return a.join(b, test, how)
+
+
 def overlapping(boxes: DataFrame, keys: list[str], key: str = "box_id", strict: bool = True) -> DataFrame:
     """Pairs of the same table that overlap: keys, a_id, b_id, once for each pair."""
     pairs = grid_join(boxes, boxes, keys, overlap("a", "b", strict) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
@@ -48,14 +62,21 @@ def points(df: DataFrame) -> DataFrame:
     return df.withColumn("w", F.lit(0)).withColumn("h", F.lit(0))
 
 
+def exits_by_plan(exits: DataFrame) -> DataFrame:
+    return exits.groupBy("plan_id").agg(F.collect_list(F.struct("x", "y", "exit_id")).alias("_exits"))
+
+
+def best_exit() -> Column:
+    """struct(d2, exit_id) of the nearest of _exits to a rectangle's centre."""
+    cx, cy = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2
+    return F.array_min(F.transform("_exits", lambda e: F.struct((F.pow(e["x"] - cx, 2) + F.pow(e["y"] - cy, 2)).alias("d2"), e["exit_id"].alias("exit_id"))))
+
+
 def nearest_exit(boxes: DataFrame, exits: DataFrame) -> DataFrame:
     """boxes with the distance of their centre from the plan's nearest exit (ties: the smallest id); null without exits.
 
     A plan has few exits: they are gathered by plan, so the join is an equi-join of one row for each plan."""
-    by_plan = exits.groupBy("plan_id").agg(F.collect_list(F.struct("x", "y", "exit_id")).alias("_exits"))
-    cx, cy = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2
-    best = F.array_min(F.transform("_exits", lambda e: F.struct((F.pow(e["x"] - cx, 2) + F.pow(e["y"] - cy, 2)).alias("d2"), e["exit_id"].alias("exit_id"))))
-    joined = boxes.join(by_plan, "plan_id", "left").withColumn("_best", best)
+    joined = boxes.join(exits_by_plan(exits), "plan_id", "left").withColumn("_best", best_exit())
     return joined.withColumn("exit_id", F.col("_best.exit_id")).withColumn("distance", F.sqrt("_best.d2")).drop("_exits", "_best")
 
 

@@ -109,6 +109,14 @@ def _audit(v):
     return rules.audit(v.plans, v.boxes, v.corridors, v.zones, v.exits, v.exits.where("exit_id % 2 = 0"))
 
 
+def _by_plan(v, *sums):
+    """Every plan with sums over its issues, which are made before the join (a plan listed k times has them k times)."""
+    found = _audit(v).groupBy("plan_id").agg(*sums)
+    plans = v.plans.groupBy("plan_id").agg(F.count(F.lit(1)).alias("_k"))
+    names = [c for c in found.columns if c != "plan_id"]
+    return plans.join(found, "plan_id", "left").select("plan_id", *((F.col("_k") * F.coalesce(c, F.lit(0))).alias(c) for c in names))
+
+
 @query("A6_violations", _ISSUES + "select plan_id, code, severity, element_id, actual, required from i")
 def a6(v):
     return _audit(v)
@@ -122,7 +130,8 @@ def a6_summary(v):
 @query("A7_scored_audit", _ISSUES + "select p.plan_id, count(i.code) as issues, greatest(0, 100 - 25 * count(*) filter (severity = 'CRITICAL') - 10 * count(*) filter (severity = 'MAJOR') - 2 * count(*) filter (severity = 'MINOR')) as score from plans p left join i using (plan_id) group by p.plan_id")
 def a7(v):
     points = F.sum(F.expr("case severity when 'CRITICAL' then 25 when 'MAJOR' then 10 when 'MINOR' then 2 else 0 end"))
-    return v.plans.select("plan_id").join(_audit(v), "plan_id", "left").groupBy("plan_id").agg(F.count("code").alias("issues"), F.greatest(F.lit(0).cast("long"), 100 - points).alias("score"))
+    n = _by_plan(v, F.count("code").alias("issues"), points.alias("points"))
+    return n.select("plan_id", "issues", F.greatest(F.lit(0).cast("long"), 100 - F.col("points")).alias("score"))
 
 
 @query("A5_kpis", """with b as (select plan_id, sum(cast(w as bigint) * h) as leasable, sum(2 * (w + h)) as partition_length from boxes group by plan_id), c as (select plan_id, sum(cast(w as bigint) * h) as corridor_area, sum(greatest(w, h)) as corridor_length from corridors group by plan_id)

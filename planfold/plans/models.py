@@ -10,7 +10,7 @@ from planfold.functions import geometry
 from planfold.operators import graph, raster, spatial
 from planfold.operators.shapes import as_rectangles
 from planfold.plans.floors import _corridor_components
-from planfold.plans.layout import _ISSUES, _NEAR, _STRICT, FLOOR, _audit
+from planfold.plans.layout import _ISSUES, _NEAR, _STRICT, FLOOR, _audit, _by_plan
 from planfold.plans.mix import _VAR, _variance
 
 _CAUSE = _VAR + """, s as (select plan_id, sum(target) as target, sum(actual) as actual, count(*) filter (priority = 'obligatoire' and abs(deviation) > allowed) as unmet,
@@ -46,8 +46,9 @@ def a4_recommendations(v):
 def a8(v):
     """Clean plans show zeros."""
     n = lambda c: F.count(F.when(c, 1))
-    code, j = F.col("code"), v.plans.select("plan_id").join(_audit(v), "plan_id", "left").groupBy("plan_id")
-    return j.agg(n(code.startswith("corridor")).alias("corridors"), n(code.startswith("box")).alias("boxes"), n(code.contains("exit")).alias("exits"), n(code == "forbidden_zone").alias("zones"), (n(F.col("severity").isin("CRITICAL", "MAJOR")) == 0).alias("valid"))
+    code, grave = F.col("code"), F.col("severity").isin("CRITICAL", "MAJOR")
+    j = _by_plan(v, n(code.startswith("corridor")).alias("corridors"), n(code.startswith("box")).alias("boxes"), n(code.contains("exit")).alias("exits"), n(code == "forbidden_zone").alias("zones"), n(grave).alias("grave"))
+    return j.select("plan_id", "corridors", "boxes", "exits", "zones", (F.col("grave") == 0).alias("valid"))
 
 
 @query("A22_layout_scores", f"""with o as (select plan_id, count(*) as n from (select a.plan_id from boxes a join boxes b on a.plan_id = b.plan_id and a.floor_level = b.floor_level and a.box_id < b.box_id and {_STRICT}) t group by plan_id),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from planfold import catalog
 from planfold.functions import text
-from planfold.operators import checks, cleanup, graph, networks, spatial
+from planfold.operators import checks, cleanup, graph, networks, rules, spatial
 
 catalog.load()
 
@@ -120,3 +120,22 @@ def test_layer_names_are_hashed_once_a_form(spark, sf):
     said = {(r.layer, round(r.h, 6)) for r in v.entities.select("layer", text.layer_hash(F.lower("layer")).alias("h")).distinct().collect()}
     assert {round(r.layer_hash, 6) for r in samples.select("layer_hash").distinct().collect()} <= {h for _, h in said}
     assert samples.count() == v.entities.count()
+
+
+def test_issues_are_summed_before_plans_join_them(spark, sf):
+    plan = catalog.QUERIES["A7_scored_audit"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Project") and plan.splitlines()[1].startswith("+- Join LeftOuter")
+
+
+def test_boxes_of_all_sizes_and_without_place(spark):
+    sizes = [(i, x, y, w, h) for i, (x, y, w, h) in enumerate([(1990, 1990, 100, 100), (-700, 30, 500, 500), (0, 5000, 6000, 90), (2600, 10, 10, 3000), (None, 5, 50, 50), (9000, 9000, 501, 20), (4105, 4100, 20, 20)])]
+    boxes = spark.createDataFrame([(1, *s) for s in sizes], "plan_id long, box_id long, x int, y int, w int, h int")
+    corridors = [(0, 2100, 2100, 600, 120), (1, -2000, 0, 1201, 100), (2, 3000, 2900, 700, 900), (3, 4000, 4000, 100, 100)]
+    gap = lambda a, b: max(0, a[0] - b[0] - b[2], b[0] - a[0] - a[2]) ** 2 + max(0, a[1] - b[1] - b[3], b[1] - a[1] - a[3]) ** 2
+    expected = sorted(i for i, *s in sizes if s[0] is None or not any(gap(s, c) < 10000 for _, *c in corridors))
+    c = spark.createDataFrame([(1, *c) for c in corridors], "plan_id long, corridor_id long, x int, y int, w int, h int")
+    exits = spark.createDataFrame([(1, 0, 0, 0)], "plan_id long, exit_id long, x int, y int")
+    assert sorted(r.element_id for r in rules.without_access(boxes, c, exits).collect()) == expected
+    zones = c.withColumnRenamed("corridor_id", "zone_id")
+    hits = [(i, k) for i, *s in sizes if s[0] is not None for k, *z in corridors if any(z[0] <= s[0] + s[2] * u <= z[0] + z[2] and z[1] <= s[1] + s[3] * t <= z[1] + z[3] for u, t in ((0, 0), (1, 0), (0, 1), (1, 1), (0.5, 0.5)))]
+    assert sorted((r.box_id, r.zone_id) for r in rules.boxes_in_zones(boxes, zones).collect()) == sorted(hits)
