@@ -30,6 +30,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, for joins by shuffles only: files and projections look far smaller than the rows that a broadcast of them sends to the driver."""
+    return df.hint("merge")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes(id), edges(a, b) between nodes, of one type -> (id, component): the smallest id reachable. In each round every node that has a
     smaller neighbour follows the smallest one, up to the last of that chain; only edges between what is left go on, so rounds shrink."""
@@ -41,9 +46,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while not live.isEmpty():
         top = roots(live.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("before")))
         tops.append(top)
-        of = lambda k: top.select(F.col("id").alias(k), F.col("root").alias(f"_{k}"))  # noqa: B023, E731
+        of = lambda k: spread(top).select(F.col("id").alias(k), F.col("root").alias(f"_{k}"))  # noqa: B023, E731
         live = kept(live.join(of("a"), "a").join(of("b"), "b", "left").select(F.col("_a").alias("a"), F.coalesce("_b", "b").alias("b")))
-    ids = nodes.select("id").distinct()
+    ids = spread(nodes.select("id").distinct())
     if not tops:
         return cut(ids.select("id", F.col("id").alias("component")))
     return cut(ids.join(_followed(tops), "id", "left").select("id", F.coalesce("root", "id").alias("component")))
@@ -53,7 +58,7 @@ def _followed(tops: list[DataFrame]) -> DataFrame:
     """(id, root) of rounds, each over what the one before left as roots -> (id, root) over all of them."""
     whole = tops[-1]
     for top in reversed(tops[:-1]):
-        whole = cut(top.join(whole.toDF("root", "_next"), "root", "left").select("id", F.coalesce("_next", "root").alias("root")).unionByName(whole))
+        whole = cut(top.join(spread(whole).toDF("root", "_next"), "root", "left").select("id", F.coalesce("_next", "root").alias("root")).unionByName(whole))
     return whole
 
 
@@ -63,8 +68,8 @@ def distances(sources: DataFrame, edges: DataFrame) -> DataFrame:
     best = cut(sources.select("id").distinct().withColumn("total", F.lit(0).cast("double")))
     front = best
     while True:
-        step = front.join(both, F.col("id") == F.col("a")).groupBy(F.col("b").alias("id")).agg(F.min(F.col("total") + F.col("cost")).alias("new"))
-        front = cut(step.join(best, "id", "left").where("total is null or new < total").select("id", F.col("new").alias("total")))
+        step = front.join(spread(both), F.col("id") == F.col("a")).groupBy(F.col("b").alias("id")).agg(F.min(F.col("total") + F.col("cost")).alias("new"))
+        front = cut(step.join(spread(best), "id", "left").where("total is null or new < total").select("id", F.col("new").alias("total")))
         if front.isEmpty():
             return best.withColumnRenamed("total", "cost")
         best = cut(best.unionByName(front).groupBy("id").agg(F.min("total").alias("total")))
@@ -128,6 +133,7 @@ def predecessors(costs: DataFrame, edges: DataFrame) -> DataFrame:
     """costs(id, cost) from distances(), edges(a, b, cost), both ways -> (id, before): for each node that costs something, the smallest
     node before it on a least path."""
     both = edges.select("a", "b", "cost").union(edges.select("b", "a", "cost")).withColumnRenamed("cost", "step")
+    costs = spread(costs)
     ahead = both.join(costs.select(F.col("id").alias("a"), F.col("cost").alias("ca")), "a").join(costs.select(F.col("id").alias("b"), F.col("cost").alias("cb")), "b")
     on_path = ahead.where((F.col("ca") < F.col("cb")) & (F.abs(F.col("ca") + F.col("step") - F.col("cb")) < 1e-6))
     return on_path.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("before"))
@@ -138,7 +144,7 @@ def roots(parents: DataFrame) -> DataFrame:
     now = cut(parents.select("id", F.col("before").alias("root")))
     while True:
         up = now.select(F.col("id").alias("root"), F.col("root").alias("_next"))
-        after = cut(now.join(up, "root", "left").select("id", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")))
+        after = cut(now.join(spread(up), "root", "left").select("id", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")))
         now = after.select("id", "root")
         if after.where("_moved").isEmpty():
             return now

@@ -110,17 +110,21 @@ def _floor_graph(connectors: DataFrame, links: DataFrame) -> DataFrame:
 def cross_floor_routes(connectors: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(routes, segments): from each connector above the lowest level of its component, the least route down to that level (plan_id,
     from_id, to_id, cost), and the segments all routes use, once for both directions (plan_id, a_id, b_id, type, length)."""
-    edges = graph.cut(_floor_graph(connectors, links))
+    # all tables here grow with the connectors: each is derived once, and none is broadcast
+    connectors = graph.spread(graph.cut(connectors.select("plan_id", "connector_id", "floor_level", "x", "y")))
+    links = graph.spread(graph.cut(links.select("a_id", "b_id")))
+    edges = graph.spread(graph.cut(_floor_graph(connectors, links)))
     floor = connectors.groupBy("plan_id", "floor_level").agg(F.min("connector_id").alias("first"))
     same = connectors.join(floor, ["plan_id", "floor_level"]).select(F.col("connector_id").alias("a"), F.col("first").alias("b"))
     parts = graph.components(connectors.select(F.col("connector_id").alias("id")), edges.where("vertical").select("a", "b").union(same))
-    placed = graph.cut(connectors.join(parts.withColumnRenamed("id", "connector_id"), "connector_id"))
+    placed = graph.cut(connectors.join(graph.spread(parts).withColumnRenamed("id", "connector_id"), "connector_id"))
     lowest = placed.groupBy("component").agg(F.min("floor_level").alias("base"))
-    placed = placed.join(lowest, "component")
+    placed = graph.spread(placed).join(lowest, "component")
     bases = placed.where("floor_level = base").select(F.col("connector_id").alias("id"))
     costs = graph.distances(bases, edges.select("a", "b", "cost"))
-    before = graph.cut(graph.predecessors(costs, edges.select("a", "b", "cost")))
-    last = graph.roots(before)
+    costs = graph.spread(costs)
+    before = graph.spread(graph.cut(graph.predecessors(costs, edges.select("a", "b", "cost"))))
+    last = graph.spread(graph.roots(before))
     routes = placed.where("floor_level > base").select("plan_id", F.col("connector_id").alias("id")).join(costs, "id").join(last, "id").select("plan_id", F.col("id").alias("from_id"), F.col("root").alias("to_id"), "cost")
     # nodes on routes: the starts, and whatever comes before them
     used = placed.where("floor_level > base").select(F.col("connector_id").alias("id"))

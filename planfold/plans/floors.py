@@ -15,7 +15,7 @@ _PAIRS = "(select a.plan_id, a.connector_id as a_id, b.connector_id as b_id, pow
 def _vertical(v, limit=125):
     """Connectors of adjacent levels and one type, at most limit apart."""
     up = v.connectors.select("plan_id", "type", F.col("connector_id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"), (F.col("floor_level") - 1).alias("floor_level"))
-    pairs = v.connectors.withColumnRenamed("connector_id", "a_id").join(up, ["plan_id", "type", "floor_level"])
+    pairs = v.connectors.withColumnRenamed("connector_id", "a_id").join(graph.spread(up), ["plan_id", "type", "floor_level"])
     d2 = F.pow(F.col("x") - F.col("bx"), 2) + F.pow(F.col("y") - F.col("by"), 2)
     return pairs.withColumn("d2", d2).where(F.col("d2") <= limit * limit)
 

@@ -139,3 +139,8 @@ def test_boxes_of_all_sizes_and_without_place(spark):
     zones = c.withColumnRenamed("corridor_id", "zone_id")
     hits = [(i, k) for i, *s in sizes if s[0] is not None for k, *z in corridors if any(z[0] <= s[0] + s[2] * u <= z[0] + z[2] and z[1] <= s[1] + s[3] * t <= z[1] + z[3] for u, t in ((0, 0), (1, 0), (0, 1), (1, 1), (0.5, 0.5)))]
     assert sorted((r.box_id, r.zone_id) for r in rules.boxes_in_zones(boxes, zones).collect()) == sorted(hits)
+
+
+def test_routes_broadcast_no_connectors(spark, sf):
+    plan = catalog.QUERIES["R6_route_segments"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
