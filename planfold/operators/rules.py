@@ -75,10 +75,11 @@ def exits_missing(plans: DataFrame, exits: DataFrame) -> DataFrame:
 
 
 def without_access(boxes: DataFrame, corridors: DataFrame, exits: DataFrame, reach: int = REACH) -> DataFrame:
-    """Boxes with no corridor within reach, in plans that have exits."""
+    """Boxes with no corridor within reach, in plans that have exits. Corridors go to all cells for larger boxes only where a plan has such."""
     small, rest = _by_size(boxes)
     far = spatial.corner_join(small, corridors, ["plan_id"], gap_squared("a", "b") < reach * reach, LARGEST, CELL, reach, "left_anti")
-    near = spatial.within(rest, corridors, ["plan_id"], reach, cell=CELL).select(F.col("a.box_id").alias("box_id")).distinct()
+    beside = corridors.join(graph.cut(rest.select("plan_id").distinct()), "plan_id", "left_semi")
+    near = spatial.within(rest, beside, ["plan_id"], reach, cell=CELL).select(F.col("a.box_id").alias("box_id")).distinct()
     alone = far.select("plan_id", "box_id").unionByName(rest.select("plan_id", "box_id").join(near, "box_id", "left_anti"))
     with_exits = graph.cut(exits.select("plan_id").distinct())
     return alone.join(with_exits, "plan_id", "left_semi").select(*issue("box_access", "MINOR", "box_id", F.lit(None), F.lit(reach)))
@@ -88,7 +89,7 @@ def dead_ends(corridors: DataFrame, reach: int = 50, least: int = 3) -> DataFram
     """Corridors linked to one other at most, in plans with at least three."""
     pairs = spatial.within(corridors, corridors, ["plan_id"], reach, F.col("a.corridor_id") != F.col("b.corridor_id"), cell=CELL)
     links = pairs.groupBy(F.col("a.corridor_id").alias("corridor_id")).agg(F.count(F.lit(1)).alias("links"))
-    many = corridors.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("plan_id")
+    many = graph.cut(corridors.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("plan_id"))  # as in box_issues
     ends = corridors.join(many, "plan_id", "left_semi").join(links, "corridor_id", "left").fillna(0, ["links"]).where("links <= 1")
     return ends.select(*issue("corridor_dead_end", "MINOR", "corridor_id", F.col("links"), F.lit(2)))
 

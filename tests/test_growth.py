@@ -144,3 +144,14 @@ def test_boxes_of_all_sizes_and_without_place(spark):
 def test_routes_broadcast_no_connectors(spark, sf):
     plan = catalog.QUERIES["R6_route_segments"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_only_corridors_of_plans_with_large_boxes_go_to_all_cells(spark, monkeypatch):
+    boxes = spark.createDataFrame([(1, 0, 0, 0, 100, 100), (1, 1, 900, 900, 50, 50), (2, 2, 0, 0, 100, 100), (2, 3, 3000, 40, 501, 90), (2, 4, 6000, 0, 20, 900), (None, 5, 0, 0, 600, 600)], "plan_id long, box_id long, x int, y int, w int, h int")
+    corridors = spark.createDataFrame([(1, 0, 150, 0, 600, 120), (2, 1, 3550, 100, 600, 120), (3, 2, 0, 0, 600, 120)], "plan_id long, corridor_id long, x int, y int, w int, h int")
+    exits = spark.createDataFrame([(p, 0, 0, 0) for p in (1, 2)], "plan_id long, exit_id long, x int, y int")
+    within, sent = spatial.within, []
+    monkeypatch.setattr(spatial, "within", lambda left, right, *a, **k: sent.append(right) or within(left, right, *a, **k))
+    found = sorted(r.element_id for r in rules.without_access(boxes, corridors, exits).collect())
+    assert [sorted(r.plan_id for r in c.collect()) for c in sent] == [[2]]
+    assert found == [1, 2, 4]
