@@ -87,7 +87,7 @@ def without_access(boxes: DataFrame, corridors: DataFrame, exits: DataFrame, rea
 
 def dead_ends(corridors: DataFrame, reach: int = 50, least: int = 3) -> DataFrame:
     """Corridors linked to one other at most, in plans with at least three."""
-    pairs = spatial.within(corridors, corridors, ["plan_id"], reach, F.col("a.corridor_id") != F.col("b.corridor_id"), cell=CELL)
+    pairs = spatial.near_each_other(corridors, ["plan_id"], reach, F.col("a.corridor_id") != F.col("b.corridor_id"), CELL)
     links = pairs.groupBy(F.col("a.corridor_id").alias("corridor_id")).agg(F.count(F.lit(1)).alias("links"))
     many = graph.cut(corridors.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("plan_id"))  # as in box_issues
     ends = corridors.join(many, "plan_id", "left_semi").join(links, "corridor_id", "left").fillna(0, ["links"]).where("links <= 1")

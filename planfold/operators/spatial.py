@@ -12,18 +12,18 @@ from planfold.functions.geometry import gap_squared, overlap
 from planfold.operators import graph
 
 
-def in_cells(shapes: DataFrame, cell: int, pad: int = 0) -> DataFrame:
+def in_cells(shapes: DataFrame, cell: int, pad: float = 0) -> DataFrame:
     """shapes(x, y, w, h) with cx, cy for each cell that the rectangle, grown by pad, meets."""
     low = lambda p: F.floor((F.col(p) - pad) / cell)
     high = lambda p, s: F.floor((F.col(p) + F.col(s) + pad) / cell)
     return shapes.withColumn("cx", F.explode(F.sequence(low("x"), high("x", "w")))).withColumn("cy", F.explode(F.sequence(low("y"), high("y", "h"))))
 
 
-def grid_join(left: DataFrame, right: DataFrame, keys: list[str], test: Column, cell: int = 1000, pad: int = 0, how: str = "inner") -> DataFrame:
-    """Pairs a, b (struct columns) of rectangles at most pad apart that pass test (over aliases a and b)."""
-    a, b = in_cells(left, cell, pad).alias("a"), in_cells(right, cell).alias("b")
+def grid_join(left: DataFrame, right: DataFrame, keys: list[str], test: Column, cell: int = 1000, pad: float = 0, how: str = "inner", right_pad: float = 0) -> DataFrame:
+    """Pairs a, b (struct columns) of rectangles at most pad + right_pad apart that pass test (over aliases a and b)."""
+    a, b = in_cells(left, cell, pad).alias("a"), in_cells(right, cell, right_pad).alias("b")
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "cx", "cy"]]
-    lower = lambda p: F.floor(F.greatest(F.col(f"a.{p}") - pad, F.col(f"b.{p}")) / cell)
+    lower = lambda p: F.floor(F.greatest(F.col(f"a.{p}") - pad, F.col(f"b.{p}") - right_pad) / cell)
     corner = (lower("x") == F.col("a.cx")) & (lower("y") == F.col("a.cy"))
     condition = corner & test
     for s in same:
@@ -57,6 +57,13 @@ def within(left: DataFrame, right: DataFrame, keys: list[str], distance: int, mo
     return grid_join(left, right, keys, test if more is None else test & more, cell=max(cell, 2 * distance), pad=distance)
 
 
+def near_each_other(shapes: DataFrame, keys: list[str], distance: int, more: Column, cell: int = 1000) -> DataFrame:
+    """As within for a table and itself, where `more` asks the same of both sides: each is grown by half the distance, so that one shuffle
+    serves both. No side is broadcast: a file looks far smaller than its shapes in all their cells."""
+    shapes, half = graph.spread(shapes), distance / 2
+    return grid_join(shapes, shapes, keys, (gap_squared("a", "b") < distance * distance) & more, max(cell, 2 * distance), half, right_pad=half)
+
+
 def points(df: DataFrame) -> DataFrame:
     """Points as rectangles without extent."""
     return df.withColumn("w", F.lit(0)).withColumn("h", F.lit(0))

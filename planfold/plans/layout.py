@@ -124,7 +124,8 @@ def a6(v):
 
 @query("A6_violation_summary", _ISSUES + "select plan_id, code, count(*) filter (severity = 'CRITICAL') as critical, count(*) filter (severity = 'MAJOR') as major, count(*) filter (severity = 'MINOR') as minor from i group by all")
 def a6_summary(v):
-    return _audit(v).groupBy("plan_id", "code").pivot("severity", ["CRITICAL", "MAJOR", "MINOR"]).count().fillna(0).toDF("plan_id", "code", "critical", "major", "minor")
+    n = lambda severity: F.count(F.when(F.col("severity") == severity, 1)).alias(severity.lower())
+    return _audit(v).groupBy("plan_id", "code").agg(n("CRITICAL"), n("MAJOR"), n("MINOR"))
 
 
 @query("A7_scored_audit", _ISSUES + "select p.plan_id, count(i.code) as issues, greatest(0, 100 - 25 * count(*) filter (severity = 'CRITICAL') - 10 * count(*) filter (severity = 'MAJOR') - 2 * count(*) filter (severity = 'MINOR')) as score from plans p left join i using (plan_id) group by p.plan_id")

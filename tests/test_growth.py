@@ -155,3 +155,15 @@ def test_only_corridors_of_plans_with_large_boxes_go_to_all_cells(spark, monkeyp
     found = sorted(r.element_id for r in rules.without_access(boxes, corridors, exits).collect())
     assert [sorted(r.plan_id for r in c.collect()) for c in sent] == [[2]]
     assert found == [1, 2, 4]
+
+
+def test_dead_ends_deal_corridors_out_once(spark):
+    rects = [(1, 0, -700, -30, 600, 120), (1, 1, -51, 0, 600, 120), (1, 2, 1990, 1985, 10, 10), (1, 3, 2049, 1985, 10, 50), (1, 4, 2000, 2050, 20, 20), (1, 5, 2108, 1900, 600, 100), (1, 6, 9000, 9000, 5000, 90), (2, 7, 0, 0, 50, 50), (2, 8, 10, 0, 50, 50)]
+    corridors = graph.cut(spark.createDataFrame(rects, "plan_id long, corridor_id long, x int, y int, w int, h int"))
+    gap = lambda a, b: max(0, a[0] - b[0] - b[2], b[0] - a[0] - a[2]) ** 2 + max(0, a[1] - b[1] - b[3], b[1] - a[1] - a[3]) ** 2
+    links = {i: sum(p == q and i != k and gap(a, b) < 2500 for q, k, *b in rects) for p, i, *a in rects if p == 1}
+    ends = rules.dead_ends(corridors)
+    assert {r.element_id: r.actual for r in ends.collect()} == {i: n for i, n in links.items() if n < 2}
+    assert 0 < sum(n < 2 for n in links.values()) < len(links)
+    plan = ends._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
