@@ -32,8 +32,8 @@ def _by_size(boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return boxes.where(small), boxes.where(f"not coalesce({small}, false)")
 
 
-def boxes_in_zones(boxes: DataFrame, zones: DataFrame) -> DataFrame:
-    """Boxes with a corner or the centre in a zone's rectangle."""
+def boxes_in_zones(boxes: DataFrame, zones: DataFrame, pad: int = 0) -> DataFrame:
+    """Boxes with a corner or the centre in a zone's rectangle. With the reach of another join of the same boxes as pad the larger ones share one shuffle."""
     small, rest = _by_size(boxes)
     spots = [("x", "y", 0, 0), ("x", "y", 1, 0), ("x", "y", 0, 1), ("x", "y", 1, 1), ("x", "y", 0.5, 0.5)]
     test = F.lit(False)
@@ -42,7 +42,7 @@ def boxes_in_zones(boxes: DataFrame, zones: DataFrame) -> DataFrame:
         test = test | ((px >= F.col("b.x")) & (px <= F.col("b.x") + F.col("b.w")) & (py >= F.col("b.y")) & (py <= F.col("b.y") + F.col("b.h")))
     test = overlap("a", "b", strict=False) & test
     ids = lambda pairs: pairs.select(F.col("a.plan_id").alias("plan_id"), F.col("a.box_id").alias("box_id"), F.col("b.zone_id").alias("zone_id"))
-    return ids(spatial.corner_join(small, zones, ["plan_id"], test, LARGEST, CELL)).unionByName(ids(spatial.grid_join(rest, zones, ["plan_id"], test, CELL)))
+    return ids(spatial.corner_join(small, zones, ["plan_id"], test, LARGEST, CELL)).unionByName(ids(spatial.grid_join(rest, zones, ["plan_id"], test, CELL, pad)))
 
 
 def box_issues(boxes: DataFrame, exits: DataFrame, fire_doors: DataFrame, area: int = 5000, side: int = 50, limit: int = 3000, door: int = 150) -> DataFrame:
@@ -98,7 +98,7 @@ def audit(plans: DataFrame, boxes: DataFrame, corridors: DataFrame, zones: DataF
     """All issues of all plans. Boxes and corridors are read by several rules: they are derived and written once, and boxes go to their cell,
     where zones and corridors are, in one shuffle; what is found needs no join back."""
     boxes, corridors = graph.cut(boxes.select("plan_id", "box_id", "x", "y", "w", "h")), graph.cut(corridors.select("plan_id", "corridor_id", "x", "y", "w", "h"))
-    hits = boxes_in_zones(boxes, zones).select(*issue("forbidden_zone", "CRITICAL", "box_id", F.col("zone_id")))
+    hits = boxes_in_zones(boxes, zones, REACH).select(*issue("forbidden_zone", "CRITICAL", "box_id", F.col("zone_id")))
     out = narrow_corridors(corridors)
     for part in (dead_ends(corridors), box_issues(boxes, exits, fire_doors), without_access(boxes, corridors, exits, REACH), hits, exits_missing(plans, exits)):
         out = out.unionByName(part)
