@@ -23,8 +23,7 @@ def entrances(v):
 @query("J24_layout_cleanup")
 def j24_cleanup(v):
     """What a final clean-up keeps and removes, by reason."""
-    zones = v.zones.where("zone_id % 4 = 0")
-    return cleanup.cleaned_layout(v.plans, v.boxes, v.corridors, v.walls, zones, entrances(v))
+    return cleanup.cleaned_layout(v.plans, v.boxes, v.corridors, v.walls, v.zones, entrances(v))
 
 
 _COLORS = {"green": "g > 130 and r < 140 and b < 140", "blue": "b > 130 and r < 140 and g < 160", "red": "r > 140 and g < 120 and b < 120", "black": "r < 80 and g < 80 and b < 80", "white": "r > 230 and g > 230 and b > 230", "non_white": "not (r > 230 and g > 230 and b > 230)"}

@@ -6,7 +6,10 @@ from collections import Counter
 
 import pytest
 
+from planfold import catalog
 from planfold.operators import cleanup, pages, raster
+from planfold.plans import rasters
+from planfold.sources.fixtures import Views
 
 PLAN = "plan_id long, min_x int, min_y int, max_x int, max_y int"
 WALL = "plan_id long, wall_id long, x1 int, y1 int, x2 int, y2 int"
@@ -258,6 +261,21 @@ def test_cleanup_of_random_layouts(spark, retain):
         assert said == {**dict.fromkeys(said, 0), **expected[plan]}, plan
 
 
+def test_cleanup_of_the_tables_heeds_all_zones(spark, sf):
+    catalog.load()
+    v = Views(spark, sf)
+    of = lambda df, *columns: [tuple(r) for r in df.orderBy(*df.columns[1:2]).select("plan_id", *columns).collect()]
+    plans, rect = of(v.plans, "min_x", "min_y", "max_x", "max_y"), ("x", "y", "w", "h")
+    rows = {"boxes": of(v.boxes.select("plan_id", "box_id", "floor_level", *rect), "floor_level", *rect), "corridors": of(v.corridors.select("plan_id", "corridor_id", *rect), *rect), "walls": of(v.walls, "x1", "y1", "x2", "y2")}
+    rows |= {"zones": of(v.zones.select("plan_id", "zone_id", *rect), *rect), "entrances": of(rasters.entrances(v), *rect)}
+    got = {r.plan_id: r.asDict() for r in catalog.QUERIES["J24_layout_cleanup"](spark, sf).collect()}
+    assert len(got) == len(plans)
+    for plan, *bounds in plans:
+        said = got[plan]
+        expected = plain_cleanup(bounds, *([r[1:] for r in rows[k] if r[0] == plan] for k in ("boxes", "corridors", "walls", "zones", "entrances")), False)
+        assert said == {**dict.fromkeys(said, 0), **expected, "plan_id": plan}, plan
+
+
 def sheet(spark, change=lambda x, y, c: c, width=100, height=80):
     """A page with a green border, blue lines, black text in its blocks and a red mark; the other side is what change makes of it."""
     rows = []
