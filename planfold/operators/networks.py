@@ -11,6 +11,8 @@ from planfold.operators.shapes import as_rectangles
 
 #: Lengths in centimetres: shortest edge, how far apart aligned nodes may lie across, and along: at least, at most, or a share of the plan.
 SHORTEST, ALIGNED, BRIDGE, BRIDGE_SHARE = 20, 25, (30, 400), 0.15
+#: Ends of an edge; sides of the cells in which edges meet walls, and nodes each other: the latter in units of how far nodes may lie apart.
+ENDS, WALL_CELL, NODE_CELL = ["x1", "y1", "x2", "y2"], 2000, 6
 #: Height of a level, and weights of horizontal and vertical steps.
 LEVEL, FLAT, STEEP = 320, 1.0, 1.4
 #: Gaps between wall ends that are filled: from and to; and how often.
@@ -22,60 +24,83 @@ def _point(c: Column, along: Column, flat: Column) -> Column:
 
 
 def _blocked(edges: DataFrame, walls: DataFrame) -> DataFrame:
-    """Keys of the edges(plan_id, key, x1, y1, x2, y2) that cross a wall away from all ends."""
-    pairs = spatial.grid_join(as_rectangles(edges), as_rectangles(walls), ["plan_id"], geometry.overlap("a", "b", strict=False))
-    ends = [(F.col(f"{t}.x{i}"), F.col(f"{t}.y{i}")) for t in "ab" for i in (1, 2)]
-    return pairs.where(geometry.crossing(*ends)["inner"]).select(F.col("a.key").alias("key")).distinct()
-
-
-def _with_blocked(edges: DataFrame, walls: DataFrame) -> DataFrame:
-    hit = _blocked(edges, walls).withColumn("blocked", F.lit(True))
-    return edges.join(hit, "key", "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
+    """The edges(plan_id, x1, y1, x2, y2) that cross a wall away from all ends, once for each such wall. Both are dealt to cells by their ends
+    alone: rectangles follow from these. No side is broadcast: a file looks far smaller than its shapes in all their cells."""
+    cells = lambda df, t: graph.spread(spatial.in_cells(as_rectangles(df.select("plan_id", *ENDS)), WALL_CELL).select("plan_id", *ENDS, "cx", "cy")).alias(t)
+    c = lambda t, n: F.col(f"{t}.{n}")
+    low, high = (lambda t, p: F.least(c(t, f"{p}1"), c(t, f"{p}2"))), (lambda t, p: F.greatest(c(t, f"{p}1"), c(t, f"{p}2")))
+    test = geometry.crossing(*((c(t, f"x{i}"), c(t, f"y{i}")) for t in "ab" for i in (1, 2)))["inner"]
+    for p in "yx":
+        corner = F.floor(F.greatest(low("a", p), low("b", p)) / WALL_CELL) == c("a", f"c{p}")
+        test = corner & (low("a", p) <= high("b", p)) & (low("b", p) <= high("a", p)) & test
+    for k in ("plan_id", "cx", "cy"):
+        test = test & (c("a", k) == c("b", k))
+    return cells(edges, "a").join(cells(walls, "b"), test).select("a.plan_id", *(f"a.{k}" for k in ENDS))
 
 
 def centreline_edges(plans: DataFrame, corridors: DataFrame, walls: DataFrame) -> DataFrame:
     """Edges of the graph of corridor centrelines: plan_id, kind (corridor, bridge), x1, y1, x2, y2, length, blocked.
 
     Centrelines are split where horizontal ones cross vertical ones; edges under SHORTEST are left out, those across a wall are blocked.
-    Bridges join nodes that lie in one line, unless a wall is between."""
+    Bridges join nodes that lie in one line, unless a wall is between. Edges, nodes and bridges are each written once, and only ids and
+    coordinates are shuffled."""
     flat = F.col("w") >= F.col("h")
     c = F.when(flat, F.col("y") + F.col("h") / 2).otherwise(F.col("x") + F.col("w") / 2)
     start, length = F.when(flat, F.col("x")).otherwise(F.col("y")), F.when(flat, F.col("w")).otherwise(F.col("h"))
     lines = corridors.select("plan_id", "corridor_id", flat.alias("flat"), c.cast("double").alias("c"), start.cast("double").alias("s"), (start + length).cast("double").alias("e"))
-    spans = lambda df: df.select("*", F.when(F.col("flat"), F.col("s")).otherwise(F.col("c")).alias("x"), F.when(F.col("flat"), F.col("c")).otherwise(F.col("s")).alias("y"), F.when(F.col("flat"), F.col("e") - F.col("s")).otherwise(0.0).alias("w"), F.when(F.col("flat"), 0.0).otherwise(F.col("e") - F.col("s")).alias("h"))
-    across = spatial.grid_join(spans(lines.where("flat")), spans(lines.where("not flat")), ["plan_id"], geometry.overlap("a", "b", strict=False))
-    cuts = across.select(F.col("a.plan_id").alias("plan_id"), F.inline(F.array(F.struct(F.col("a.corridor_id").alias("corridor_id"), F.lit(True).alias("flat"), F.col("a.c").alias("c"), F.col("b.c").alias("at")), F.struct(F.col("b.corridor_id").alias("corridor_id"), F.lit(False).alias("flat"), F.col("b.c").alias("c"), F.col("a.c").alias("at")))))
+    zero, along = F.lit(0.0), F.col("e") - F.col("s")
+    level = graph.spread(lines.where("flat").select("plan_id", "corridor_id", F.col("s").alias("x"), F.col("c").alias("y"), along.alias("w"), zero.alias("h")))
+    steep = graph.spread(lines.where("not flat").select("plan_id", "corridor_id", F.col("c").alias("x"), F.col("s").alias("y"), zero.alias("w"), along.alias("h")))
+    across = spatial.grid_join(level, steep, ["plan_id"], geometry.overlap("a", "b", strict=False))
+    cuts = across.select(F.col("a.plan_id").alias("plan_id"), F.inline(F.array(F.struct(F.col("a.corridor_id").alias("corridor_id"), F.lit(True).alias("flat"), F.col("a.y").alias("c"), F.col("b.x").alias("at")), F.struct(F.col("b.corridor_id").alias("corridor_id"), F.lit(False).alias("flat"), F.col("b.x").alias("c"), F.col("a.y").alias("at")))))
     ends = lines.select("plan_id", "corridor_id", "flat", "c", F.explode(F.array("s", "e")).alias("at"))
     # a corridor's few points in order, so that each edge is two that follow each other
-    along = cuts.unionByName(ends).groupBy("plan_id", "corridor_id", "flat", "c").agg(F.array_sort(F.collect_set("at")).alias("at"))
-    steps = along.select("*", F.explode(F.zip_with("at", F.slice("at", 2, F.size("at")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("step")).where(F.col("step.b") - F.col("step.a") >= SHORTEST)
+    points = cuts.unionByName(ends).groupBy("plan_id", "corridor_id", "flat", "c").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    steps = points.select("*", F.explode(F.zip_with("at", F.slice("at", 2, F.size("at")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("step")).where(F.col("step.b") - F.col("step.a") >= SHORTEST)
     p, q = _point(F.col("c"), F.col("step.a"), F.col("flat")), _point(F.col("c"), F.col("step.b"), F.col("flat"))
-    edges = steps.select("plan_id", F.lit("corridor").alias("kind"), p.alias("p"), q.alias("q")).distinct().select("plan_id", "kind", F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), F.col("q.x").alias("x2"), F.col("q.y").alias("y2"))
-    key = F.xxhash64("plan_id", "kind", "x1", "y1", "x2", "y2")
-    edges = graph.cut(_with_blocked(edges.withColumn("key", key), walls))
-    open_ = edges.where("not blocked")
-    nodes = open_.select("plan_id", F.inline(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))))).distinct()
-    nodes = nodes.join(plans.select("plan_id", F.greatest(F.lit(float(BRIDGE[1])), (F.col("max_x") - F.col("min_x")) * BRIDGE_SHARE).alias("most")), "plan_id")
-    bridges = _aligned(nodes, "x", "y").unionByName(_aligned(nodes, "y", "x"))
-    ends_of = lambda a, b: F.array_sort(F.array(F.struct(F.col(f"x{a}").alias("x"), F.col(f"y{a}").alias("y")), F.struct(F.col(f"x{b}").alias("x"), F.col(f"y{b}").alias("y"))))
-    known = open_.select("plan_id", ends_of(1, 2).alias("ends")).distinct()
-    bridges = bridges.withColumn("ends", ends_of(1, 2)).join(known, ["plan_id", "ends"], "left_anti").drop("ends").withColumn("kind", F.lit("bridge")).withColumn("key", key)
-    bridges = _with_blocked(bridges, walls).where("not blocked")
-    columns = ["plan_id", "kind", "x1", "y1", "x2", "y2", "blocked"]
+    found = graph.cut(steps.select("plan_id", p.alias("p"), q.alias("q")).select("plan_id", F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), F.col("q.x").alias("x2"), F.col("q.y").alias("y2")))
+    # edges of several corridors become one in the aggregation that says which of them are blocked
+    said = found.withColumn("blocked", F.lit(False)).unionByName(_blocked(found, walls).withColumn("blocked", F.lit(True)))
+    edges = graph.cut(said.groupBy("plan_id", *ENDS).agg(F.bool_or("blocked").alias("blocked")))
+    bridges = graph.cut(_bridges(plans, edges.where("not blocked")))
+    hit = graph.cut(_blocked(bridges, walls).distinct())
+    bridges = bridges.join(hit, ["plan_id", *ENDS], "left_anti").withColumn("blocked", F.lit(False))
     apart = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
-    length = F.when(F.col("kind") == "bridge", apart).otherwise(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
-    return edges.select(columns).unionByName(bridges.select(columns)).withColumn("length", length)
+    straight = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    out = lambda df, kind, length: df.select("plan_id", F.lit(kind).alias("kind"), *ENDS, "blocked", length.alias("length"))
+    return out(edges, "corridor", straight).unionByName(out(bridges, "bridge", apart))
+
+
+def _bridges(plans: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pairs of ends of edges(plan_id, x1, y1, x2, y2), each along an axis, that lie in one line and aren't joined by an edge. A node brings along
+    where the edges that begin there end, so no pair has to be looked up."""
+    flat = F.col("y1") == F.col("y2")
+    node = lambda i, x, y: F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y"), x.cast("double").alias("next_x"), y.cast("double").alias("next_y"))
+    both = F.inline(F.array(node(1, F.when(flat, F.col("x2")), F.when(~flat, F.col("y2"))), node(2, F.lit(None), F.lit(None))))
+    nodes = edges.select("plan_id", both).groupBy("plan_id", "x", "y").agg(F.collect_set("next_x").alias("next_x"), F.collect_set("next_y").alias("next_y"))
+    most = plans.select("plan_id", F.greatest(F.lit(float(BRIDGE[1])), (F.col("max_x") - F.col("min_x")) * BRIDGE_SHARE).alias("most"))
+    nodes = graph.cut(nodes.join(most, "plan_id"))
+    return _aligned(nodes, "x", "y").unionByName(_aligned(nodes, "y", "x"))
 
 
 def _aligned(nodes: DataFrame, along: str, across: str) -> DataFrame:
-    """Pairs of nodes at most ALIGNED apart across and in BRIDGE along: an equi-join by lanes across and stretches along."""
-    lane, stretch = F.floor(F.col(across) / ALIGNED), F.floor(F.col(along) / F.col("most"))
-    a = nodes.select("plan_id", "most", "x", "y", F.explode(F.array(lane - 1, lane, lane + 1)).alias("lane"), stretch.alias("stretch"))
-    a = a.select("plan_id", "most", F.col("x").alias("x1"), F.col("y").alias("y1"), "lane", F.explode(F.array("stretch", F.col("stretch") + 1)).alias("stretch"))
-    b = nodes.select("plan_id", F.col("x").alias("x2"), F.col("y").alias("y2"), lane.alias("lane"), stretch.alias("stretch"))
-    d = {"x": F.abs(F.col("x2") - F.col("x1")), "y": F.abs(F.col("y2") - F.col("y1"))}
-    ahead = F.col(f"{along}2") > F.col(f"{along}1")
-    return a.join(b, ["plan_id", "lane", "stretch"]).where(ahead & (d[across] <= ALIGNED) & (d[along] >= BRIDGE[0]) & (d[along] <= F.col("most"))).select("plan_id", "x1", "y1", "x2", "y2")
+    """Pairs of nodes at most ALIGNED apart across and in BRIDGE along, without those that an edge joins: an equi-join by lanes across and
+    stretches along, NODE_CELL times as wide as the reach, to which each node goes with half the reach around it. One shuffle serves both sides."""
+    half = 0.5 + 1e-6  # more than half: what rounding takes from the reach is not lost
+    place = {"stretch": lambda t="": F.col(f"{t}{along}") / F.col(f"{t}most"), "lane": lambda t="": F.col(f"{t}{across}") / ALIGNED}
+    cells = nodes.select("plan_id", "most", "x", "y", F.col(f"next_{along}").alias("next"))
+    for k, at in place.items():
+        cells = cells.withColumn(k, F.explode(F.sequence(F.floor((at() - half) / NODE_CELL), F.floor((at() + half) / NODE_CELL))))
+    d = {p: F.col(f"b.{p}") - F.col(f"a.{p}") for p in "xy"}
+    known = (d[across] == 0) & (F.array_contains("a.next", F.col(f"b.{along}")) | F.array_contains("b.next", F.col(f"a.{along}")))
+    test = (F.abs(d[across]) <= ALIGNED) & (d[along] >= BRIDGE[0]) & (d[along] <= F.least("a.most", "b.most")) & ~known  # asks the same of both sides: else the shuffle is made twice
+    for k, at in place.items():
+        test = (F.floor((F.greatest(at("a."), at("b.")) - half) / NODE_CELL) == F.col(f"a.{k}")) & test
+    for k in ("plan_id", *place):
+        test = test & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    cells = graph.spread(cells)
+    point = [F.col(f"{t}.{p}").alias(f"{p}{i}") for i, t in ((1, "a"), (2, "b")) for p in "xy"]
+    return cells.alias("a").join(cells.alias("b"), test).select("a.plan_id", *point)
 
 
 def bridge_report(nodes: DataFrame, reach: int = 1000) -> DataFrame:

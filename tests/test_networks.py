@@ -180,6 +180,50 @@ def test_literals(spark):
     assert {k[1:] for k in got if k[0] == "bridge"} <= {(500.0, 0.0, 500.0, 600.0)}
 
 
+def plain_graph(corridors, walls, most):
+    """Edges along centrelines with blocked, and bridges, of one plan by loops."""
+    lines = [(True, y + h / 2, x, x + w) if w >= h else (False, x + w / 2, y, y + h) for x, y, w, h in corridors]
+
+    def crosses(a, b):
+        d = (a[0] - a[2]) * (b[1] - b[3]) - (a[1] - a[3]) * (b[0] - b[2])
+        if d == 0:
+            return False
+        t = ((a[0] - b[0]) * (b[1] - b[3]) - (a[1] - b[1]) * (b[0] - b[2])) / d
+        u = -((a[0] - a[2]) * (a[1] - b[1]) - (a[1] - a[3]) * (a[0] - b[0])) / d
+        return 0.01 < t < 0.99 and 0.01 < u < 0.99
+
+    edges = {}
+    for flat, c, s, e in lines:
+        at = sorted({s, e} | {d for f, d, s2, e2 in lines if f != flat and s <= d <= e and s2 <= c <= e2})
+        for a, b in zip(at, at[1:], strict=False):
+            if b - a >= 20:
+                edge = (a, c, b, c) if flat else (c, a, c, b)
+                edges[edge] = any(crosses(edge, w) for w in walls)
+    nodes = sorted({p for e, blocked in edges.items() if not blocked for p in (e[:2], e[2:])})
+    aligned = lambda d, off: 30 <= d <= most and abs(off) <= 25
+    pairs = [(*a, *b) for a in nodes for b in nodes if aligned(b[0] - a[0], b[1] - a[1]) or aligned(b[1] - a[1], b[0] - a[0])]
+    joined = {x for e, blocked in edges.items() if not blocked for x in (e, e[2:] + e[:2])}
+    return {("corridor", *e, blocked) for e, blocked in edges.items()} | {("bridge", *p, False) for p in pairs if p not in joined and not any(crosses(p, w) for w in walls)}
+
+
+def test_centreline_graph_against_loops(spark):
+    rng = random.Random(8)
+    tables, expected = {"plans": [], "corridors": [], "walls": []}, set()
+    for plan, wide in ((1, 2000), (2, 6000)):
+        at = lambda: rng.randrange(-300, 2000) // 25 * 25
+        corridors = [(at(), at(), *rng.choice([(rng.randrange(50, 700, 25), 50), (50, rng.randrange(60, 700, 25))])) for _ in range(45)]
+        corridors += corridors[:3] + [(x, y, w + 100, h) if w >= h else (x, y, w, h + 100) for x, y, w, h in corridors[:6]]  # equal edges, and several from one node
+        walls = [(at(), at(), at(), at()) for _ in range(6)]
+        tables["plans"].append((plan, -300, -300, wide - 300, 2000))
+        tables["corridors"] += [(plan, 100 * plan + i, *c) for i, c in enumerate(corridors)]
+        tables["walls"] += [(plan, i, *w) for i, w in enumerate(walls)]
+        expected |= {(plan, *e) for e in plain_graph(corridors, walls, max(400, wide * 0.15))}
+    names = {"plans": "plan_id long, min_x long, min_y long, max_x long, max_y long", "corridors": "plan_id long, corridor_id long, x long, y long, w long, h long", "walls": "plan_id long, wall_id long, x1 long, y1 long, x2 long, y2 long"}
+    got = networks.centreline_edges(*(spark.createDataFrame(tables[k], names[k]) for k in names)).select("plan_id", "kind", "x1", "y1", "x2", "y2", "blocked").collect()
+    assert len(got) == len(expected) and {tuple(r) for r in got} == expected
+    assert {(r.kind, r.blocked) for r in got} == {("corridor", True), ("corridor", False), ("bridge", False)}
+
+
 def test_merged_rectangles(spark):
     rng = random.Random(21)
     rows = [(1 + i % 2, i, rng.randrange(3000), rng.randrange(3000), 40 + rng.randrange(400), 30 + rng.randrange(200)) for i in range(70)]
