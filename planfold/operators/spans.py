@@ -35,8 +35,9 @@ def coverage(edges: DataFrame, spans: DataFrame, keys: list[str], edge: str, tol
 
 def free(domains: DataFrame, blocked: DataFrame, keys: list[str], least: float, gap: float = 0, closed: bool = False) -> DataFrame:
     """domains(keys, ..., lo, hi), one for each key, less blocked(keys, lo, hi) -> the domains' columns with lo, hi of what is free and longer
-    than least (closed: or as long). A domain without blockers is free as a whole, whatever its length."""
-    d = domains.select(*keys, F.col("lo").alias("_from"), F.col("hi").alias("_to"))
+    than least (closed: or as long). A domain without blockers is free as a whole, whatever its length. Domains are never broadcast: there may
+    be many to each row of the file that they come from."""
+    d = graph.spread(domains.select(*keys, F.col("lo").alias("_from"), F.col("hi").alias("_to")))
     inside = blocked.join(d, keys).select(*keys, F.greatest("lo", "_from").alias("lo"), F.least("hi", "_to").alias("hi")).where("hi > lo")
     blocks = merged(inside, keys, gap)
     before = F.lag("hi").over(Window.partitionBy(*keys).orderBy("lo"))
@@ -76,7 +77,7 @@ def aisle_shadows(plans: DataFrame, walls: DataFrame, obstacles: DataFrame, dept
     b = w.unionByName(o).join(reach, "plan_id")
     strip = lambda c, more: F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.floor((F.col(c) - F.col("_base")) / F.col("_each")) + more)).cast("long")
     b = b.withColumn("aisle", F.explode(F.sequence(strip("by1", -1), strip("by2", 1))))
-    j = b.join(a.drop("_base", "_each", "_n"), ["plan_id", "aisle"]).where((F.col("by2") >= F.col("y")) & (F.col("by1") <= F.col("y") + F.col("h")))
+    j = b.join(graph.spread(a.drop("_base", "_each", "_n")), ["plan_id", "aisle"]).where((F.col("by2") >= F.col("y")) & (F.col("by1") <= F.col("y") + F.col("h")))
     flat = F.col("bx2") - F.col("bx1") > 2 * (F.col("by2") - F.col("by1"))
     mid_y, mid_x = (F.col("by1") + F.col("by2")) / 2, (F.col("bx1") + F.col("bx2")) / 2
     edge = (F.abs(mid_y - F.col("y") - F.col("h")) < 30) | (F.abs(mid_y - F.col("y")) < 30)

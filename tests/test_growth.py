@@ -169,17 +169,17 @@ def test_dead_ends_deal_corridors_out_once(spark):
     assert "ReusedExchange" in plan
 
 
-def shuffled_rows(df):
-    """Rows that the exchanges of a query wrote when it ran; those that were used again count once."""
+def exchanged_rows(df, exchange="Exchange", metric="shuffleRecordsWritten"):
+    """Rows that each exchange of a query wrote when it ran; those that were used again count once."""
     df.collect()
 
     def under(node):
         name = node.nodeName()
         if name.startswith("ReusedExchange"):
-            return 0
+            return []
         inner = [node.executedPlan()] if name.startswith("AdaptiveSparkPlan") else [node.plan()] if "QueryStage" in name else [node.children().apply(i) for i in range(node.children().size())]
-        wrote = node.metrics().get("shuffleRecordsWritten").get().value() if name == "Exchange" else 0
-        return wrote + sum(under(n) for n in inner)
+        wrote = [node.metrics().get(metric).get().value()] if name == exchange else []
+        return wrote + [n for i in inner for n in under(i)]
 
     return under(df._jdf.queryExecution().executedPlan())
 
@@ -188,7 +188,7 @@ def test_nodes_in_one_line_meet_in_few_cells(spark, tmp_path):
     n = 1500
     nodes = spark.range(n).selectExpr("id % 3 as plan_id", "id * 7919 % 12000 / 2D as x", "id * 104729 % 9000 / 2D as y", "900D as most", "array(cast(null as double)) as next_x", "array(cast(null as double)) as next_y")
     nodes.write.parquet(f"{tmp_path}/nodes")
-    assert 0 < shuffled_rows(networks._aligned(spark.read.parquet(f"{tmp_path}/nodes"), "x", "y")) < 2 * n
+    assert 0 < sum(exchanged_rows(networks._aligned(spark.read.parquet(f"{tmp_path}/nodes"), "x", "y"))) < 2 * n
 
 
 def test_bridges_are_found_once_and_shuffled_once(spark, sf):
@@ -196,4 +196,14 @@ def test_bridges_are_found_once_and_shuffled_once(spark, sf):
 
     v = Views(spark, sf)
     edges = networks.centreline_edges(v.plans, v.corridors, v.walls)
-    assert shuffled_rows(edges) < edges.count()  # the table returned is read from what was written, and is not derived twice
+    assert sum(exchanged_rows(edges)) < edges.count()  # the table returned is read from what was written, and is not derived twice
+
+
+def test_aisles_of_plans_are_not_broadcast(spark, sf):
+    from planfold.operators import spans
+    from planfold.sources.fixtures import Views
+
+    v = Views(spark, sf)
+    plans, walls = v.plans.count(), v.walls
+    found = spans.aisle_shadows(v.plans, walls, v.zones.select("plan_id", "x", "y", "w", "h"))
+    assert max(exchanged_rows(found, "BroadcastExchange", "numOutputRows"), default=0) <= plans < spans.aisles(v.plans).count()
